@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridefield.llm import chat, curriculum, host_rules
+from stridefield.llm import chat, curriculum, fingerprint, host_rules, html_text, hyperlang, pii, unigram
 from stridefield.llm.storage import cut, table
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -133,9 +133,52 @@ FROM k
 """
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans by rule and learned ``id`` spans of every document; the counts are of base spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS[:4]],
+        F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
+        pii.described(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of every text and of its edited form, with its class of exact copies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    printed = cut(fingerprint.compare_with_next(docs))
+    return fingerprint.exact_groups(docs, printed).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "copies"
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; prototypes are learned from documents that are not held out."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc % 4 == 2).alias("held_out"))
+    names, prototypes = hyperlang.train(docs.filter(~F.col("held_out")))
+    return hyperlang.predict(docs.select("doc_id", "held_out", "text"), names, prototypes)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return unigram.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_html_extraction": op9_html_extraction,
     "op10_curriculum_mixing": op10_curriculum_mixing,
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -26,3 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", row_bytes: int = 64) -> DataFrame:
+    """Join, broadcasting ``small`` only after counting it against the session's broadcast threshold.
+
+    Beyond the threshold it is an ordinary shuffled join, which AQE may split. ``small`` should be cut
+    from its lineage, since it is counted and then joined.
+    """
+    limit = left.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = limit.lower().rstrip("b")
+    most = int(text[:-1]) * unit[text[-1]] if text[-1] in unit else int(text)
+    return left.join(F.broadcast(small) if small.count() * row_bytes <= most else small, on, how)
