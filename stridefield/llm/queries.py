@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridefield.llm import chat, curriculum, fingerprint, host_rules, html_text, hyperlang, lsh_forest, pii, unigram
+from stridefield.llm import chat, curriculum, fingerprint, host_rules, html_text, hyperlang, lsh_forest, pii, suffix_dedup, unigram
 from stridefield.llm.storage import cut, table
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -144,6 +144,11 @@ def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 200-byte strings."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document and its number of links."""
     return lsh_forest.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
@@ -179,6 +184,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_pii_bootstrap": op2_pii_bootstrap,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_quality_rules": op6_quality_rules,
