@@ -50,3 +50,94 @@ def weekday_profile(readings: DataFrame) -> DataFrame:
     """Mean count per weekday and 15-minute slot; readings are combined before the shuffle."""
     slot = F.date_format(F.window("ts", "15 minutes")["start"], "HH:mm:ss")
     return readings.groupBy(F.date_format("ts", "EEEE").alias("weekday"), slot.alias("slot")).agg(F.avg("count").alias("avg_count"))
+
+
+def normalize_entrance(nodes: DataFrame) -> DataFrame:
+    """Entrance tags main and yes become yes; other values stay."""
+    value = lambda k, v: F.when((k == "entrance") & v.isin("main", "yes"), F.lit("yes")).otherwise(v)
+    return nodes.withColumn("tags", F.transform_values("tags", value))
+
+
+def filter_buildings(ways: DataFrame) -> DataFrame:
+    return ways.filter(F.map_contains_key("tags", "building"))
+
+
+def graph_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with the building they belong to, or Outdoor."""
+    building = F.coalesce(F.col("tags")["building"], F.lit("Outdoor"))
+    return nodes.withColumn("building_id", building).withColumn("use_global_coords", building == "Outdoor")
+
+
+def edge_midpoints(resolved: DataFrame) -> DataFrame:
+    return resolved.withColumn("mid_lat", (F.col("src_lat") + F.col("dst_lat")) / 2).withColumn("mid_lon", (F.col("src_lon") + F.col("dst_lon")) / 2)
+
+
+def _refs(ways: DataFrame) -> DataFrame:
+    return ways.select("way_id", F.posexplode("node_refs").alias("pos", "node_id"))
+
+
+def building_vertices(ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """way_id, pos, node_id, lat, lon of refs that exist, and way_id, pos, node_id of those that don't. One shuffle on node_id each."""
+    refs = _refs(ways)
+    return refs.join(nodes.select("node_id", "lat", "lon"), "node_id").select("way_id", "pos", "node_id", "lat", "lon"), refs.join(
+        nodes.select("node_id"), "node_id", "left_anti"
+    ).select("way_id", "pos", "node_id")
+
+
+def override_nodes(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """Nodes of ``extra`` replace nodes of ``base`` of the same id."""
+    return base.join(extra.select("node_id"), "node_id", "left_anti").unionByName(extra)
+
+
+def building_label(tags: str = "tags", way_id: str = "way_id"):
+    return F.coalesce(F.col(tags)["name"], F.col(way_id).cast("string"))
+
+
+def node_buildings(ways: DataFrame) -> DataFrame:
+    """node_id, building_id: every building a node is on, labelled by name, else id."""
+    return ways.select(F.explode("node_refs").alias("node_id"), building_label().alias("building_id")).distinct()
+
+
+def building_entrance_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """Nodes with an entrance tag on a building outline."""
+    return nodes.filter(F.map_contains_key("tags", "entrance")).join(ways.select(F.explode("node_refs").alias("node_id")), "node_id", "left_semi")
+
+
+def buildings(vertices: DataFrame) -> DataFrame:
+    """building_id, polygons: outlines (vertices by pos) of the ways of one label. vertices: building_id, way_id, pos, lat, lon."""
+    outline = vertices.groupBy("building_id", "way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))).alias("ring"))
+    return outline.groupBy("building_id").agg(F.sort_array(F.collect_list(F.struct("way_id", "ring"))).alias("polygons"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """src, neighbours sorted by (dst, baseline_weight); a node's list is as long as its degree."""
+    return undirected_arcs(edges).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "baseline_weight"))).alias("neighbours"))
+
+
+def merge_adjacency(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Lists of ``b`` after those of ``a``."""
+    right = b.withColumnRenamed("neighbours", "_more")
+    empty = F.array().cast(a.schema["neighbours"].dataType)
+    return a.join(right, "src", "full").select("src", F.concat(F.coalesce("neighbours", empty), F.coalesce("_more", empty)).alias("neighbours"))
+
+
+def network_summary(nodes: DataFrame, arcs: DataFrame, entrances: DataFrame) -> DataFrame:
+    """One row: nodes, edges (half of the arcs), buildings with entrances; each side is aggregated before they meet."""
+    one = lambda df, e, name: df.agg(e.alias(name))
+    return (
+        one(nodes, F.count("*"), "n_nodes")
+        .crossJoin(one(arcs, F.floor(F.count("*") / 2).cast("long"), "n_edges"))
+        .crossJoin(one(entrances, F.count_distinct("building_id"), "n_buildings"))
+    )
+
+
+def extent(nodes: DataFrame, share: float = 0.05, least: float = 0.001) -> DataFrame:
+    """One row of bounds, each side padded by a share of the span, by ``least`` degrees where the span is 0."""
+    box = nodes.agg(*[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for f, n in ((F.min, "min"), (F.max, "max"))])
+    pad = {c: F.when(F.col(f"max_{c}") > F.col(f"min_{c}"), (F.col(f"max_{c}") - F.col(f"min_{c}")) * share).otherwise(least) for c in ("lat", "lon")}
+    return box.select(*[(F.col(f"{n}_{c}") + s * pad[c]).alias(f"{n}_{c}") for c in ("lat", "lon") for n, s in (("min", -1), ("max", 1))])
+
+
+def edge_flow_map(edge_flows: DataFrame) -> DataFrame:
+    """edge_id, flow: the last polygon's."""
+    return edge_flows.groupBy("edge_id").agg(F.max_by("flow", "polygon_id").alias("flow"))

@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 from stridefield.functions import scalars
 from stridefield.operators import network
 from stridefield.plans import queries as plans
+from stridefield.plans import wayfinding
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+QUERIES, ORACLES = plans.QUERIES | wayfinding.QUERIES, plans.ORACLES | wayfinding.ORACLES
+
+
+def _sorted(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: [(x is None, x) for x in r])
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    found = plans.QUERIES[name](spark, DATA)
+    found = QUERIES[name](spark, DATA)
     columns = sorted(found.columns)
-    ours = sorted(tuple(r) for r in found.select(*columns).collect())
-    theirs = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({plans.ORACLES[name]})").fetchall())
+    ours = _sorted(found.select(*columns).collect())
+    theirs = _sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall())
     assert ours == theirs
 
 
