@@ -63,11 +63,25 @@ def _touches(leg: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Col
     return boxes & across
 
 
-def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "intersects", cell: float = 0.002) -> DataFrame:
+MOST_CELLS_A_SIDE = 64
+
+
+def _fitting_cell(edges: DataFrame, polygons: DataFrame) -> float:
+    """The mean side of the polygons' boxes, widened so that no box spans more than MOST_CELLS_A_SIDE cells a side. One row to the driver."""
+    wide = lambda c: F.array_max(F.transform("ring", lambda p: p[c])) - F.array_min(F.transform("ring", lambda p: p[c]))
+    zone = polygons.select(F.greatest(wide("lon"), wide("lat")).alias("s")).agg(F.avg("s").alias("m"), F.max("s").alias("z"))
+    line = edges.select(F.greatest(F.abs(F.col("x1") - F.col("x2")), F.abs(F.col("y1") - F.col("y2"))).alias("s")).agg(F.max("s").alias("l"))
+    mean, zmax, lmax = zone.crossJoin(line).first()
+    return max(mean or 0.0, (zmax or 0.0) / MOST_CELLS_A_SIDE, (lmax or 0.0) / MOST_CELLS_A_SIDE) or 0.001
+
+
+def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "intersects", cell: float | None = None) -> DataFrame:
     """polygon_id, edge_id. edges: edge_id, x1, y1, x2, y2 (x is lon); polygons: polygon_id, ring of (lat, lon).
 
     ``contains``: both ends strictly inside. ``intersects``: an end inside, or the segment touches a side. One shuffle on the cell.
+    Without ``cell`` a first pass over the boxes finds one that no box spans too often.
     """
+    cell = cell or _fitting_cell(edges, polygons)
     if mode not in ("contains", "intersects"):
         raise ValueError(f"unknown mode {mode}")
     box = edges.select("edge_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("ex"), F.least("y1", "y2").alias("ey"), F.greatest("x1", "x2").alias("fx"), F.greatest("y1", "y2").alias("fy"))
