@@ -9,7 +9,7 @@ away again. A marker character that is in a text itself goes through byte pieces
 exactly the text that was encoded.
 
 Pieces have blanks only in front, so the best path splits at blanks and equal segments have equal
-paths: new segments of a batch are solved together with numpy, and a bounded cache keeps them.
+paths: new segments of one length are solved together with numpy, and a bounded cache keeps them.
 No shuffle. The trie is broadcast; its size is the vocabulary's.
 """
 
@@ -30,6 +30,7 @@ MARKER = "▁"
 #: How far the score of a byte piece is under the least piece score.
 BYTE_PENALTY = 10.0
 CACHE_SEGMENTS = 400_000
+BLOCK_BYTES = 100_000
 SEGMENT = re.compile(r" *[^ ]+| +")
 
 
@@ -105,63 +106,59 @@ def load(path: str = PIECES) -> Vocabulary:
     return Vocabulary(pieces, byte_ids, texts)
 
 
-def viterbi(segments: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """The best piece ids of each segment; of equal scores the path with the longest last piece wins."""
-    lengths = np.array([len(s) for s in segments], np.int64)
-    n = int(lengths.sum())
-    if not n:
-        return [np.zeros(0, np.int32) for _ in segments]
+def viterbi(segments: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The best piece ids of each segment (32-bit little-endian); all segments are of one length.
+
+    Of equal scores the path with the longest last piece wins. The pieces that end at a byte stand in one row, longest
+    first, so each byte position is settled for all segments by one maximum.
+    """
+    k, n = len(segments), len(segments[0])
     text = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64)
-    first = np.concatenate(([0], np.cumsum(lengths)))
-    ends = np.repeat(first[1:], lengths)
-    begins = np.repeat(first[:-1], lengths)
-    # all pieces that start at each byte, longest last
-    start, state = np.arange(n), np.zeros(n, np.int64)
-    edges = [(start, np.ones(n, np.int64), v.byte_ids[text].astype(np.int64), np.full(n, v.byte_score))]
-    for depth in range(v.longest):
-        inside = start + depth < ends[start]
+    # all pieces that start at each byte
+    start, state = np.arange(k * n), np.zeros(k * n, np.int64)
+    room = n - start % n
+    edges = [(start, v.byte_ids[text].astype(np.int32), np.full(k * n, v.byte_score))]
+    found_at = [0]
+    for depth in range(min(v.longest, n)):
+        inside = room[start] > depth
         start, state = start[inside], state[inside]
         nxt = v.base[state].astype(np.int64) + text[start + depth]
         ok = v.check[nxt] == state
         start, state = start[ok], nxt[ok]
         if not len(start):
             break
-        found = v.value[state] >= 0
-        ids = v.value[state[found]].astype(np.int64)
-        edges.append((start[found], np.full(len(ids), depth + 1), ids, v.scores[ids]))
-    s, length, ids, score = (np.concatenate(x) for x in zip(*edges, strict=True))
-    # byte position p of a segment has its best score at p + its number, so that its end has a place too
-    number = np.repeat(np.arange(len(segments)), lengths)
-    source = s + number[s]
-    target = source + length
-    rel = s + length - begins[s]
-    order = np.lexsort((-length, target, rel))
-    source, target, ids, score, rel = source[order], target[order], ids[order], score[order], rel[order]
-    best = np.zeros(n + len(segments))
-    back = np.zeros(n + len(segments), np.int64)
-    piece = np.zeros(n + len(segments), np.int64)
-    cuts = np.searchsorted(rel, np.arange(1, int(lengths.max()) + 2))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        t = target[a:b]
-        got = best[source[a:b]] + score[a:b]
-        heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        top = np.maximum.reduceat(got, heads)
-        place = np.cumsum(np.concatenate(([0], (t[1:] != t[:-1]).astype(np.int64))))
-        hit = np.flatnonzero(got == top[place])
-        _, first_hit = np.unique(place[hit], return_index=True)
-        chosen = hit[first_hit] + a
-        best[t[heads]] = top
-        back[t[heads]] = source[chosen]
-        piece[t[heads]] = ids[chosen]
-    out = []
-    origin = (first[:-1] + np.arange(len(segments))).tolist()
-    for begin, size in zip(origin, lengths.tolist(), strict=True):
-        at, path = begin + size, []
-        while at > begin:
-            path.append(piece[at])
-            at = back[at]
-        out.append(np.array(path[::-1], np.int32))
-    return out
+        ids = v.value[state]
+        found = ids >= 0
+        edges.append((start[found] + depth, ids[found], v.scores[ids[found]]))
+        found_at.append(depth)
+    deepest = max(found_at) + 1
+    score = np.full(k * n * deepest, -np.inf)
+    piece = np.zeros(k * n * deepest, np.int32)
+    for (end, ids, value), depth in zip(edges, found_at, strict=True):
+        place = end * deepest + (deepest - 1 - depth)
+        score[place], piece[place] = value, ids
+    score, piece = score.reshape(k, n, deepest), piece.reshape(k, n, deepest)
+    rows = np.arange(k)
+    best = np.full((k, deepest + n), -np.inf)
+    best[:, deepest - 1] = 0.0
+    last = np.zeros((k, n), np.int32)
+    for t in range(n):
+        reached = best[:, t : t + deepest] + score[:, t]
+        top = reached.argmax(axis=1)
+        best[:, deepest + t] = reached[rows, top]
+        last[:, t] = top
+    path = np.zeros((k, n), np.int32)
+    at, used = np.full(k, n - 1), np.zeros(k, np.int64)
+    live = rows
+    while len(live):
+        here = at[live]
+        top = last[live, here]
+        path[live, n - 1 - used[live]] = piece[live, here, top]
+        used[live] += 1
+        at[live] = here - (deepest - top)
+        live = live[at[live] >= 0]
+    whole = path.astype("<i4").tobytes()
+    return [whole[4 * (i * n - u) : 4 * i * n] for i, u in enumerate(used.tolist(), 1)]
 
 
 class Encoder:
@@ -181,17 +178,15 @@ class Encoder:
         if len(known) + len(new) > CACHE_SEGMENTS:
             known.clear()
             new = {s for segments in split for s in segments}
-        fresh = sorted(new, key=len)
-        at = 0
-        while at < len(fresh):  # segments of like length together, a bounded number of bytes at a time
-            end, size = at, 0
-            while end < len(fresh) and (end == at or size + len(fresh[end]) <= 500_000):
-                size += len(fresh[end])
-                end += 1
-            part = fresh[at:end]
-            for s, ids in zip(part, viterbi([s.encode("utf-8", "surrogatepass") for s in part], self.v), strict=True):
-                known[s] = ids.tobytes()
-            at = end
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for segment in new:
+            raw = segment.encode("utf-8", "surrogatepass")
+            by_length.setdefault(len(raw), []).append((segment, raw))
+        for length, group in by_length.items():
+            step = max(1, BLOCK_BYTES // length)  # a bounded number of bytes at a time
+            for at in range(0, len(group), step):
+                part = group[at : at + step]
+                known.update(zip([s for s, _ in part], viterbi([raw for _, raw in part], self.v), strict=True))
         done = [b"".join(map(known.__getitem__, segments)) for segments in split]
         if len(known) > CACHE_SEGMENTS:
             known.clear()
