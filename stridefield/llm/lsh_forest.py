@@ -1,12 +1,11 @@
-"""Near-duplicate classes: a MinHash LSH forest, then exact Jaccard of word 5-shingles.
-
-Copies of one text are first collapsed to a representative. Every representative gets a signature,
-cut into trees of sorted prefixes. The join starts from deep prefixes and shortens them until a pair at the
-threshold shares a prefix in some tree with the target probability. At each length a text is paired with the leader
-of its group only, so a group of m texts gives m - 1 pairs, whatever its size. Pairs are
-verified on whole texts, and verified links give the classes. Groups in which a text is not alike to the
-leader are led once more, each tree by another text. Links that no leader of 16 trees and two lengths is an end of are not
-counted, and join classes only through other links; the measured recall is in the README.
+"""Near-duplicate classes: MinHash trees of prefixes, then exact Jaccard of word 5-shingles.
+
+Copies of one text are first collapsed to a representative. Every representative gets a signature, cut into
+trees; texts with equal prefixes in a tree share a bucket. The prefix is the longest at which a pair at the
+threshold shares a bucket in some tree with the target probability. Every two texts of a bucket are compared on all
+their shingles: those of small buckets as pairs of rows, those of large ones in blocks, which give
+each text's number of links and its class inside the block, so no row is made for a pair. A pair
+counts in one bucket only, and verified links give the classes.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from stridefield.llm.storage import cut, join_small
 
 TREES, DEEPEST, WORDS, THRESHOLD, TARGET = 16, 6, 5, 0.8, 0.999
+#: Buckets of more texts than SMALL are compared in blocks of about BLOCK texts.
+SMALL, BLOCK = 16, 512
 _rng = np.random.default_rng(77)
 MULTIPLIERS = _rng.integers(1, 1 << 63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,25 +60,18 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    depth = shortest_depth()
     for batch in batches:
-        prints, sizes, deep, short = [], [], [], []
-        depth = shortest_depth()
+        prints, sizes, buckets = [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text)
             prints.append(xxhash.xxh3_128_hexdigest((text or "").encode("utf-8", "surrogatepass")))
             sizes.append(len(found))
-            if len(found):
-                trees = signature(found).reshape(TREES, DEEPEST)
-                deep.append([xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) for t in trees])
-                short.append([xxhash.xxh3_64_intdigest(t[:depth].tobytes()) - (1 << 63) for t in trees])
-            else:
-                deep.append([])
-                short.append([])
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int64()), pa.array(deep, kind), pa.array(short, kind)],
-            ["doc_id", "th", "print", "n_shingles", "deep", "short"],
-        )
+            trees = signature(found).reshape(TREES, DEEPEST) if len(found) else []
+            buckets.append([xxhash.xxh3_64_intdigest(t[:depth].tobytes(), seed=k) - (1 << 63) for k, t in enumerate(trees)])
+        names = ["th", "print", "n_shingles", "buckets", *batch.schema.names[3:]]
+        columns = [pa.array(prints, pa.string()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *batch.columns[3:]], ["doc_id", *names])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,61 +105,133 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("l").alias("class_node"))
 
 
-def candidates(trees: DataFrame, turn: int) -> DataFrame:
-    """a, b: every text of a bucket with the bucket's leader b, at both prefix lengths of every tree.
+def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["print", "found"])
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share; sums of up to 2**24 are exact in float32."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.cumsum(times > 1) - 1
+    kept = times[column] > 1
+    row, column = row[kept], often[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [start, start + 4096])
+        used, at = np.unique(row[i:j], return_inverse=True)
+        has = np.zeros((len(used), 4096), np.float32)
+        has[at, column[i:j] - start] = 1
+        out[np.ix_(used, used)] += (has @ has.T).astype(np.int64)
+    return out
 
-    The first turn leads by the least text, the same in all trees; the next draws a leader for each tree.
-    """
-    order = F.col("print") if turn == 0 else F.xxhash64(F.lit(turn), "tree", "print")
-    pairs = []
-    for prefix in ("deep", "short"):
-        groups = trees.groupBy("tree", prefix).agg(F.min_by("print", order).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        pairs.append(trees.join(groups, ["tree", prefix]).filter("print != b").select(F.col("print").alias("a"), "b"))
-    return pairs[0].unionByName(pairs[1]).distinct()
-
-
-def across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ends are in different ``classes`` (node, class_node)."""
-    a = classes.select(F.col("node").alias("a"), F.col("class_node").alias("class_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("class_node").alias("class_b"))
-    found = pairs.join(a, "a", "left").join(b, "b", "left")
-    return found.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """a, b, jaccard of the ``pairs`` whose whole texts are alike enough."""
-    ends = cut(pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct())
-    ids = cut(join_small(texts.select("print", "th"), ends, ["print"]))
-    texts_of = join_small(keyed.select("th", "text"), ids, ["th"])
-    whole = cut(texts_of.groupBy("print").agg(F.first("text").alias("text")))
+
+def _compare_block(table: pa.Table) -> pa.Table:
+    """Rows of one block pair of a large bucket; each print with its links there and the least print it is tied to."""
+    bucket, same = table.column("bucket")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    prints = table.column("print").to_pylist()
+    side = np.array(table.column("side").to_pylist())
+    n = len(prints)
+    open_pairs = ~np.eye(n, dtype=bool) if same else side[:, None] != side[None, :]
+    # pairs that share a large bucket of a lower key are compared there
+    lower = [np.array([k for k in ks if k < bucket], np.int64) for ks in table.column("hot").to_pylist()]
+    open_pairs &= shared_counts(lower) == 0
+    rows = np.flatnonzero(open_pairs.any(axis=1))
+    alike = np.zeros((n, n), bool)
+    if len(rows):
+        found = table.column("found").to_pylist()
+        sets = [np.frombuffer(found[r], np.uint64) for r in rows]
+        both = shared_counts(sets)
+        sizes = np.array([len(s) for s in sets])
+        alike[np.ix_(rows, rows)] = (both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both)) & open_pairs[np.ix_(rows, rows)]
+    degree = alike.sum(axis=1)
+    root: list = [None] * n
+    for k in sorted(np.flatnonzero(degree).tolist(), key=prints.__getitem__):
+        if root[k] is None:
+            reached, edge = np.zeros(n, bool), np.array([k])
+            reached[k] = True
+            while len(edge):
+                edge = np.flatnonzero(alike[edge].any(axis=0) & ~reached)
+                reached[edge] = True
+            for r in np.flatnonzero(reached).tolist():
+                root[r] = prints[k]
+    some = np.flatnonzero(degree).tolist()
+    return pa.table(
+        {"a": pa.array([prints[r] for r in some], pa.string()), "b": pa.array([root[r] for r in some], pa.string()), "degree": pa.array(degree[some], pa.int64())}
+    )
+
+
+def texts_of(prints: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """print, text of the ``prints``."""
+    ids = cut(join_small(texts.select("print", "th"), prints, ["print"]))
+    return join_small(keyed.select("th", "text"), ids, ["th"]).groupBy("print").agg(F.first("text").alias("text"))
+
+
+def small_links(shared: DataFrame, hot: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """a, b of the verified links of small buckets; pairs that share a large bucket too are left to it."""
+    few = shared.filter(F.col("n") <= SMALL).select("bucket", "print")
+    pairs = few.withColumnRenamed("print", "a").join(few.withColumnRenamed("print", "b"), "bucket").filter("a < b").select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(hot.select(F.col("print").alias(end), F.col("hot").alias(f"hot_{end}")), end, "left")
+    pairs = cut(pairs.filter(~F.coalesce(F.arrays_overlap("hot_a", "hot_b"), F.lit(False))).select("a", "b"))
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct())
+    whole = cut(texts_of(ends, texts, keyed))
     left = pairs.join(whole.select(F.col("print").alias("a"), F.col("text").alias("s")), "a")
     joined = left.join(whole.select(F.col("print").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-    return cut(joined.mapInArrow(_verify, "a string, b string, jaccard double"))
+    return cut(joined.mapInArrow(_verify, "a string, b string, jaccard double").select("a", "b"))
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, print, class_id, n_links: every row of ``docs`` (doc_id, text) once.
+def large_links(shared: DataFrame, hot: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """a, b, degree: each text a of a block pair with links there, how many, and the least text b it is tied to.
 
-    class_id is the least doc_id of the class. n_links counts the other rows of the same text plus the verified
-    links of the text to other texts. Null and blank texts link to their exact copies only. Rows of equal
-    doc_id stay separate; a null doc_id is a class_id only where a class has no other.
+    A bucket of n texts is dealt by hash into n / BLOCK blocks, and every two blocks meet in one group.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("th"))
-    signed = cut(keyed.mapInArrow(_sign, "doc_id long, th long, print string, n_shingles long, deep array<long>, short array<long>"))
-    texts = signed.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("th").alias("th"), F.count("*").alias("copies"), F.first("deep").alias("deep"), F.first("short").alias("short"))
-    trees = cut(texts.select("print", F.posexplode(F.arrays_zip("deep", "short")).alias("tree", "p")).select("tree", "print", "p.deep", "p.short"))
-    pairs = cut(candidates(trees, 0))
-    links = verified(pairs, texts, keyed)
-    # buckets in which some text is not alike to the leader are led anew: their texts may be alike without it
-    near = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class_node")))
-    leaders = across(pairs, near).select("b").distinct()
-    again = cut(pairs.join(leaders, "b").select(F.explode(F.array("a", "b")).alias("print")).distinct())
-    later = across(candidates(join_small(trees, again, ["print"]), 1), near)
-    one_way = later.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    fresh = cut(one_way.join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(fresh, texts, keyed))
-    classes = components(links)
-    degree = links.select(F.col("a").alias("print")).unionByName(links.select(F.col("b").alias("print"))).groupBy("print").agg(F.count("*").alias("degree"))
+    found = texts_of(hot.select("print"), texts, keyed).mapInArrow(_shingle, "print string, found binary")
+    known = cut(hot.join(found, "print"))
+    dealt = (
+        shared.filter(F.col("n") > SMALL)
+        .withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("side", F.pmod(F.xxhash64("print"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("bucket", "print", "side", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"))
+    )
+    cells = dealt.join(known, "print").select("bucket", "i", "j", "side", "print", "hot", "found")
+    return cut(cells.groupBy("bucket", "i", "j").applyInArrow(_compare_block, "a string, b string, degree long"))
+
+
+def near_classes(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, print, class_id, n_links, class_node, and the columns ``also``: every row of ``docs`` (doc_id, text) once.
+
+    class_id is the least doc_id of the class. n_links counts the other rows of the same text plus the other
+    texts alike to it that share a bucket with it. Null and blank texts link to their exact copies only. Rows of equal
+    doc_id stay separate; a null doc_id is a class_id only where a class has no other. class_node
+    names the class even where classes share a doc_id.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("th"), *also)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    signed = cut(keyed.mapInArrow(_sign, f"doc_id long, th long, print string, n_shingles long, buckets array<long>{more}"))
+    texts = signed.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("th").alias("th"), F.count("*").alias("copies"))
+    # copies of one text have the same buckets
+    members = signed.select("print", "buckets").dropDuplicates(["print"]).select("print", F.explode("buckets").alias("bucket"))
+    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = cut(join_small(members, sizes, ["bucket"]))
+    hot = cut(shared.filter(F.col("n") > SMALL).groupBy("print").agg(F.array_sort(F.collect_list("bucket")).alias("hot")))
+    small = small_links(shared, hot, texts, keyed)
+    large = large_links(shared, hot, texts, keyed)
+    classes = components(small.unionByName(large.filter("a != b").select("a", "b")).distinct())
+    one_each = F.lit(1).cast("long").alias("degree")
+    degree = (
+        small.select(F.col("a").alias("print"), one_each)
+        .unionByName(small.select(F.col("b").alias("print"), one_each))
+        .unionByName(large.select(F.col("a").alias("print"), "degree"))
+        .groupBy("print")
+        .agg(F.sum("degree").alias("degree"))
+    )
     member = (
         texts.select("print", "least_id", "copies")
         .join(classes.withColumnRenamed("node", "print"), "print", "left")
@@ -173,5 +239,5 @@ def near_classes(docs: DataFrame) -> DataFrame:
         .join(degree, "print", "left")
     )
     heads = member.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
-    per_text = member.join(heads, "class_node").select("print", "class_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "print").join(per_text, "print").select("doc_id", "print", "class_id", F.col("n_links").cast("long"))
+    per_text = member.join(heads, "class_node").select("print", "class_node", "class_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "print", *also).join(per_text, "print").select("doc_id", "print", "class_id", F.col("n_links").cast("long"), "class_node", *also)

@@ -97,3 +97,28 @@ def test_stages(spark, tmp_path):
     encoder = unigram.Encoder(vocabulary)
     decoded = [encoder.decode(np.array(r.token_ids, "<i4").tobytes()) if r.token_ids else "" for r in docs.collect()]
     assert sorted(decoded) == sorted(r.text for r in mixed.collect())
+
+
+def template_texts(pairs, seed=9):
+    """Two texts a pair: Jaccard about 0.83 inside a pair, 0.78 across pairs, all made from one template."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(600)]
+    rows = []
+    for pair in range(pairs):
+        own = list(base)
+        for k in range(5):
+            own[20 + 12 * k] = f"p{pair}x{k}"
+        for side in range(2):
+            words = list(own)
+            for k in rng.sample(range(10), 9):
+                words[120 + 45 * k] = f"q{pair}y{side}z{k}"
+            rows.append((2 * pair + side, " ".join(words)))
+    return rows
+
+
+def test_every_two_texts_of_a_hot_bucket_are_compared(spark):
+    rows = template_texts(350)
+    got = lsh_forest.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    heads = brute_heads(rows)
+    assert len(set(heads.values())) > 300
+    assert {r.doc_id: r.class_id for r in got} == heads
