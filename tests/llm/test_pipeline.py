@@ -116,9 +116,46 @@ def template_texts(pairs, seed=9):
     return rows
 
 
+def brute_degrees(rows):
+    sets = {i: set(lsh_forest.shingles(t).tolist()) for i, t in rows}
+    ids = sorted(sets)
+    links = {i: 0 for i in ids}
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+    return links
+
+
 def test_every_two_texts_of_a_hot_bucket_are_compared(spark):
     rows = template_texts(350)
     got = lsh_forest.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     heads = brute_heads(rows)
     assert len(set(heads.values())) > 300
     assert {r.doc_id: r.class_id for r in got} == heads
+
+
+def test_links_are_counted_exactly(spark):
+    """A class of many texts all alike, over several blocks, and looser groups in small buckets; exact copies count too."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(700):
+        words = list(base)
+        words[rng.randrange(400)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    for group in range(12):
+        own = [f"g{group}w{k}" for k in range(200)]
+        for k in range(6):
+            words = list(own)
+            for at in rng.sample(range(200), rng.randrange(1, 5)):
+                words[at] = f"g{group}x{k}y{at}"
+            rows.append((1000 + 10 * group + k, " ".join(words)))
+    got = {r.doc_id: r.n_links for r in lsh_forest.near_classes(spark.createDataFrame([*rows, (5000, rows[0][1])], "doc_id long, text string")).collect()}
+    want = brute_degrees(rows)
+    # both rows of the copied text have each other and the links to the other texts
+    want[0] += 1
+    want[5000] = want[0]
+    assert got == want
