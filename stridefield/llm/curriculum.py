@@ -96,7 +96,8 @@ def running_words(sized: DataFrame) -> DataFrame:
             F.sum("_sum").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         ).alias("_ahead"),
     )
-    inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size")
+    row = [c for c in ("_row",) if c in sized.columns]
+    inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *row)
     within = bucketed.withColumn(
         "_within", F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     )
@@ -118,7 +119,8 @@ def mix(sized: DataFrame, share: float = 1.5, most: int = 2, whole: bool = False
     With ``whole`` false the last document is cut to the words still due, so taken sums to the
     target (rounded down to a word); with ``whole`` true a document is taken where the middle of it is due.
     positions: array<double>, the training time at which each pass over the document begins.
-    Size 0 takes 0 words and no position. Rows of equal digest, doc_id and size are interchangeable.
+    Size 0 takes 0 words and no position. Rows of equal digest, doc_id and size are interchangeable,
+    unless ``sized`` has a _row, which then orders them. Further columns of ``sized`` are kept.
     """
     targets = source_targets(sized, share, most)
     # targets: one row per source; AQE broadcasts them where they are small, and splits a hot source otherwise
@@ -142,6 +144,6 @@ def mix(sized: DataFrame, share: float = 1.5, most: int = 2, whole: bool = False
     return joined.withColumn("taken", sum(passes[1:], passes[0]).cast("long")).withColumn("positions", positions)
 
 
-def narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the order key, cut from the lineage: texts are read once for everything after."""
-    return cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("_key")))
+def narrow(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, source, size, the order key and the columns ``also``, cut from the lineage: texts are read once for everything after."""
+    return cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("_key"), *also))

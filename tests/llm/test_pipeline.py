@@ -159,3 +159,13 @@ def test_links_are_counted_exactly(spark):
     want[0] += 1
     want[5000] = want[0]
     assert got == want
+
+
+def test_mixing_keeps_null_and_repeated_ids(spark):
+    rows = [(None, f"lone{k} " + "word " * 9) for k in range(8)] + [(7, f"same{k} " + "word " * 9) for k in range(6)] + [(100 + k, f"own{k} " + "word " * 9) for k in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    times = defaultdict(int)
+    for r in corpus_pipeline.mixing(spark, docs, SF).collect():
+        times[r.doc_id, r.text] += 1
+    assert set(times) == set(rows) and max(times.values()) <= 2
+    assert abs(sum(times.values()) - 1.5 * len(rows)) <= 1
