@@ -6,7 +6,8 @@ rounds: a pattern is as good as the mean score of the instances seen in it, an i
 its good patterns together make it. Instances without a rule that end up likely become spans of kind
 ``id``. Base spans always stay.
 
-Candidates are words with at least four digits. Only narrow rows are shuffled: edges are combined
+Candidates are words of any length with at least ``min_digits`` digits (four by default, which is what
+counts as identifier-like here). Long values and context words stand in the graph as digests of the whole. Only narrow rows are shuffled: edges are combined
 to (pattern, instance, count) before any join, so a frequent pattern is one row per instance.
 """
 
@@ -17,6 +18,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,6 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
 DIGITS = re.compile(r"[0-9]")
-FOUR_DIGITS = re.compile(r"(?:[0-9][^0-9]*){4}")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGE = "\"'.,;:!?()[]{}<>#*$%&|=+-_/"
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("left", pa.string()), ("right", pa.string())])
@@ -81,9 +82,15 @@ def _word(piece: str) -> str:
     return piece.strip(EDGE).lower()
 
 
-def _scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
+def _named(text: str) -> str:
+    """The text, or a digest of all of it where it is long; words here never begin with #."""
+    return text if len(text) <= 64 else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _scan_text(text: str, min_digits: int = 4) -> tuple[list[tuple[int, int, str]], list[tuple]]:
     """Base spans, and all identifier-like spans with the words beside them (kind null: no rule)."""
-    if not MARK.search(text):
+    enough = re.compile(r"(?:[0-9][^0-9]*){%d}" % min_digits)
+    if min_digits and not MARK.search(text):
         return [], []
     base = base_spans(text)
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -94,10 +101,10 @@ def _scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
         i, j = bisect_right(starts, start) - 1, bisect_left(starts, end)
         left = text[tokens[i - 1][0] : tokens[i - 1][1]] if i > 0 else ""
         right = text[tokens[j][0] : tokens[j][1]] if j < len(tokens) else ""
-        return _word(left[-80:]), _word(right[:80])
+        return _named(_word(left)), _named(_word(right))
 
     for s, e, kind in base:
-        seen.append((s, e, kind, text[s:e], *beside(s, e)))
+        seen.append((s, e, kind, _named(text[s:e]), *beside(s, e)))
     b = 0
     for s, e in tokens:
         while b < len(base) and base[b][1] <= s:
@@ -105,19 +112,19 @@ def _scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
         if any(x[0] < e and x[1] > s for x in base[b : b + 4]):
             continue
         piece = text[s:e]
-        if FOUR_DIGITS.search(piece):
+        if enough.search(piece):
             inner = piece.strip(EDGE)
-            if inner and len(inner) <= 64:
+            if inner:
                 s += piece.index(inner)
-                seen.append((s, s + len(inner), None, inner, *beside(s, s + len(inner))))
+                seen.append((s, s + len(inner), None, _named(inner), *beside(s, s + len(inner))))
     return base, seen
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], min_digits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         base, seen = [], []
         for text in batch.column(2).to_pylist():
-            b, c = _scan_text(text or "")
+            b, c = _scan_text(text or "", min_digits)
             base.append([{"start": s, "end": e, "kind": k} for s, e, k in b])
             seen.append([dict(zip(("start", "end", "kind", "value", "left", "right"), x, strict=True)) for x in c])
         yield pa.RecordBatch.from_arrays(
@@ -131,23 +138,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, min_digits: int = 4) -> DataFrame:
     """One row per document: doc_id, _th (xxhash64 of the text), base spans, identifier-like spans with contexts."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), "text")
     return keyed.mapInArrow(
-        _scan,
+        lambda batches: _scan(batches, min_digits),
         f"doc_id long, _th long, base array<struct<start:long,end:long,kind:string>>, "
         f"seen array<struct<{SPAN_SQL.replace(' ', ':').replace(',:', ',')}>>",
     )
 
 
-def likely_instances(seen: DataFrame, rounds: int = 2, min_support: int = 3, min_score: float = 0.9) -> DataFrame:
+def likely_instances(seen: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 0.9) -> DataFrame:
     """Values without a rule that good contexts make likely: one row per value with its score.
 
     ``seen`` has value, kind (null: no rule), left, right. A pattern is the word before, the word
     after, or both. It counts once ``min_support`` different instances score at least ``min_score`` in
-    it and the mean score of all its instances is at least ``min_score``. Rounds are fixed, so the loop
-    has no count on the driver.
+    it and the mean score of all its instances is at least ``min_score``. Scores never fall from round to round;
+    the rounds end when none rises by more than 1e-9 (or after ``rounds``). Each asks the driver for one row.
     """
     both = F.filter(
         F.array(
@@ -163,20 +170,26 @@ def likely_instances(seen: DataFrame, rounds: int = 2, min_support: int = 3, min
         .agg(F.max("seed").alias("seed"))
     )
     scored = edges.withColumn("score", F.col("seed").cast("double"))
-    likely = None
-    for _ in range(rounds):
+    likely, done = None, 0
+    while rounds is None or done < rounds:
         patterns = (
             scored.groupBy("pattern")
             .agg(F.avg("score").alias("good"), F.sum((F.col("score") >= min_score).cast("long")).alias("support"))
             .filter((F.col("good") >= min_score) & (F.col("support") >= min_support))
             .select("pattern", "good")
         )
-        likely = cut(
+        before, likely = likely, cut(
             edges.filter(~F.col("seed"))
             .join(patterns, "pattern")
             .groupBy("value")
             .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("good")))))).alias("likely"))
         )
+        done += 1
+        if before is not None:
+            known = before.withColumnRenamed("likely", "_was")
+            rose = likely.join(known, "value", "left").filter(F.col("likely") > F.coalesce("_was", F.lit(0e0)) + 1e-9)
+        if (likely if before is None else rose).isEmpty():
+            break
         scored = edges.join(likely, "value", "left").select(
             "pattern",
             "value",
@@ -187,13 +200,13 @@ def likely_instances(seen: DataFrame, rounds: int = 2, min_support: int = 3, min
     return likely.filter(F.col("likely") >= min_score).join(seeds, "value", "left_anti")
 
 
-def find(docs: DataFrame, **settings) -> DataFrame:
+def find(docs: DataFrame, min_digits: int = 4, **settings) -> DataFrame:
     """doc_id, _th, base and spans (array<struct<start, end, kind>>, sorted): every row of ``docs`` once.
 
     Null text is empty and has no spans. Repeated rows have the same spans each. Every row keeps its own
     result, whatever its doc_id, since rows get a number when the scan is cut from its lineage.
     """
-    scanned = cut(scan(docs).withColumn("_row", F.monotonically_increasing_id()))
+    scanned = cut(scan(docs, min_digits).withColumn("_row", F.monotonically_increasing_id()))
     seen = scanned.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
     likely = likely_instances(seen, **settings)
     more = (

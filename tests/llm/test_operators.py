@@ -41,6 +41,21 @@ def test_pii_rows_and_redaction(spark, docs):
     assert pii.redact(one).first()["text"] == "mail <email> now"
 
 
+def test_pii_rounds_and_long_words(spark):
+    mails = lambda name, n, right="": [f"{name} {name}{k}@x.yz{right}" for k in range(n)]
+    # z9001 is found only once the y are, and those only once the x are
+    texts = mails("alpha", 30) + [f"alpha x100{k}" for k in range(3)]
+    texts += mails("beta", 24) + [f"beta x100{k}" for k in range(3)] + [f"beta y200{k}" for k in range(2)]
+    texts += mails("gamma", 24) + [f"gamma y200{k}" for k in range(2)] + ["gamma z9001"]
+    token = "t0k3n" + "abcd12" * 30
+    texts += mails("delta", 30) + [f"delta {token}"]
+    # a context word is told from another that only begins alike
+    texts += [f"e{k}@x.yz {'k' * 90}a" for k in range(30)] + [f"n4321 {'k' * 90}b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {texts[r.doc_id][s.start : s.end] for r in pii.find(docs).select("doc_id", "spans").collect() for s in r.spans if s.kind == "id"}
+    assert found == {"x1000", "x1001", "x1002", "y2000", "y2001", "z9001", token}
+
+
 def test_suffix_dedup_brute_force(docs):
     texts = [(t or "").encode() for _, t in ROWS]
     seen = Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))
