@@ -169,3 +169,11 @@ def test_mixing_keeps_null_and_repeated_ids(spark):
         times[r.doc_id, r.text] += 1
     assert set(times) == set(rows) and max(times.values()) <= 2
     assert abs(sum(times.values()) - 1.5 * len(rows)) <= 1
+
+
+def test_one_row_of_each_class_whatever_its_id(spark):
+    words = lambda k, n=60: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [(1, words(1)), (2, words(1)), (2, words(2)), (3, words(3)), (3, words(4)), (None, words(5)), (None, words(5)), (None, words(5) + " end"), (None, words(3)), (None, words(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text.split()[0]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == [(0, "t5w0"), (0, "t6w0"), (1, "t1w0"), (2, "t2w0"), (3, "t3w0"), (3, "t4w0")]
