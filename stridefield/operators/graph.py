@@ -8,24 +8,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridefield.operators.lineage import cut
+from stridefield.operators.lineage import Scratch, cut
 
 
 def connected_components(arcs: DataFrame) -> DataFrame:
     """node, component (its least node) of all ends of ``arcs`` (src, dst), direction ignored.
 
-    A round takes the least label among the neighbours and then the label's own label, which halves long chains.
+    Contraction: in each round every node goes over to the one of least random rank among itself and its neighbours, and arcs
+    go over with their ends. About half the nodes of a path or more vanish in a round, so a long chain takes the logarithm of its
+    length in rounds, and each round's tables are a part of the last one's. The moves are then followed back.
+    One count a round comes to the driver.
     """
-    both = cut(arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "node"))
-    while True:
-        met = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("_near")).withColumnRenamed("src", "node")
-        own = labels.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        new = F.least("component", "_near", "_up")
-        step = cut(labels.join(met, "node").join(own, "component").select("node", new.alias("component"), (new != F.col("component")).alias("_moved")))
-        labels = step.drop("_moved")
-        if step.filter("_moved").isEmpty():
-            return labels
+    with Scratch(arcs.sparkSession) as scratch:
+        ends = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        left = scratch.keep(ends)
+        moves: list[DataFrame] = []
+        while not left.isEmpty():
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
+            first = left.groupBy("src").agg(F.least(F.min(rank("dst")), rank("src")).alias("_to"))
+            move = scratch.keep(first.select(F.col("src").alias("node"), F.col("_to.node").alias("to")))
+            moves.append(move)
+            half = left.filter("src != dst").join(move.select(F.col("node").alias("src"), F.col("to").alias("_s")), "src").select("_s", "dst")
+            both = half.join(move.select(F.col("node").alias("dst"), F.col("to").alias("_d")), "dst")
+            left = scratch.keep(both.select(F.col("_s").alias("src"), F.col("_d").alias("dst")).filter("src != dst").distinct())
+        if not moves:
+            return ends.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        found = moves.pop()
+        while moves:
+            below = found.select(F.col("node").alias("to"), F.col("to").alias("_root"))
+            found = scratch.keep(moves.pop().join(below, "to", "left").select("node", F.coalesce("_root", "to").alias("to")))
+        least = found.groupBy("to").agg(F.min("node").alias("component"))
+        return cut(found.join(least, "to").select("node", "component"))
 
 
 def largest_component(components: DataFrame) -> DataFrame:
