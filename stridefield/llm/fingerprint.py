@@ -2,10 +2,11 @@
 
 The canonical form is NFKC, case folded, NFKC again, with runs of white space as one space. Its
 fingerprint is a 128-bit xxhash. Rows are grouped by fingerprint; inside a fingerprint that occurs
-more than once the canonical texts themselves are the grouping key, so bytes decide, not the hash.
+more than once the canonical bytes are compared, so bytes decide, not the hash.
 
-Shuffles: :func:`exact_groups` moves fingerprints of all rows, and canonical texts only of rows
-whose fingerprint repeats, combined before the shuffle, so a large group of copies is one row a task.
+Shuffles: :func:`compare_with_next` moves every text once, compressed, to its place in the order of doc_id;
+:func:`exact_groups` moves fingerprints of all rows, and canonical texts only of those that a filter of fixed size
+takes for repeated, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stridefield.llm.storage import cut, join_small
+from stridefield.llm.storage import Scratch, cut, pack, unpack
+
+#: Bits of the filter of repeated fingerprints (2 MB). Where it fills up, more texts move; the result is the same.
+FILTER_BITS = 1 << 24
 
 
 def canonical(text: str | None) -> str:
+    """The folded form of a text; of null the empty one."""
     folded = unicodedata.normalize("NFKC", text or "")
     if not folded.isascii():
         folded = unicodedata.normalize("NFKC", folded.casefold())
@@ -35,149 +38,151 @@ def canonical(text: str | None) -> str:
 
 
 def digest(canonical_text: str) -> str:
+    """128-bit xxhash of the UTF-8, as 32 hex digits."""
     return xxhash.xxh3_128_hexdigest(canonical_text.encode("utf-8", "surrogatepass"))
 
 
-@F.pandas_udf(T.StringType())
-def canonical_column(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical)
-
-
-@F.pandas_udf(T.StringType())
-def fingerprint_column(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: digest(canonical(t)))
+COMPARED = {
+    "doc_id": pa.int64(), "_th": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
+    "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),
+}
+_SQL = "doc_id long, _th long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def exact_groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
-    """``printed`` (with doc_id, _th, fingerprint) plus class_id (least doc_id) and copies (rows of the class).
-
-    ``docs`` has the texts; _th is xxhash64 of the text and ties the two. A null text is an empty
-    one. A class is all rows of one canonical text; a null doc_id is never a class_id unless all are null.
-    """
-    rows = printed.select("doc_id", "_th", "fingerprint")
-    repeated = cut(rows.groupBy("fingerprint").agg(F.count("*").alias("_n")).filter("_n > 1").select("fingerprint"))
-    members = cut(
-        join_small(rows, repeated, ["fingerprint"]).groupBy("_th", "fingerprint").agg(
-            F.min("doc_id").alias("_least"), F.count("*").alias("_rows")
-        )
-    )
-    # one text for each _th and fingerprint; different texts of one _th differ in the recomputed fingerprint
-    texts = (
-        join_small(
-            docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text")),
-            members.select("_th").distinct(),
-            ["_th"],
-            "left_semi",
-        )
-        .withColumn("_canon", canonical_column("text"))
-        .groupBy("_th", "_canon")
-        .agg(F.count("*").alias("_again"))
-        .withColumn("fingerprint", fingerprint_column("_canon"))
-    )
-    classes = (
-        texts.join(members, ["_th", "fingerprint"])
-        .groupBy("fingerprint", "_canon")
-        .agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("copies"), F.collect_set("_th").alias("_ths"))
-        .select("fingerprint", F.explode("_ths").alias("_th"), "class_id", "copies")
-    )
-    return (
-        printed.join(classes, ["fingerprint", "_th"], "left")
-        .withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        .withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
-    )
+def _against(text: str, own: tuple[str, str], following: str, after: tuple[str, str]) -> tuple:
+    """What COMPARED has after n_chars; ``own`` and ``after`` are the canonical text and fingerprint of both."""
+    k = len(text) // 4
+    edited = text[: len(text) - k] + following[:k]
+    canon = canonical(edited)
+    printed = digest(canon)
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return sha, own[1], printed, float((printed, canon) == own[::-1]), float(after == own)
 
 
-SCHEMA = (
-    "doc_id long, _th long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
-)
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(t or "") for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "_th", "_text"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and doc_id; each is compared with the row after it in its bucket."""
-    held = None  # bucket, guest, doc_id, th, text, canonical, fingerprint
-    out: list[list] = [[] for _ in range(8)]
-
-    def put(row: tuple, after: tuple) -> None:
-        text, following = row[4], after[4]
-        k = len(text) // 4
-        edited = text[: len(text) - k] + following[:k]
-        canon = canonical(edited)
-        printed = digest(canon)
-        values = (
-            row[2], row[3], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), row[6], printed,
-            float(printed == row[6] and canon == row[5]), float(after[6] == row[6] and after[5] == row[5]),
-        )
-        for column, value in zip(out, values, strict=True):
-            column.append(value)
-
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("_th", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-         ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-    )
+    """Rows come in order; each is compared with the one after it. The first and the last of a part are given out with their texts."""
+    names = [*COMPARED, "_end", "_text"]
+    types = [*COMPARED.values(), pa.string(), pa.binary()]
+    held = None  # doc_id, th, text, (canonical, fingerprint), packed
     for batch in batches:
-        for bucket, guest, doc_id, th, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+        out: list[tuple] = []
+        for doc_id, th, packed in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            text = unpack(packed)
             canon = canonical(text)
-            row = (bucket, guest, doc_id, th, text, canon, digest(canon))
-            if held is not None and held[0] == bucket and not held[1]:
-                put(held, row)
+            row = doc_id, th, text, (canon, digest(canon)), packed
+            if held is None:
+                out.append((doc_id, th, *[None] * 6, "head", packed))
+            else:
+                out.append((*held[:2], len(held[2]), *_against(held[2], held[3], text, row[3]), None, None))
             held = row
-        if out[0]:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-            out = [[] for _ in range(8)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held[:2], *[None] * 6, "tail", held[4]), types, strict=True)], names)
 
 
-def compare_with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Fingerprints of every text, of its edited form, and their likeness to each other and to the next text.
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc_id, th, a, b in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            text, following = unpack(a), unpack(b)
+            own, after = canonical(text), canonical(following)
+            out.append((doc_id, th, len(text), *_against(text, (own, digest(own)), following, (after, digest(after)))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), COMPARED.values(), strict=True)], list(COMPARED))
+
+
+def compare_with_next(docs: DataFrame, scratch: Scratch, parts: int | None = None) -> DataFrame:
+    """doc_id, _th (xxhash64 of the text) and COMPARED's columns for every row of ``docs`` (doc_id, text; others are ignored).
 
     The edited form has its last floor(n/4) code points replaced by as many first ones of the next document in
-    ascending doc_id (null last; equal ids in the order of xxhash64 of the text; after the last comes the
+    ascending doc_id (null last; equal ids in the order of _th; after the last comes the
     first; a lone document follows itself). Likeness is 1 for equal canonical bytes, else 0. Null
-    text is empty.
+    text is empty. No rows give no rows.
 
-    Documents are dealt once into ``buckets`` ranges of doc_id (default: the shuffle partitions). The
-    first document of a range is also sent to the range before it, so every document meets its
-    successor. Only the range bounds and first ids, one each a bucket, come to the driver.
+    Rows are range-sorted once by (doc_id, _th), so many rows of one id spread too. The first and last text of each of
+    the ``parts`` (default: the shuffle partitions) meet in a second, small step.
     """
-    spark = docs.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text"))
-    shares = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("q")).first()["q"] if shares else None
-    bounds = np.unique(np.array(found or [], dtype="int64"))
-
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        # nulls last, in the last bucket
-        null = ids.isna().to_numpy()
-        at = np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(null, len(bounds), at).astype("int32"))
-
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_th").alias("t"))
-    heads = (
-        keyed.select("doc_id", "_th", order.alias("o"))
-        .withColumn("b", bucket_of("doc_id"))
-        .groupBy("b")
-        .agg(F.min("o").alias("o"))
-        .orderBy("b")
-        .collect()
-    )
-    before = {h["o"]["d"]: (h["o"]["t"], heads[i - 1]["b"]) for i, h in enumerate(heads)}
+    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("_th"), "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_th").asc()]
+    placed = keyed.mapInArrow(_place, "doc_id long, _th long, _text binary").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = scratch.keep(placed.mapInArrow(_compare, f"{_SQL}, _end string, _text binary"))
+    # one head and one tail a part: the k-th tail is followed by the head after the k-th
+    ends = found.filter("_end IS NOT NULL").select("doc_id", "_th", "_end", "_text")
+    by = Window.partitionBy("_end")
+    at = F.row_number().over(by.orderBy(*order))
+    ranked = ends.withColumn("_k", at).withColumn("_n", F.count("*").over(by))
+    tails = ranked.filter("_end = 'tail'").select("doc_id", "_th", "_text", (F.col("_k") % F.col("_n") + 1).alias("_k"))
+    heads = ranked.filter("_end = 'head'").select("_k", F.col("_text").alias("_next"))
+    closed = tails.join(heads, "_k").select("doc_id", "_th", "_text", "_next").mapInArrow(_close, _SQL)
+    return found.filter("_end IS NULL").select(*COMPARED).unionByName(closed)
+
+
+def _filter_of(fingerprints: DataFrame) -> np.ndarray:
+    """Bits set for the fingerprints; FILTER_BITS / 64 numbers at most come to the driver."""
+    bit = F.pmod(F.xxhash64("fingerprint"), F.lit(FILTER_BITS))
+    words = fingerprints.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    table = words.toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def exact_groups(docs: DataFrame, printed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``printed`` (with doc_id, _th, fingerprint) plus class_id (least doc_id) and copies (rows of the class).
 
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series, ths: pd.Series) -> pd.Series:
-        null = ids.isna().to_numpy()
-        at = np.where(null, len(bounds), np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="right"))
-        out = []
-        for i, (bucket, is_null, th) in enumerate(zip(at.tolist(), null.tolist(), ths.tolist(), strict=True)):
-            head = before.get(None if is_null else int(ids.iat[i]))
-            out.append([bucket, head[1]] if head is not None and head[0] == th else [bucket])
-        return pd.Series(out)
-
-    dealt = (
-        keyed.withColumn("_places", places("doc_id", "_th"))
-        .select("doc_id", "_th", "text", F.posexplode("_places").alias("_guest", "_bucket"))
-        .repartition("_bucket")
-        .sortWithinPartitions("_bucket", "_guest", F.col("doc_id").asc_nulls_last(), "_th")
+    ``docs`` has the texts; _th is xxhash64 of the text and ties the two. A null text is an empty
+    one. A class is all rows of one canonical text; a null doc_id is never a class_id unless all are null.
+    """
+    rows = printed.select("doc_id", "_th", "fingerprint")
+    counted = scratch.keep(rows.groupBy("fingerprint", "_th").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")))
+    repeated = counted.groupBy("fingerprint").agg(F.sum("_rows").alias("_n")).filter("_n > 1").select("fingerprint")
+    repeated = scratch.keep(repeated)
+    marks = docs.sparkSession.sparkContext.broadcast(_filter_of(repeated))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in batches:
+            out = []
+            for th, text in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                canon = canonical(text)
+                printed = digest(canon)
+                bit = _spark_hash(printed) % FILTER_BITS
+                if bits[bit >> 3] >> (bit & 7) & 1:
+                    out.append((printed, th, pack(canon)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["fingerprint", "_th", "_canon"])
+
+    read = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("_th"), "text")
+    # equal rows collapse before they move; the packed bytes are equal exactly where the canonical ones are
+    canons = read.mapInArrow(texts, "fingerprint string, _th long, _canon binary").distinct().join(repeated, "fingerprint", "left_semi")
+    canons = scratch.keep(canons)
+    first = canons.groupBy("fingerprint").agg(F.min("_canon").alias("_first"))
+    own = F.when(F.col("_canon") == F.col("_first"), "").otherwise(F.sha2("_canon", 256)).alias("_own")
+    named = canons.join(first, "fingerprint").select("fingerprint", "_th", own)
+    named = scratch.keep(named.join(counted, ["fingerprint", "_th"]))
+    classes = named.groupBy("fingerprint", "_own").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("copies"))
+    by_text = named.select("fingerprint", "_th", "_own").join(classes, ["fingerprint", "_own"]).drop("_own")
+    return (
+        printed.join(by_text, ["fingerprint", "_th"], "left")
+        .withColumn("class_id", F.coalesce("class_id", "doc_id"))
+        .withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
     )
-    return dealt.select("_bucket", "_guest", "doc_id", "_th", "text").mapInArrow(_compare, SCHEMA)
+
+
+def _spark_hash(text: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    return xxhash.xxh64_intdigest(text.encode(), seed=42)
+
+
+def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with its fingerprint, the comparisons, and its class of exact copies."""
+    with Scratch(docs.sparkSession) as scratch:
+        printed = scratch.keep(compare_with_next(docs, scratch, parts))
+        return cut(exact_groups(docs, printed, scratch).drop("_th"))

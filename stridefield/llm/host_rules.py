@@ -17,6 +17,8 @@ MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
+#: Rules judged by host: the two of base_failed, over a symbol in ten words, over a repeated line in twenty words.
+RULES = ("short", "repeats", "symbols", "same_lines")
 
 
 def words_of(text: Column) -> Column:
@@ -70,15 +72,19 @@ def _covered_count(at: Column) -> Column:
 
 
 def rule_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
+    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed and the flags in RULES.
 
-    A null text has no words, characters or lines, so it fails by n_words < 50. Existing columns of
-    these names are replaced. No shuffle: each text is read inside its row, whole.
+    A null or empty text has no words, characters or lines, so it fails by n_words < 50. Existing columns of
+    these names are replaced, all others stay, whatever their names. No shuffle: each text is read inside its row, whole.
     """
-    text = F.coalesce("text", F.lit(""))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    text = F.col("_text")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
+    short = F.col("n_words") < MIN_WORDS
+    repeats = 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
     return (
-        docs.withColumn("_words", words_of(text))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
+        .withColumn("_words", words_of(text))
         .withColumn("_lines", lines)
         .withColumn("_grams", repeated_words(F.col("_words")))
         .withColumn("_at", _covered(F.col("_grams")))
@@ -91,40 +97,51 @@ def rule_counts(docs: DataFrame) -> DataFrame:
                 "n_repeat_words": _covered_count(F.col("_at")).cast("long"),
             }
         )
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_words", "_lines", "_grams", "_at")
+        .select(
+            *[F.col(f"_doc.`{c}`") for c in docs.columns if c not in (*counts, "base_failed", *RULES)],
+            *counts,
+            (short | repeats).alias("base_failed"),
+            short.alias("short"),
+            repeats.alias("repeats"),
+            (10 * F.col("n_symbols") > F.col("n_words")).alias("symbols"),
+            (20 * F.col("n_dup_lines") > F.col("n_words")).alias("same_lines"),
+        )
     )
 
 
-def host_verdicts(flags: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """One row per host: n_docs, n_failed, host_rate (shrunk), host_kept.
+def host_verdicts(flags: DataFrame, host: str = "source", least_rate: float = 0.3, deviations: float = 2.0) -> DataFrame:
+    """One row per host: _host, n_docs, for each rule of RULES its shrunk rate ``<rule>_rate``, and host_kept.
 
-    The beta prior is fitted to the hosts' rates by moments: with mean m and variance v of the rates,
+    The beta prior of a rule is fitted to the hosts' rates by moments: with mean m and variance v of the rates,
     strength s = m(1-m)/v - 1 (at least 1, at most 1e6; 1 where all rates agree at 0 or 1). The shrunk rate is
-    (failed + m*s) / (docs + s); a host is kept while it is at most ``max_rate``. A null host is a
-    host of its own.
+    (failed + m*s) / (docs + s). A host is refused if the rate of any rule is over ``least_rate`` and also further above m than
+    ``deviations`` standard deviations of the prior. A null host is a host of its own; a null flag counts as not failed.
     """
     per_host = flags.groupBy(F.col(host).alias("_host")).agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
+        F.count("*").alias("n_docs"), *[F.coalesce(F.sum(F.col(r).cast("long")), F.lit(0)).alias(r) for r in RULES]
     )
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = per_host.agg(F.avg(rate).alias("_m"), F.var_pop(rate).alias("_v"))
-    strength = F.when(
-        F.col("_v") > 0, F.least(F.lit(1e6), F.greatest(F.lit(1e0), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1))
-    ).otherwise(F.when((F.col("_m") > 0) & (F.col("_m") < 1), F.lit(1e6)).otherwise(F.lit(1e0)))
+    moments = [f(F.col(r) / F.col("n_docs")).alias(f"_{n}_{r}") for r in RULES for n, f in (("m", F.avg), ("v", F.var_pop))]
     # the prior is one row: an aggregate without keys
-    return (
-        per_host.withColumn("_one", F.lit(1))
-        .join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("_s", strength)
-        .withColumn("host_rate", (F.col("n_failed") + F.col("_m") * F.col("_s")) / (F.col("n_docs") + F.col("_s")))
-        .withColumn("host_kept", F.col("host_rate") <= max_rate)
-        .select("_host", "n_docs", "n_failed", "host_rate", "host_kept")
-    )
+    known = per_host.withColumn("_one", F.lit(1)).join(F.broadcast(per_host.agg(*moments).withColumn("_one", F.lit(1))), "_one")
+    kept = F.lit(True)
+    for r in RULES:
+        m, v = F.col(f"_m_{r}"), F.col(f"_v_{r}")
+        strength = F.when(v > 0, F.least(F.lit(1e6), F.greatest(F.lit(1e0), m * (1 - m) / v - 1))).otherwise(
+            F.when((m > 0) & (m < 1), F.lit(1e6)).otherwise(F.lit(1e0))
+        )
+        known = known.withColumn(f"_s_{r}", strength)
+        known = known.withColumn(f"{r}_rate", (F.col(r) + m * F.col(f"_s_{r}")) / (F.col("n_docs") + F.col(f"_s_{r}")))
+        limit = F.greatest(F.lit(least_rate), m + deviations * F.sqrt(m * (1 - m) / (F.col(f"_s_{r}") + 1)))
+        kept = kept & (F.col(f"{r}_rate") <= limit)
+    return known.select("_host", "n_docs", *[f"{r}_rate" for r in RULES], kept.alias("host_kept"))
+
 
+def judge(counted: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """``counted`` (from :func:`rule_counts`) plus kept = not base_failed and the host is kept (:func:`host_verdicts`).
 
-def judge(counted: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """``counted`` (from :func:`rule_counts`) plus host_rate and kept = not base_failed and the host is kept."""
-    hosts = host_verdicts(counted.select(host, "base_failed"), host, max_rate).select("_host", "host_rate", "host_kept")
-    joined = counted.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("_host", "host_kept")
+    An existing column kept is replaced, all others stay.
+    """
+    rows = counted.select(F.struct(*[F.col(f"`{c}`") for c in counted.columns]).alias("_doc"), F.col(host).alias("_at"), F.col("base_failed").alias("_failed"))
+    hosts = host_verdicts(counted.select(host, *RULES), host, **limits).select("_host", "host_kept")
+    joined = rows.join(hosts, F.col("_at").eqNullSafe(F.col("_host")), "left")
+    return joined.select(*[F.col(f"_doc.`{c}`") for c in counted.columns if c != "kept"], (~F.col("_failed") & F.col("host_kept")).alias("kept"))

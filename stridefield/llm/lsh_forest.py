@@ -1,11 +1,15 @@
-"""Near-duplicate classes: MinHash trees of prefixes, then exact Jaccard of word 5-shingles.
-
-Copies of one text are first collapsed to a representative. Every representative gets a signature, cut into
-trees; texts with equal prefixes in a tree share a bucket. The prefix is the longest at which a pair at the
-threshold shares a bucket in some tree with the target probability. Every two texts of a bucket are compared on all
-their shingles: those of small buckets as pairs of rows, those of large ones in blocks, which give
-each text's number of links and its class inside the block, so no row is made for a pair. A pair
-counts in one bucket only, and verified links give the classes.
+"""Near-duplicate classes: a MinHash LSH forest, then exact Jaccard of word 5-shingles.
+
+Every text gets TREES labels of DEEPEST MinHash values each; a tree is the trie of its labels. Texts that share a label's
+prefix share a node. Prefixes start at full depth and are shortened, one value at a time, until the recall expected of the links
+seen among sampled signatures reaches the target (:func:`fitted_depth`); every text is then in one node a tree.
+
+Pairs of a node whose sketches are far apart are dropped (see SKETCH_MOST); what is left ties texts to candidate groups.
+Each text of a candidate group is sent once to its group, or to the block pairs of a large one, and there every two
+texts are compared on all their shingles. So the links of a class are counted whole, whichever node brought the texts together, and no
+row is made for a pair of a large node or group.
+
+What moves: signatures once, (node, text) rows twice, compressed texts once. Exact copies are one text throughout.
 """
 
 from __future__ import annotations
@@ -15,25 +19,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import cut, join_small
-
-TREES, DEEPEST, WORDS, THRESHOLD, TARGET = 16, 6, 5, 0.8, 0.999
-#: Buckets of more texts than SMALL are compared in blocks of about BLOCK texts.
-SMALL, BLOCK = 16, 512
+from stridefield.llm.storage import Scratch, cut, pack, unpack
+from stridefield.operators.graph import connected_components
+
+TREES, DEEPEST, WORDS, THRESHOLD, TARGET = 16, 8, 5, 0.8, 0.99
+#: Signatures on which the depth of prefixes is fitted.
+SAMPLE = 2048
+#: Nodes of more texts than SMALL are compared in blocks of about BLOCK sketches.
+SMALL, BLOCK = 16, 1024
+#: Texts and shingles in one side of a block of a candidate group.
+CELL_TEXTS, CELL_SHINGLES = 256, 150_000
+#: A sketch has 2 bits of each of the 128 values. At Jaccard 0.8, 19.2 differ in the mean with a deviation of 4.0; more than 38 do in
+#: one of a million pairs.
+SKETCH_MOST = 38
+_VALUES = TREES * DEEPEST
 _rng = np.random.default_rng(77)
-MULTIPLIERS = _rng.integers(1, 1 << 63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = _rng.integers(1, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shortest_depth(trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
-    depth = DEEPEST
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+_ODD_BITS = 0x5555555555555555
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,64 +57,102 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    out = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    """One 32-bit MinHash value for each value of each tree; ``found`` has at least one shingle."""
+    out = np.full(_VALUES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 2048):
         block = found[at : at + 2048, None] * MULTIPLIERS
         block ^= block >> np.uint64(32)
         out = np.minimum(out, (block * _MIX).min(axis=0))
-    return out
+    return ((out * _MIX) >> np.uint64(32)).astype(np.uint32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    depth = shortest_depth()
-    for batch in batches:
-        prints, sizes, buckets = [], [], []
-        for text in batch.column(1).to_pylist():
-            found = shingles(text)
-            prints.append(xxhash.xxh3_128_hexdigest((text or "").encode("utf-8", "surrogatepass")))
-            sizes.append(len(found))
-            trees = signature(found).reshape(TREES, DEEPEST) if len(found) else []
-            buckets.append([xxhash.xxh3_64_intdigest(t[:depth].tobytes(), seed=k) - (1 << 63) for k, t in enumerate(trees)])
-        names = ["th", "print", "n_shingles", "buckets", *batch.schema.names[3:]]
-        columns = [pa.array(prints, pa.string()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *batch.columns[3:]], ["doc_id", *names])
+def sketch(values: np.ndarray) -> list[int]:
+    """The two low bits of every value, in four 64-bit integers."""
+    bits = (values.astype(np.uint64) & np.uint64(3)).reshape(_VALUES // 32, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.bitwise_or.reduce(bits, axis=1).view(np.int64).tolist()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, links = [], [], []
-        for x, y, s, t in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            u, v = shingles(s), shingles(t)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            if both >= THRESHOLD * (len(u) + len(v) - both):
-                a.append(x)
-                b.append(y)
-                links.append(both / max(1, len(u) + len(v) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(links, pa.float64())], ["a", "b", "jaccard"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, class_node (least node of its component) for every node of ``edges`` (a, b).
-
-    Labels are passed along edges and then to the label's own label, so long chains halve each round. One count
-    a round comes to the driver.
+def expected_recall(similarity: np.ndarray, depth: int) -> float:
+    """Mean probability that two texts of such similarity share a prefix of ``depth`` in some tree."""
+    return float((1 - (1 - similarity**depth) ** TREES).mean())
+
+
+def fitted_depth(signatures: np.ndarray, target: float = TARGET) -> int:
+    """The longest prefix at which the links among ``signatures`` (rows of 32-bit values) are met with the target recall.
+
+    A pair's similarity is the share of equal values; pairs at the threshold or over it are links. Without links the
+    threshold stands for them.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("l").alias("m")).withColumnRenamed("a", "node")
-        jumped = labels.select(F.col("node").alias("l"), F.col("l").alias("j"))
-        step = labels.join(near, "node").join(jumped, "l").select("node", F.least("l", "m", "j").alias("l"), (F.least("l", "m", "j") != F.col("l")).alias("moved"))
-        step = cut(step)
-        labels = step.select("node", "l")
-        if not step.filter("moved").limit(1).count():
-            return labels.select("node", F.col("l").alias("class_node"))
-
-
-def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alike = []
+    for i in range(len(signatures) - 1):
+        share = (signatures[i + 1 :] == signatures[i]).mean(axis=1)
+        alike.append(share[share >= THRESHOLD])
+    found = np.concatenate(alike) if alike else np.zeros(0)
+    found = found if len(found) else np.array([THRESHOLD])
+    depth = DEEPEST
+    while depth > 1 and expected_recall(found, depth) < target:
+        depth -= 1
+    return depth
+
+
+_SIGNED = "`_print` binary, `_n` long, `_sig` array<int>, `_sketch` array<long>, `_text` binary"
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["print", "found"])
+        prints, sizes, signs, sketches, texts = [], [], [], [], []
+        for text in batch.column(2).to_pylist():
+            found = shingles(text)
+            prints.append(xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")))
+            sizes.append(len(found))
+            values = signature(found) if len(found) else None
+            signs.append(None if values is None else values.view(np.int32))
+            sketches.append(None if values is None else sketch(values))
+            texts.append(pack(text))
+        made = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_row", "_doc", "_print", "_n", "_sig", "_sketch", "_text"])
+
+
+def signed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A table of ``docs`` (doc_id, text): _row, the other columns as one struct _doc, and what :func:`_sign` makes of the text."""
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest).alias("_doc"), "text")
+    return scratch.keep(rows.mapInArrow(_sign, f"`_row` long, `_doc` {rows.schema['_doc'].dataType.simpleString()}, {_SIGNED}"))
+
+
+def _far(a: str, b: str) -> Column:
+    """How many values of two sketches differ."""
+    differing = [f"bit_count(({a}[{k}] ^ {b}[{k}] | shiftrightunsigned({a}[{k}] ^ {b}[{k}], 1)) & {_ODD_BITS}L)" for k in range(_VALUES // 32)]
+    return F.expr(" + ".join(differing))
+
+
+def _block_ties(block: pa.Table) -> pa.Table:
+    """Ties of one block pair of a large node: a forest over the texts whose sketches are near, at most one row a text."""
+    ids = np.array(block.column("id").to_pylist(), np.int64)
+    sketches = np.array(block.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(ids), -1)
+    far = np.zeros((len(ids), len(ids)), np.uint16)
+    for column in sketches.T:
+        x = column[:, None] ^ column[None, :]
+        x |= x >> np.uint64(1)
+        x &= np.uint64(_ODD_BITS)
+        far += np.bitwise_count(x)
+    tied = roots(far <= SKETCH_MOST, ids)
+    some = np.flatnonzero(tied != ids)
+    return pa.table({"a": pa.array(ids[some]), "b": pa.array(tied[some])})
+
+
+def roots(alike: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id of each row's component under the symmetric matrix ``alike``."""
+    out, open_ = ids.copy(), np.ones(len(ids), bool)
+    for k in np.argsort(ids, kind="stable").tolist():
+        if open_[k]:
+            edge = np.array([k])
+            open_[k] = False
+            while len(edge):
+                out[edge] = ids[k]
+                edge = np.flatnonzero(alike[edge].any(axis=0) & open_)
+                open_[edge] = False
+    return out
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -131,113 +175,105 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare_block(table: pa.Table) -> pa.Table:
-    """Rows of one block pair of a large bucket; each print with its links there and the least print it is tied to."""
-    bucket, same = table.column("bucket")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    prints = table.column("print").to_pylist()
-    side = np.array(table.column("side").to_pylist())
-    n = len(prints)
-    open_pairs = ~np.eye(n, dtype=bool) if same else side[:, None] != side[None, :]
-    # pairs that share a large bucket of a lower key are compared there
-    lower = [np.array([k for k in ks if k < bucket], np.int64) for ks in table.column("hot").to_pylist()]
-    open_pairs &= shared_counts(lower) == 0
-    rows = np.flatnonzero(open_pairs.any(axis=1))
-    alike = np.zeros((n, n), bool)
-    if len(rows):
-        found = table.column("found").to_pylist()
-        sets = [np.frombuffer(found[r], np.uint64) for r in rows]
-        both = shared_counts(sets)
-        sizes = np.array([len(s) for s in sets])
-        alike[np.ix_(rows, rows)] = (both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both)) & open_pairs[np.ix_(rows, rows)]
+def _cell_links(cell: pa.Table) -> pa.Table:
+    """Exact links in one block pair of a candidate group: of each text its links there and the least text it is linked to."""
+    same = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+    ids = np.array(cell.column("id").to_pylist(), np.int64)
+    sets = [shingles(unpack(t)) for t in cell.column("_text").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    both = shared_counts(sets)
+    alike = both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both)
+    if same:
+        np.fill_diagonal(alike, False)
+    else:
+        side = np.array(cell.column("side").to_pylist())
+        alike &= side[:, None] != side[None, :]
     degree = alike.sum(axis=1)
-    root: list = [None] * n
-    for k in sorted(np.flatnonzero(degree).tolist(), key=prints.__getitem__):
-        if root[k] is None:
-            reached, edge = np.zeros(n, bool), np.array([k])
-            reached[k] = True
-            while len(edge):
-                edge = np.flatnonzero(alike[edge].any(axis=0) & ~reached)
-                reached[edge] = True
-            for r in np.flatnonzero(reached).tolist():
-                root[r] = prints[k]
-    some = np.flatnonzero(degree).tolist()
-    return pa.table(
-        {"a": pa.array([prints[r] for r in some], pa.string()), "b": pa.array([root[r] for r in some], pa.string()), "degree": pa.array(degree[some], pa.int64())}
-    )
+    some = np.flatnonzero(degree)
+    return pa.table({"id": pa.array(ids[some]), "root": pa.array(roots(alike, ids)[some]), "degree": pa.array(degree[some], pa.int64())})
 
 
-def texts_of(prints: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """print, text of the ``prints``."""
-    ids = cut(join_small(texts.select("print", "th"), prints, ["print"]))
-    return join_small(keyed.select("th", "text"), ids, ["th"]).groupBy("print").agg(F.first("text").alias("text"))
+def _dealt(members: DataFrame, group: str, blocks: Column, *carried: str) -> DataFrame:
+    """``members`` (group, id) once for each block pair (i, j) of its group that it takes part in; side is its own block."""
+    return (
+        members.withColumn("_blocks", blocks.cast("int"))
+        .withColumn("side", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select(group, "id", "side", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), *carried)
+    )
 
 
-def small_links(shared: DataFrame, hot: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """a, b of the verified links of small buckets; pairs that share a large bucket too are left to it."""
-    few = shared.filter(F.col("n") <= SMALL).select("bucket", "print")
-    pairs = few.withColumnRenamed("print", "a").join(few.withColumnRenamed("print", "b"), "bucket").filter("a < b").select("a", "b").distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(hot.select(F.col("print").alias(end), F.col("hot").alias(f"hot_{end}")), end, "left")
-    pairs = cut(pairs.filter(~F.coalesce(F.arrays_overlap("hot_a", "hot_b"), F.lit(False))).select("a", "b"))
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct())
-    whole = cut(texts_of(ends, texts, keyed))
-    left = pairs.join(whole.select(F.col("print").alias("a"), F.col("text").alias("s")), "a")
-    joined = left.join(whole.select(F.col("print").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-    return cut(joined.mapInArrow(_verify, "a string, b string, jaccard double").select("a", "b"))
+def candidate_ties(texts: DataFrame, scratch: Scratch, target: float = TARGET) -> DataFrame:
+    """a, b: ties between texts (id, _sig, _sketch) that share a node and whose sketches are near."""
+    sample = texts.select("_sig", "id").orderBy(F.get("_sig", F.lit(0)), "id").limit(SAMPLE).toArrow().column("_sig").to_pylist()
+    depth = fitted_depth(np.array(sample, np.int32).reshape(len(sample), _VALUES), target)
+    node = lambda t: F.xxhash64(t, F.slice("_sig", t * DEEPEST + 1, F.lit(depth)))
+    members = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), node)).alias("node"), "id")
+    sizes = scratch.keep(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = scratch.keep(members.join(sizes, "node"))
+    sketches = texts.select("id", "_sketch")
+    few = shared.filter(F.col("n") <= SMALL)
+    pairs = few.select("node", F.col("id").alias("a")).join(few.select("node", F.col("id").alias("b")), "node").filter("a < b").select("a", "b").distinct()
+    known = pairs.join(sketches.select(F.col("id").alias("a"), F.col("_sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("_sketch").alias("sb")), "b")
+    near = known.filter(_far("sa", "sb") <= SKETCH_MOST).select("a", "b")
+    many = shared.filter(F.col("n") > SMALL).join(sketches.withColumnRenamed("_sketch", "sketch"), "id")
+    blocks = _dealt(many, "node", F.ceil(F.col("n") / BLOCK), "sketch").groupBy("node", "i", "j")
+    return near.unionByName(blocks.applyInArrow(_block_ties, "a long, b long"))
+
+
+def class_of_rows(rows: DataFrame, scratch: Scratch, target: float = TARGET) -> DataFrame:
+    """_row, class_node (the least _row of a text of the class), n_links for every row of :func:`signed_rows`."""
+    narrow = rows.select("_row", "_print")
+    prints = scratch.keep(narrow.groupBy("_print").agg(F.min("_row").alias("id"), F.count("*").alias("copies")))
+    texts = scratch.keep(rows.select(F.col("_row").alias("id"), "_n", "_sig", "_sketch").filter("_n > 0").join(prints.select("id"), "id", "left_semi"))
+    ties = candidate_ties(texts, scratch, target)
+    grouped = connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "id", "component": "group"})
+    sized = scratch.keep(grouped.join(texts.select("id", "_n"), "id"))
+    totals = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("_n") / CELL_SHINGLES)).alias("_cells"))
+    members = scratch.keep(sized.join(totals, "group").select("group", "id", "_cells"))
+    whole = rows.select(F.col("_row").alias("id"), "_text").join(members, "id")
+    cells = _dealt(whole, "group", F.col("_cells"), "_text").groupBy("group", "i", "j")
+    links = scratch.keep(cells.applyInArrow(_cell_links, "id long, root long, degree long"))
+    classes = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst"))).withColumnsRenamed({"node": "id", "component": "class_node"})
+    degrees = links.groupBy("id").agg(F.sum("degree").alias("degree")).join(classes, "id")
+    per_text = prints.join(degrees, "id", "left").select(
+        "_print", F.coalesce("class_node", "id").alias("class_node"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).cast("long").alias("n_links")
+    )
+    return narrow.join(per_text, "_print").select("_row", "class_node", "n_links")
 
 
-def large_links(shared: DataFrame, hot: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """a, b, degree: each text a of a block pair with links there, how many, and the least text b it is tied to.
+def near_classes(docs: DataFrame, target: float = TARGET) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    A bucket of n texts is dealt by hash into n / BLOCK blocks, and every two blocks meet in one group.
+    Two rows are linked if their texts are equal or their sets of word 5-shingles have a Jaccard similarity of 0.8 or more; classes
+    are the components of the links, class_id is the least doc_id of a class, n_links counts the other rows of the same text
+    plus the other texts linked to it. Null, empty and blank texts have no shingles: they are linked to their exact copies
+    only (null and empty text are one). Rows of equal doc_id stay separate; a null doc_id is a class_id only where a class has no other.
+    Pairs of two texts are found with the target recall over all links, and at least 0.94 at a similarity of 0.8 itself.
     """
-    found = texts_of(hot.select("print"), texts, keyed).mapInArrow(_shingle, "print string, found binary")
-    known = cut(hot.join(found, "print"))
-    dealt = (
-        shared.filter(F.col("n") > SMALL)
-        .withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("side", F.pmod(F.xxhash64("print"), F.col("_blocks")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("bucket", "print", "side", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"))
-    )
-    cells = dealt.join(known, "print").select("bucket", "i", "j", "side", "print", "hot", "found")
-    return cut(cells.groupBy("bucket", "i", "j").applyInArrow(_compare_block, "a string, b string, degree long"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = signed_rows(docs.select("doc_id", "text"), scratch)
+        found = rows.select("_row", "_doc.doc_id").join(class_of_rows(rows, scratch, target), "_row")
+        least = found.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
+        return cut(found.join(least, "class_node").select("doc_id", "class_id", "n_links"))
 
 
-def near_classes(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, print, class_id, n_links, class_node, and the columns ``also``: every row of ``docs`` (doc_id, text) once.
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc = batch.column(0)
+        names = [f.name for f in doc.type]
+        yield pa.RecordBatch.from_arrays([*doc.flatten(), pa.array(map(unpack, batch.column(1).to_pylist()), pa.string())], [*names, "text"])
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, target: float = TARGET) -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_classes`: of the least doc_id (null last), then the first such row.
 
-    class_id is the least doc_id of the class. n_links counts the other rows of the same text plus the other
-    texts alike to it that share a bucket with it. Null and blank texts link to their exact copies only. Rows of equal
-    doc_id stay separate; a null doc_id is a class_id only where a class has no other. class_node
-    names the class even where classes share a doc_id.
+    Every column stays. The result reads a table in ``scratch``; write it before that is removed.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("th"), *also)
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
-    signed = cut(keyed.mapInArrow(_sign, f"doc_id long, th long, print string, n_shingles long, buckets array<long>{more}"))
-    texts = signed.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("th").alias("th"), F.count("*").alias("copies"))
-    # copies of one text have the same buckets
-    members = signed.select("print", "buckets").dropDuplicates(["print"]).select("print", F.explode("buckets").alias("bucket"))
-    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = cut(join_small(members, sizes, ["bucket"]))
-    hot = cut(shared.filter(F.col("n") > SMALL).groupBy("print").agg(F.array_sort(F.collect_list("bucket")).alias("hot")))
-    small = small_links(shared, hot, texts, keyed)
-    large = large_links(shared, hot, texts, keyed)
-    classes = components(small.unionByName(large.filter("a != b").select("a", "b")).distinct())
-    one_each = F.lit(1).cast("long").alias("degree")
-    degree = (
-        small.select(F.col("a").alias("print"), one_each)
-        .unionByName(small.select(F.col("b").alias("print"), one_each))
-        .unionByName(large.select(F.col("a").alias("print"), "degree"))
-        .groupBy("print")
-        .agg(F.sum("degree").alias("degree"))
-    )
-    member = (
-        texts.select("print", "least_id", "copies")
-        .join(classes.withColumnRenamed("node", "print"), "print", "left")
-        .withColumn("class_node", F.coalesce("class_node", "print"))
-        .join(degree, "print", "left")
-    )
-    heads = member.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
-    per_text = member.join(heads, "class_node").select("print", "class_node", "class_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "print", *also).join(per_text, "print").select("doc_id", "print", "class_id", F.col("n_links").cast("long"), "class_node", *also)
+    rows = signed_rows(docs, scratch)
+    found = rows.select("_row", "_doc.doc_id").join(class_of_rows(rows, scratch, target), "_row")
+    first = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("_first"))
+    heads = scratch.keep(first.select("_first._row"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    kept = rows.select("_row", "_doc", "_text").join(heads, "_row", "left_semi").select("_doc", "_text")
+    return kept.mapInArrow(_unpacked, f"{schema}, text string").select(*docs.columns)

@@ -57,7 +57,7 @@ FROM e GROUP BY conv_id
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, and kept by its own rules and its host's shrunken failure rate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    counted = cut(host_rules.rule_counts(docs).drop("text"))
+    counted = cut(host_rules.rule_counts(docs).drop("text"))  # one row a document, without its text
     return host_rules.judge(counted).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -78,15 +78,16 @@ c AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM s LEFT JOIN cov USING (rid) LEFT JOIN l USING (rid)),
-f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM c),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS BIGINT)) AS k FROM f GROUP BY source),
-p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-r AS (
-  SELECT source, (k + m * st) / (n + st) AS rate FROM (
-    SELECT h.*, m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1))
-      WHEN m > 0 AND m < 1 THEN 1e6 ELSE 1.0 END AS st FROM h, p))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND rate <= 0.5 AS kept
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols,
+    20 * n_dup_lines > n_words AS same_lines FROM c),
+u AS (SELECT source, rule, count(*) AS n, sum(CAST(failed AS BIGINT)) AS k
+  FROM (UNPIVOT (SELECT source, short, repeats, symbols, same_lines FROM f) ON short, repeats, symbols, same_lines INTO NAME rule VALUE failed) GROUP BY ALL),
+p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM u GROUP BY rule),
+t AS (SELECT u.*, m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1))
+    WHEN m > 0 AND m < 1 THEN 1e6 ELSE 1.0 END AS st FROM u JOIN p USING (rule)),
+r AS (SELECT source, bool_and((k + m * st) / (n + st) <= greatest(0.3e0, m + 2 * sqrt(m * (1 - m) / (st + 1)))) AS host_kept FROM t GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short OR repeats) AS base_failed,
+  NOT (short OR repeats) AND host_kept AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 
@@ -151,14 +152,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document and its number of links."""
-    return lsh_forest.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+    return lsh_forest.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of every text and of its edited form, with its class of exact copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    printed = cut(fingerprint.compare_with_next(docs))
-    return fingerprint.exact_groups(docs, printed).select(
+    return fingerprint.fingerprints(docs).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "copies"
     )
 

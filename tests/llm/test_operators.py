@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stridefield.llm import chat, curriculum, fingerprint, host_rules, html_text, hyperlang, lsh_forest, pii, suffix_dedup, unigram
+from stridefield.llm import chat, curriculum, host_rules, html_text, hyperlang, lsh_forest, pii, suffix_dedup, unigram
 
 LONG = " ".join(f"word{i * 7919 % 5003}" for i in range(200))
 NEAR = LONG.replace("word0 ", "other ", 1)
@@ -76,14 +76,6 @@ def test_near_classes(docs):
     assert got[6]["n_links"] == 1 and got[7]["class_id"] == 7
 
 
-def test_fingerprints(docs):
-    rows = fingerprint.compare_with_next(docs).collect()
-    assert len(rows) == len(ROWS)
-    prints = {r["doc_id"]: r["fingerprint"] for r in rows}
-    assert prints[1] == prints[3] != prints[2] and prints[4] == prints[5]
-    assert fingerprint.canonical("Ｆｕｌｌ\t ﬁ  STRASSE") == fingerprint.canonical("full fi straße")
-
-
 def test_rule_counts(spark):
     text = "a b c a b c\n#x\n#x\n\n"
     row = host_rules.rule_counts(spark.createDataFrame([(1, "s", text)], "doc_id long, source string, text string")).first()
