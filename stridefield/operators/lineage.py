@@ -44,7 +44,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written and read back."""
         self.n += 1
-        df.write.parquet(f"{self.folder}/{self.n}")
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
     def remove(self, n: int | None = None) -> None:
