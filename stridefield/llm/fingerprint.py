@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import Scratch, cut, pack, unpack
+from stridefield.llm.storage import Scratch, bit_filter, cut, pack, unpack
 
 #: Bits of the filter of repeated fingerprints (2 MB). Where it fills up, more texts move; the result is the same.
 FILTER_BITS = 1 << 24
@@ -124,16 +124,6 @@ def compare_with_next(docs: DataFrame, scratch: Scratch, parts: int | None = Non
     return found.filter("_end IS NULL").select(*COMPARED).unionByName(closed)
 
 
-def _filter_of(fingerprints: DataFrame) -> np.ndarray:
-    """Bits set for the fingerprints; FILTER_BITS / 64 numbers at most come to the driver."""
-    bit = F.pmod(F.xxhash64("fingerprint"), F.lit(FILTER_BITS))
-    words = fingerprints.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    table = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
 def exact_groups(docs: DataFrame, printed: DataFrame, scratch: Scratch) -> DataFrame:
     """``printed`` (with doc_id, _th, fingerprint) plus class_id (least doc_id) and copies (rows of the class).
 
@@ -144,7 +134,7 @@ def exact_groups(docs: DataFrame, printed: DataFrame, scratch: Scratch) -> DataF
     counted = scratch.keep(rows.groupBy("fingerprint", "_th").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")))
     repeated = counted.groupBy("fingerprint").agg(F.sum("_rows").alias("_n")).filter("_n > 1").select("fingerprint")
     repeated = scratch.keep(repeated)
-    marks = docs.sparkSession.sparkContext.broadcast(_filter_of(repeated))
+    marks = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, F.xxhash64("fingerprint"), FILTER_BITS))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marks.value

@@ -56,20 +56,6 @@ def test_pii_rounds_and_long_words(spark):
     assert found == {"x1000", "x1001", "x1002", "y2000", "y2001", "z9001", token}
 
 
-def test_suffix_dedup_brute_force(docs):
-    texts = [(t or "").encode() for _, t in ROWS]
-    seen = Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))
-    want = []
-    for b in texts:
-        gone = bytearray(len(b))
-        for i in range(len(b) - 199):
-            if seen[b[i : i + 200]] > 1:
-                gone[i : i + 200] = b"\1" * 200
-        want.append((len(b), sum(gone)))
-    got = suffix_dedup.remove_repeats(docs).select("n_bytes", "n_removed").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
 def test_near_classes(docs):
     got = {r["doc_id"]: r for r in lsh_forest.near_classes(docs).collect()}
     assert got[1]["class_id"] == got[2]["class_id"] == got[3]["class_id"] == 1
