@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import Scratch, bit_filter, cut, pack, unpack
+from stridefield.llm.storage import Scratch, bit_filter, cut, merged, pack, unpack
 
 #: Bits of the filter of repeated fingerprints (2 MB). Where it fills up, more texts move; the result is the same.
 FILTER_BITS = 1 << 24
@@ -151,16 +151,16 @@ def exact_groups(docs: DataFrame, printed: DataFrame, scratch: Scratch) -> DataF
 
     read = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("_th"), "text")
     # equal rows collapse before they move; the packed bytes are equal exactly where the canonical ones are
-    canons = read.mapInArrow(texts, "fingerprint string, _th long, _canon binary").distinct().join(repeated, "fingerprint", "left_semi")
-    canons = scratch.keep(canons)
+    canons = read.mapInArrow(texts, "fingerprint string, _th long, _canon binary").distinct()
+    canons = scratch.keep(merged(canons, repeated, ["fingerprint"], "left_semi"))
     first = canons.groupBy("fingerprint").agg(F.min("_canon").alias("_first"))
     own = F.when(F.col("_canon") == F.col("_first"), "").otherwise(F.sha2("_canon", 256)).alias("_own")
-    named = canons.join(first, "fingerprint").select("fingerprint", "_th", own)
-    named = scratch.keep(named.join(counted, ["fingerprint", "_th"]))
+    named = merged(canons, first, ["fingerprint"]).select("fingerprint", "_th", own)
+    named = scratch.keep(merged(named, counted, ["fingerprint", "_th"]))
     classes = named.groupBy("fingerprint", "_own").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("copies"))
-    by_text = named.select("fingerprint", "_th", "_own").join(classes, ["fingerprint", "_own"]).drop("_own")
+    by_text = merged(named.select("fingerprint", "_th", "_own"), classes, ["fingerprint", "_own"]).drop("_own")
     return (
-        printed.join(by_text, ["fingerprint", "_th"], "left")
+        merged(printed, by_text, ["fingerprint", "_th"], "left")
         .withColumn("class_id", F.coalesce("class_id", "doc_id"))
         .withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
     )

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import Scratch, cut, pack, unpack
+from stridefield.llm.storage import Scratch, cut, merged, pack, unpack
 from stridefield.operators.graph import connected_components
 
 TREES, DEEPEST, WORDS, THRESHOLD, TARGET = 16, 8, 5, 0.8, 0.99
@@ -210,13 +210,14 @@ def candidate_ties(texts: DataFrame, scratch: Scratch, target: float = TARGET) -
     node = lambda t: F.xxhash64(t, F.slice("_sig", t * DEEPEST + 1, F.lit(depth)))
     members = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), node)).alias("node"), "id")
     sizes = scratch.keep(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = scratch.keep(members.join(sizes, "node"))
+    shared = scratch.keep(merged(members, sizes, ["node"]))
     sketches = texts.select("id", "_sketch")
     few = shared.filter(F.col("n") <= SMALL)
-    pairs = few.select("node", F.col("id").alias("a")).join(few.select("node", F.col("id").alias("b")), "node").filter("a < b").select("a", "b").distinct()
-    known = pairs.join(sketches.select(F.col("id").alias("a"), F.col("_sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("_sketch").alias("sb")), "b")
+    pairs = merged(few.select("node", F.col("id").alias("a")), few.select("node", F.col("id").alias("b")), ["node"]).filter("a < b").select("a", "b").distinct()
+    end = lambda c: sketches.select(F.col("id").alias(c), F.col("_sketch").alias(f"s{c}"))
+    known = merged(merged(pairs, end("a"), ["a"]), end("b"), ["b"])
     near = known.filter(_far("sa", "sb") <= SKETCH_MOST).select("a", "b")
-    many = shared.filter(F.col("n") > SMALL).join(sketches.withColumnRenamed("_sketch", "sketch"), "id")
+    many = merged(shared.filter(F.col("n") > SMALL), sketches.withColumnRenamed("_sketch", "sketch"), ["id"])
     blocks = _dealt(many, "node", F.ceil(F.col("n") / BLOCK), "sketch").groupBy("node", "i", "j")
     return near.unionByName(blocks.applyInArrow(_block_ties, "a long, b long"))
 
@@ -225,21 +226,21 @@ def class_of_rows(rows: DataFrame, scratch: Scratch, target: float = TARGET) ->
     """_row, class_node (the least _row of a text of the class), n_links for every row of :func:`signed_rows`."""
     narrow = rows.select("_row", "_print")
     prints = scratch.keep(narrow.groupBy("_print").agg(F.min("_row").alias("id"), F.count("*").alias("copies")))
-    texts = scratch.keep(rows.select(F.col("_row").alias("id"), "_n", "_sig", "_sketch").filter("_n > 0").join(prints.select("id"), "id", "left_semi"))
+    texts = scratch.keep(merged(rows.select(F.col("_row").alias("id"), "_n", "_sig", "_sketch").filter("_n > 0")
     ties = candidate_ties(texts, scratch, target)
     grouped = connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "id", "component": "group"})
-    sized = scratch.keep(grouped.join(texts.select("id", "_n"), "id"))
+    sized = scratch.keep(merged(grouped, texts.select("id", "_n"), ["id"]))
     totals = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("_n") / CELL_SHINGLES)).alias("_cells"))
-    members = scratch.keep(sized.join(totals, "group").select("group", "id", "_cells"))
-    whole = rows.select(F.col("_row").alias("id"), "_text").join(members, "id")
+    members = scratch.keep(merged(sized, totals, ["group"]).select("group", "id", "_cells"))
+    whole = merged(rows.select(F.col("_row").alias("id"), "_text"), members, ["id"])
     cells = _dealt(whole, "group", F.col("_cells"), "_text").groupBy("group", "i", "j")
     links = scratch.keep(cells.applyInArrow(_cell_links, "id long, root long, degree long"))
     classes = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst"))).withColumnsRenamed({"node": "id", "component": "class_node"})
     degrees = links.groupBy("id").agg(F.sum("degree").alias("degree")).join(classes, "id")
-    per_text = prints.join(degrees, "id", "left").select(
+    per_text = merged(prints, degrees, ["id"], "left").select(
         "_print", F.coalesce("class_node", "id").alias("class_node"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).cast("long").alias("n_links")
     )
-    return narrow.join(per_text, "_print").select("_row", "class_node", "n_links")
+    return merged(narrow, per_text, ["_print"]).select("_row", "class_node", "n_links")
 
 
 def near_classes(docs: DataFrame, target: float = TARGET) -> DataFrame:
@@ -253,9 +254,9 @@ def near_classes(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = signed_rows(docs.select("doc_id", "text"), scratch)
-        found = rows.select("_row", "_doc.doc_id").join(class_of_rows(rows, scratch, target), "_row")
+        found = merged(rows.select("_row", "_doc.doc_id"), class_of_rows(rows, scratch, target), ["_row"])
         least = found.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
-        return cut(found.join(least, "class_node").select("doc_id", "class_id", "n_links"))
+        return cut(merged(found, least, ["class_node"]).select("doc_id", "class_id", "n_links"))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +272,9 @@ def keep_one(docs: DataFrame, scratch: Scratch, target: float = TARGET) -> DataF
     Every column stays. The result reads a table in ``scratch``; write it before that is removed.
     """
     rows = signed_rows(docs, scratch)
-    found = rows.select("_row", "_doc.doc_id").join(class_of_rows(rows, scratch, target), "_row")
+    found = merged(rows.select("_row", "_doc.doc_id"), class_of_rows(rows, scratch, target), ["_row"])
     first = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("_first"))
     heads = scratch.keep(first.select("_first._row"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    kept = rows.select("_row", "_doc", "_text").join(heads, "_row", "left_semi").select("_doc", "_text")
+    kept = merged(rows.select("_row", "_doc", "_text"), heads, ["_row"], "left_semi").select("_doc", "_text")
     return kept.mapInArrow(_unpacked, f"{schema}, text string").select(*docs.columns)

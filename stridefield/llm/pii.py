@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import cut
+from stridefield.llm.storage import Scratch, cut, merged
 
 KINDS = ("email", "ip", "card", "phone", "id")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +39,7 @@ SPAN_SQL = "start long, end long, kind string, value string, left string, right
 
 
 def luhn(digits: str) -> bool:
+    """Whether the digits pass Luhn's check."""
     total = 0
     for i, c in enumerate(reversed(digits)):
         d = int(c) * (2 if i % 2 else 1)
@@ -139,22 +140,24 @@ def _scan(batches: Iterator[pa.RecordBatch], min_digits: int) -> Iterator[pa.Rec
 
 
 def scan(docs: DataFrame, min_digits: int = 4) -> DataFrame:
-    """One row per document: doc_id, _th (xxhash64 of the text), base spans, identifier-like spans with contexts."""
+    """One row per document: doc_id (of any type), _th (xxhash64 of the text), base spans, identifier-like spans with contexts."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), "text")
     return keyed.mapInArrow(
         lambda batches: _scan(batches, min_digits),
-        f"doc_id long, _th long, base array<struct<start:long,end:long,kind:string>>, "
+        f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, _th long, base array<struct<start:long,end:long,kind:string>>, "
         f"seen array<struct<{SPAN_SQL.replace(' ', ':').replace(',:', ',')}>>",
     )
 
 
-def likely_instances(seen: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 0.9) -> DataFrame:
-    """Values without a rule that good contexts make likely: one row per value with its score.
+def likely_instances(
+    seen: DataFrame, scratch: Scratch, rounds: int | None = None, min_support: int = 3, min_score: float = 0.9, settled: float = 1e-6
+) -> DataFrame:
+    """value of the instances without a rule that good contexts make likely, each once.
 
     ``seen`` has value, kind (null: no rule), left, right. A pattern is the word before, the word
     after, or both. It counts once ``min_support`` different instances score at least ``min_score`` in
     it and the mean score of all its instances is at least ``min_score``. Scores never fall from round to round;
-    the rounds end when none rises by more than 1e-9 (or after ``rounds``). Each asks the driver for one row.
+    the rounds end when none rises by more than ``settled`` (or after ``rounds``). Each asks the driver for one row.
     """
     both = F.filter(
         F.array(
@@ -164,59 +167,53 @@ def likely_instances(seen: DataFrame, rounds: int | None = None, min_support: in
         ),
         lambda p: p.isNotNull(),
     )
-    edges = cut(
+    every = scratch.keep(
         seen.select("value", F.col("kind").isNotNull().alias("seed"), F.explode(both).alias("pattern"))
         .groupBy("pattern", "value")
         .agg(F.max("seed").alias("seed"))
     )
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    likely, done = None, 0
+    # a pattern of fewer instances can never count
+    usable = every.groupBy("pattern").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_support).select("pattern")
+    scored = scratch.keep(every.join(usable, "pattern").withColumn("score", F.col("seed").cast("double")))
+    done = 0
     while rounds is None or done < rounds:
-        patterns = (
+        good = (
             scored.groupBy("pattern")
             .agg(F.avg("score").alias("good"), F.sum((F.col("score") >= min_score).cast("long")).alias("support"))
             .filter((F.col("good") >= min_score) & (F.col("support") >= min_support))
             .select("pattern", "good")
         )
-        before, likely = likely, cut(
-            edges.filter(~F.col("seed"))
-            .join(patterns, "pattern")
+        likely = (
+            scored.filter(~F.col("seed"))
+            .join(good, "pattern")
             .groupBy("value")
             .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("good")))))).alias("likely"))
         )
+        new = F.greatest("score", F.when(~F.col("seed"), F.coalesce("likely", F.lit(0e0))).otherwise(F.lit(1e0)))
+        scored = scratch.keep(
+            scored.join(likely, "value", "left").select("pattern", "value", "seed", new.alias("score"), (new > F.col("score") + settled).alias("rose"))
+        )
         done += 1
-        if before is not None:
-            known = before.withColumnRenamed("likely", "_was")
-            rose = likely.join(known, "value", "left").filter(F.col("likely") > F.coalesce("_was", F.lit(0e0)) + 1e-9)
-        if (likely if before is None else rose).isEmpty():
+        if scored.filter("rose").isEmpty():
             break
-        scored = edges.join(likely, "value", "left").select(
-            "pattern",
-            "value",
-            "seed",
-            F.when(F.col("seed"), F.lit(1e0)).otherwise(F.coalesce("likely", F.lit(0e0))).alias("score"),
-        )
-    seeds = edges.filter("seed").select("value").distinct()
-    return likely.filter(F.col("likely") >= min_score).join(seeds, "value", "left_anti")
+    # seeds count as found by their rule, in whatever pattern they stand
+    seeds = every.filter("seed").select("value").distinct()
+    return scored.filter((F.col("score") >= min_score) & ~F.col("seed")).select("value").distinct().join(seeds, "value", "left_anti")
 
 
-def find(docs: DataFrame, min_digits: int = 4, **settings) -> DataFrame:
-    """doc_id, _th, base and spans (array<struct<start, end, kind>>, sorted): every row of ``docs`` once.
-
-    Null text is empty and has no spans. Repeated rows have the same spans each. Every row keeps its own
-    result, whatever its doc_id, since rows get a number when the scan is cut from its lineage.
-    """
-    scanned = cut(scan(docs, min_digits).withColumn("_row", F.monotonically_increasing_id()))
+def _found(docs: DataFrame, scratch: Scratch, min_digits: int, **settings) -> DataFrame:
+    """_row, _th, base and spans of every row of ``docs`` (text, and _row)."""
+    scanned = scratch.keep(scan(docs.select(F.col("_row").alias("doc_id"), "text"), min_digits).withColumnRenamed("doc_id", "_row"))
     seen = scanned.select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
-    likely = likely_instances(seen, **settings)
+    likely = likely_instances(seen, scratch, **settings)
     more = (
         seen.filter(F.col("kind").isNull())
-        .join(likely.select("value"), "value", "left_semi")
+        .join(likely, "value", "left_semi")
         .groupBy("_row")
         .agg(F.collect_list(F.struct("start", "end", F.lit("id").alias("kind"))).alias("more"))
     )
     rank = lambda kind: F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
-    joined = scanned.join(more, "_row", "left").withColumn(
+    joined = scanned.select("_row", "_th", "base").join(more, "_row", "left").withColumn(
         "_all", F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")))
     )
     in_order = F.transform(
@@ -228,7 +225,19 @@ def find(docs: DataFrame, min_digits: int = 4, **settings) -> DataFrame:
         ),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
-    return joined.select("doc_id", "_th", "base", in_order.alias("spans"))
+    return joined.select("_row", "_th", "base", in_order.alias("spans"))
+
+
+def find(docs: DataFrame, min_digits: int = 4, **settings) -> DataFrame:
+    """doc_id, base and spans (array<struct<start, end, kind>>, sorted): every row of ``docs`` (doc_id, text) once.
+
+    Null text is empty and has no spans. Repeated rows have the same spans each. Every row keeps its own
+    result, whatever its doc_id. No rows give no rows. Other columns are ignored.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        # the id travels beside the row's number, so the scan's table has both
+        rows = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col("doc_id").alias("d")).alias("_row"), "text")
+        return cut(_found(rows, scratch, min_digits, **settings).select("_row.d", "base", "spans").withColumnRenamed("d", "doc_id"))
 
 
 def described(spans) -> F.Column:
@@ -239,6 +248,7 @@ def described(spans) -> F.Column:
 
 
 def count_of(spans, kind: str) -> F.Column:
+    """How many of the spans are of the kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
@@ -260,14 +270,14 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def redact(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with every found span replaced by its kind in angle brackets. Null text stays null."""
-    found = find(docs, **settings).filter(F.size("spans") > 0).groupBy("doc_id", "_th").agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(
-        found.withColumnsRenamed({"doc_id": "_doc"}), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_th")), "left"
-    )
+def redact(docs: DataFrame, scratch: Scratch, min_digits: int = 4, **settings) -> DataFrame:
+    """``docs`` with every found span replaced by its kind in angle brackets. Null text stays null, all columns stay.
+
+    Documents are numbered and written to ``scratch``; the result reads it, so write that before it is removed.
+    """
     rest = [c for c in docs.columns if c != "text"]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    done = joined.select("text", "_spans", *rest).mapInArrow(_redact, f"text string, {out}")
-    return done.select(*docs.columns)
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_doc"), "text"))
+    spans = scratch.keep(_found(rows, scratch, min_digits, **settings).filter(F.size("spans") > 0).select("_row", "spans"))
+    joined = merged(rows, spans, ["_row"], "left").select("text", "spans", "_doc")
+    done = joined.mapInArrow(_redact, f"text string, _doc {rows.schema['_doc'].dataType.simpleString()}")
+    return done.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stridefield.operators.lineage import Scratch, checkpoint_dir, cut
 
-__all__ = ["Scratch", "bit_filter", "checkpoint_dir", "cut", "pack", "table", "unpack"]
+__all__ = ["Scratch", "bit_filter", "checkpoint_dir", "cut", "merged", "pack", "table", "unpack"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +42,8 @@ def bit_filter(df: DataFrame, key: Column, bits: int) -> np.ndarray:
     out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
+
+
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle and sort at every size, for sides that grow with the data: the plan doesn't change where one outgrows a broadcast."""
+    return left.join(right.hint("merge"), on, how)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import Scratch, bit_filter, cut, pack, unpack
+from stridefield.llm.storage import Scratch, bit_filter, cut, merged, pack, unpack
 
 DEPTH, GRAM = 200, 64
 #: Widths, in window starts, of the strings that the passes after the first compare.
@@ -233,7 +233,7 @@ def _told_apart(rows: DataFrame, many, width: int, scratch: Scratch) -> tuple[Da
     block = F.expr(f"cast(shape & 255 AS int) div {width}").alias("block")
     strings = scratch.keep(strings.withColumn("block", block).select("gram", "block", "key", "place", "many"))
     open_ = strings.groupBy("gram", "block").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).filter("open")
-    known = strings.join(open_, ["gram", "block"])
+    known = merged(strings, open_, ["gram", "block"])
     onward = known.filter("n > 1").select("key", "gram", "place", "many")
     return onward, known.filter("n = 1 AND NOT many").select("key", "place")
 
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         again = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
         marks = spark.sparkContext.broadcast(bit_filter(again, F.col("gram"), FILTER_BITS))
         runs = keyed.select("key", "text").mapInArrow(_find_runs(marks), "gram long, x long, key long, place long")
-        alive = scratch.keep(runs.join(again, "gram", "left_semi"))
+        alive = scratch.keep(merged(runs, again, ["gram"], "left_semi"))
         # a whole run's offsets are one block
         onward, _ = _told_apart(alive, F.count("*") > 1, 256, scratch)
         check = F.expr(_CHECK_OF).alias("check")
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         string = F.struct("gram", "place", "many")
         asked = onward.groupBy("key", check).agg(F.collect_list(string).alias("strings"))
         packed = keyed.mapInArrow(_packed, "doc_id long, key long, check long, text binary")
-        joined = packed.join(spans, ["key", "check"], "left").join(asked, ["key", "check"], "left")
+        joined = merged(merged(packed, spans, ["key", "check"], "left"), asked, ["key", "check"], "left")
         state = scratch.keep(joined.select("doc_id", "key", "check", "text", "runs", "strings").mapInArrow(_settle, _STATE_SQL))
         alone, rows = [], state.filter("parts IS NOT NULL").select("key", F.explode("parts").alias("p")).select("key", "p.*")
         texts = state.filter("text IS NOT NULL").select("key", "check", "text")
@@ -273,13 +273,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 alone.append(onward.filter("NOT many").select("key", "place"))
             else:
                 asked = onward.groupBy("key", check).agg(F.collect_list(string).alias("strings"))
-                parts = texts.join(asked, ["key", "check"]).select("key", "text", "strings").mapInArrow(_split_more(next_width), f"key long, parts {_STRING_SQL}")
+                parts = merged(texts, asked, ["key", "check"]).select("key", "text", "strings").mapInArrow(_split_more(next_width), f"key long, parts {_STRING_SQL}")
                 rows = parts.select("key", F.explode("parts").alias("p")).select("key", "p.*")
             alone.append(lone)
         found = alone[0]
         for more in alone[1:]:
             found = found.unionByName(more)
         found = found.groupBy("key", check).agg(F.collect_set("place").alias("lone"))
-        left = state.filter("runs IS NOT NULL").select("doc_id", "key", "check", "text", "runs").join(found, ["key", "check"], "left")
+        left = merged(state.filter("runs IS NOT NULL").select("doc_id", "key", "check", "text", "runs"), found, ["key", "check"], "left")
         done = left.select("doc_id", "text", "runs", "lone").mapInArrow(_finish, _RESULT_SQL)
         return cut(state.filter("runs IS NULL").select(*_RESULT).unionByName(done))

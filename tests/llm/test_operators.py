@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stridefield.operators.lineage import Scratch
 from stridefield.llm import chat, curriculum, host_rules, html_text, hyperlang, lsh_forest, pii, suffix_dedup, unigram
 
 LONG = " ".join(f"word{i * 7919 % 5003}" for i in range(200))
@@ -38,7 +39,12 @@ def test_base_spans():
 def test_pii_rows_and_redaction(spark, docs):
     assert pii.find(docs).count() == len(ROWS)
     one = spark.createDataFrame([(1, "mail a@b.cd now", "en")], "doc_id long, text string, lang string")
-    assert pii.redact(one).first()["text"] == "mail <email> now"
+    with Scratch(spark) as scratch:
+        assert pii.redact(one, scratch).first()["text"] == "mail <email> now"
+        named = docs.withColumns({c: F.lit(c) for c in ("_row", "_doc", "spans", "seen", "_th")})
+        assert sorted(map(repr, pii.redact(named, scratch).collect())) == sorted(map(repr, named.collect()))
+        assert pii.redact(named.limit(0), scratch).columns == named.columns
+    assert pii.find(docs.limit(0)).count() == 0
 
 
 def test_pii_rounds_and_long_words(spark):
