@@ -226,7 +226,7 @@ def class_of_rows(rows: DataFrame, scratch: Scratch, target: float = TARGET) ->
     """_row, class_node (the least _row of a text of the class), n_links for every row of :func:`signed_rows`."""
     narrow = rows.select("_row", "_print")
     prints = scratch.keep(narrow.groupBy("_print").agg(F.min("_row").alias("id"), F.count("*").alias("copies")))
-    texts = scratch.keep(merged(rows.select(F.col("_row").alias("id"), "_n", "_sig", "_sketch").filter("_n > 0")
+    texts = scratch.keep(merged(rows.select(F.col("_row").alias("id"), "_n", "_sig", "_sketch").filter("_n > 0"), prints.select("id"), ["id"], "left_semi"))
     ties = candidate_ties(texts, scratch, target)
     grouped = connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "id", "component": "group"})
     sized = scratch.keep(merged(grouped, texts.select("id", "_n"), ["id"]))
