@@ -52,14 +52,17 @@ def keep_largest_component(arcs: DataFrame) -> DataFrame:
     return arcs.join(found.join(largest_component(found), "component").select(F.col("node").alias("src")), "src", "left_semi")
 
 
-def path_tree(arcs: DataFrame, sources: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+def path_tree(arcs: DataFrame, sources: DataFrame, most_rounds: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """source, node, cost, prev: least costs from each source over arcs (src, dst, weight >= 0), the least prev on ties.
 
     Only nodes whose cost fell are relaxed in the next round. State is sources times nodes reached.
+    Nodes may be of any type that can be sorted. With ``scratch`` the result is a table of it.
     """
-    state = cut(sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("cost", F.lit(0.0)).withColumn("prev", F.lit(None).cast("long")))
-    state = state.select("source", "node", "cost", "prev", F.lit(True).alias("_new"))
-    links = arcs.select(F.col("src").alias("node"), "dst", F.col("weight").cast("double").alias("weight"))
+    own = scratch or Scratch(arcs.sparkSession)
+    kind = arcs.schema["src"].dataType
+    links = own.keep(arcs.select(F.col("src").alias("node"), "dst", F.col("weight").cast("double").alias("weight")))
+    begin = sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("cost", F.lit(0.0)).withColumn("prev", F.lit(None).cast(kind))
+    state = own.keep(begin.select("source", "node", "cost", "prev", F.lit(True).alias("_new")))
     for _ in range(most_rounds):
         reached = state.filter("_new").join(links, "node").select(
             "source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("node").alias("prev"), F.lit(True).alias("_new")
@@ -67,74 +70,112 @@ def path_tree(arcs: DataFrame, sources: DataFrame, most_rounds: int = 100_000) -
         both = state.withColumn("_new", F.lit(False)).unionByName(reached)
         # at equal cost an old row goes before a new one, so the loop ends
         least = both.groupBy("source", "node").agg(F.min(F.struct("cost", "_new", "prev")).alias("b"))
-        state = cut(least.select("source", "node", "b.cost", "b.prev", "b._new"))
+        before, state = own.n, own.keep(least.select("source", "node", "b.cost", "b.prev", "b._new"))
+        own.remove(before)
         if state.filter("_new").isEmpty():
-            return state.drop("_new")
+            found = state.drop("_new")
+            if scratch is None:
+                found = cut(found)
+                own.remove()
+            return found
     raise RuntimeError(f"costs still fall after {most_rounds} rounds")
 
 
 def shortest_paths(arcs: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request_id, source, target) with cost and path (nodes in order); both null where there is no way.
 
-    The path is walked back from all targets at once, a join on (source, node) each step.
+    Paths are walked back by doubling: in each round every node of a tree learns the node twice as far back and the steps to
+    it, so a path of n nodes takes log n rounds, over the nodes that some request's path passes.
     """
-    tree = path_tree(arcs, requests.select("source"))
-    ends = requests.join(tree.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left")
-    walk = cut(ends.filter("cost IS NOT NULL").select("request_id", "source", F.col("target").alias("node"), F.array("target").alias("path")))
-    steps = tree.select("source", "node", "prev")
-    while not walk.filter("node != source").isEmpty():
-        onward = walk.filter("node != source").join(steps, ["source", "node"]).select(
-            "request_id", "source", F.col("prev").alias("node"), F.concat(F.array("prev"), "path").alias("path")
-        )
-        walk = cut(walk.filter("node = source").unionByName(onward))
-    return ends.join(walk.select("request_id", "path"), "request_id", "left")
+    with Scratch(arcs.sparkSession) as scratch:
+        tree = path_tree(arcs, requests.select("source"), scratch=scratch)
+        ends = scratch.keep(requests.join(tree.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left"))
+        # jump: the node 2^k steps back, and the nodes between, nearest first
+        jump = tree.filter("prev IS NOT NULL").select("source", "node", F.col("prev").alias("to"), F.array("prev").alias("over"))
+        walks = ends.filter("cost IS NOT NULL").select("source", F.col("target").alias("node")).distinct().select("source", "node", F.col("node").alias("at"), F.array("node").alias("back"))
+        walks, power = scratch.keep(walks), 0
+        while not walks.filter("at != source").isEmpty():
+            jump = scratch.keep(jump)
+            onward = walks.join(jump.select("source", F.col("node").alias("at"), "to", "over"), ["source", "at"], "left")
+            walks = scratch.keep(onward.select("source", "node", F.coalesce("to", "at").alias("at"), F.concat("back", F.coalesce("over", F.slice("back", 1, 0))).alias("back")))
+            further = jump.select("source", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("over").alias("_over"))
+            jump = jump.join(further, ["source", "to"], "left").select(
+                "source", "node", F.coalesce("_to", "to").alias("to"), F.concat("over", F.coalesce("_over", F.slice("over", 1, 0))).alias("over")
+            )
+            power += 1
+        paths = walks.select("source", F.col("node").alias("target"), F.reverse("back").alias("path"))
+        return cut(ends.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
 
 
 def hop_distance(arcs: DataFrame, source: int) -> DataFrame:
-    """node, hops from one node, direction ignored. The reached set is found ring by ring."""
-    both = cut(arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    ring = cut(both.filter(F.col("src") == source).select(F.col("src").alias("node")).distinct())
-    seen, hops = ring.withColumn("hops", F.lit(0).cast("long")), 0
-    while True:
-        hops += 1
-        ring = cut(both.join(ring.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if ring.isEmpty():
-            return seen
-        seen = seen.unionByName(ring.withColumn("hops", F.lit(hops).cast("long")))
-
-
-def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: float = 1.5) -> DataFrame:
-    """src, dst, share of the undirected arcs; the shares of a src sum to 1. The even part of every pair is a scalar in ``steady_state``.
-
-    A neighbour of the sink sends half there and half evenly to the rest (all, if the sink is its only one). Other states split by their
-    neighbours' hops from the sink, ``favour`` times for priority states. A state with no neighbour but itself keeps its flow.
+    """node, hops from one node, direction ignored. The reached set is found ring by ring.
+
+    A neighbour of a ring lies in it, in the one before or in the next, so each round looks at two rings only.
     """
-    both = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    loops = both.groupBy("src").agg(F.max(F.col("src") != F.col("dst")).alias("_leaves"))
-    open_arcs = both.join(loops, "src").filter((F.col("src") != F.col("dst")) | ~F.col("_leaves"))
+    with Scratch(arcs.sparkSession) as scratch:
+        both = scratch.keep(arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+        ring = scratch.keep(both.filter(F.col("src") == source).select(F.col("src").alias("node")).distinct())
+        rings, last = [], ring.limit(0)
+        while not ring.isEmpty():
+            rings.append(ring.withColumn("hops", F.lit(len(rings)).cast("long")))
+            near = both.join(ring.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+            last, ring = ring, scratch.keep(near.join(ring.unionByName(last), "node", "left_anti"))
+        seen = rings[0] if rings else ring.withColumn("hops", F.lit(0).cast("long"))
+        for more in rings[1:]:
+            seen = seen.unionByName(more)
+        return cut(seen.coalesce(max(1, both.rdd.getNumPartitions())))
+
+
+def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: float = 1.5, kept: float = 0.5, directed: bool = False) -> DataFrame:
+    """src, dst, share: how the flow of a state src is split among the states that ``arcs`` (src, dst) lead to, both ways unless ``directed``.
+
+    A state with an arc to the sink sends ``1 - kept`` of its flow there and ``kept`` evenly to the others; if the sink is its only
+    one the kept part is lost. Other states split by the hops of their neighbours from the sink (direction ignored; states that
+    never reach it, and the sink, take nothing), ``favour`` times for priority states. A state with only itself keeps its flow.
+    The even part of every pair is a scalar in :func:`steady_state`.
+    """
+    one = arcs.select("src", "dst")
+    one = (one if directed else one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))).distinct()
     hops = hop_distance(arcs, sink).withColumnRenamed("node", "dst")
     by = Window.partitionBy("src")
-    known = open_arcs.join(hops, "dst", "left").withColumn("_sinks", F.max(F.col("dst") == sink).over(by) & (F.col("src") != sink)).withColumn("_n", F.count("*").over(by))
-    pull = F.coalesce(F.col("hops").cast("double"), F.lit(1.0)) * F.when(F.col("dst").isin(priority), F.lit(favour)).otherwise(1.0)
-    pull = F.when(F.col("_sinks") & (F.col("dst") == sink), F.lit(1.0) * F.greatest(F.col("_n") - 1, F.lit(1))).when(F.col("_sinks"), F.lit(1.0)).otherwise(pull)
-    return known.withColumn("_pull", pull).select("src", "dst", (F.col("_pull") / F.sum("_pull").over(by)).alias("share"))
+    known = (
+        one.join(hops, "dst", "left")
+        .withColumn("_only", F.min(F.col("src") == F.col("dst")).over(by))
+        .withColumn("_sinks", F.max(F.col("dst") == sink).over(by))
+        .withColumn("_n", F.sum((F.col("dst") != sink).cast("long")).over(by))
+    )
+    pull = F.coalesce(F.col("hops").cast("double"), F.lit(0.0)) * F.when(F.col("dst").isin(priority), F.lit(favour)).otherwise(1.0)
+    share = (
+        F.when(F.col("_only"), F.lit(1.0))
+        .when(F.col("_sinks") & (F.col("dst") == sink), F.lit(1 - kept))
+        .when(F.col("_sinks"), F.lit(kept) / F.col("_n"))
+        .otherwise(pull / F.sum(pull).over(by))
+    )
+    return known.select("src", "dst", share.alias("share")).filter("share > 0")
 
 
 def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-12) -> DataFrame:
-    """state, value: fixed vector of damping * M + (1 - damping) / N, of length 1. Power rounds; the even part stays a scalar."""
-    states = cut(matrix.select(F.col("src").alias("state")).unionByName(matrix.select(F.col("dst").alias("state"))).distinct())
-    n = states.count()
-    if not n:
-        return states.withColumn("value", F.lit(0.0))
-    vector = states.withColumn("value", F.lit(1.0 / n))
-    while True:
-        sent = matrix.join(vector.withColumnRenamed("state", "src"), "src").groupBy(F.col("dst").alias("state")).agg(F.sum(F.col("share") * F.col("value")).alias("_in"))
-        new = damping * F.coalesce("_in", F.lit(0.0)) + (1 - damping) / n
-        step = cut(vector.join(sent, "state", "left").select("state", new.alias("value"), F.abs(new - F.col("value")).alias("_gap")))
-        vector = step.drop("_gap")
-        if step.agg(F.sum("_gap")).first()[0] < tolerance:
-            length = vector.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_l"))
-            return vector.crossJoin(F.broadcast(length)).select("state", (F.col("value") / F.col("_l")).alias("value"))
+    """state, value: the leading vector of damping * M + (1 - damping) / N, of length 1. Power rounds; the even part stays a scalar.
+
+    Columns of M need not sum to 1; each round is scaled to the sum 1. The vector is one row a state.
+    """
+    with Scratch(matrix.sparkSession) as scratch:
+        shares = scratch.keep(matrix.select("src", "dst", "share"))
+        states = scratch.keep(shares.select(F.col("src").alias("state")).unionByName(shares.select(F.col("dst").alias("state"))).distinct())
+        n = states.count()
+        if not n:
+            return cut(states.withColumn("value", F.lit(0.0)))
+        vector = scratch.keep(states.withColumn("value", F.lit(1.0 / n)))
+        while True:
+            sent = shares.join(vector.withColumnRenamed("state", "src"), "src").groupBy(F.col("dst").alias("state")).agg(F.sum(F.col("share") * F.col("value")).alias("_in"))
+            new = damping * F.coalesce("_in", F.lit(0.0)) + (1 - damping) / n
+            step = scratch.keep(vector.join(sent, "state", "left").select("state", new.alias("value"), F.col("value").alias("_was")))
+            scratch.remove(scratch.n - 1)
+            total = step.agg(F.sum("value")).first()[0]
+            vector = step.select("state", (F.col("value") / total).alias("value"))
+            if step.agg(F.sum(F.abs(F.col("value") / total - F.col("_was")))).first()[0] < tolerance:
+                length = step.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
+                return cut(step.select("state", (F.col("value") / length).alias("value")))
 
 
 def segment_flows(vector: DataFrame, known_flow: float, known_state: int, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridefield.operators.graph import connected_components
+from stridefield.operators.lineage import Scratch, cut
 
 KEY = ["image_id", "row", "col"]
 _FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
@@ -90,21 +91,25 @@ def nms(detections: DataFrame, distance: float = 10) -> DataFrame:
     Rounds instead of one task per image: detections are dealt to cells as wide as the distance; in each round those without
     a stronger undecided neighbour stay and their neighbours go. One count per round comes to the driver.
     """
-    from stridefield.operators.lineage import cut
-
-    cell = lambda c: F.floor(F.col(c) / distance)
-    base = cut(detections.select("image_id", "det_id", (F.col("x") + F.col("w") / 2).alias("_x"), (F.col("y") + F.col("h") / 2).alias("_y"), "score"))
-    left = base.withColumn("_cx", F.explode(F.sequence(cell("_x") - 1, cell("_x") + 1))).withColumn("_cy", F.explode(F.sequence(cell("_y") - 1, cell("_y") + 1)))
-    right = base.select("image_id", F.col("det_id").alias("over"), F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("score").alias("_s"), cell("_x").alias("_cx"), cell("_y").alias("_cy"))
-    near = F.hypot(F.col("_x") - F.col("_u"), F.col("_y") - F.col("_v")) <= distance
-    stronger = (F.col("_s") > F.col("score")) | ((F.col("_s") == F.col("score")) & (F.col("over") < F.col("det_id")))
-    over = cut(left.join(right, ["image_id", "_cx", "_cy"]).filter(near & stronger).select("image_id", "det_id", "over"))
-    todo, kept = base.select("image_id", "det_id"), base.select("image_id", "det_id").limit(0)
-    while True:
-        waits = over.join(todo.withColumnRenamed("det_id", "over"), ["image_id", "over"], "left_semi").select("image_id", "det_id")
-        free = cut(todo.join(waits, ["image_id", "det_id"], "left_anti"))
-        if free.isEmpty():
-            return detections.join(kept, ["image_id", "det_id"], "left_semi")
-        kept = kept.unionByName(free)
-        gone = over.join(free.withColumnRenamed("det_id", "over"), ["image_id", "over"], "left_semi").select("image_id", "det_id")
-        todo = cut(todo.join(free.unionByName(gone), ["image_id", "det_id"], "left_anti"))
+    with Scratch(detections.sparkSession) as scratch:
+        cell = lambda c: F.floor(F.col(c) / distance)
+        middle = lambda c, n: (F.col(c) + F.floor(F.col(n) / 2)).cast("double")
+        base = scratch.keep(detections.select("image_id", "det_id", middle("x", "w").alias("_x"), middle("y", "h").alias("_y"), "score"))
+        left = base.withColumn("_cx", F.explode(F.sequence(cell("_x") - 1, cell("_x") + 1))).withColumn("_cy", F.explode(F.sequence(cell("_y") - 1, cell("_y") + 1)))
+        right = base.select("image_id", F.col("det_id").alias("over"), F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("score").alias("_s"), cell("_x").alias("_cx"), cell("_y").alias("_cy"))
+        near = F.hypot(F.col("_x") - F.col("_u"), F.col("_y") - F.col("_v")) <= distance
+        stronger = (F.col("_s") > F.col("score")) | ((F.col("_s") == F.col("score")) & (F.col("over") < F.col("det_id")))
+        over = scratch.keep(left.join(right, ["image_id", "_cx", "_cy"]).filter(near & stronger).select("image_id", "det_id", "over"))
+        todo, kept = base.select("image_id", "det_id"), []
+        while True:
+            waits = over.join(todo.withColumnRenamed("det_id", "over"), ["image_id", "over"], "left_semi").select("image_id", "det_id")
+            free = scratch.keep(todo.join(waits, ["image_id", "det_id"], "left_anti"))
+            if free.isEmpty():
+                break
+            kept.append(free)
+            gone = over.join(free.withColumnRenamed("det_id", "over"), ["image_id", "over"], "left_semi").select("image_id", "det_id")
+            todo = scratch.keep(todo.join(free.unionByName(gone), ["image_id", "det_id"], "left_anti"))
+        found = todo.limit(0)
+        for free in kept:
+            found = found.unionByName(free)
+        return detections.join(cut(found), ["image_id", "det_id"], "left_semi")

@@ -158,6 +158,70 @@ def test_utm(spark):
     assert arc / 0.9996 == pytest.approx(4984944.378, abs=0.01)
 
 
+# The states that each state leads to (the last is the sink), and the published steady vector
+FLOW_ARCS = [
+    [4, 37], [2, 37], [1, 5], [6, 37], [0, 5, 21], [2, 4, 6, 14], [3, 5, 7, 10], [6, 8, 11], [7, 8, 12], [8, 37], [6, 11, 15], [7, 10, 12, 16],
+    [8, 11, 13, 19], [12, 37], [5, 15, 24], [10, 14, 16, 17], [11, 15, 18], [15, 18, 26], [16, 17, 19, 27], [12, 18, 20, 28], [19, 37], [22, 37],
+    [4, 21, 23], [22, 24, 30], [14, 23, 25], [24, 26, 31], [17, 25, 27, 32], [18, 26, 28], [19, 27, 29], [28, 37], [23, 31, 35], [24, 30, 32],
+    [25, 31, 33, 36], [34, 37], [30, 33, 35], [32, 34, 36], [36, 37], [37],
+]
+FLOW_VALUES = """1.509932437447518080e-02
+1.467028032397122046e-02
+3.573342821105624650e-02
+1.552674111541088066e-02
+4.532906663438272116e-02
+1.466747388456740298e-01
+9.683193063783811227e-02
+9.600019801153572563e-02
+5.760438705291810041e-02
+8.822992071252843890e-03
+8.070499219881059616e-02
+9.854513019178129385e-02
+5.506213957605743392e-02
+1.432920602885858624e-02
+2.164497849310203503e-01
+2.018701326905072979e-01
+1.006435829959344136e-01
+1.015054258741207444e-01
+9.813618447245439635e-02
+6.423590230127261547e-02
+1.604953108014603447e-02
+1.980060867477495545e-02
+3.134189533533218025e-02
+8.316384609152016605e-02
+1.835042421428063619e-01
+8.490298371024070090e-02
+1.017770409849806101e-01
+8.686407342345188465e-02
+4.589146591408459208e-02
+1.368208846215591967e-02
+5.614384188810805226e-02
+5.918826441039780339e-02
+4.277371543662315811e-02
+1.776166080424351409e-02
+2.751083830913699999e-02
+2.970860798881828566e-02
+3.451378999247323165e-02
+8.543829238874589560e-01"""
+
+
+def test_published_steady_vector(spark):
+    arcs = spark.createDataFrame([(i, j) for i, ends in enumerate(FLOW_ARCS) for j in ends], "src long, dst long")
+    matrix = graph.transition_matrix(arcs, 37, [5, 6, 7, 14, 15, 19, 24, 26, 27], directed=True)
+    found = {r.state: r.value for r in graph.steady_state(matrix).collect()}
+    assert all(abs(found[i] - float(v)) < 1e-9 for i, v in enumerate(FLOW_VALUES.split()))
+
+
+def test_components_of_a_long_path(spark):
+    """A path of 5,000 nodes in the order of its ids and one in a mixed order: few rounds, and size estimates stay small."""
+    n = 5000
+    rows = [(i, i + 1) for i in range(n - 1)] + [(n + i * 7919 % n, n + (i + 1) * 7919 % n) for i in range(n - 1)]
+    arcs = spark.createDataFrame(rows, "src long, dst long")
+    found = graph.connected_components(arcs)
+    assert sorted((r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()) == [(0, n), (n, n)]
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**11
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "point_id long, x double, y double")
     assert spatial.nearest_nodes(none, spark.createDataFrame([], "node_id long, x double, y double, ord long")).count() == 0
