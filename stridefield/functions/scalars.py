@@ -41,13 +41,16 @@ def bearing(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.atan2(y2 - y1, x2 - x1)
 
 
-def wind_adjustment(speed: Column, direction: Column, bearing_rad: Column) -> Column:
-    """0 below 5 mph, else half the wind's part along the segment."""
-    return F.when(speed < 5, F.lit(0.0)).otherwise(0.5 * speed * F.cos(F.radians(direction) - bearing_rad))
+def wind_adjustment(speed: Column, direction: Column, bearing_rad: Column, mode: str = "intended") -> Column:
+    """0 below 5 mph, else half the wind's part along the segment; ``as_written`` takes the bearing's radians from degrees."""
+    angle = F.radians(direction - bearing_rad) if mode == "as_written" else F.radians(direction) - bearing_rad
+    return F.when(speed < 5, F.lit(0.0)).otherwise(0.5 * speed * F.cos(angle))
 
 
-def rain_slowdown(inches: Column) -> Column:
-    """Share of speed lost by inches of rain."""
+def rain_slowdown(inches: Column, mode: str = "intended") -> Column:
+    """Share of speed lost by inches of rain; ``as_written`` gives 0.5 under 0.01 inches and 0 from there on."""
+    if mode == "as_written":
+        return F.when(inches < 0.01, 0.5).otherwise(0.0)
     return (
         F.when(inches < 0.01, 0.0).when(inches <= 0.1, 0.1).when(inches <= 0.3, 0.2).when(inches <= 2, 0.3).otherwise(0.5)
     )
@@ -83,12 +86,14 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 
 
 def utm_project(lon: Column, lat: Column, zone: Column) -> Column:
-    """easting, northing in metres on WGS84 by the Krueger series to the third order."""
+    """easting, northing in metres on WGS84 by the Krueger series to the fourth order."""
     # Semi-major axis and flattening of WGS84, scale on the meridian
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     n = f / (2 - f)
     radius = k0 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    alpha = (
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280,
+    )
     e = 2 * n**0.5 / (1 + n)
     s, away = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
     t = F.sinh(F.atanh(s) - e * F.atanh(e * s))

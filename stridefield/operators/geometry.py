@@ -120,18 +120,27 @@ def polygon_iou(ring_a: Column, ring_b: Column) -> Column:
 
 
 def best_alignment(pairs: DataFrame, step: int = 1) -> DataFrame:
-    """building_id, angle, reflected, iou: the best of the turns by ``step`` degrees from -180, each plain and reflected; the first wins ties.
+    """building_id, angle, reflected, iou: the best of the turns by ``step`` degrees from -180, each plain and then mirrored in y; the first wins ties.
 
-    pairs: building_id, outline and plan rings, both about their centroid at 0. Candidates are spread by (building, angle).
+    pairs: building_id, outline and plan rings, both about their centroid at 0; ``plan`` is turned. Candidates are spread by
+    (building, angle); the overlap is a sum over pairs of sides, which are rows, added up where they are made.
     """
     tried = pairs.withColumn("angle", F.explode(F.sequence(F.lit(-180), F.lit(179), F.lit(step)))).repartition("building_id", "angle")
     tried = tried.withColumn("reflected", F.explode(F.array(F.lit(False), F.lit(True))))
 
     def turned(p: Column) -> Column:
         x, y = rotate(p["x"], p["y"], F.col("angle"), F.lit(0.0), F.lit(0.0))
-        return F.struct(F.when(F.col("reflected"), -x).otherwise(x).alias("x"), y.alias("y"))
-
-    scored = tried.withColumn("_turned", F.transform("plan", turned)).withColumn("iou", polygon_iou(F.col("outline"), F.col("_turned")))
-    key = F.struct("iou", -F.col("angle"), ~F.col("reflected"))
-    best = scored.groupBy("building_id").agg(F.max_by(F.struct("angle", "reflected", "iou"), key).alias("b"))
+        return F.struct(x.alias("x"), F.when(F.col("reflected"), -y).otherwise(y).alias("y"))
+
+    low = lambda ring: F.array_min(F.transform(ring, lambda p: p["y"]))
+    placed = tried.withColumn("_turned", F.transform("plan", turned)).withColumn("_base", F.least(low(F.col("outline")), low(F.col("_turned"))))
+    areas = F.abs(_signed(F.col("outline"))) + F.abs(_signed(F.col("_turned")))
+    key = ["building_id", "angle", "reflected"]
+    sides = placed.select(*key, areas.alias("_areas"), "_base", _sides(F.col("_turned")).alias("_q"), F.explode(_sides(F.col("outline"))).alias("_p")).withColumn("_q", F.explode("_q"))
+    shared = sides.groupBy(*key).agg(F.abs(F.sum(_under_both(F.col("_p"), F.col("_q"), F.col("_base")))).alias("_shared"), F.first("_areas").alias("_areas"))
+    union = F.col("_areas") - F.col("_shared")
+    iou = F.when(union > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_shared") / union))).otherwise(0.0)
+    scored = shared.select(*key, iou.alias("iou"))
+    order = F.struct(F.round("iou", 12), -F.col("angle"), ~F.col("reflected"))
+    best = scored.groupBy("building_id").agg(F.max_by(F.struct("angle", "reflected", "iou"), order).alias("b"))
     return best.select("building_id", "b.angle", "b.reflected", "b.iou")

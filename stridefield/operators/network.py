@@ -42,7 +42,12 @@ def undirected_arcs(edges: DataFrame) -> DataFrame:
     )
 
 
-def filter_walkable(ways: DataFrame, kinds: list[str]) -> DataFrame:
+# Highway tags of ways that can be walked
+WALKABLE = ("unclassified", "residential", "service", "living_street", "pedestrian", "footway", "cycleway", "path", "track", "bridleway", "steps")
+
+
+def filter_walkable(ways: DataFrame, kinds: tuple[str, ...] = WALKABLE) -> DataFrame:
+    """Ways whose highway tag is one of ``kinds``."""
     return ways.filter(F.col("tags")["highway"].isin(kinds))
 
 
@@ -104,9 +109,16 @@ def building_entrance_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def buildings(vertices: DataFrame) -> DataFrame:
-    """building_id, polygons: outlines (vertices by pos) of the ways of one label. vertices: building_id, way_id, pos, lat, lon."""
+    """building_id, polygons, entrances: outlines (vertices by pos) of the ways of one label, and the places of their vertices tagged
+    entrance, both by way and pos. vertices: building_id, way_id, pos, lat, lon, and is_entrance (without it there are none)."""
+    if "is_entrance" not in vertices.columns:
+        vertices = vertices.withColumn("is_entrance", F.lit(False))
     outline = vertices.groupBy("building_id", "way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))).alias("ring"))
-    return outline.groupBy("building_id").agg(F.sort_array(F.collect_list(F.struct("way_id", "ring"))).alias("polygons"))
+    doors = vertices.filter("is_entrance").groupBy("building_id").agg(F.sort_array(F.collect_list(F.struct("way_id", "pos", "lat", "lon"))).alias("entrances"))
+    polygons = outline.groupBy("building_id").agg(F.sort_array(F.collect_list(F.struct("way_id", "ring"))).alias("polygons"))
+    known = polygons.join(doors, "building_id", "left")
+    none = F.array().cast(doors.schema["entrances"].dataType)
+    return known.select("building_id", "polygons", F.coalesce("entrances", none).alias("entrances"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -60,6 +60,13 @@ def grid_graph(pixels: DataFrame, connectivity: int = 4, value: int = 255) -> Da
     return dealt.join(white, KEY).select("image_id", F.col("from_row").alias("row"), F.col("from_col").alias("col"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), cost.alias("cost"))
 
 
+def relative_places(pixels: DataFrame) -> DataFrame:
+    """pixels with rel_x = col / columns and rel_y = row / rows of their image, as a graph's nodes carry them."""
+    size = pixels.groupBy("image_id").agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"))
+    known = pixels.join(size, "image_id")
+    return known.select(*pixels.columns, (F.col("col") / F.col("_cols")).alias("rel_x"), (F.col("row") / F.col("_rows")).alias("rel_y"))
+
+
 def remove_small_components(pixels: DataFrame, k: int = 3, value: int = 255) -> DataFrame:
     """White 8-connected groups of at most k pixels turn to the other value."""
     end = lambda r, c: F.struct("image_id", F.col(r).alias("row"), F.col(c).alias("col"))

@@ -43,12 +43,13 @@ def risk_matrix(grid: DataFrame) -> DataFrame:
 
 
 def edge_weights(
-    edges: DataFrame, flows: DataFrame | None = None, risk: DataFrame | None = None, weather: DataFrame | None = None, safe: bool = False, biking: float = 1.0
+    edges: DataFrame, flows: DataFrame | None = None, risk: DataFrame | None = None, weather: DataFrame | None = None, safe: bool = False, biking: float = 1.0,
+    mode: str = "intended",
 ) -> DataFrame:
     """edges (edge_id, baseline_weight, bearing) with ``weight``, always from the baseline.
 
     Transport, traffic (0.01 * baseline * summed flow), safety (baseline * multiplier), weather (baseline * wind * rain, of
-    the one row of ``weather``), then never below 0. Flows are summed per edge before the join; risk has one row per edge.
+    the latest row of ``weather``, by ``mode``), then never below 0. Flows are summed per edge before the join; risk has one row per edge.
     """
     base, out = F.col("baseline_weight"), edges
     total = base * F.lit(biking)
@@ -62,6 +63,6 @@ def edge_weights(
         # a global aggregate: one row whatever the input
         now = weather.agg(F.max(F.struct("ts", "wind_speed", "wind_direction", "precipitation")).alias("_w"))
         out = out.crossJoin(F.broadcast(now))
-        term = wind_adjustment(F.col("_w.wind_speed"), F.col("_w.wind_direction"), F.col("bearing")) * rain_slowdown(F.col("_w.precipitation"))
+        term = wind_adjustment(F.col("_w.wind_speed"), F.col("_w.wind_direction"), F.col("bearing"), mode) * rain_slowdown(F.col("_w.precipitation"), mode)
         total = total + base * F.coalesce(term, F.lit(0.0))
     return out.withColumn("weight", F.greatest(F.lit(0.0), total)).drop("_flow", "_risk", "_w")

@@ -35,12 +35,12 @@ def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_id").alias("way_id"), refs.alias("node_refs"), _tags(F.col("tag")).alias("tags"))
 
 
-def split_osm(nodes: DataFrame, ways: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def split_osm(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Nodes, walkable ways, building ways, and entrance nodes on a building outline."""
     from stridefield.operators import network
 
     buildings = network.filter_buildings(ways)
-    return nodes, network.filter_walkable(ways, kinds), buildings, network.building_entrance_nodes(nodes, buildings)
+    return nodes, network.filter_walkable(ways), buildings, network.building_entrance_nodes(nodes, buildings)
 
 
 def write_osm(df: DataFrame, path: str, row_tag: str, kept: tuple[str, ...] = KEPT_TAGS) -> None:
