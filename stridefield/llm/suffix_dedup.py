@@ -3,7 +3,7 @@
 Suffixes are told apart only through their first 200 bytes. The first digit of a suffix is the 64-byte
 gram of least hash inside those bytes: equal suffixes have it at the same offset, and neighbouring
 suffixes share it, so one row stands for a run of them (about one for 70 bytes). The next digits are the offsets and
-the string of the whole run, then of aligned parts of 16 suffixes, then of single ones. Each pass deals rows by the digits so far and
+the string of the whole run, then of aligned parts of 16 suffixes (first the bytes that all of them share), then of single ones. Each pass deals rows by the digits so far and
 drops what is decided: a string that stands twice is repeated with all its suffixes; of what stands alone
 only parts that others share the digits with go on to the next pass. What stands alone in the last pass, or alone under its digits
 before, is no repeated window; all other windows of grams that occur twice are.
@@ -34,6 +34,7 @@ _rng = np.random.default_rng(4099)
 _TABLES = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = tuple(int(x) * 8 + 5 for x in _rng.integers(1 << 40, 1 << 60, 2))
 _MASK = (1 << 64) - 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -133,9 +134,13 @@ def _find_runs(marks):
 
 
 def split(raw: bytes, strings: list[dict], width: int) -> list[dict]:
-    """Strings (gram, place, many) of a text cut into aligned parts of ``width`` offsets, with the hash of each part."""
+    """Strings (gram, place, many) of a text cut into aligned parts of ``width`` offsets, with the hash of each part.
+
+    All windows that a part can have share its core, so two parts have a window in common only if their cores are equal:
+    the core becomes a digit, mixed into ``gram``.
+    """
     data = np.frombuffer(raw, np.uint8)
-    prefix = _prefix(data, 1)
+    cores, prefix = _prefix(data, 0), _prefix(data, 1)
     gram, place, many = (np.array([s[c] for s in strings]) for c in ("gram", "place", "many"))
     place = place.astype(np.int64) & _PLACE
     start, count, offset = place >> 16, (place >> 8 & 255) + 1, place & 255
@@ -148,10 +153,13 @@ def split(raw: bytes, strings: list[dict], width: int) -> list[dict]:
     low = np.maximum(least[of], block * width)
     begin = start[of] + offset[of] - top
     x = _strings(prefix, begin, begin + top - low + DEPTH).view(np.int64)
+    first = start[of] + offset[of] - block * width
+    core = _strings(cores, first, first - width + 1 + DEPTH)
+    digit = ((gram[of].view(np.uint64) ^ (core >> np.uint64(29))) * _MIX + core).view(np.int64)
     check = _check(raw)
     return [
         {"gram": g, "x": h, "place": p | check, "many": m}
-        for g, h, p, m in zip(gram[of].tolist(), x.tolist(), places(begin, top - low + 1, top).tolist(), many[of].tolist(), strict=True)
+        for g, h, p, m in zip(digit.tolist(), x.tolist(), places(begin, top - low + 1, top).tolist(), many[of].tolist(), strict=True)
     ]
 
 
