@@ -46,21 +46,21 @@ def flow_at(profile: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(lists, "weekday", "left").withColumn("avg_count", near["c"]).drop("_slots", "_at")
 
 
-def weather_asof(requests: DataFrame, readings: DataFrame, tolerance: int = 3600) -> DataFrame:
+def weather_asof(requests: DataFrame, readings: DataFrame, tolerance: int = 3600, slices: int = 60) -> DataFrame:
     """Each request (request_id, ts) with the latest reading (ts, values) at most ``tolerance`` seconds old, else nulls.
 
-    Time is cut into buckets as long as the tolerance and a reading is put in its own and the next one, so one shuffle on
-    the bucket finds it. Of readings at one time the greatest struct counts.
+    Time is cut into slices, ``slices`` to the tolerance, and a reading is put in each slice in which it can still count; so one
+    shuffle on the slice finds it, and a task has the requests of a slice only. Of readings at one time the greatest struct counts.
     """
     values = [c for c in readings.columns if c != "ts"]
     second = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     span = tolerance * 1_000_000
+    width = max(1, span // slices)
     both = F.struct(second("ts").alias("at"), *values)
-    known = readings.groupBy("ts").agg(F.max(both).alias("_r")).select(
-        F.explode(F.array(F.floor(second("ts") / span), F.floor(second("ts") / span) + 1)).alias("_b"), second("ts").alias("_t"), F.lit(0).alias("_k"), "_r"
-    )
+    reach = F.sequence(F.floor(second("ts") / width), F.floor((second("ts") + span) / width))
+    known = readings.groupBy("ts").agg(F.max(both).alias("_r")).select(F.explode(reach).alias("_b"), second("ts").alias("_t"), F.lit(0).alias("_k"), "_r")
     asked = requests.select(
-        F.floor(second("ts") / span).alias("_b"), second("ts").alias("_t"), F.lit(1).alias("_k"), F.struct(*requests.columns).alias("_q")
+        F.floor(second("ts") / width).alias("_b"), second("ts").alias("_t"), F.lit(1).alias("_k"), F.struct(*requests.columns).alias("_q")
     )
     latest = F.last("_r", ignorenulls=True).over(Window.partitionBy("_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0))
     merged = asked.unionByName(known, allowMissingColumns=True).withColumn("_r", latest).filter("_k = 1")

@@ -10,26 +10,29 @@ from stridefield.operators import network
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 97 <> 0")
-    return part.selectExpr(
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
         "p_partkey AS node_id",
         "-121.762e0 + ((p_partkey * 7919) % 10007) / 10007e0 * 0.017e0 AS lon",
         "38.534e0 + ((p_partkey * 104729) % 10009) / 10009e0 * 0.0125e0 AS lat",
     )
 
 
+#: The node a line refers to; some refer to one that doesn't exist.
+REF = "l_partkey + CASE WHEN l_partkey % 97 = 0 THEN 1000000000 ELSE 0 END"
+
+
 def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    refs = F.transform(F.sort_array(F.collect_list(key)), lambda x: x["l_partkey"])
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ref", F.expr(REF))
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "ref")
+    refs = F.transform(F.sort_array(F.collect_list(key)), lambda x: x["ref"])
     return lines.groupBy(F.col("l_orderkey").alias("way_id")).agg(refs.alias("node_refs"))
 
 
 NODES_SQL = """nodes AS (SELECT p_partkey AS node_id,
   -121.762e0 + ((p_partkey * 7919) % 10007) / 10007e0 * 0.017e0 AS lon,
-  38.534e0 + ((p_partkey * 104729) % 10009) / 10009e0 * 0.0125e0 AS lat FROM part WHERE p_partkey % 97 <> 0)"""
-SEGMENTS_SQL = """seg AS (SELECT * FROM (SELECT l_orderkey AS way_id, l_partkey AS src,
-  row_number() OVER w - 1 AS pos, lead(l_partkey) OVER w AS dst FROM lineitem
+  38.534e0 + ((p_partkey * 104729) % 10009) / 10009e0 * 0.0125e0 AS lat FROM part)"""
+SEGMENTS_SQL = f"""seg AS (SELECT * FROM (SELECT l_orderkey AS way_id, {REF} AS src,
+  row_number() OVER w - 1 AS pos, lead({REF}) OVER w AS dst FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) WHERE dst IS NOT NULL)"""
 EDGES_SQL = f"""WITH {NODES_SQL}, {SEGMENTS_SQL},
 r AS (SELECT seg.*, 2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2)

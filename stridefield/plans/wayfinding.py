@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stridefield.functions import scalars
 from stridefield.operators import geometry, graph, network, pixels, routes, spatial, temporal, weights
-from stridefield.plans.queries import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, _edges, _nodes, _ways
+from stridefield.plans.queries import EDGES_SQL, NODES_SQL, REF, SEGMENTS_SQL, _edges, _nodes, _ways
 
 BOUNDS = (38.534, 38.5465, -121.762, -121.745)
 N = weights.CELLS
@@ -202,15 +202,15 @@ def largest_component_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def least_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost in whole seconds from the node of each nation to that of another one, over the walking network."""
+    """Cost in whole seconds from the node of each customer's nation to a node of its own, over the walking network."""
     arcs = network.undirected_arcs(_edges(spark, sf_dir)).select("src", "dst", F.round("baseline_weight").alias("weight"))
-    asked = _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS request_id", "n_nationkey AS source", "(n_nationkey * 7 + 3) % 50 AS target")
+    asked = _read(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", "c_nationkey AS source", "c_custkey * 31 % 1999 AS target")
     return graph.shortest_paths(arcs, asked).select("request_id", "cost")
 
 
 COSTS_SQL = EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, arcs AS (SELECT lo AS src, hi AS dst, round(w) AS w FROM e UNION ALL SELECT hi, lo, round(w) FROM e),
-q AS (SELECT n_nationkey AS request_id, n_nationkey AS source, (n_nationkey * 7 + 3) % 50 AS target FROM nation),
-d(source, node, cost) USING KEY (source, node) AS (SELECT source, source, 0e0 FROM q UNION (
+q AS (SELECT c_custkey AS request_id, c_nationkey AS source, c_custkey * 31 % 1999 AS target FROM customer),
+d(source, node, cost) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0e0 FROM q UNION (
   SELECT DISTINCT ON (x.source, e.dst) x.source, e.dst, x.cost + e.w AS c FROM d x JOIN arcs e ON e.src = x.node
   LEFT JOIN recurring.d o ON o.source = x.source AND o.node = e.dst WHERE o.cost IS NULL OR x.cost + e.w < o.cost ORDER BY x.source, e.dst, c))
 SELECT request_id, cost FROM q LEFT JOIN d ON d.source = q.source AND d.node = q.target"""
@@ -243,7 +243,11 @@ def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- buildings
 def _buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ways(spark, sf_dir).filter("way_id % 10 = 0").withColumn("tags", F.when(F.col("way_id") % 3 == 0, F.create_map(F.lit("building"), F.lit("yes"), F.lit("name"), F.concat(F.lit("b"), (F.col("way_id") % 50).cast("string")))).otherwise(F.create_map(F.lit("building"), F.lit("yes"))))
+    """All ways; one in ten is a building, one in three has a name."""
+    none = F.create_map().cast("map<string,string>")
+    building = F.when(F.col("way_id") % 10 == 0, F.create_map(F.lit("building"), F.lit("yes"))).otherwise(none)
+    name = F.when(F.col("way_id") % 3 == 0, F.create_map(F.lit("name"), F.concat(F.lit("b"), (F.col("way_id") % 50).cast("string")))).otherwise(none)
+    return _ways(spark, sf_dir).withColumn("tags", F.map_concat(building, name))
 
 
 def buildings_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,18 +262,25 @@ def building_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "supplier").selectExpr("s_nationkey AS building_id", "s_suppkey AS entrance_pos", *_columns("s_suppkey", 1013, 4001))
+    """Four doors a building, whatever the scale."""
+    return _read(spark, sf_dir, "supplier").selectExpr("s_suppkey div 4 AS building_id", "s_suppkey AS entrance_pos", *_columns("s_suppkey", 1013, 4001))
+
+
+def _guests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the number of buildings, n."""
+    n = _read(spark, sf_dir, "supplier").agg(F.expr("count(*) div 4 AS n"))
+    return _read(spark, sf_dir, "customer").crossJoin(F.broadcast(n))
 
 
 def entrance_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _read(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", "c_nationkey AS building_id", *_columns("c_custkey", 3001, 5003))
+    asked = _guests(spark, sf_dir).selectExpr("c_custkey AS request_id", "c_custkey % n AS building_id", *_columns("c_custkey", 3001, 5003))
     ranked = routes.rank_entrances(asked.withColumnsRenamed({"lat": "y", "lon": "x"}), _doors(spark, sf_dir))
     return ranked.select("request_id", "entrance_pos", F.round("distance", 4).alias("distance"), "rank")
 
 
 def cheapest_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest pair of doors between a customer's nation and the next one."""
-    asked = _read(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", "c_nationkey AS building1", "(c_nationkey + 1) % 25 AS building2")
+    """The cheapest pair of doors between a customer's building and the next one."""
+    asked = _guests(spark, sf_dir).selectExpr("c_custkey AS request_id", "c_custkey % n AS building1", "(c_custkey + 1) % n AS building2")
     pairs = routes.entrance_pairs(asked, _doors(spark, sf_dir)).selectExpr("*", "0e0 + (request_id * 7 + pos1) % 100 AS start_pixels", "0e0 + (request_id * 3 + pos2) % 100 AS end_pixels")
     ranked = routes.rank_entrance_pairs(pairs).withColumn("cost", F.round("total", 4))
     return routes.cheapest_route(ranked.select("request_id", "pos1", "pos2", "cost", "rank")).select("request_id", "cost")
@@ -357,10 +368,13 @@ def without_specks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.remove_small_components(_pixels(spark, sf_dir))
 
 
+_DET = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey AS image_id", "l_partkey % 200 AS x", "l_orderkey % 200 AS y", "(1 + l_linenumber % 10) / 10e0 AS scale",
-        "CAST(round(l_discount * 100) AS BIGINT) AS score", "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS det_id", "8L AS w", "8L AS h",
+        "CAST(round(l_discount * 100) AS BIGINT) AS score", f"{_DET} AS det_id", "8L AS w", "8L AS h",
     )
 
 
@@ -383,8 +397,9 @@ QUERIES = {
 }
 
 _DAY_COLUMNS = ", ".join(f"round(max(c) FILTER (weekday = '{d}') / 10000, 4) AS {d}" for d in temporal.DAYS)
-_DOORS_SQL = f"doors AS (SELECT s_nationkey AS building_id, s_suppkey AS entrance_pos, {_at('s_suppkey', 1013, 4001)} FROM supplier)"
-_B_SQL = f"WITH {NODES_SQL}, b AS (SELECT l_orderkey AS way_id, l_partkey AS node_id FROM lineitem WHERE l_orderkey % 10 = 0) "
+_DOORS_SQL = f"""doors AS (SELECT s_suppkey // 4 AS building_id, s_suppkey AS entrance_pos, {_at('s_suppkey', 1013, 4001)} FROM supplier),
+  g AS (SELECT *, (SELECT count(*) // 4 FROM supplier) AS n FROM customer)"""
+_B_SQL = f"WITH {NODES_SQL}, b AS (SELECT l_orderkey AS way_id, {REF} AS node_id FROM lineitem) "
 
 ORACLES = {
     "edges_inside_polygons": R_SQL + "SELECT polygon_id, edge_id FROM r, z WHERE least(x1, x2) > w AND greatest(x1, x2) < e AND least(y1, y2) > s AND greatest(y1, y2) < n",
@@ -417,17 +432,17 @@ ORACLES = {
     round(c - (d - c) * 0.05e0, 9) AS min_lon, round(d + (d - c) * 0.05e0, 9) AS max_lon FROM b""",
     "adjacency_lists": EDGES_SQL + """SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM
   (SELECT lo AS src, hi AS dst FROM e UNION ALL SELECT hi, lo FROM e) GROUP BY src""",
-    "buildings_of_nodes": _B_SQL + "SELECT DISTINCT node_id, CASE WHEN way_id % 3 = 0 THEN 'b' || CAST(way_id % 50 AS VARCHAR) ELSE CAST(way_id AS VARCHAR) END AS building_id FROM b",
+    "buildings_of_nodes": _B_SQL + "SELECT DISTINCT node_id, CASE WHEN way_id % 3 = 0 THEN 'b' || CAST(way_id % 50 AS VARCHAR) ELSE CAST(way_id AS VARCHAR) END AS building_id FROM b WHERE way_id % 10 = 0",
     "building_vertices": _B_SQL + """SELECT way_id, count(n.node_id) AS n_found, count(*) - count(n.node_id) AS n_missing
   FROM b LEFT JOIN nodes n USING (node_id) GROUP BY way_id""",
-    "entrance_ranks": f"""WITH {_DOORS_SQL}, q AS (SELECT c_custkey AS request_id, c_nationkey AS building_id, {_at("c_custkey", 3001, 5003)} FROM customer),
+    "entrance_ranks": f"""WITH {_DOORS_SQL}, q AS (SELECT c_custkey AS request_id, c_custkey % n AS building_id, {_at("c_custkey", 3001, 5003)} FROM g),
   d AS (SELECT request_id, entrance_pos, {_feet("q.lat", "q.lon", "e.lat", "e.lon", scalars.RADIUS_M)} AS d FROM q JOIN doors e USING (building_id))
   SELECT request_id, entrance_pos, round(d, 4) AS distance, row_number() OVER (PARTITION BY request_id ORDER BY d, entrance_pos) AS rank FROM d""",
     "cheapest_doors": f"""WITH {_DOORS_SQL}
   SELECT c_custkey AS request_id, round(min((((c_custkey * 7 + a.entrance_pos) % 100) + ((c_custkey * 3 + b.entrance_pos) % 100)) / 15e0 / 1.4e0
     + {_feet("a.lat", "a.lon", "b.lat", "b.lon", scalars.RADIUS_M)} / 1.4e0), 4) AS cost
-  FROM customer JOIN doors a ON a.building_id = c_nationkey JOIN doors b ON b.building_id = (c_nationkey + 1) % 25 GROUP BY c_custkey""",
-    "way_lengths": f"""WITH {NODES_SQL}, o AS (SELECT l_orderkey AS way_id, l_partkey AS node_id,
+  FROM g JOIN doors a ON a.building_id = c_custkey % n JOIN doors b ON b.building_id = (c_custkey + 1) % n GROUP BY c_custkey""",
+    "way_lengths": f"""WITH {NODES_SQL}, o AS (SELECT l_orderkey AS way_id, {REF} AS node_id,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos FROM lineitem),
   p AS (SELECT way_id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM o JOIN nodes USING (node_id) WINDOW w AS (PARTITION BY way_id ORDER BY pos))
   SELECT way_id AS route_id, round(sum(coalesce({_feet("plat", "plon", "lat", "lon", scalars.RADIUS_M)} * CASE WHEN plat IS NULL THEN 0 ELSE 1 END, 0e0)), 4) AS length FROM p GROUP BY way_id""",
