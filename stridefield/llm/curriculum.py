@@ -109,6 +109,7 @@ def running_words(sized: DataFrame) -> DataFrame:
 
 
 def size_of(text: Column) -> Column:
+    """Words of a text (long); 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
@@ -120,8 +121,11 @@ def mix(sized: DataFrame, share: float = 1.5, most: int = 2, whole: bool = False
     target (rounded down to a word); with ``whole`` true a document is taken where the middle of it is due.
     positions: array<double>, the training time at which each pass over the document begins.
     Size 0 takes 0 words and no position. Rows of equal digest, doc_id and size are interchangeable,
-    unless ``sized`` has a _row, which then orders them. Further columns of ``sized`` are kept.
+    unless ``sized`` has a _row, which then orders them. Further columns of ``sized`` are kept, but those named like
+    columns made here are replaced. No rows give no rows; a null size counts as 0.
     """
+    sized = sized.drop("source_size", "target", "w0", "w1", "before", "taken", "positions", "_bucket", "_within", "_ahead", "_in", "_source")
+    sized = sized.withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
     targets = source_targets(sized, share, most)
     # targets: one row per source; AQE broadcasts them where they are small, and splits a hot source otherwise
     t = targets.select(F.col("source").alias("_source"), "source_size", "target", "w0", "w1")

@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 Each page is parsed into a tree inside its row. Paragraphs pass points for their length and commas to
-their ancestors (all to the parent, half to the next, then a third, ...), discounted by the share of
+their ancestors (all to the parent, half to the next, a quarter to the one above, ...), discounted by the share of
 their text inside links. The best container is kept together with those of its siblings that score
 well or read like prose. Menus, forms, scripts, adverts and the like are left out by tag or by class.
 
@@ -41,47 +41,73 @@ PRIOR = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "skip", "link", "score", "chars", "link_chars", "prior", "first", "last")
+    __slots__ = ("tag", "parent", "skip", "link", "prior", "own", "score", "chars", "link_chars", "first", "last")
 
     def __init__(self, tag: str, parent: "_Node | None", skip: bool, prior: float):
         self.tag, self.parent, self.skip, self.prior = tag, parent, skip, prior
         self.link = tag == "a" or (parent is not None and parent.link)
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
+        self.own = self.score = 0.0  # points given here, and with those passed up from below
+        self.chars, self.link_chars = 0, 0
         self.first = self.last = -1  # range of blocks inside
 
+    def take(self, chars: int, linked: int, first: int, last: int) -> None:
+        self.chars += chars
+        self.link_chars += linked
+        self.first = first if self.first < 0 else self.first
+        self.last = last
 
-def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """All elements, and the text blocks in page order with the block element that holds them."""
+
+class _Stack:
+    """The open elements, with the places of each tag and of blocks, so no step looks through the whole stack.
+
+    An element gives its sums to its parent when it closes.
+    """
+
+    def __init__(self, root: _Node):
+        self.open, self.at, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: _Node) -> None:
+        k = len(self.open)
+        self.open.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+
+    def close(self, k: int) -> None:
+        while len(self.open) > k:
+            node = self.open.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            if node.first >= 0:
+                node.parent.take(node.chars, node.link_chars, node.first, node.last)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of the tags, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
+def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All elements, and in page order the text blocks with the block element that holds them and the characters inside links."""
     root = _Node("html", None, False, 0.0)
     nodes, blocks = [root], []
-    stack = [root]
+    stack = _Stack(root)
     text: list[tuple[str, bool]] = []
 
-    def holder() -> _Node:
-        for node in reversed(stack):
-            if node.tag in BLOCK:
-                return node
-        return root
-
     def flush() -> None:
         if text:
             whole = " ".join("".join(t for t, _ in text).split())
             if whole:
-                node = holder()
-                linked = len(" ".join("".join(t for t, in_link in text if in_link).split()))
-                blocks.append((node, whole))
-                at, up = len(blocks) - 1, node
-                while up is not None:
-                    up.chars += len(whole)
-                    up.link_chars += min(linked, len(whole))
-                    up.first = at if up.first < 0 else up.first
-                    up.last = at
-                    up = up.parent
+                node = stack.open[stack.blocks[-1]]
+                linked = min(len(" ".join("".join(t for t, in_link in text if in_link).split())), len(whole))
+                # inline elements around the text close later and hold nothing of their own
+                node.take(len(whole), linked, len(blocks), len(blocks))
+                blocks.append((node, whole, linked))
             text.clear()
 
     def say(piece: str) -> None:
-        if piece and not stack[-1].skip:
-            text.append((html.unescape(piece) if "&" in piece else piece, stack[-1].link))
+        if piece and not stack.open[-1].skip:
+            text.append((html.unescape(piece) if "&" in piece else piece, stack.open[-1].link))
 
     at, n = 0, len(page)
     while at < n:
@@ -101,14 +127,12 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             if name == "br":
                 text.append((" ", False))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    if any(x.tag in BLOCK for x in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-                if name not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag doesn't close blocks
+            k = stack.last((name,))
+            # an inline end tag doesn't close blocks
+            if k > 0 and (name in BLOCK or k > stack.blocks[-1]):
+                if stack.blocks[-1] >= k:
+                    flush()
+                stack.close(k)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -117,25 +141,17 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if name in VOID:
             if name == "hr":
                 flush()
-            elif not stack[-1].skip:
+            elif not stack.open[-1].skip:
                 text.append((" " if name == "br" else "", False))
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SELF_CLOSING.get(name, ()):
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
-        parent = stack[-1]
+            if name in CLOSES_P and stack.open[stack.blocks[-1]].tag == "p":
+                stack.close(stack.blocks[-1])
+            k = stack.last(SELF_CLOSING.get(name, ()))
+            if k > 0 and k > stack.last(SCOPE):
+                stack.close(k)
+        parent = stack.open[-1]
         skip, prior = parent.skip or name in LEFT_OUT, PRIOR.get(name, 0.0)
         if found[3] and not skip:
             words = " ".join(a or b or c for a, b, c in NAMED.findall(found[3]))
@@ -145,47 +161,56 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
                 elif GOOD_NAME.search(words):
                     prior += 10.0
         # a header outside an article belongs to the page
-        if name == "header" and not any(x.tag in ("article", "main") for x in stack):
+        if name == "header" and stack.last(("article", "main")) < 0:
             skip = True
         node = _Node(name, parent, skip, prior)
         nodes.append(node)
         if not found[3].rstrip().endswith("/") or name in BLOCK or name == "a":
-            stack.append(node)
+            stack.push(node)
     flush()
+    stack.close(1)
     return nodes, blocks
 
 
+#: Blocks whose points go to their parent first.
+_PASSED_UP = ("p", "pre", "li", "h1", "h2", "h3", "h4", "h5", "h6")
+
+
 def extract(page: str | None) -> str:
-    """The article's text: white space folded, blocks in page order joined by one space; empty if none."""
+    """The article's text: white space folded, blocks in page order joined by one space; empty if none.
+
+    Of containers of equal score the outermost that stands first is the best one. A sibling of the best container is
+    kept if it scores a fifth of it, or reads like prose, or is a heading. Time grows with the page's length, however deep it is nested.
+    """
     if not page:
         return ""
     nodes, blocks = _parse(page)
     if not blocks:
         return ""
     linked = lambda x: x.link_chars / x.chars if x.chars else 0.0
-    scored: dict[int, _Node] = {}
-    for node, whole in blocks:
-        if node.tag == "p" or (node.chars == len(whole)):
-            density = linked(node)
-        else:
-            density = 0.0
+    for node, whole, _ in blocks:
+        density = linked(node) if node.tag == "p" or node.chars == len(whole) else 0.0
         points = (1 + whole.count(",") + whole.count("، ") + min(len(whole) / 100, 3.0)) * (1 - density)
-        up, share = (node.parent if node.tag in ("p", "pre", "li", "h1", "h2", "h3", "h4", "h5", "h6") and node.parent else node), 1
-        while up is not None:
-            if id(up) not in scored:
-                scored[id(up)] = up
-                up.score += up.prior
-            up.score += points / share
-            up, share = up.parent, share + 1
-    best = max(scored.values(), key=lambda x: x.score * (1 - linked(x)))
+        (node.parent if node.tag in _PASSED_UP and node.parent else node).own += points
+    # children stand after their parents, so from the end each has all of its points before it passes half of them up
+    for node in reversed(nodes):
+        node.score += node.own
+        if node.parent is not None:
+            node.parent.score += node.score / 2
+    scored = [node for node in nodes if node.score > 0]
+    for node in scored:
+        node.score += node.prior
+    best = max(scored, key=lambda x: x.score * (1 - linked(x)), default=None)
+    if best is None:  # everything stands inside links
+        return ""
     keep = [(best.first, best.last)]
     if best.parent is not None:
         good = max(10.0, 0.2 * best.score)
         for node in nodes:
             if node.parent is best.parent and node is not best and node.first >= 0:
-                prose = node.tag == "p" and (node.chars > 80 and linked(node) < 0.25 or node.chars <= 80 and not node.link_chars)
+                prose = node.chars > 80 and linked(node) < 0.25 or node.tag == "p" and node.chars <= 80 and not node.link_chars
                 heading = node.tag in ("h1", "h2", "h3") and not node.link_chars
-                if (id(node) in scored and node.score * (1 - linked(node)) >= good) or prose or heading:
+                if node.score * (1 - linked(node)) >= good or prose or heading:
                     keep.append((node.first, node.last))
     wanted = sorted({i for a, b in keep for i in range(a, b + 1)})
     return " ".join(blocks[i][1] for i in wanted)

@@ -28,6 +28,7 @@ _letters: dict[tuple[int, int, int], np.ndarray] = {}
 
 
 def letter_vector(code: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
+    """A random vector of -1 and 1 for a code point, the same in every process."""
     key = (code, dimensions, seed)
     if key not in _letters:
         _letters[key] = (np.random.default_rng([seed, code]).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1).astype(np.int8)

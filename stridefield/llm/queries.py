@@ -172,7 +172,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again."""
+    """Every document encoded and decoded again, with pieces of a public file and synthetic log scores (see unigram.load)."""
     return unigram.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 

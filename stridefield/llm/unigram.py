@@ -1,7 +1,7 @@
 """SentencePiece-style encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
 Pieces come from a public tokenizer file, whose path is a parameter; nothing is trained. Its pieces
-are ranked, not weighted, so log scores are read from the rank by Zipf's law. Bytes that no piece
+are ranked, not weighted, so the log scores are synthetic: minus the log of the rank, by Zipf's law. Bytes that no piece
 covers use byte pieces, at a score under every other piece, so any text can be encoded.
 
 A blank stands for the white-space marker: a text is given one blank in front, and decoding takes it
@@ -88,6 +88,7 @@ def _double_array(keys: list[bytes], pieces: dict[bytes, tuple[int, float]]) ->
 
 @lru_cache(maxsize=2)
 def load(path: str = PIECES) -> Vocabulary:
+    """The pieces of a model file. Its order is kept, but the file has no log scores: these are made up from the rank by Zipf's law."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -161,6 +162,48 @@ def viterbi(segments: list[bytes], v: Vocabulary) -> list[bytes]:
     return [whole[4 * (i * n - u) : 4 * i * n] for i, u in enumerate(used.tolist(), 1)]
 
 
+def viterbi_long(text: bytes, v: Vocabulary, window: int = BLOCK_BYTES) -> bytes:
+    """The same path as :func:`viterbi` for one segment of any length, in windows of end positions.
+
+    Best scores are carried from window to window; for the whole segment only the length and id of the best last piece of each byte
+    are kept, some six bytes each.
+    """
+    n, longest = len(text), min(v.longest, len(text))
+    data = np.frombuffer(text, np.uint8).astype(np.int64)
+    length, chosen = np.zeros(n, np.uint16), np.zeros(n, np.int32)
+    best = np.full(longest + window, -np.inf)
+    best[longest - 1] = 0.0
+    for low in range(0, n, window):
+        high = min(n, low + window)
+        since = max(0, low - longest + 1)  # the first byte at which a piece that ends here can start
+        score, piece = np.full((high - low, longest), -np.inf), np.zeros((high - low, longest), np.int32)
+        score[:, longest - 1], piece[:, longest - 1] = v.byte_score, v.byte_ids[data[low:high]]
+        start, state = np.arange(since, high), np.zeros(high - since, np.int64)
+        for depth in range(longest):
+            inside = start + depth < high
+            start, state = start[inside], state[inside]
+            nxt = v.base[state].astype(np.int64) + data[start + depth]
+            ok = v.check[nxt] == state
+            start, state = start[ok], nxt[ok]
+            if not len(start):
+                break
+            ids = v.value[state]
+            found = (ids >= 0) & (start + depth >= low)
+            row = start[found] + depth - low
+            score[row, longest - 1 - depth], piece[row, longest - 1 - depth] = v.scores[ids[found]], ids[found]
+        for t in range(high - low):
+            reached = best[t : t + longest] + score[t]
+            top = int(reached.argmax())
+            best[longest + t] = reached[top]
+            length[low + t], chosen[low + t] = longest - top, piece[t, top]
+        best[:longest] = best[high - low : high - low + longest].copy()
+    path, at = [], n - 1
+    while at >= 0:
+        path.append(chosen[at])
+        at -= int(length[at])
+    return np.array(path[::-1], "<i4").tobytes()
+
+
 class Encoder:
     """Encodes batches of texts; keeps the ids of segments seen before, up to a bound."""
 
@@ -183,6 +226,9 @@ class Encoder:
             raw = segment.encode("utf-8", "surrogatepass")
             by_length.setdefault(len(raw), []).append((segment, raw))
         for length, group in by_length.items():
+            if length > BLOCK_BYTES:
+                known.update((segment, viterbi_long(raw, self.v)) for segment, raw in group)
+                continue
             step = max(1, BLOCK_BYTES // length)  # a bounded number of bytes at a time
             for at in range(0, len(group), step):
                 part = group[at : at + step]
