@@ -66,7 +66,7 @@ def move_inward(points: DataFrame, outlines: DataFrame, distance: float = 50.0)
     """points (building_id, entrance_pos, x, y) put on their outline's nearest side and then ``distance`` inward; adds the normal nx, ny.
 
     outlines: building_id, pos, x, y. Of sides equally near the first counts. Inward is where a step of 0.1 from the
-    side is inside (even-odd rule). A point whose side has no length stays, with a normal of 0.
+    side is strictly inside (even-odd rule, not on a side), else the other way. A point whose side has no length stays, with a normal of 0.
     """
     key = ["building_id", "entrance_pos"]
     sides = _sides(outlines)
@@ -80,8 +80,10 @@ def move_inward(points: DataFrame, outlines: DataFrame, distance: float = 50.0)
     near = met.groupBy(*key).agg(F.min_by(unit, F.struct(away, "_side")).alias("n")).select(*key, "n.*")
     tested = near.withColumn("_tx", F.col("_qx") + 0.1 * F.col("nx")).withColumn("_ty", F.col("_qy") + 0.1 * F.col("ny"))
     crosses = ((F.col("ay") > F.col("_ty")) != (F.col("by") > F.col("_ty"))) & (F.col("_tx") < dx * (F.col("_ty") - F.col("ay")) / dy + F.col("ax"))
+    between = lambda v, a, b: F.col(v).between(F.least(a, b), F.greatest(a, b))
+    on = (dx * (F.col("_ty") - F.col("ay")) == dy * (F.col("_tx") - F.col("ax"))) & between("_tx", "ax", "bx") & between("_ty", "ay", "by")
     ring = near.columns
-    inside = tested.join(sides, "building_id").groupBy(*ring).agg((F.sum(F.when(crosses, 1).otherwise(0)) % 2 == 1).alias("_in"))
+    inside = tested.join(sides, "building_id").groupBy(*ring).agg(((F.sum(F.when(crosses, 1).otherwise(0)) % 2 == 1) & ~F.max(on)).alias("_in"))
     sign = F.when(F.col("_in"), 1.0).otherwise(-1.0)
     stays = (F.col("nx") == 0) & (F.col("ny") == 0)
     moved = lambda v: F.when(stays, F.col(v)).otherwise(F.col(f"_q{v}") + sign * F.col(f"n{v}") * distance).alias(v)

@@ -154,10 +154,11 @@ def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: f
     return known.select("src", "dst", share.alias("share")).filter("share > 0")
 
 
-def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-12) -> DataFrame:
+def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-11, look: int = 8) -> DataFrame:
     """state, value: the leading vector of damping * M + (1 - damping) / N, of length 1. Power rounds; the even part stays a scalar.
 
-    Columns of M need not sum to 1; each round is scaled to the sum 1. The vector is one row a state.
+    Columns of M need not sum to 1; each round is scaled to the sum 1. The vector is one row a state. Every ``look`` rounds the change
+    of the last one is compared with ``tolerance``.
     """
     with Scratch(matrix.sparkSession) as scratch:
         shares = scratch.keep(matrix.select("src", "dst", "share"))
@@ -166,14 +167,16 @@ def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-
         if not n:
             return cut(states.withColumn("value", F.lit(0.0)))
         vector = scratch.keep(states.withColumn("value", F.lit(1.0 / n)))
+        rounds = 0
         while True:
+            rounds += 1
             sent = shares.join(vector.withColumnRenamed("state", "src"), "src").groupBy(F.col("dst").alias("state")).agg(F.sum(F.col("share") * F.col("value")).alias("_in"))
             new = damping * F.coalesce("_in", F.lit(0.0)) + (1 - damping) / n
             step = scratch.keep(vector.join(sent, "state", "left").select("state", new.alias("value"), F.col("value").alias("_was")))
             scratch.remove(scratch.n - 1)
             total = step.agg(F.sum("value")).first()[0]
             vector = step.select("state", (F.col("value") / total).alias("value"))
-            if step.agg(F.sum(F.abs(F.col("value") / total - F.col("_was")))).first()[0] < tolerance:
+            if rounds % look == 0 and step.agg(F.sum(F.abs(F.col("value") / total - F.col("_was")))).first()[0] < tolerance:
                 length = step.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
                 return cut(step.select("state", (F.col("value") / length).alias("value")))
 

@@ -48,7 +48,7 @@ WALKABLE = ("unclassified", "residential", "service", "living_street", "pedestri
 
 def filter_walkable(ways: DataFrame, kinds: tuple[str, ...] = WALKABLE) -> DataFrame:
     """Ways whose highway tag is one of ``kinds``."""
-    return ways.filter(F.col("tags")["highway"].isin(kinds))
+    return ways.filter(F.col("tags")["highway"].isin(*kinds))
 
 
 def weekday_profile(readings: DataFrame) -> DataFrame:

