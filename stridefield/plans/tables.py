@@ -120,13 +120,13 @@ def _raw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CLEAN_SQL = "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS at, CAST(round(value * 10000) AS DOUBLE) AS count FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 11 <> 0"
+_CLEAN_SQL = "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS said_at, CAST(round(value * 10000) AS DOUBLE) AS count FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 11 <> 0"
 
 
 @query(_CLEAN_SQL)
 def clean_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as text, some with a bad date, no time or a bad number: those go."""
-    return temporal.clean_counts(_raw_counts(spark, sf_dir)).select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "count")
+    return temporal.clean_counts(_raw_counts(spark, sf_dir)).select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("said_at"), "count")
 
 
 # --- matrices and weights
@@ -347,7 +347,7 @@ def stored_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(folder: str) -> DataFrame:
         _raw_counts(spark, sf_dir).write.csv(f"{folder}/counts")
-        return temporal.clean_counts(maps.read_counts(spark, f"{folder}/counts")).select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "count")
+        return temporal.clean_counts(maps.read_counts(spark, f"{folder}/counts")).select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("said_at"), "count")
 
     return _stored(spark, make)
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from stridefield.functions import scalars
 from stridefield.operators import network
 from stridefield.plans import queries as plans
-from stridefield.plans import wayfinding
+from stridefield.plans import rooms, tables, wayfinding  # rooms registers its queries with those of tables
 
 DATA = "/root/testdata/sf0.001"
 
 
-QUERIES, ORACLES = plans.QUERIES | wayfinding.QUERIES, plans.ORACLES | wayfinding.ORACLES
+QUERIES, ORACLES = plans.QUERIES | wayfinding.QUERIES | tables.QUERIES, plans.ORACLES | wayfinding.ORACLES | tables.ORACLES
+assert "first_routes" in QUERIES and rooms
 
 
 def _sorted(rows):
