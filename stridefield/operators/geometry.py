@@ -119,6 +119,22 @@ def polygon_iou(ring_a: Column, ring_b: Column) -> Column:
     return F.when(union > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), shared / union))).otherwise(0.0)
 
 
+def polygon_overlaps(pairs: DataFrame, a: str, b: str, *key: str) -> DataFrame:
+    """The ``key`` columns and iou of the rings ``a`` and ``b`` of each row; ``key`` names a row.
+
+    The same exact sums as :func:`polygon_iou`, with pairs of sides as rows that are added up where they are made, so they stay in
+    generated code.
+    """
+    low = lambda ring: F.array_min(F.transform(ring, lambda p: p["y"]))
+    areas = F.abs(_signed(F.col(a))) + F.abs(_signed(F.col(b)))
+    known = pairs.select(*key, areas.alias("_areas"), F.least(low(a), low(b)).alias("_base"), _sides(F.col(b)).alias("_q"), F.explode(_sides(F.col(a))).alias("_p"))
+    sides = known.withColumn("_q", F.explode("_q"))
+    shared = sides.groupBy(*key).agg(F.abs(F.sum(_under_both(F.col("_p"), F.col("_q"), F.col("_base")))).alias("_shared"), F.first("_areas").alias("_areas"))
+    union = F.col("_areas") - F.col("_shared")
+    iou = F.when(union > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_shared") / union))).otherwise(0.0)
+    return shared.select(*key, iou.alias("iou"))
+
+
 def best_alignment(pairs: DataFrame, step: int = 1) -> DataFrame:
     """building_id, angle, reflected, iou: the best of the turns by ``step`` degrees from -180, each plain and then mirrored in y; the first wins ties.
 
@@ -132,15 +148,7 @@ def best_alignment(pairs: DataFrame, step: int = 1) -> DataFrame:
         x, y = rotate(p["x"], p["y"], F.col("angle"), F.lit(0.0), F.lit(0.0))
         return F.struct(x.alias("x"), F.when(F.col("reflected"), -y).otherwise(y).alias("y"))
 
-    low = lambda ring: F.array_min(F.transform(ring, lambda p: p["y"]))
-    placed = tried.withColumn("_turned", F.transform("plan", turned)).withColumn("_base", F.least(low(F.col("outline")), low(F.col("_turned"))))
-    areas = F.abs(_signed(F.col("outline"))) + F.abs(_signed(F.col("_turned")))
-    key = ["building_id", "angle", "reflected"]
-    sides = placed.select(*key, areas.alias("_areas"), "_base", _sides(F.col("_turned")).alias("_q"), F.explode(_sides(F.col("outline"))).alias("_p")).withColumn("_q", F.explode("_q"))
-    shared = sides.groupBy(*key).agg(F.abs(F.sum(_under_both(F.col("_p"), F.col("_q"), F.col("_base")))).alias("_shared"), F.first("_areas").alias("_areas"))
-    union = F.col("_areas") - F.col("_shared")
-    iou = F.when(union > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_shared") / union))).otherwise(0.0)
-    scored = shared.select(*key, iou.alias("iou"))
+    scored = polygon_overlaps(tried.withColumn("_turned", F.transform("plan", turned)), "outline", "_turned", "building_id", "angle", "reflected")
     order = F.struct(F.round("iou", 12), -F.col("angle"), ~F.col("reflected"))
     best = scored.groupBy("building_id").agg(F.max_by(F.struct("angle", "reflected", "iou"), order).alias("b"))
     return best.select("building_id", "b.angle", "b.reflected", "b.iou")

@@ -332,7 +332,8 @@ def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
         w, h = F.col("w"), F.col("h")
         return F.array(corner(F.lit(0.0), F.lit(0.0)), corner(w, F.lit(0.0)), corner(w, h), corner(F.lit(0.0), h))
 
-    return base.select("polygon_id", F.round(geometry.polygon_iou(box(0.0, 0.0), box(3.0, 2.0)), 6).alias("iou"))
+    pairs = base.select("polygon_id", box(0.0, 0.0).alias("a"), box(3.0, 2.0).alias("b"))
+    return geometry.polygon_overlaps(pairs, "a", "b", "polygon_id").select("polygon_id", F.round("iou", 6).alias("iou"))
 
 
 # --- pixels
