@@ -230,7 +230,8 @@ def class_of_rows(rows: DataFrame, scratch: Scratch, target: float = TARGET) ->
     ties = candidate_ties(texts, scratch, target)
     grouped = connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "id", "component": "group"})
     sized = scratch.keep(merged(grouped, texts.select("id", "_n"), ["id"]))
-    totals = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("_n") / CELL_SHINGLES)).alias("_cells"))
+    # one row a group, written before the join: a join of two plain tables can be dealt anew where a group is large
+    totals = scratch.keep(sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("_n") / CELL_SHINGLES)).alias("_cells")))
     members = scratch.keep(merged(sized, totals, ["group"]).select("group", "id", "_cells"))
     whole = merged(rows.select(F.col("_row").alias("id"), "_text"), members, ["id"])
     cells = _dealt(whole, "group", F.col("_cells"), "_text").groupBy("group", "i", "j")
@@ -254,8 +255,8 @@ def near_classes(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = signed_rows(docs.select("doc_id", "text"), scratch)
-        found = merged(rows.select("_row", "_doc.doc_id"), class_of_rows(rows, scratch, target), ["_row"])
-        least = found.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
+        found = scratch.keep(merged(rows.select("_row", "_doc.doc_id"), class_of_rows(rows, scratch, target), ["_row"]))
+        least = scratch.keep(found.groupBy("class_node").agg(F.min("doc_id").alias("class_id")))
         return cut(merged(found, least, ["class_node"]).select("doc_id", "class_id", "n_links"))
 
 
