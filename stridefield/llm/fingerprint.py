@@ -153,11 +153,12 @@ def exact_groups(docs: DataFrame, printed: DataFrame, scratch: Scratch) -> DataF
     # equal rows collapse before they move; the packed bytes are equal exactly where the canonical ones are
     canons = read.mapInArrow(texts, "fingerprint string, _th long, _canon binary").distinct()
     canons = scratch.keep(merged(canons, repeated, ["fingerprint"], "left_semi"))
-    first = canons.groupBy("fingerprint").agg(F.min("_canon").alias("_first"))
+    # one row a fingerprint or class, written before the join: a join of two plain tables can be dealt anew where one is large
+    first = scratch.keep(canons.groupBy("fingerprint").agg(F.min("_canon").alias("_first")))
     own = F.when(F.col("_canon") == F.col("_first"), "").otherwise(F.sha2("_canon", 256)).alias("_own")
     named = merged(canons, first, ["fingerprint"]).select("fingerprint", "_th", own)
     named = scratch.keep(merged(named, counted, ["fingerprint", "_th"]))
-    classes = named.groupBy("fingerprint", "_own").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("copies"))
+    classes = scratch.keep(named.groupBy("fingerprint", "_own").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("copies")))
     by_text = merged(named.select("fingerprint", "_th", "_own"), classes, ["fingerprint", "_own"]).drop("_own")
     return (
         merged(printed, by_text, ["fingerprint", "_th"], "left")
