@@ -223,7 +223,7 @@ def hops_from_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 def steady_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steady state over the walking network with node 1 as sink."""
     matrix = graph.transition_matrix(network.undirected_arcs(_edges(spark, sf_dir)), 1, [2, 3, 5])
-    return graph.steady_state(matrix).select("state", F.round("value", 6).alias("value"))
+    return graph.steady_state(matrix, tolerance=1e-9).select("state", F.round("value", 6).alias("value"))
 
 
 def network_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
