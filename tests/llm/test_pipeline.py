@@ -177,3 +177,25 @@ def test_one_row_of_each_class_whatever_its_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id or 0, r.text.split()[0]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
     assert got == [(0, "t5w0"), (0, "t6w0"), (1, "t1w0"), (2, "t2w0"), (3, "t3w0"), (3, "t4w0")]
+
+
+def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, more columns with names used inside: no stage fails or loses a row it should keep."""
+    long = " ".join(f"w{k * 7919 % 90001}" for k in range(30_000))
+    good = " ".join(f"g{k}" for k in range(90))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, good, "en", "s", 1), (2, good, "en", "s", 1), (None, good + " end", None, None, None), (3, long, "en", "t", 2), (4, good + " mail a@b.cd now", "de", "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.selectExpr("*", *[f"'mine' AS `{c}`" for c in ("_row", "_doc", "_text", "spans", "_words", "kept", "_key", "target", "n_tokens", "class_id")])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for part, given in (("none", docs.limit(0)), ("edge", docs), ("wide", wide)):
+            path = f"{tmp_path}/{k}-{part}"
+            stage(spark, given, SF).write.parquet(path)
+            got = spark.read.parquet(path)
+            assert name == "sentencepiece" or got.columns == list(corpus_pipeline.COLUMNS)
+            found = sorted((r.doc_id or 0) for r in got.select("doc_id").collect())
+            if part == "none":
+                assert found == []
+            else:
+                want = {"quality_rules": [0, 2, 2, 3, 4], "near_duplicates": [1, 2, 3], "personal_data": [0, 0, 1, 2, 2, 3, 4], "sentencepiece": [0, 0, 1, 2, 2, 3, 4]}
+                assert name == "mixing" or sorted(set(found)) == sorted(set(want[name])), (name, part, found)
+                assert name not in ("personal_data", "sentencepiece") or found == want[name]
