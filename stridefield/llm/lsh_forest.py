@@ -98,8 +98,18 @@ def fitted_depth(signatures: np.ndarray, target: float = TARGET) -> int:
 _SIGNED = "`_print` binary, `_n` long, `_sig` array<int>, `_sketch` array<long>, `_text` binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Texts that a worker holds as Python objects at a time.
+SLICE = 256
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         prints, sizes, signs, sketches, texts = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             found = shingles(text)
@@ -261,7 +271,7 @@ def near_classes(docs: DataFrame, target: float = TARGET) -> DataFrame:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         doc = batch.column(0)
         names = [f.name for f in doc.type]
         yield pa.RecordBatch.from_arrays([*doc.flatten(), pa.array(map(unpack, batch.column(1).to_pylist()), pa.string())], [*names, "text"])
