@@ -140,13 +140,13 @@ def _block_ties(block: pa.Table) -> pa.Table:
     """Ties of one block pair of a large node: a forest over the texts whose sketches are near, at most one row a text."""
     ids = np.array(block.column("id").to_pylist(), np.int64)
     sketches = np.array(block.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(ids), -1)
-    far = np.zeros((len(ids), len(ids)), np.uint16)
-    for column in sketches.T:
-        x = column[:, None] ^ column[None, :]
+    near = np.zeros((len(ids), len(ids)), bool)
+    for at in range(0, len(ids), 64):  # rows at a time, so that memory is the matrix of bits only
+        x = sketches[at : at + 64, None] ^ sketches[None]
         x |= x >> np.uint64(1)
         x &= np.uint64(_ODD_BITS)
-        far += np.bitwise_count(x)
-    tied = roots(far <= SKETCH_MOST, ids)
+        near[at : at + 64] = np.bitwise_count(x).sum(axis=2, dtype=np.uint16) <= SKETCH_MOST
+    tied = roots(near, ids)
     some = np.flatnonzero(tied != ids)
     return pa.table({"a": pa.array(ids[some]), "b": pa.array(tied[some])})
 
