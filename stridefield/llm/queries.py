@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridefield.llm import chat, curriculum, fingerprint, host_rules, html_text, hyperlang, lsh_forest, pii, suffix_dedup, unigram
+from stridefield.llm import (
+    byte_bpe, chat, curriculum, filter_audit, fingerprint, host_rules, html_text, hyperlang, lsh_forest, pii, suffix_dedup, unigram, vector_codes,
+)
 from stridefield.llm.storage import cut, table
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -181,6 +183,74 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the ranks of a public file and decoded again."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their 120 orders, by language."""
+    return filter_audit.interactions(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH s AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM s),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(first < w.doc_id, false)] AS f FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+x AS (SELECT i, chr(CAST(65 + i AS INT)) AS letter FROM range(5) t(i)),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+k AS (SELECT o.*, CAST(step AS INT) AS step, o[step] AS v, o[1:step - 1] AS before FROM o, range(1, 6) t(step)),
+r AS (SELECT part, filter_order, step, v,
+    sum(CASE WHEN NOT f[v + 1] AND len(list_filter(before, lambda b: f[b + 1])) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN f[v + 1] AND len(list_filter(before, lambda b: f[b + 1])) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN f[v + 1] AND len(list_filter(before, lambda b: f[b + 1])) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN f[v + 1] AND len(list_filter(f, lambda b: b)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN f[v + 1] AND len(list_filter(before, lambda b: f[b + 1])) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN f[v + 1] AND len(list_filter(before, lambda b: f[b + 1])) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, k GROUP BY part, filter_order, step, v)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, v) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings, fitted in two exact rounds."""
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_round(k: int) -> str:
+    """Books k + 1 from the nearest entries of books k."""
+    return f"""n{k} AS MATERIALIZED (SELECT v.part, v.vec_id, arg_min(entry, {{'a': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'b': entry}}) AS entry
+  FROM v JOIN b{k} b ON b.part = v.part GROUP BY v.part, v.vec_id),
+m{k} AS (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)::DOUBLE) AS BIGINT) AS c FROM n{k} JOIN v USING (part, vec_id), range(1, 1 + (SELECT max(len(x)) FROM v)) t(i) GROUP BY part, entry, i),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(y.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS x FROM m{k} GROUP BY part, entry) y USING (part, entry))"""
+
+
+OP13_SQL = f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS MATERIALIZED (SELECT vec_id, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM e, range(16) t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM v QUALIFY entry < 64),
+{_op13_round(0)},
+{_op13_round(1)},
+z AS MATERIALIZED (SELECT v.part, v.vec_id, entry, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN b2 b ON b.part = v.part
+  QUALIFY row_number() OVER (PARTITION BY v.part, v.vec_id ORDER BY d, entry) = 1),
+s AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM s JOIN e USING (vec_id)
+"""
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -192,10 +262,15 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_curriculum_mixing": op10_curriculum_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
     "op1_chat_formatting": OP1_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_curriculum_mixing": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
