@@ -5,8 +5,15 @@ Each round is a join and an aggregate whose lineage is cut; the driver gets one
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stridefield.operators.lineage import Scratch, cut
 
@@ -52,48 +59,210 @@ def keep_largest_component(arcs: DataFrame) -> DataFrame:
     return arcs.join(found.join(largest_component(found), "component").select(F.col("node").alias("src")), "src", "left_semi")
 
 
-def path_tree(arcs: DataFrame, sources: DataFrame, most_rounds: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
-    """source, node, cost, prev: least costs from each source over arcs (src, dst, weight >= 0), the least prev on ties.
+#: Arcs of a network that goes to all workers as arrays (12 bytes an arc, 8 a node). The arcs are counted first; beyond it they stay a table.
+SHARED_ARCS = 2_000_000
+
+
+def _shared(links: DataFrame) -> tuple[np.ndarray, ...]:
+    """ids of the nodes in order, the place of each node's first arc, and ends and weights of the arcs by node."""
+    arcs = links.select(F.col("node").cast("long").alias("node"), F.col("dst").cast("long").alias("dst"), "weight").toArrow()
+    src, dst, weight = (arcs.column(c).to_numpy() for c in ("node", "dst", "weight"))
+    ids, place = np.unique(np.concatenate((src, dst)), return_inverse=True)
+    order = np.argsort(place[: len(src)], kind="stable")
+    first = np.searchsorted(place[: len(src)][order], np.arange(len(ids) + 1))
+    return ids, first, place[len(src) :][order].astype(np.int32), weight[order]
+
 
-    Only nodes whose cost fell are relaxed in the next round. State is sources times nodes reached.
-    Nodes may be of any type that can be sorted. With ``scratch`` the result is a table of it.
+def _search(start: int, targets: np.ndarray | None, net: tuple[np.ndarray, ...], band: float) -> tuple[np.ndarray, np.ndarray]:
+    """cost and prev of all nodes, final for ``targets`` (None: all), from the node at place ``start``.
+
+    Nodes are relaxed in bands of costs: all open nodes under the band's end at a time, until none is left under it.
     """
-    own = scratch or Scratch(arcs.sparkSession)
-    kind = arcs.schema["src"].dataType
+    ids, first, ends, weights = net
+    cost, prev, open_ = np.full(len(ids), np.inf), np.full(len(ids), -1), np.zeros(len(ids), bool)
+    cost[start], open_[start], limit = 0.0, True, band
+    while True:
+        at = np.flatnonzero(open_ & (cost < limit))
+        if not len(at):
+            left = np.flatnonzero(open_)
+            if not len(left) or (targets is not None and (cost[targets] < limit).all()):
+                return cost, prev
+            limit = max(limit, float(cost[left].min())) + band
+            continue
+        open_[at] = False
+        n = first[at + 1] - first[at]
+        arc = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        new, to, by = np.repeat(cost[at], n) + weights[arc], ends[arc], np.repeat(at, n)
+        less = new < cost[to]
+        new, to, by = new[less], to[less], by[less]
+        np.minimum.at(cost, to, new)
+        best = new == cost[to]
+        to, by = to[best], by[best]
+        prev[to] = len(ids)
+        np.minimum.at(prev, to, by)
+        open_[to] = True
+
+
+def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool) -> DataFrame:
+    """source, target, cost, path of every distinct row of ``asked`` (source, target) that has a way; with ``tree`` source, node, cost, prev of all nodes."""
+    spark = asked.sparkSession
+    net = spark.sparkContext.broadcast(_shared(links))
+    # a number of parts of our own: rows are few and dear
+    parts = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = asked.schema["source"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, *_ = net.value
+        places = {int(x): i for i, x in enumerate(ids.tolist())}
+        for batch in batches:
+            by_source: dict[int, list] = {}
+            for source, target in zip(*[batch.column(c).to_pylist() for c in ("source", "target")], strict=True):
+                by_source.setdefault(source, []).append(target)
+            out: list[tuple] = []
+            for source, targets in by_source.items():
+                if source is None:
+                    continue
+                if source not in places:
+                    out += [(source, source, 0.0, None if tree else [source])] if tree or source in targets else []
+                    continue
+                known = [t for t in targets if t in places]
+                cost, prev = _search(places[source], None if tree else np.array([places[t] for t in known], int), net.value, band)
+                if tree:
+                    at = np.flatnonzero(np.isfinite(cost))
+                    before = np.where(prev[at] >= 0, ids[prev[at]], 0)
+                    columns = [pa.array([source] * len(at), pa.int64()), pa.array(ids[at], pa.int64()), pa.array(cost[at]), pa.array(before, pa.int64(), mask=prev[at] < 0)]
+                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names)
+                    continue
+                for target in known:
+                    at, way = places[target], []
+                    while np.isfinite(cost[places[target]]) and at >= 0:
+                        way.append(int(ids[at]))
+                        at = prev[at]
+                    if way:
+                        out.append((source, target, float(cost[places[target]]), way[::-1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    whole = to_arrow_type(asked.schema["source"].dataType)
+    names = ["source", "node", "cost", "prev"] if tree else ["source", "target", "cost", "path"]
+    types = [whole, whole, pa.float64(), whole if tree else pa.list_(whole)]
+    last = f"prev {kind}" if tree else f"path array<{kind}>"
+    dealt = asked.select("source", "target").distinct().repartition(parts, "source").sortWithinPartitions("source")
+    return dealt.mapInArrow(run, f"source {kind}, {names[1]} {kind}, cost double, {last}")
+
+
+def _banded_search(links: DataFrame, sources: DataFrame, waiting: DataFrame | None, band: float, own: Scratch, most_rounds: int) -> DataFrame:
+    """source, node, cost, prev: settled nodes of every source, a table that is only appended to.
+
+    Tentative labels are filed under the band of their cost and are looked at when the band comes up; labels of the band at
+    hand are improved among themselves; then they are settled and never written again. A source ends with the band in which
+    the last of its targets in ``waiting`` (source, target) is settled; without ``waiting`` it goes on to the end of its component.
+    A round reads one band's labels and the settled keys and writes what has changed.
+    """
+    spark, folder = links.sparkSession, f"{own.folder}/bands-{uuid.uuid4().hex}"
+    key, row = ["source", "node"], ["source", "node", "cost", "prev"]
+    kind = links.schema["node"].dataType
+    begin = sources.select("source", F.col("source").alias("node")).distinct()
+    begin = begin.select(*key, F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("prev"), F.lit(0).cast("long").alias("band"))
+    shape = begin.schema
+    add = lambda df, name: df.write.mode("append").option("compression", "zstd").partitionBy("band").parquet(f"{folder}/{name}")
+    read = lambda name: spark.read.schema(shape).parquet(f"{folder}/{name}")
+    least = lambda df: df.groupBy(*key).agg(F.min(F.struct("cost", "prev")).alias("b")).select(*key, "b.cost", "b.prev")
+    add(begin, "open")
+    add(begin.limit(0), "closed")
+    at, rounds = 0, 0
+    while at is not None:
+        fresh = least(read("open").filter(F.col("band") == at)).join(read("closed").select(*key), key, "left_anti")
+        if waiting is not None:
+            fresh = fresh.join(waiting.select("source"), "source", "left_semi")
+        current, old = None, []
+        while True:
+            rounds += 1
+            if rounds > most_rounds:
+                raise RuntimeError(f"costs still fall after {most_rounds} rounds")
+            fresh = own.keep(fresh)
+            for n in old:
+                own.remove(n)
+            old = [own.n]
+            if fresh.isEmpty():
+                break
+            if current is None:
+                current = fresh
+                old = []
+            else:
+                current, before = own.keep(current.join(fresh, key, "left_anti").select(*row).unionByName(fresh.select(*row))), current_n
+                old.append(before)
+            current_n = own.n
+            onward = fresh.join(links, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("node").alias("prev"))
+            reached = own.keep(least(onward).withColumn("band", F.floor(F.col("cost") / band).cast("long")))
+            old.append(own.n)
+            add(reached.filter(F.col("band") > at), "open")
+            known = current.select(*key, F.col("cost").alias("_was"))
+            fresh = reached.filter(F.col("band") <= at).join(known, key, "left").filter("_was IS NULL OR cost < _was").select(*row)
+            fresh = fresh.join(read("closed").select(*key), key, "left_anti")
+        if current is not None:
+            add(current.withColumn("band", F.lit(at).cast("long")), "closed")
+            if waiting is not None:
+                waiting = own.keep(waiting.join(current.select("source", F.col("node").alias("target")), ["source", "target"], "left_anti"))
+            own.remove(current_n)
+        later = read("open").filter(F.col("band") > at)
+        if waiting is not None:
+            later = later.join(waiting.select("source"), "source", "left_semi")
+        at = later.agg(F.min("band")).first()[0]
+    return read("closed").drop("band")
+
+
+def _links(arcs: DataFrame, own: Scratch) -> tuple[DataFrame, int, float]:
+    """The arcs as a table, how many they are, and a band of costs: four mean weights."""
     links = own.keep(arcs.select(F.col("src").alias("node"), "dst", F.col("weight").cast("double").alias("weight")))
-    begin = sources.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("cost", F.lit(0.0)).withColumn("prev", F.lit(None).cast(kind))
-    state = own.keep(begin.select("source", "node", "cost", "prev", F.lit(True).alias("_new")))
-    for _ in range(most_rounds):
-        reached = state.filter("_new").join(links, "node").select(
-            "source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("node").alias("prev"), F.lit(True).alias("_new")
-        )
-        both = state.withColumn("_new", F.lit(False)).unionByName(reached)
-        # at equal cost an old row goes before a new one, so the loop ends
-        least = both.groupBy("source", "node").agg(F.min(F.struct("cost", "_new", "prev")).alias("b"))
-        before, state = own.n, own.keep(least.select("source", "node", "b.cost", "b.prev", "b._new"))
-        own.remove(before)
-        if state.filter("_new").isEmpty():
-            found = state.drop("_new")
-            if scratch is None:
-                found = cut(found)
-                own.remove()
-            return found
-    raise RuntimeError(f"costs still fall after {most_rounds} rounds")
-
-
-def shortest_paths(arcs: DataFrame, requests: DataFrame) -> DataFrame:
+    n, mean = links.agg(F.count("*"), F.avg("weight")).first()
+    return links, n, 4 * (mean or 0.0) or 1.0
+
+
+def _whole_numbers(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+
+
+def path_tree(arcs: DataFrame, sources: DataFrame, most_rounds: int = 100_000, scratch: Scratch | None = None, shared_arcs: int = SHARED_ARCS) -> DataFrame:
+    """source, node, cost, prev: least costs from each source over arcs (src, dst, weight >= 0) and the node before on such a way.
+
+    Up to ``shared_arcs`` arcs between whole numbers go to all workers and each source is searched in a task; otherwise sources are searched
+    together by joins, see :func:`_banded_search`, for which nodes may be of any type that can be sorted. With ``scratch`` the result is a
+    table of it.
+    """
+    own = scratch or Scratch(arcs.sparkSession)
+    links, n, band = _links(arcs, own)
+    if n <= shared_arcs and _whole_numbers(links, "node"):
+        found = own.keep(_shared_search(links, sources.select("source", F.col("source").alias("target")), band / 16, True))
+    else:
+        found = _banded_search(links, sources, None, band, own, most_rounds)
+    if scratch is None:
+        found = cut(found)
+        own.remove()
+    return found
+
+
+def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHARED_ARCS, most_rounds: int = 100_000) -> DataFrame:
     """requests (request_id, source, target) with cost and path (nodes in order); both null where there is no way.
 
-    Paths are walked back by doubling: in each round every node of a tree learns the node twice as far back and the steps to
-    it, so a path of n nodes takes log n rounds, over the nodes that some request's path passes.
+    arcs: src, dst, weight >= 0. Of several ways of least cost one is given. A null end has no way; a source that no arc names has one to itself.
+    Each source is searched once, and no further than to the last of its targets: in a task of its own over arcs that all workers hold, if they are no more than
+    ``shared_arcs`` between whole numbers, else together with all others by joins. There, paths are walked back by
+    doubling: in each round every node of a tree learns the node twice as far back and the steps to it, so a path of n nodes
+    takes log n rounds.
     """
     with Scratch(arcs.sparkSession) as scratch:
-        tree = path_tree(arcs, requests.select("source"), scratch=scratch)
+        links, n, band = _links(arcs, scratch)
+        asked = scratch.keep(requests.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
+        if n <= shared_arcs and _whole_numbers(links, "node") and _whole_numbers(asked, "source"):
+            paths = scratch.keep(_shared_search(links, asked, band / 16, False))
+            return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
+        tree = _banded_search(links, asked.select("source"), asked, band, scratch, most_rounds)
         ends = scratch.keep(requests.join(tree.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left"))
         # jump: the node 2^k steps back, and the nodes between, nearest first
         jump = tree.filter("prev IS NOT NULL").select("source", "node", F.col("prev").alias("to"), F.array("prev").alias("over"))
         walks = ends.filter("cost IS NOT NULL").select("source", F.col("target").alias("node")).distinct().select("source", "node", F.col("node").alias("at"), F.array("node").alias("back"))
-        walks, power = scratch.keep(walks), 0
+        walks = scratch.keep(walks)
         while not walks.filter("at != source").isEmpty():
             jump = scratch.keep(jump)
             onward = walks.join(jump.select("source", F.col("node").alias("at"), "to", "over"), ["source", "at"], "left")
@@ -102,28 +271,20 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame) -> DataFrame:
             jump = jump.join(further, ["source", "to"], "left").select(
                 "source", "node", F.coalesce("_to", "to").alias("to"), F.concat("over", F.coalesce("_over", F.slice("over", 1, 0))).alias("over")
             )
-            power += 1
         paths = walks.select("source", F.col("node").alias("target"), F.reverse("back").alias("path"))
         return cut(ends.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
 
 
-def hop_distance(arcs: DataFrame, source: int) -> DataFrame:
-    """node, hops from one node, direction ignored. The reached set is found ring by ring.
+def hop_distance(arcs: DataFrame, source: int, shared_arcs: int = SHARED_ARCS) -> DataFrame:
+    """node, hops from one node, direction ignored; no rows if no arc names it.
 
-    A neighbour of a ring lies in it, in the one before or in the next, so each round looks at two rings only.
+    Least costs with a weight of 1: rings are appended to one table, so the plan of a round doesn't depend on the depth; up to ``shared_arcs`` arcs are searched in one task.
     """
     with Scratch(arcs.sparkSession) as scratch:
-        both = scratch.keep(arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-        ring = scratch.keep(both.filter(F.col("src") == source).select(F.col("src").alias("node")).distinct())
-        rings, last = [], ring.limit(0)
-        while not ring.isEmpty():
-            rings.append(ring.withColumn("hops", F.lit(len(rings)).cast("long")))
-            near = both.join(ring.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-            last, ring = ring, scratch.keep(near.join(ring.unionByName(last), "node", "left_anti"))
-        seen = rings[0] if rings else ring.withColumn("hops", F.lit(0).cast("long"))
-        for more in rings[1:]:
-            seen = seen.unionByName(more)
-        return cut(seen.coalesce(max(1, both.rdd.getNumPartitions())))
+        both = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        both = scratch.keep(both.withColumn("weight", F.lit(1.0)))
+        start = both.filter(F.col("src") == source).select(F.col("src").alias("source")).distinct()
+        return cut(path_tree(both, start, scratch=scratch, shared_arcs=shared_arcs).select("node", F.col("cost").cast("long").alias("hops")))
 
 
 def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: float = 1.5, kept: float = 0.5, directed: bool = False) -> DataFrame:
@@ -154,31 +315,60 @@ def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: f
     return known.select("src", "dst", share.alias("share")).filter("share > 0")
 
 
-def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-11, look: int = 8) -> DataFrame:
-    """state, value: the leading vector of damping * M + (1 - damping) / N, of length 1. Power rounds; the even part stays a scalar.
+#: Products in a row before the series is extrapolated.
+PRODUCTS = 7
+
 
-    Columns of M need not sum to 1; each round is scaled to the sum 1. The vector is one row a state. Every ``look`` rounds the change
-    of the last one is compared with ``tolerance``.
+def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-11, most_rounds: int = 60) -> DataFrame:
+    """state, value: the leading vector of damping * M + (1 - damping) / N, of length 1. matrix: src, dst, share >= 0.
+
+    Columns of M need not sum to 1. Scaled so that the even part is 1 for every state, the vector x solves l x = damping * M x + 1 for the leading
+    value l. A round makes seven products in one job, each state carrying its numbers along, and takes the mix of them whose change is least; one
+    row with the products of the changes and their sums comes to the driver, and l follows from the sums. The rounds end when
+    the change of the mix, relative to it, and that of l are under ``tolerance``. The vector is one row a state.
     """
     with Scratch(matrix.sparkSession) as scratch:
-        shares = scratch.keep(matrix.select("src", "dst", "share"))
+        shares = matrix.select("src", "dst", F.col("share").cast("double").alias("share"))
         states = scratch.keep(shares.select(F.col("src").alias("state")).unionByName(shares.select(F.col("dst").alias("state"))).distinct())
         n = states.count()
         if not n:
             return cut(states.withColumn("value", F.lit(0.0)))
-        vector = scratch.keep(states.withColumn("value", F.lit(1.0 / n)))
-        rounds = 0
-        while True:
-            rounds += 1
-            sent = shares.join(vector.withColumnRenamed("state", "src"), "src").groupBy(F.col("dst").alias("state")).agg(F.sum(F.col("share") * F.col("value")).alias("_in"))
-            new = damping * F.coalesce("_in", F.lit(0.0)) + (1 - damping) / n
-            step = scratch.keep(vector.join(sent, "state", "left").select("state", new.alias("value"), F.col("value").alias("_was")))
-            scratch.remove(scratch.n - 1)
-            total = step.agg(F.sum("value")).first()[0]
-            vector = step.select("state", (F.col("value") / total).alias("value"))
-            if rounds % look == 0 and step.agg(F.sum(F.abs(F.col("value") / total - F.col("_was")))).first()[0] < tolerance:
-                length = step.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
-                return cut(step.select("state", (F.col("value") / length).alias("value")))
+        own = states.select(F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(None).cast("double").alias("share"))
+        links = scratch.keep(shares.unionByName(own))
+        vector, leading = states.withColumn("v", F.array(F.lit(1 / (1 - damping)))), 1.0
+        for _ in range(most_rounds):
+            made = vector
+            for _ in range(PRODUCTS):
+                sent = links.join(made.withColumnRenamed("state", "src"), "src").groupBy(F.col("dst").alias("state"))
+                came = sent.agg(F.sum(F.col("share") * F.element_at("v", -1)).alias("_in"), F.max(F.when(F.col("share").isNull(), F.col("v"))).alias("v"))
+                made = came.select("state", F.concat("v", F.array((damping * F.coalesce("_in", F.lit(0.0)) + 1) / leading)).alias("v"))
+            made = scratch.keep(made)
+            change = lambda i: F.col("v")[i + 1] - F.col("v")[i]
+            pairs = [(i, j) for i in range(PRODUCTS) for j in range(i, PRODUCTS)]
+            row = made.agg(*[F.sum(change(i) * change(j)) for i, j in pairs], *[F.sum(F.col("v")[i]) for i in range(PRODUCTS + 1)], F.sum(F.pow(F.col("v")[PRODUCTS], 2))).first()
+            gram, sums = np.zeros((PRODUCTS, PRODUCTS)), np.array(row[len(pairs) : -1])
+            for (i, j), x in zip(pairs, row, strict=False):
+                gram[i, j] = gram[j, i] = x
+            size = np.sqrt(np.outer(gram.diagonal(), gram.diagonal()))
+            mix = np.eye(PRODUCTS)[-1]
+            if (size > 0).all():
+                # the weights, of sum 1, under which the changes cancel best
+                scale = np.sqrt(gram.diagonal())
+                w = np.linalg.pinv(gram / size, rcond=1e-13, hermitian=True) @ (1 / scale) / scale
+                mix = w / w.sum() if np.isfinite(w).all() and abs(w.sum()) > 0 else mix
+            gap = math.sqrt(max(0.0, mix @ gram @ mix) / row[-1])
+            total = float(mix @ sums[1:])
+            was, leading = leading, (leading * total - n + (1 - damping) * float(mix @ sums[:-1])) / float(mix @ sums[:-1])
+            # the mix of the products, one step on, scaled to an even part of 1
+            mixed = sum(float(m) * F.col("v")[i + 1] for i, m in enumerate(mix)) * (n / (1 - damping) / total)
+            vector = made.select("state", F.array(mixed).alias("v"))
+            if gap < tolerance and abs(was - leading) < tolerance:
+                break
+        else:
+            raise RuntimeError(f"the vector still changes after {most_rounds} rounds")
+        value = vector.select("state", F.col("v")[0].alias("value"))
+        length = value.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
+        return cut(value.select("state", (F.col("value") / length).alias("value")))
 
 
 def segment_flows(vector: DataFrame, known_flow: float, known_state: int, pairs: DataFrame) -> DataFrame:
