@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding: every distinct pre-token is encoded once, in one shuffle of words for all documents.
 
-Documents are split by the tokenizer's pattern. Some two million characters of whole documents make a chunk; in it a pre-token is a
-place in the chunk's list of distinct words, and a document is the row of its places, packed. So a word that stands in every
-document moves once a chunk, not once a position, and no word is a hot key. The lists are exploded, each distinct
-word of the whole table is encoded once, the ids are joined back to the chunks, and each document is put together by position.
-Decoding joins ids with the table of token bytes.
+Documents are split by the tokenizer's pattern. Some eight million characters of whole documents make a chunk; in it a pre-token is a
+place in the chunk's list of distinct words, and the chunk keeps the row of its places, packed. So a word that stands in every
+document moves once a chunk, not once a position, and no word is a hot key. The lists are exploded and dealt by word; each
+distinct word of the whole table is encoded once, its ids go back to the chunks it came from, and documents are put together by
+position. Decoding joins ids with the table of token bytes.
 
 The library that the result has to agree with knows an older Unicode than the pattern module here may know. Where both disagree with
 Python's own tables, that library is asked for the class of the code point (see :func:`splitter`).
 
-Shuffles: distinct words twice (once combined), words of a chunk twice, packed places once. The vocabulary (one row a token) is broadcast.
+Shuffles: the words of each chunk, their ids (packed by chunk before they move), the packed places. The vocabulary (one row a token) is broadcast.
 """
 
 from __future__ import annotations
@@ -24,21 +24,22 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridefield.llm.storage import Scratch, cut, merged
+from stridefield.llm.storage import Scratch, cut
 
 #: Characters of whole documents in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 23
 #: Pre-tokens of a document that are held at a time.
 HELD_PIECES = 1 << 20
-#: Ids of one row that are joined with their bytes in one group.
-DECODED_IDS = 4096
+#: Words of a task whose ids are packed together.
+PACKED_WORDS = 1 << 20
 #: Takes a pre-token whole, so the library merges it as one piece.
 WHOLE = r"[\s\S]+"
 _MADE = ("text", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -103,91 +104,135 @@ def _unpack(packed: bytes) -> np.ndarray:
 def _chunked(patterns: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, careful, differ = map(regex.compile, patterns)
-        made = 0
-        part = TaskContext.get().partitionId() << 33
+        made = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts, rest = batch.column(0), batch.columns[1:]
-            begin, chars, index, rows = 0, 0, {}, []
+            texts = batch.column(0)
+            rest = pa.StructArray.from_arrays([*batch.columns[1:], pa.array(range(batch.num_rows), pa.int32())], [*batch.schema.names[1:], "_nth"])
+            begin, chars, index, held, sizes = 0, 0, {}, [], []
             for at in range(batch.num_rows):
                 text = texts[at].as_py() or ""
                 find = plain if text.isascii() or not differ.search(text) else careful
-                pieces, held = (m.group() for m in find.finditer(text)) if len(text) > HELD_PIECES else iter(find.findall(text)), []
+                pieces = (m.group() for m in find.finditer(text)) if len(text) > HELD_PIECES else iter(find.findall(text))
+                size = 0
                 while some := list(islice(pieces, HELD_PIECES)):
                     held.append(np.fromiter((index.setdefault(w, len(index)) for w in some), np.uint32, len(some)))
-                rows.append(_pack(np.concatenate(held)) if held else None)
+                    size += len(some)
+                sizes.append(size)
                 chars += len(text)
                 if chars >= CHUNK_CHARS or at + 1 == batch.num_rows:
-                    n = len(rows)
-                    words = pa.array([list(index)] + [None] * (n - 1), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(
-                        [*[c.slice(begin, n) for c in rest], pa.array([part + made] * n, pa.int64()), pa.array(rows, pa.binary()), words],
-                        [*batch.schema.names[1:], "_chunk", "_places", "_words"],
-                    )
-                    begin, chars, index, rows, made = at + 1, 0, {}, [], made + 1
+                    n = len(sizes)
+                    packed = _pack(np.concatenate(held)) if held else None
+                    rows = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rest.slice(begin, n))
+                    one = [pa.array([made], pa.int64()), rows, pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([list(index)], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(one, ["_chunk", "_rows", "_sizes", "_places", "_words"])
+                    begin, chars, index, held, sizes, made = at + 1, 0, {}, [], [], made + 1
 
     return run
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    return flat[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+
+
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word and ids of each row's word, merged as one piece by the ranks."""
+    """_of, at, counts, ids (packed numbers): ``words`` (word, _of, _at) dealt by word, each distinct word encoded once as one piece.
+
+    A task gives one row for each chunk ``_of`` that its words came from (or more, every ``PACKED_WORDS`` words).
+    """
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
+    def packed(held: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+        of, at, counts = (np.array(x, np.int64) for x in zip(*[(o, a, len(i)) for o, a, i in held], strict=True))
+        flat = np.fromiter((x for _, _, ids in held for x in ids), np.uint32, counts.sum())
+        starts, order = np.cumsum(counts) - counts, np.lexsort((at, of))
+        out = []
+        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            out.append((int(of[rows[0]]), _pack(at[rows]), _pack(counts[rows]), _pack(_gather(flat, starts[rows], counts[rows]))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["_of", "at", "counts", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tiktoken.Encoding("pieces", pat_str=WHOLE, mergeable_ranks=shared.value, special_tokens={})
+        last, ids, held = None, [], []
         for batch in batches:
-            ids = [code.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for word, of, at in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if word != last:
+                    last, ids = word, code.encode_ordinary(word)
+                held.append((of, at, ids))
+            if len(held) >= PACKED_WORDS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    dealt = words.select("word", "_of", "_at").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "_of long, at binary, counts binary, ids binary")
+
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+class TokenBytes:
+    """The table of token ids and bytes, for joins inside a batch."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        order = sorted(ranks, key=ranks.__getitem__)
+        self.ids, self.tokens = np.array([ranks[t] for t in order], np.int64), pa.array(order, pa.binary())
 
-def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """token_id and token (bytes), one row a token of the vocabulary."""
-    return spark.createDataFrame(pa.table({"token_id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())}))
+    def of(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Bytes of each run of ``ids``, from ``offsets[k]`` to ``offsets[k + 1]``."""
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        lost = self.ids[at] != ids if len(self.ids) else np.ones(len(ids), bool)
+        if lost.any():
+            raise ValueError(f"no token has the id {ids[lost][0]}")
+        runs = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), self.tokens.take(pa.array(at)).cast(pa.large_binary()))
+        return pc.binary_join(runs, pa.scalar(b"", pa.large_binary()))
 
 
-def decode(coded: DataFrame, tokens: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """``key`` and decoded (binary) of every row of ``coded``, whose ``key`` is unique: ids joined with their bytes, in order.
+def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
+    """``coded`` with ``decoded`` (binary): the bytes of the array ``ids`` of each row, joined with the vocabulary in place. No shuffle.
 
-    The key goes with every id, so it should be a number.
-    Null or empty ids give no bytes; an id that ``tokens`` (token_id, token) lacks is an error. Tokens are a vocabulary, so they are broadcast.
+    Null or empty ids give no bytes; an id that the vocabulary lacks is an error.
     """
-    block = F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / DECODED_IDS).cast("int"))
-    slices = coded.select(key, F.posexplode_outer(F.transform(F.when(F.size(ids) > 0, block), lambda b: F.slice(ids, b * DECODED_IDS + 1, DECODED_IDS))).alias("_block", "_ids"))
-    each = slices.select(key, "_block", F.posexplode_outer("_ids").alias("_pos", "token_id")).join(F.broadcast(tokens), "token_id", "left")
-    lost = F.raise_error(F.concat(F.lit("no token has the id "), F.col("token_id").cast("string"))).cast("string")
-    hexed = F.when(F.col("token").isNotNull(), F.hex("token")).when(F.col("token_id").isNull(), "").otherwise(lost)
-    joined = lambda place, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, text.alias("_hex")))), lambda x: x["_hex"]), "")
-    parts = each.groupBy(key, "_block").agg(joined("_pos", hexed).alias("_part"))
-    return parts.groupBy(key).agg(F.unhex(joined("_block", F.col("_part"))).alias("decoded"))
-
-
-def _assembled(names: list[str], ids: bool):
-    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("_at").to_numpy())
-        coded = words.column("ids").combine_chunks()
-        counts = np.diff(coded.offsets.to_numpy())
-        flat = coded.flatten().to_numpy().astype(np.int32)
+    shared = coded.sparkSession.sparkContext.broadcast(ranks)
+    rest = [f for f in coded.schema.fields if f.name != "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = TokenBytes(shared.value)
+        for batch in batches:
+            lists = batch.column(ids).to_pylist()
+            offsets = np.cumsum([0, *[len(x or ()) for x in lists]])
+            flat = np.fromiter((i for x in lists for i in x or ()), np.int64, int(offsets[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens.of(flat, offsets).cast(pa.binary())], [*batch.schema.names, "decoded"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return coded.select(*[F.col(f"`{f.name}`") for f in rest]).mapInArrow(run, f"{shape}, decoded binary")
+
+
+def _assembled(names: list[str], shared, ids: bool):
+    def run(chunk: pa.Table, words: pa.Table) -> pa.Table:
+        unpacked = lambda c: np.concatenate([*map(_unpack, words.column(c).to_pylist()), np.zeros(0, np.uint32)])
+        order, counts, flat = np.argsort(unpacked("at")), unpacked("counts").astype(np.int64), unpacked("ids")
         starts = (np.cumsum(counts) - counts)[order]
         counts = counts[order]
-        told = flat.astype("U").tolist()
+        flat, starts = _gather(flat, starts, counts), np.cumsum(counts) - counts
+        bytes_of = TokenBytes(shared.value).of(flat.astype(np.int64), np.concatenate((starts, [len(flat)]))).to_pylist()
+        told = list(map(str, flat.tolist()))
         said = [" ".join(told[s : s + n]).encode() for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
-        bytes_of = [words.column("decoded")[i].as_py() for i in order.tolist()]
+        rows = chunk.column("_rows").combine_chunks().flatten()
+        packed, at = chunk.column("_places")[0].as_py(), 0
+        places = _unpack(packed) if packed else np.zeros(0, np.uint32)
         n_tokens, shas, decoded, lists = [], [], [], []
-        for packed in rows.column("_places").to_pylist():
-            places = _unpack(packed) if packed else np.zeros(0, np.uint32)
-            n_tokens.append(int(counts[places].sum()))
+        for size in chunk.column("_sizes")[0].as_py():
+            own, at = places[at : at + size], at + size
+            n_tokens.append(int(counts[own].sum()))
             sha, back = hashlib.sha256(), hashlib.sha256()
-            for low in range(0, len(places), HELD_PIECES):
-                some = places[low : low + HELD_PIECES].tolist()
+            for low in range(0, size, HELD_PIECES):
+                some = own[low : low + HELD_PIECES].tolist()
                 sha.update(b" " * (low > 0) + b" ".join(map(said.__getitem__, some)))
                 back.update(b"".join(map(bytes_of.__getitem__, some)))
             shas.append(sha.hexdigest())
             decoded.append(back.hexdigest())
             if ids:
-                n = counts[places]
-                lists.append(flat[np.repeat(starts[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        out = [rows.column(c).combine_chunks() for c in names]
+                lists.append(_gather(flat, starts[own], counts[own]).astype(np.int32))
+        out = [rows.field(c) for c in names]
         if ids:
             out.append(pa.array(lists, pa.list_(pa.int32())))
         out += [pa.array(n_tokens, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
@@ -206,16 +251,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
     spark, ranks = docs.sparkSession, read_ranks(path)
     rest = [f for f in docs.schema.fields if f.name not in _MADE]
     own = {f.name: f"_own{i}" for i, f in enumerate(rest)}  # names of callers can't meet ours
-    fields = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in rest)
-    comma = ", " if fields else ""
+    fields = [f"{own[f.name]}: {f.dataType.simpleString()}" for f in rest]
     with Scratch(spark) as scratch:
         read = docs.select("text", *[F.col(f"`{n}`").alias(o) for n, o in own.items()])
-        chunks = scratch.keep(read.mapInArrow(_chunked(splitter(pattern)), f"{fields}{comma}_chunk long, _places binary, _words array<string>"))
-        listed = chunks.filter("_words IS NOT NULL").select(F.col("_chunk").alias("_of"), F.posexplode("_words").alias("_at", "word"))
-        coded = scratch.keep(encode_words(listed.select("word").distinct(), ranks).withColumn("_id", F.monotonically_increasing_id()))
-        back = scratch.keep(merged(coded, decode(coded, token_table(spark, ranks), "_id"), ["_id"]))
-        words = merged(listed, back, ["word"]).select("_of", "_at", "ids", "decoded")
+        shape = f"_chunk long, _rows array<struct<{', '.join([*fields, '_nth: int'])}>>, _sizes array<int>, _places binary, _words array<string>"
+        chunks = scratch.keep(read.mapInArrow(_chunked(splitter(pattern)), shape))
+        listed = chunks.select(F.col("_chunk").alias("_of"), F.posexplode("_words").alias("_at", "word"))
+        coded = encode_words(listed, ranks)
         made = ("token_ids array<int>, " if ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-        pairs = chunks.drop("_words").groupBy("_chunk").cogroup(words.groupBy("_of"))
-        done = pairs.applyInArrow(_assembled(list(own.values()), ids), f"{fields}{comma}{made}")
+        pairs = chunks.drop("_words").groupBy("_chunk").cogroup(coded.groupBy("_of"))
+        done = pairs.applyInArrow(_assembled(list(own.values()), spark.sparkContext.broadcast(ranks), ids), ", ".join([*fields, made]))
         return cut(done).withColumnsRenamed({o: n for n, o in own.items()})

@@ -2,12 +2,11 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from stridefield.llm import byte_bpe, queries
 
@@ -65,27 +64,26 @@ def test_runs_that_the_library_cannot_split(spark, library):
 
 
 def test_decoding_joins_the_table(spark, library):
-    tokens = byte_bpe.token_table(spark, byte_bpe.read_ranks(PATH))
-    texts = ["some text, and more", "é😀", ""]
+    ranks = byte_bpe.read_ranks(PATH)
+    texts = ["some text, and more", "é😀", "", "word " * 300_000]
     coded = spark.createDataFrame([(i, library.encode_ordinary(t)) for i, t in enumerate(texts)] + [(9, None)], "k int, ids array<int>")
-    assert {r.k: bytes(r.decoded) for r in byte_bpe.decode(coded, tokens, "k").collect()} == {0: texts[0].encode(), 1: texts[1].encode(), 2: b"", 9: b""}
-    with pytest.raises(PySparkException, match="no token has the id"):
-        byte_bpe.decode(spark.createDataFrame([(1, [5, 999_999])], "k int, ids array<int>"), tokens, "k").collect()
+    got = {r.k: bytes(r.decoded) for r in byte_bpe.decode(coded, ranks).collect()}
+    assert got == {9: b""} | {i: t.encode() for i, t in enumerate(texts)}
+    with pytest.raises(PySparkException, match="no token has the id 999999"):
+        byte_bpe.decode(spark.createDataFrame([(1, [5, 999_999])], "k int, ids array<int>"), ranks).collect()
 
 
-def test_each_distinct_word_is_encoded_once(spark, monkeypatch, tmp_path):
-    """Words of many documents and chunks come to the encoder once."""
-    docs = spark.range(500).select(F.concat(F.lit("same words in all of them "), F.col("id").cast("string")).alias("text")).repartition(7)
-    seen = []
-    real = byte_bpe.encode_words
-    monkeypatch.setattr(byte_bpe, "encode_words", lambda words, ranks: real(seen.append(words) or words, ranks))
-    byte_bpe.encode_documents(docs, PATH, PATTERN)
-    assert "HashAggregate" in seen[0]._jdf.queryExecution().toString()
+def test_words_are_dealt_by_word(spark):
+    """All chunks' rows of a word meet in one task, which packs the ids by chunk."""
+    words = spark.createDataFrame([(w, c, i) for c in range(40) for i, w in enumerate(("the", " same", " words"))], "word string, _of long, _at int").repartition(7)
+    coded = byte_bpe.encode_words(words, byte_bpe.read_ranks(PATH))
+    run = coded._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning(word" in run 
+    rows = coded.collect()
+    assert sorted(r._of for r in rows if r._of < 40) == sorted([c for c in range(40)] * (len(rows) // 40))
+    assert sum(len(byte_bpe._unpack(bytes(r.at))) for r in rows) == 120
 
 
 def test_packing():
-    import numpy as np
-
-    for places in ([0], [1, 70_000, 3], list(range(1000))):
+    for places in ([0], [1, 70_000, 3], list(range(1000)), []):
         assert byte_bpe._unpack(byte_bpe._pack(np.array(places, np.uint32))).tolist() == places
-    assert pa.array(byte_bpe.read_ranks(PATH).values()).to_pylist()[:2] == list(byte_bpe.read_ranks(PATH).values())[:2]
