@@ -216,6 +216,41 @@ d(source, node, cost) USING KEY (source, node) AS (SELECT DISTINCT source, sourc
 SELECT request_id, cost FROM q LEFT JOIN d ON d.source = q.source AND d.node = q.target"""
 
 
+def least_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost and nodes of the way from a node of each customer's own to another, both anywhere in the walking network."""
+    arcs = network.undirected_arcs(_edges(spark, sf_dir)).withColumnRenamed("baseline_weight", "weight")
+    n = _read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    asked = _read(spark, sf_dir, "customer").crossJoin(F.broadcast(n)).selectExpr("c_custkey AS request_id", "c_custkey * 7919 % n AS source", "c_custkey * 31 % n AS target")
+    found = graph.shortest_paths(arcs, asked)
+    return found.select("request_id", F.round("cost", 4).alias("cost"), F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+PATHS_SQL = EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, arcs AS (SELECT lo AS src, hi AS dst, w FROM e UNION ALL SELECT hi, lo, w FROM e),
+n AS (SELECT count(*) AS n FROM part), q AS (SELECT c_custkey AS request_id, c_custkey * 7919 % n AS source, c_custkey * 31 % n AS target FROM customer, n),
+d(source, node, cost, prev) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0e0, NULL::BIGINT FROM q UNION (
+  SELECT DISTINCT ON (x.source, e.dst) x.source, e.dst, x.cost + e.w AS c, x.node FROM d x JOIN arcs e ON e.src = x.node
+  LEFT JOIN recurring.d o ON o.source = x.source AND o.node = e.dst WHERE o.cost IS NULL OR x.cost + e.w < o.cost ORDER BY x.source, e.dst, c)),
+back(request_id, source, node, path) AS (SELECT request_id, q.source, target, CAST(target AS VARCHAR) FROM q JOIN d ON d.source = q.source AND d.node = q.target
+  UNION ALL SELECT request_id, b.source, d.prev, d.prev || ',' || path FROM back b JOIN d ON d.source = b.source AND d.node = b.node WHERE d.prev IS NOT NULL)
+SELECT q.request_id, round(d.cost, 4) AS cost, b.path FROM q LEFT JOIN d ON d.source = q.source AND d.node = q.target
+  LEFT JOIN back b ON b.request_id = q.request_id AND b.node = b.source"""
+
+
+_STATE = "(p_partkey * 7919 % 1009 + 1) / 1009e0"
+
+
+def flows_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow of every segment by a vector over the nodes that is scaled to 250 at node 8."""
+    vector = _read(spark, sf_dir, "part").selectExpr("p_partkey AS state", f"{_STATE} AS value")
+    pairs = network.way_segments(_ways(spark, sf_dir)).selectExpr("way_id * 100 + pos AS polygon_id", "src AS a", "dst AS b")
+    return graph.segment_flows(vector, 250.0, 8, pairs).select("polygon_id", "a", "b", F.round("flow", 6).alias("flow"))
+
+
+FLOWS_SQL = f"""WITH {SEGMENTS_SQL}, v AS (SELECT p_partkey AS state, {_STATE} AS value FROM part), k AS (SELECT value AS k FROM v WHERE state = 8)
+SELECT way_id * 100 + pos AS polygon_id, src AS a, dst AS b, round((x.value / k * 250e0 + y.value / k * 250e0) / 2, 6) AS flow
+FROM seg JOIN v x ON x.state = src JOIN v y ON y.state = dst, k"""
+
+
 def hops_from_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hop_distance(network.undirected_arcs(_edges(spark, sf_dir)), 1).select("node", "hops")
 
@@ -391,7 +426,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edges_inside_polygons, edges_touching_polygons, open_edges, risk_grid, current_weights, nearest_node, nearest_node_early, profile_by_weekday,
-        flow_at_request, weather_at_request, components, largest_component_arcs, least_costs, hops_from_node, steady_flow, network_totals, network_extent,
+        flow_at_request, weather_at_request, components, largest_component_arcs, least_costs, least_paths, flows_of_segments, hops_from_node, steady_flow, network_totals, network_extent,
         adjacency_lists, buildings_of_nodes, building_vertices, entrance_ranks, cheapest_doors, way_lengths, polygon_measures, polygon_points,
         rectangle_overlap, grid_arcs, downsampled, dilated, cropped, without_specks, best_scales, kept_detections,
     )
@@ -422,6 +457,8 @@ ORACLES = {
     "largest_component_arcs": f"""WITH RECURSIVE {LATTICE_SQL}, top AS (SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
   SELECT src, dst FROM one WHERE src IN (SELECT node FROM cc JOIN top USING (component))""",
     "least_costs": COSTS_SQL,
+    "least_paths": PATHS_SQL,
+    "flows_of_segments": FLOWS_SQL,
     "hops_from_node": EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, arcs AS (SELECT lo AS src, hi AS dst FROM e UNION SELECT hi, lo FROM e),
   h(node, hops) USING KEY (node) AS (SELECT DISTINCT src, CAST(0 AS BIGINT) FROM arcs WHERE src = 1 UNION (
     SELECT DISTINCT ON (a.dst) a.dst, h.hops + 1 FROM h JOIN arcs a ON a.src = h.node LEFT JOIN recurring.h o ON o.node = a.dst WHERE o.node IS NULL))
