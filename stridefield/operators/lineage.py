@@ -34,6 +34,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.n = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.names: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -47,7 +48,22 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
+    def keep_bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """``df`` written in buckets of ``column`` and read back: joins and groups by the column find its rows in place, without a shuffle.
+
+        Tasks write their rows to the files of their buckets, so nothing is shuffled here either. The files are in this folder; the
+        table's name in the session's catalog goes with them.
+        """
+        self.n += 1
+        name = f"stridefield_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", f"{self.folder}/{self.n}").bucketBy(buckets, column).format("parquet").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
     def remove(self, n: int | None = None) -> None:
         """Remove the n-th table, or all."""
+        if n is None:
+            while self.names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder if n is None else f"{self.folder}/{n}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
