@@ -2,14 +2,15 @@
 
 Documents are split by the tokenizer's pattern. Some eight million characters of whole documents make a chunk; in it a pre-token is a
 place in the chunk's list of distinct words, and the chunk keeps the row of its places, packed. So a word that stands in every
-document moves once a chunk, not once a position, and no word is a hot key. The lists are exploded and dealt by word; each
-distinct word of the whole table is encoded once, its ids go back to the chunks it came from, and documents are put together by
-position. Decoding joins ids with the table of token bytes.
+document moves once a chunk, not once a position, and no word is a hot key. The lists are exploded by the hash of their words
+and dealt by it; each distinct word of the whole table is encoded once, its ids go back to the chunks it came from, and documents
+are put together by position. Decoding joins ids with the table of token bytes.
 
 The library that the result has to agree with knows an older Unicode than the pattern module here may know. Where both disagree with
 Python's own tables, that library is asked for the class of the code point (see :func:`splitter`).
 
-Shuffles: the words of each chunk, their ids (packed by chunk before they move), the packed places. The vocabulary (one row a token) is broadcast.
+Shuffles: the distinct words of each chunk, and their ids, both packed by chunk and hash. Places are stored in buckets of their chunk and
+stay where they are. The vocabulary (one row a token) is broadcast.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import base64
 import hashlib
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,6 @@ from stridefield.llm.storage import Scratch, cut
 CHUNK_CHARS = 1 << 23
 #: Pre-tokens of a document that are held at a time.
 HELD_PIECES = 1 << 20
-#: Words of a task whose ids are packed together.
-PACKED_WORDS = 1 << 20
 #: Takes a pre-token whole, so the library merges it as one piece.
 WHOLE = r"[\s\S]+"
 _MADE = ("text", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -91,9 +91,9 @@ def _ranges(chars: list[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-def _pack(places: np.ndarray) -> bytes:
-    """32-bit places by byte plane, compressed: the planes of high bytes are next to nothing."""
-    return zstandard.ZstdCompressor(level=3).compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte plane, compressed: the planes of high bytes are next to nothing."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -101,7 +101,30 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
 
 
-def _chunked(patterns: tuple[str, str, str]):
+def _pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and bytes of the words, packed."""
+    return _pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def _unpack_words(lengths: bytes, words: bytes) -> list[bytes]:
+    whole, ends = zstandard.ZstdDecompressor().decompress(words), np.cumsum(_unpack(lengths), dtype=np.int64).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+_WORDS = pa.list_(pa.struct([("hash", pa.int32()), ("steps", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())]))
+
+
+def _chunked(patterns: tuple[str, str, str], parts: int):
+    def listed(index: dict[str, int]) -> list[dict]:
+        """The words by hash, in order, with the steps from one place to the next."""
+        own: dict[int, tuple[list[int], list[bytes]]] = {}
+        for at, word in enumerate(index):
+            raw = word.encode()
+            places, words = own.setdefault(zlib.crc32(raw) % parts, ([], []))
+            places.append(at)
+            words.append(raw)
+        return [{"hash": h, "steps": _pack(np.diff(places, prepend=0)), **dict(zip(("lengths", "words"), _pack_words(words), strict=True))} for h, (places, words) in own.items()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, careful, differ = map(regex.compile, patterns)
         made = TaskContext.get().partitionId() << 33
@@ -123,7 +146,7 @@ def _chunked(patterns: tuple[str, str, str]):
                     n = len(sizes)
                     packed = _pack(np.concatenate(held)) if held else None
                     rows = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rest.slice(begin, n))
-                    one = [pa.array([made], pa.int64()), rows, pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([list(index)], pa.list_(pa.string()))]
+                    one = [pa.array([made], pa.int64()), rows, pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([listed(index)], _WORDS)]
                     yield pa.RecordBatch.from_arrays(one, ["_chunk", "_rows", "_sizes", "_places", "_words"])
                     begin, chars, index, held, sizes, made = at + 1, 0, {}, [], [], made + 1
 
@@ -135,38 +158,33 @@ def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """_of, at, counts, ids (packed numbers): ``words`` (word, _of, _at) dealt by word, each distinct word encoded once as one piece.
+def encode_words(lists: DataFrame, ranks: dict[bytes, int], parts: int) -> DataFrame:
+    """_of, steps, counts, ids of each row of ``lists`` (_of, hash, steps, lengths, words): how many ids its words have, and the ids.
 
-    A task gives one row for each chunk ``_of`` that its words came from (or more, every ``PACKED_WORDS`` words).
+    Rows are dealt by the hash of their words, so a word's rows meet in one task, in which it is encoded once as one piece. A task
+    holds the distinct words of one hash at a time.
     """
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
-
-    def packed(held: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-        of, at, counts = (np.array(x, np.int64) for x in zip(*[(o, a, len(i)) for o, a, i in held], strict=True))
-        flat = np.fromiter((x for _, _, ids in held for x in ids), np.uint32, counts.sum())
-        starts, order = np.cumsum(counts) - counts, np.lexsort((at, of))
-        out = []
-        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            out.append((int(of[rows[0]]), _pack(at[rows]), _pack(counts[rows]), _pack(_gather(flat, starts[rows], counts[rows]))))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["_of", "at", "counts", "ids"])
+    shared = lists.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tiktoken.Encoding("pieces", pat_str=WHOLE, mergeable_ranks=shared.value, special_tokens={})
-        last, ids, held = None, [], []
+        last, known = None, {}
         for batch in batches:
-            for word, of, at in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if word != last:
-                    last, ids = word, code.encode_ordinary(word)
-                held.append((of, at, ids))
-            if len(held) >= PACKED_WORDS:
-                yield packed(held)
-                held = []
-        if held:
-            yield packed(held)
-
-    dealt = words.select("word", "_of", "_at").repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "_of long, at binary, counts binary, ids binary")
+            out = []
+            for of, own, steps, lengths, packed in zip(*[batch.column(c).to_pylist() for c in ("_of", "hash", "steps", "lengths", "words")], strict=True):
+                if own != last:
+                    last, known = own, {}
+                coded = []
+                for word in _unpack_words(lengths, packed):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = code.encode_ordinary(word.decode())
+                    coded.append(ids)
+                out.append((of, steps, _pack(np.fromiter(map(len, coded), np.uint32, len(coded))), _pack(np.fromiter(chain.from_iterable(coded), np.uint32))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["_of", "steps", "counts", "ids"])
+
+    return lists.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(run, "_of long, steps binary, counts binary, ids binary")
 
 
 class TokenBytes:
@@ -208,8 +226,9 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataF
 
 def _assembled(names: list[str], shared, ids: bool):
     def run(chunk: pa.Table, words: pa.Table) -> pa.Table:
-        unpacked = lambda c: np.concatenate([*map(_unpack, words.column(c).to_pylist()), np.zeros(0, np.uint32)])
-        order, counts, flat = np.argsort(unpacked("at")), unpacked("counts").astype(np.int64), unpacked("ids")
+        unpacked = lambda c: [*map(_unpack, words.column(c).to_pylist()), np.zeros(0, np.uint32)]
+        order = np.argsort(np.concatenate([np.cumsum(s) for s in unpacked("steps")]))
+        counts, flat = np.concatenate(unpacked("counts")).astype(np.int64), np.concatenate(unpacked("ids"))
         starts = (np.cumsum(counts) - counts)[order]
         counts = counts[order]
         flat, starts = _gather(flat, starts, counts), np.cumsum(counts) - counts
@@ -252,12 +271,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
     rest = [f for f in docs.schema.fields if f.name not in _MADE]
     own = {f.name: f"_own{i}" for i, f in enumerate(rest)}  # names of callers can't meet ours
     fields = [f"{own[f.name]}: {f.dataType.simpleString()}" for f in rest]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with Scratch(spark) as scratch:
         read = docs.select("text", *[F.col(f"`{n}`").alias(o) for n, o in own.items()])
-        shape = f"_chunk long, _rows array<struct<{', '.join([*fields, '_nth: int'])}>>, _sizes array<int>, _places binary, _words array<string>"
-        chunks = scratch.keep(read.mapInArrow(_chunked(splitter(pattern)), shape))
-        listed = chunks.select(F.col("_chunk").alias("_of"), F.posexplode("_words").alias("_at", "word"))
-        coded = encode_words(listed, ranks)
+        shape = f"_chunk long, _rows array<struct<{', '.join([*fields, '_nth: int'])}>>, _sizes array<int>, _places binary, _words array<struct<hash: int, steps: binary, lengths: binary, words: binary>>"
+        chunks = scratch.keep_bucketed(read.mapInArrow(_chunked(splitter(pattern), parts), shape), "_chunk", parts)
+        coded = encode_words(chunks.select(F.col("_chunk").alias("_of"), F.inline("_words")), ranks, parts)
         made = ("token_ids array<int>, " if ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
         pairs = chunks.drop("_words").groupBy("_chunk").cogroup(coded.groupBy("_of"))
         done = pairs.applyInArrow(_assembled(list(own.values()), spark.sparkContext.broadcast(ranks), ids), ", ".join([*fields, made]))

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from stridefield.llm import byte_bpe, queries
 
@@ -73,15 +74,29 @@ def test_decoding_joins_the_table(spark, library):
         byte_bpe.decode(spark.createDataFrame([(1, [5, 999_999])], "k int, ids array<int>"), ranks).collect()
 
 
-def test_words_are_dealt_by_word(spark):
-    """All chunks' rows of a word meet in one task, which packs the ids by chunk."""
-    words = spark.createDataFrame([(w, c, i) for c in range(40) for i, w in enumerate(("the", " same", " words"))], "word string, _of long, _at int").repartition(7)
-    coded = byte_bpe.encode_words(words, byte_bpe.read_ranks(PATH))
-    run = coded._jdf.queryExecution().toString()
-    assert "Exchange hashpartitioning(word" in run 
-    rows = coded.collect()
-    assert sorted(r._of for r in rows if r._of < 40) == sorted([c for c in range(40)] * (len(rows) // 40))
-    assert sum(len(byte_bpe._unpack(bytes(r.at))) for r in rows) == 120
+def test_words_of_all_chunks_meet(spark):
+    """Rows of one hash come to one task, whatever chunk they are from, and each keeps its chunk and places."""
+    words = [b"the", b" same", " wörds".encode()]
+    lengths, packed = byte_bpe._pack_words(words)
+    assert byte_bpe._unpack_words(lengths, packed) == words
+    rows = [(c, h, byte_bpe._pack(np.array([c, 1, 1])), lengths, packed) for c in range(40) for h in range(3)]
+    lists = spark.createDataFrame(rows, "_of long, hash int, steps binary, lengths binary, words binary").repartition(7)
+    coded = byte_bpe.encode_words(lists, byte_bpe.read_ranks(PATH), 5)
+    tasks = coded.select(F.spark_partition_id().alias("task"), "_of").collect()
+    assert len(tasks) == 120 and len({r.task for r in tasks}) <= 3
+    library = tiktoken.Encoding("library", pat_str=PATTERN, mergeable_ranks=byte_bpe.read_ranks(PATH), special_tokens={})
+    want = [i for w in words for i in library.encode_ordinary(w.decode())]
+    for r in coded.collect():
+        assert np.cumsum(byte_bpe._unpack(bytes(r.steps))).tolist() == [r._of, r._of + 1, r._of + 2] and byte_bpe._unpack(bytes(r.ids)).tolist() == want
+
+
+def test_places_stay_where_they_are(spark, monkeypatch):
+    """The plan moves words and their ids, and has no exchange above the stored places."""
+    plans = []
+    real = byte_bpe.cut
+    monkeypatch.setattr(byte_bpe, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    byte_bpe.encode_documents(spark.createDataFrame([("a b c",), ("c d",)], "text string"), PATH, PATTERN)
+    assert "FlatMapCoGroupsInArrow" in plans[0] and plans[0].count("Exchange hashpartitioning") == 2
 
 
 def test_packing():
