@@ -15,10 +15,12 @@ def placed_points(points: DataFrame, placing: DataFrame) -> DataFrame:
     placing: building_id, factor, gx, gy, cx, cy, angle, reflected; one row a building.
     """
     rest = [c for c in points.columns if c not in ("x", "y")]
-    x, y = ((F.col(c) - F.col(f"g{c}")) * F.col("factor") + F.col(f"c{c}") for c in "xy")
-    x, y = geometry.rotate(x, y, F.col("angle"), F.col("cx"), F.col("cy"))
+    cx, cy, gx, gy = (F.col(c) for c in ("cx", "cy", "gx", "gy"))
+    x, y = geometry.scale_about(F.col("x"), F.col("y"), F.col("factor"), gx, gy)
+    x, y = geometry.rotate(*geometry.translate(x, y, cx - gx, cy - gy), F.col("angle"), cx, cy)
+    mirrored = geometry.reflect(x, y, "x", cx, cy)
     known = points.join(placing.select("building_id", "factor", "gx", "gy", "cx", "cy", "angle", "reflected"), "building_id")
-    return known.select(*rest, x.alias("x"), F.when(F.col("reflected"), 2 * F.col("cy") - y).otherwise(y).alias("y"))
+    return known.select(*rest, *[F.when(F.col("reflected"), m).otherwise(v).alias(n) for n, m, v in zip("xy", mirrored, (x, y), strict=True)])
 
 
 def _projected(points: DataFrame, zones: DataFrame) -> DataFrame:

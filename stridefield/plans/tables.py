@@ -269,6 +269,50 @@ def rectangle_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("building_id", "angle", "reflected", F.round("iou", 6).alias("iou"))
 
 
+_ELLS = "s_nationkey * 4 + s_suppkey % 4 AS building_id, 40e0 + sum(s_suppkey) % 17 AS a, 70e0 + sum(s_suppkey) % 13 AS b, sum(s_suppkey) * 37 % 360 - 180 AS turn, sum(s_suppkey) % 2 = 0 AS mirrored"
+
+
+@query(f"""SELECT building_id, CAST(turn AS INT) AS angle, mirrored AS reflected, 1e0 AS iou FROM (
+  SELECT {_ELLS} FROM supplier GROUP BY s_nationkey * 4 + s_suppkey % 4)""")
+def concave_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn, of all 360 plain and mirrored, that puts an L-shaped plan of 1,000 points onto its outline of 1,000 points."""
+    made = _read(spark, sf_dir, "supplier").groupBy(F.expr("s_nationkey * 4 + s_suppkey % 4").alias("building_id"))
+    shapes = made.agg(*[F.expr(e) for e in _ELLS.split(", ")[1:]])
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    corners = [(zero, zero), (a, zero), (a, b / 3), (a / 2, b / 3), (a / 2, b), (zero, b)]
+    about = [geometry.translate(x, y, -3 * a / 8, -5 * b / 12) for x, y in corners]
+    turned = []
+    for x, y in about:
+        m, n = geometry.reflect(x, y, "x", zero, zero)
+        turned.append(geometry.rotate(F.when(F.col("mirrored"), m).otherwise(x), F.when(F.col("mirrored"), n).otherwise(y), -F.col("turn"), zero, zero))
+
+    def ring(points: list, name: str) -> DataFrame:
+        corner = F.posexplode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points])).alias("pos", "p")
+        vertices = shapes.select(F.col("building_id").alias("polygon_id"), corner).select("polygon_id", "pos", "p.x", "p.y")
+        return geometry.rings(geometry.resample_polygon(vertices).withColumnRenamed("k", "pos")).withColumnsRenamed({"polygon_id": "building_id", "ring": name})
+
+    found = geometry.best_alignment(ring(about, "outline").join(ring(turned, "plan"), "building_id"))
+    return found.select("building_id", "angle", "reflected", F.round("iou", 6).alias("iou"))
+
+
+_ELL = "(o_orderkey * 31) % 997 * 1e0 AS x0, (o_orderkey * 17) % 991 * 1e0 AS y0, 8e0 + 2 * (o_orderkey % 13) AS w, 6e0 + 2 * (o_orderkey % 11) AS h, 1e0 + o_orderkey % 3 AS dx, o_orderkey % 5 - 1e0 AS dy"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT o_orderkey AS polygon_id, {_ELL} FROM orders),
+  r AS (SELECT polygon_id, w, h, dx, dy, 0e0 AS l, w AS r, 0e0 AS b, h / 2 AS t FROM q UNION ALL SELECT polygon_id, w, h, dx, dy, 0e0, w / 2, h / 2, h FROM q),
+  i AS (SELECT p.polygon_id, any_value(p.w * p.h) * 0.75e0 AS area, sum(greatest(0, least(p.r, q.r + q.dx) - greatest(p.l, q.l + q.dx)) * greatest(0, least(p.t, q.t + q.dy) - greatest(p.b, q.b + q.dy))) AS s
+    FROM r p JOIN r q USING (polygon_id) GROUP BY p.polygon_id)
+  SELECT polygon_id, round(s / (2 * area - s), 6) AS iou FROM i""")
+def concave_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection over union of each order's L with itself moved, one of both running the other way round."""
+    shapes = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS polygon_id", *_ELL.split(", ")).distinct()
+    x, y, w, h, zero = F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), F.lit(0.0)
+    corners = [(zero, zero), (w, zero), (w, h / 2), (w / 2, h / 2), (w / 2, h), (zero, h)]
+    ring = lambda dx, dy, points: F.array(*[F.struct((x + dx + a).alias("x"), (y + dy + b).alias("y")) for a, b in points])
+    pairs = shapes.select("polygon_id", ring(zero, zero, corners).alias("a"), ring(F.col("dx"), F.col("dy"), corners[::-1]).alias("b"))
+    return geometry.polygon_overlaps(pairs, "a", "b", "polygon_id").select("polygon_id", F.round("iou", 6).alias("iou"))
+
+
 # --- entrances
 _PLACE = "s_suppkey % 4 AS entrance_pos, s_suppkey * 7 % 20 AS indoor_x, s_suppkey * 11 % 20 AS indoor_y"
 

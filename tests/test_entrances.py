@@ -12,6 +12,36 @@ RING = [(-121.752, 38.538), (-121.7512, 38.538), (-121.7512, 38.5384), (-121.751
 DOORS = [(-121.7515, 38.538), (-121.7512, 38.5383)]
 
 
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_projection_at_full_resolution(spark, mirrored):
+    """1,000 points, every degree: doors land within half a pixel, and the whole registration on the pixel next to where the plan says."""
+    outlines = spark.createDataFrame([("b", k, *p) for k, p in enumerate(RING)], "building_id string, pos int, lon double, lat double")
+    doors = spark.createDataFrame([("b", k, *p) for k, p in enumerate(DOORS)], "building_id string, entrance_pos int, lon double, lat double")
+    utm = scalars.utm_project(F.col("lon"), F.col("lat"), F.lit(10))
+    flat = lambda df: [tuple(r.p) for r in df.select(utm.alias("p")).collect()]
+    c, s = math.cos(math.radians(73)), math.sin(math.radians(73))
+    low = flat(outlines)[0]
+
+    def plan(p):
+        x, y = (p[0] - low[0]) * 4, (p[1] - low[1]) * 4
+        x, y = x * c - y * s, x * s + y * c
+        return (x + 200, 450 - y) if mirrored else (x + 200, y + 150)
+
+    plans = spark.createDataFrame([("b", k, *plan(p)) for k, p in enumerate(flat(outlines))], "building_id string, pos int, x double, y double")
+    points, rings = entrances.project_entrances(outlines, plans, doors)
+    for got, want in zip(points.orderBy("entrance_pos").collect(), map(plan, flat(doors)), strict=True):
+        assert math.hypot(got.x - want[0], got.y - want[1]) < 0.5
+    assert rings.count() == 1000
+    pixels = spark.range(600 * 600).select(F.lit("b").alias("image_id"), (F.col("id") / 600).cast("int").alias("row"), (F.col("id") % 600).cast("int").alias("col"), F.lit(255).alias("value"))
+    scales = spark.createDataFrame([("b", 2.0)], "building_id string, factor double")
+    registered = entrances.register_entrances(outlines, plans, doors, pixels, scales, distance=20.0).orderBy("entrance_pos").collect()
+    # the first door is on the lowest side, whose inward normal is north; the second one on the eastern side, whose is west
+    inward = [(0, 1), (-1, 0)]
+    for got, (x, y), (nx, ny) in zip(registered, flat(doors), inward, strict=True):
+        want = plan((x + nx * 5, y + ny * 5))
+        assert abs(got.x / 2 - want[0]) <= 1.2 and abs(got.y / 2 - want[1]) <= 1.2
+
+
 @pytest.mark.parametrize("mirrored", [False, True])
 def test_projection_finds_a_known_placing(spark, mirrored):
     outlines = spark.createDataFrame([("b", k, *p) for k, p in enumerate(RING)], "building_id string, pos int, lon double, lat double")

@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,40 @@ def test_alignment_finds_the_turn(spark):
     assert (found.angle, found.reflected) == (40, False) and found.iou == pytest.approx(1.0)
 
 
+def jagged(rng, n):
+    """A concave star-shaped ring."""
+    return np.array([((1 + rng.random()) * math.cos(2 * math.pi * k / n), (1 + rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+
+
+def test_sweep_equals_all_pairs_of_sides():
+    """Concave rings up to 1,000 points, both directions, shared corners, upright sides, far apart."""
+    def under(p, q):
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = *p, *q
+        left, right = max(min(ax, bx), min(cx, dx)), min(max(ax, bx), max(cx, dx))
+        if right <= left:
+            return 0.0
+        f = lambda x: ay + (by - ay) * (x - ax) / (bx - ax) + 9
+        g = lambda x: cy + (dy - cy) * (x - cx) / (dx - cx) + 9
+        cross = [x for x in [left + (right - left) * (f(left) - g(left)) / ((f(left) - g(left)) - (f(right) - g(right)))] if left < x < right] if (f(left) - g(left)) * (f(right) - g(right)) < 0 else []
+        ends = [left, *cross, right]
+        area = sum((b - a) * (min(f(a), g(a)) + min(f(b), g(b))) / 2 for a, b in zip(ends, ends[1:], strict=False))
+        return math.copysign(1, bx - ax) * math.copysign(1, dx - cx) * area
+
+    def pairwise(a, b):
+        sides = lambda r: list(zip(r.tolist(), np.roll(r, -1, 0).tolist(), strict=True))
+        return abs(sum(under(p, q) for p in sides(a) for q in sides(b)))
+
+    rng = random.Random(8)
+    grid = np.array([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)], float)
+    pairs = [(jagged(rng, n), jagged(rng, m)[::way] + at) for n, m, way, at in ((7, 9, 1, 0.3), (30, 50, -1, 0.0), (12, 12, 1, 9.0), (300, 200, -1, 0.5))]
+    pairs += [(grid, grid), (grid, grid[::-1] + 1), (grid, grid + (0, 2)), (grid, np.array([(0.0, 4.0), (4, 4), (4, 9)]))]
+    for a, b in pairs:
+        got = geometry.shared_area(geometry._sides_by_x(a), geometry._sides_by_x(b))
+        assert got == pytest.approx(pairwise(a, b), abs=1e-9)
+    big = jagged(rng, 1000)
+    assert geometry.shared_area(geometry._sides_by_x(big), geometry._sides_by_x(big)) == pytest.approx(geometry.ring_area(big), rel=1e-12)
+
+
 def test_short_polygons_are_errors(spark):
     two = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 1.0)], "polygon_id int, pos int, x double, y double")
     with pytest.raises(Exception, match="three vertices"):
