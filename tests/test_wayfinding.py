@@ -103,7 +103,7 @@ def test_alignment_finds_the_turn(spark):
 
 def jagged(rng, n):
     """A concave star-shaped ring."""
-    return np.array([((1 + rng.random()) * math.cos(2 * math.pi * k / n), (1 + rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+    return np.array([(r * math.cos(2 * math.pi * k / n), r * math.sin(2 * math.pi * k / n)) for k in range(n) for r in [1 + rng.random()]])
 
 
 def test_sweep_equals_all_pairs_of_sides():
