@@ -3,7 +3,8 @@
 Each page is parsed into a tree inside its row. Paragraphs pass points for their length and commas to
 their ancestors (all to the parent, half to the next, a quarter to the one above, ...), discounted by the share of
 their text inside links. The best container is kept together with those of its siblings that score
-well or read like prose. Menus, forms, scripts, adverts and the like are left out by tag or by class.
+well or read like prose. Menus, scripts, adverts and the like are left out by tag or by class. An element that only its name, or being a
+form, speaks against stays if it holds the page's article: an article or main element, or most of the page's prose.
 
 No shuffle: one pass over the pages in Arrow batches.
 """
@@ -22,7 +23,7 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 # Elements of HTML by what they mean for reading
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-LEFT_OUT = {"nav", "footer", "aside", "form", "head", "button", "select", "template", "svg", "menu", "dialog", "object", "canvas", "datalist", "label"}
+LEFT_OUT = {"nav", "footer", "aside", "head", "button", "select", "template", "svg", "menu", "dialog", "object", "canvas", "datalist"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre",
@@ -31,17 +32,20 @@ BLOCK = {
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "div", "section", "main"}
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+_BAD = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|"
+    r"newsletter|notice|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)"
 )
+_PARTS = r"(?:area|articles|bar|block|bottom|box|buttons?|col|column|container|form|global|icons|inner|item|items|left|links|list|main|overlay|page|posts|primary|right|secondary|section|site|slot|stories|thread|top|unit|wrap|wrapper|\d+)"
+#: A class, id or role that is a bad word, or one together with parts of a layout; "has-sidebar" or "related-work" is none.
+BAD_NAME = re.compile(rf"(?:^|\s)(?:{_PARTS}[-_]+)*{_BAD}(?:[-_]+(?:{_PARTS}|{_BAD}))*(?:$|\s)", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies)(?:$|[\s_-])", re.I)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 PRIOR = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "header": -5.0}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "skip", "link", "prior", "own", "score", "chars", "link_chars", "first", "last")
+    __slots__ = ("tag", "parent", "skip", "link", "prior", "own", "score", "chars", "link_chars", "first", "last", "suspect", "free", "within", "holds")
 
     def __init__(self, tag: str, parent: "_Node | None", skip: bool, prior: float):
         self.tag, self.parent, self.skip, self.prior = tag, parent, skip, prior
@@ -49,6 +53,10 @@ class _Node:
         self.own = self.score = 0.0  # points given here, and with those passed up from below
         self.chars, self.link_chars = 0, 0
         self.first = self.last = -1  # range of blocks inside
+        self.suspect = ""  # the name that speaks against it
+        self.free = 0  # characters of prose under no other suspect below
+        self.within = parent.within if parent is not None else None  # the innermost suspect around it
+        self.holds = False  # an article or main element below
 
     def take(self, chars: int, linked: int, first: int, last: int) -> None:
         self.chars += chars
@@ -87,8 +95,11 @@ class _Stack:
         return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
 
-def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
-    """All elements, and in page order the text blocks with the block element that holds them and the characters inside links."""
+def _parse(page: str, dropped: frozenset[int] = frozenset()) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All elements, and in page order the text blocks with the block element that holds them and the characters inside links.
+
+    ``dropped`` has the places in the list of elements whose text is left out; the list is the same with any.
+    """
     root = _Node("html", None, False, 0.0)
     nodes, blocks = [root], []
     stack = _Stack(root)
@@ -152,18 +163,22 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             if k > 0 and k > stack.last(SCOPE):
                 stack.close(k)
         parent = stack.open[-1]
-        skip, prior = parent.skip or name in LEFT_OUT, PRIOR.get(name, 0.0)
+        skip, prior, suspect = parent.skip or name in LEFT_OUT or len(nodes) in dropped, PRIOR.get(name, 0.0), "form" if name == "form" else ""
         if found[3] and not skip:
             words = " ".join(a or b or c for a, b, c in NAMED.findall(found[3]))
             if words:
                 if BAD_NAME.search(words) and name not in ("body", "html", "article", "main"):
-                    skip = True
+                    suspect = words
                 elif GOOD_NAME.search(words):
                     prior += 10.0
+        if name == "label" and stack.last(("form",)) > 0:
+            skip = True
         # a header outside an article belongs to the page
         if name == "header" and stack.last(("article", "main")) < 0:
             skip = True
         node = _Node(name, parent, skip, prior)
+        if suspect and not skip:
+            node.suspect, node.within = suspect, node
         nodes.append(node)
         if not found[3].rstrip().endswith("/") or name in BLOCK or name == "a":
             stack.push(node)
@@ -172,6 +187,44 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     return nodes, blocks
 
 
+#: Prose under which a suspect element is no page's article, and how many times the prose outside it has to be.
+LEAST_ARTICLE, TIMES_OUTSIDE = 250, 4
+
+
+def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """What :func:`_parse` gives without the suspect elements that don't hold the article.
+
+    A suspect element stays if an article or main element is below it, or if its prose is several times that of all the page outside suspect
+    elements. A list of comments stays only where there is hardly anything else.
+    """
+    nodes, blocks = _parse(page)
+    if not any(n.suspect for n in nodes):
+        return nodes, blocks
+    for node in reversed(nodes):
+        if node.parent is not None and (node.holds or node.tag in ("article", "main")) and not node.skip:
+            node.parent.holds = True
+    outside = 0
+    for node, whole, linked in blocks:
+        if node.within is None:
+            outside += len(whole) - linked
+        else:
+            node.within.free += len(whole) - linked
+    dropped: set[int] = set()
+    gone: set[int] = set()
+    for k, node in enumerate(nodes):
+        if node.parent is not None and id(node.parent) in gone:
+            gone.add(id(node))
+        elif node.suspect:
+            prose = node.chars - node.link_chars
+            around = prose >= LEAST_ARTICLE and outside * TIMES_OUTSIDE < prose and (not COMMENTS.search(node.suspect) or outside < 40)
+            if node.holds or around:
+                outside += node.free
+            else:
+                dropped.add(k)
+                gone.add(id(node))
+    return _parse(page, frozenset(dropped)) if dropped else (nodes, blocks)
+
+
 #: Blocks whose points go to their parent first.
 _PASSED_UP = ("p", "pre", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -184,7 +237,7 @@ def extract(page: str | None) -> str:
     """
     if not page:
         return ""
-    nodes, blocks = _parse(page)
+    nodes, blocks = _read(page)
     if not blocks:
         return ""
     linked = lambda x: x.link_chars / x.chars if x.chars else 0.0
