@@ -23,6 +23,7 @@ def resolve_segments(segments: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def baseline_weights(resolved: DataFrame) -> DataFrame:
+    """Segments with ``baseline_weight``, the seconds to walk them. No shuffle."""
     metres = haversine(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))
     return resolved.withColumn("baseline_weight", walking_time(metres))
 
@@ -35,6 +36,34 @@ def distinct_edges(weighted: DataFrame) -> DataFrame:
     )
 
 
+def place_ids(nodes: DataFrame) -> DataFrame:
+    """node_id, place_id: the least id of the nodes at the same (x, y), in the same building and with the same kind of coordinates.
+
+    nodes: node_id, x, y, use_global_coords, building_id. One shuffle on the place; the ids of one place stand in a list until they are told apart.
+    """
+    place = nodes.groupBy("x", "y", "use_global_coords", "building_id").agg(F.min("node_id").alias("place_id"), F.collect_list("node_id").alias("_ids"))
+    return place.select(F.explode("_ids").alias("node_id"), "place_id")
+
+
+def places(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with one row a place, under its least id; of other columns those of that id's row."""
+    ids = place_ids(nodes)
+    return nodes.join(ids.filter("node_id = place_id").select("node_id"), "node_id", "left_semi")
+
+
+def edges_between_places(weighted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """lo, hi, baseline_weight: one undirected edge between two places, the first by (way_id, pos); its ends in the order of (x, y), then of their ids.
+
+    weighted: way_id, pos, src, dst, baseline_weight; nodes as in :func:`place_ids`. A segment between two ids of one place is a loop
+    and stays. Shuffles on src, on dst and on the pair.
+    """
+    known = nodes.join(place_ids(nodes), "node_id").select("node_id", F.struct("x", "y", "place_id").alias("_at"))
+    end = lambda c: known.select(F.col("node_id").alias(c), F.col("_at").alias(f"_{c}"))
+    met = weighted.join(end("src"), "src").join(end("dst"), "dst")
+    pair = met.groupBy(F.least("_src", "_dst").alias("a"), F.greatest("_src", "_dst").alias("b"))
+    return pair.agg(F.min_by("baseline_weight", F.struct("way_id", "pos")).alias("baseline_weight")).select(F.col("a.place_id").alias("lo"), F.col("b.place_id").alias("hi"), "baseline_weight")
+
+
 def undirected_arcs(edges: DataFrame) -> DataFrame:
     """Each edge from both ends; the union needs no shuffle."""
     return edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "baseline_weight").unionByName(
@@ -64,6 +93,7 @@ def normalize_entrance(nodes: DataFrame) -> DataFrame:
 
 
 def filter_buildings(ways: DataFrame) -> DataFrame:
+    """Ways with a building tag, whatever its value. No shuffle."""
     return ways.filter(F.map_contains_key("tags", "building"))
 
 
@@ -74,6 +104,7 @@ def graph_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def edge_midpoints(resolved: DataFrame) -> DataFrame:
+    """Segments with mid_lat and mid_lon. No shuffle."""
     return resolved.withColumn("mid_lat", (F.col("src_lat") + F.col("dst_lat")) / 2).withColumn("mid_lon", (F.col("src_lon") + F.col("dst_lon")) / 2)
 
 
@@ -95,6 +126,7 @@ def override_nodes(base: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def building_label(tags: str = "tags", way_id: str = "way_id"):
+    """A building's name, else its id. A column expression."""
     return F.coalesce(F.col(tags)["name"], F.col(way_id).cast("string"))
 
 

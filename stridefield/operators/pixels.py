@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridefield.operators.graph import connected_components
 from stridefield.operators.lineage import Scratch, cut
 
 KEY = ["image_id", "row", "col"]
@@ -20,6 +19,7 @@ def walkable(pixels: DataFrame, value: int = 255) -> DataFrame:
 
 
 def binarize(pixels: DataFrame, threshold: int, invert: bool = False) -> DataFrame:
+    """255 above the threshold and 0 elsewhere, or the other way round. No shuffle."""
     high, low = (0, 255) if invert else (255, 0)
     return pixels.withColumn("value", F.when(F.col("value") > threshold, high).otherwise(low))
 
@@ -68,14 +68,27 @@ def relative_places(pixels: DataFrame) -> DataFrame:
 
 
 def remove_small_components(pixels: DataFrame, k: int = 3, value: int = 255) -> DataFrame:
-    """White 8-connected groups of at most k pixels turn to the other value."""
+    """White 8-connected groups of at most k pixels turn to the other value.
+
+    Every pixel with fewer than k neighbours grows a set by its members' neighbours and is dropped when the set has more than k: a group of
+    at most k pixels is whole after k - 1 steps, and of a larger one the set has more after k. So k joins on the pixel decide it, over ever
+    fewer pixels, whatever the size of the white regions.
+    """
+    if k < 1:
+        return pixels.select(*KEY, "value")
     end = lambda r, c: F.struct("image_id", F.col(r).alias("row"), F.col(c).alias("col"))
-    white = walkable(pixels, value)
-    own = white.select(end("row", "col").alias("src"), end("row", "col").alias("dst"))
-    arcs = grid_graph(pixels, 8, value).select(end("row", "col").alias("src"), end("to_row", "to_col").alias("dst"))
-    found = connected_components(arcs.unionByName(own))
-    small = found.join(found.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") <= k), "component").select("node.*", F.lit(True).alias("_small"))
-    return pixels.join(small, KEY, "left").select(*KEY, F.when(F.col("_small"), 255 - F.col("value")).otherwise(F.col("value")).alias("value"))
+    with Scratch(pixels.sparkSession) as scratch:
+        near = grid_graph(pixels, 8, value).groupBy(end("row", "col").alias("p")).agg(F.collect_set(end("to_row", "to_col")).alias("near"))
+        white = walkable(pixels, value).select(end("row", "col").alias("p")).join(near, "p", "left")
+        few = scratch.keep(white.withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType))).filter(F.size("near") < k))
+        grown = few.select("p", F.array("p").alias("set"))
+        for _ in range(k):
+            # a member that has left the table has k neighbours or more, and so has too many for its set
+            each = grown.select("p", F.explode("set").alias("m")).join(few.select(F.col("p").alias("m"), "near", F.lit(True).alias("_few")), "m", "left")
+            wider = each.groupBy("p").agg(F.array_union(F.collect_set("m"), F.flatten(F.collect_list("near"))).alias("set"), F.count("*").alias("_all"), F.count("_few").alias("_known"))
+            grown = scratch.keep(wider.filter((F.col("_all") == F.col("_known")) & (F.size("set") <= k)).select("p", F.array_distinct("set").alias("set")))
+        small = grown.select("p.*", F.lit(True).alias("_small"))
+        return cut(pixels.join(small, KEY, "left").select(*KEY, F.when(F.col("_small"), 255 - F.col("value")).otherwise(F.col("value")).alias("value")))
 
 
 def erase_boxes(pixels: DataFrame, detections: DataFrame, fill: int = 255) -> DataFrame:
@@ -85,6 +98,15 @@ def erase_boxes(pixels: DataFrame, detections: DataFrame, fill: int = 255) -> Da
     return pixels.join(cells.withColumn("_hit", F.lit(True)), KEY, "left").select(*KEY, F.when(F.col("_hit"), fill).otherwise(F.col("value")).alias("value"))
 
 
+def remove_detections(pixels: DataFrame, detections: DataFrame) -> DataFrame:
+    """Pixels under the kept detections set to 0, then every pixel inverted (255 - value).
+
+    detections: image_id, x, y (upper left corner), w, h, scale; a box is the whole part of w * scale by that of h * scale, cut to the image.
+    """
+    scaled = detections.select("image_id", "x", "y", *[(F.col(c) * F.col("scale")).cast("int").alias(c) for c in "wh"])
+    return erase_boxes(pixels, scaled, 0).withColumn("value", 255 - F.col("value"))
+
+
 def best_scale(detections: DataFrame) -> DataFrame:
     """image_id, scale, mean_score of the scale of the greatest mean, the smallest on ties; images with none above 0 are left out."""
     means = detections.groupBy("image_id", "scale").agg(F.avg("score").alias("mean_score")).filter("mean_score > 0")

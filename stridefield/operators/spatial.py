@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridefield.functions.scalars import RADIUS_FT, haversine
-from stridefield.operators.lineage import cut
+from stridefield.operators.lineage import Scratch, cut
 
 FEET_PER_DEGREE = 2 * math.pi * RADIUS_FT / 360
 
 
-def _span(low: Column, high: Column, cell: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
+def _span(low: Column, high: Column, width: Column) -> Column:
+    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
 
 
 def _side(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -63,39 +63,48 @@ def _touches(leg: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Col
     return boxes & across
 
 
-MOST_CELLS_A_SIDE = 64
+#: The finest level of cells; a cell of level k is 2^k degrees wide.
+FINEST = -30
 
 
-def _fitting_cell(edges: DataFrame, polygons: DataFrame) -> float:
-    """The mean side of the polygons' boxes, widened so that no box spans more than MOST_CELLS_A_SIDE cells a side. One row to the driver."""
-    wide = lambda c: F.array_max(F.transform("ring", lambda p: p[c])) - F.array_min(F.transform("ring", lambda p: p[c]))
-    zone = polygons.select(F.greatest(wide("lon"), wide("lat")).alias("s")).agg(F.avg("s").alias("m"), F.max("s").alias("z"))
-    line = edges.select(F.greatest(F.abs(F.col("x1") - F.col("x2")), F.abs(F.col("y1") - F.col("y2"))).alias("s")).agg(F.max("s").alias("l"))
-    mean, zmax, lmax = zone.crossJoin(line).first()
-    return max(mean or 0.0, (zmax or 0.0) / MOST_CELLS_A_SIDE, (lmax or 0.0) / MOST_CELLS_A_SIDE) or 0.001
+def _level(*spans: Column) -> Column:
+    """The finest level at which a box of these sides touches at most two cells a side."""
+    return F.greatest(F.lit(FINEST), F.coalesce(F.ceil(F.log2(F.greatest(*spans))), F.lit(FINEST))).cast("int")
 
 
-def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "intersects", cell: float | None = None) -> DataFrame:
+def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "intersects") -> DataFrame:
     """polygon_id, edge_id. edges: edge_id, x1, y1, x2, y2 (x is lon); polygons: polygon_id, ring of (lat, lon).
 
-    ``contains``: both ends strictly inside. ``intersects``: an end inside, or the segment touches a side. One shuffle on the cell.
-    Without ``cell`` a first pass over the boxes finds one that no box spans too often.
+    ``contains``: both ends strictly inside. ``intersects``: an end inside, or the segment touches a side.
+    A box has the level of its own size, and two boxes meet in the cells of the coarser of their levels: each side is dealt, at
+    its own level and at each coarser one that the other side has, to four cells at most. So one wide polygon among many small
+    ones costs each edge four rows. Levels are powers of two, a few dozen at most, and are broadcast. One shuffle on the cell.
     """
-    if cell is None:
-        edges = cut(edges.select("edge_id", "x1", "y1", "x2", "y2"))  # read for the cell and for the join
-        cell = _fitting_cell(edges, polygons)
     if mode not in ("contains", "intersects"):
         raise ValueError(f"unknown mode {mode}")
     box = edges.select("edge_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("ex"), F.least("y1", "y2").alias("ey"), F.greatest("x1", "x2").alias("fx"), F.greatest("y1", "y2").alias("fy"))
-    box = box.withColumn("cx", _span(F.col("ex"), F.col("fx"), cell)).withColumn("cy", _span(F.col("ey"), F.col("fy"), cell))
+    box = box.withColumn("_own", _level(F.col("fx") - F.col("ex"), F.col("fy") - F.col("ey")))
     lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
     zone = polygons.filter(F.size("ring") >= 3).select(
         "polygon_id", _legs(F.col("ring")).alias("legs"),
         F.array_min(lon).alias("px"), F.array_min(lat).alias("py"), F.array_max(lon).alias("qx"), F.array_max(lat).alias("qy"),
     )
-    zone = zone.withColumn("cx", _span(F.col("px"), F.col("qx"), cell)).withColumn("cy", _span(F.col("py"), F.col("qy"), cell))
-    first = (F.col("cx") == F.greatest(F.floor(F.col("ex") / cell), F.floor(F.col("px") / cell))) & (
-        F.col("cy") == F.greatest(F.floor(F.col("ey") / cell), F.floor(F.col("py") / cell))
+    zone = zone.withColumn("_own", _level(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")))
+    levels = lambda df: F.broadcast(df.select(F.col("_own").alias("level")).distinct())
+    width = F.pow(F.lit(2.0), F.col("level"))
+
+    def dealt(df: DataFrame, met: Column, lo: str, hi: str) -> DataFrame:
+        """``met``: which of the other side's levels a row goes to."""
+        at = df.join(levels(zone if df is box else box), met)
+        return at.withColumn("cx", _span(F.col(f"{lo}x"), F.col(f"{hi}x"), width)).withColumn("cy", _span(F.col(f"{lo}y"), F.col(f"{hi}y"), width)).withColumnRenamed("_own", f"_{lo}")
+
+    # edges go to the polygons' levels from their own on, where polygons of that level wait; polygons to the edges' coarser ones
+    here = lambda df, lo, hi: df.withColumn("level", F.col("_own")).withColumn("cx", _span(F.col(f"{lo}x"), F.col(f"{hi}x"), width)).withColumn("cy", _span(F.col(f"{lo}y"), F.col(f"{hi}y"), width)).drop("_own")
+    key = ["level", "cx", "cy"]
+    wide = dealt(box, F.col("level") >= F.col("_own"), "e", "f").drop("_e").join(here(zone, "p", "q"), key)
+    narrow = here(box, "e", "f").join(dealt(zone, F.col("level") > F.col("_own"), "p", "q").drop("_p"), key)
+    first = (F.col("cx") == F.greatest(F.floor(F.col("ex") / width), F.floor(F.col("px") / width))) & (
+        F.col("cy") == F.greatest(F.floor(F.col("ey") / width), F.floor(F.col("py") / width))
     )
     x1, y1, x2, y2, legs = (F.col(c) for c in ("x1", "y1", "x2", "y2", "legs"))
     if mode == "contains":
@@ -103,7 +112,8 @@ def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "inters
     else:
         test = _odd(legs, x1, y1) | F.exists(legs, lambda leg: _touches(leg, x1, y1, x2, y2))
     near = (F.col("ex") <= F.col("qx")) & (F.col("px") <= F.col("fx")) & (F.col("ey") <= F.col("qy")) & (F.col("py") <= F.col("fy"))
-    return box.join(zone, ["cx", "cy"]).filter(first & near).filter(test).select("polygon_id", "edge_id")
+    pairs = lambda df: df.filter(first & near).filter(test).select("polygon_id", "edge_id")
+    return pairs(wide).unionByName(pairs(narrow))
 
 
 def apply_closures(edges: DataFrame, zones: DataFrame) -> DataFrame:
@@ -117,11 +127,13 @@ def edge_flows(members: DataFrame, segment_flows: DataFrame) -> DataFrame:
 
 
 def cell_bounds(i: Column, low: float, high: float, n: int) -> tuple[Column, Column]:
+    """Lower and upper bound of cell ``i`` of ``n`` from ``low`` to ``high``. A column expression: no key, no shuffle."""
     step = (high - low) / n
     return low + i * F.lit(step), low + i * F.lit(step) + F.lit(step)
 
 
 def cell_center(i: Column, low: float, high: float, n: int) -> Column:
+    """The middle of cell ``i``. No shuffle."""
     a, b = cell_bounds(i, low, high, n)
     return (a + b) / 2
 
@@ -165,38 +177,117 @@ def edge_risk(edges: DataFrame, grid: DataFrame, bounds: Bounds, n: int) -> Data
     return placed.join(grid.select("i", "j", "multiplier"), ["i", "j"], "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0))).drop("i", "j")
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float | None = None, early_exit_radius: float | None = None) -> DataFrame:
-    """point_id, node_id, degrees: the node nearest in degrees, the first in order (``ord``) on ties; no nodes: no rows.
+#: Nodes of a cell that isn't divided, and how often the square around all nodes is divided by four at most.
+CELL_NODES, DEEPEST = 32, 20
 
-    points: point_id, x, y; nodes: node_id, x, y, ord. Without ``cell`` the first one holds about two nodes in the mean. Each round looks into three by three cells; an answer counts when it is
-    no farther than a cell. The points left over go on with cells twice as wide. With ``early_exit_radius`` the first node
-    in order within it goes before the nearest.
+
+class _Cells:
+    """Cells of four by four in one another, divided where they hold many nodes.
+
+    levels[k] has the cells of level k: cx, cy, leaf, the box of their nodes, and ``least``, the first of them in order; homes has every node with the level and
+    cell of its leaf. A level is one combined shuffle of the nodes whose cell was divided; cells of one place aren't.
     """
-    todo, done = points.select("point_id", "x", "y"), None
-    if nodes.isEmpty():
-        return todo.select("point_id", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id"), F.lit(0.0).alias("degrees")).limit(0)
-    if cell is None:
-        box = nodes.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n")).first()
-        wide, high = (box["hix"] or 0.0) - (box["lox"] or 0.0), (box["hiy"] or 0.0) - (box["loy"] or 0.0)
-        # a row of nodes is as long as its longer side
-        cell = max(math.sqrt(2 * wide * high / box["n"]), 2 * max(wide, high) / box["n"]) or 0.001
-    if early_exit_radius is not None:
-        cell = max(cell, early_exit_radius)
-    while True:
-        around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))  # noqa: E731, B023
-        asked = todo.withColumn("cx", around("x")).withColumn("cy", around("y"))
-        known = nodes.select("node_id", "ord", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-        gap = F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
-        met = asked.join(known, ["cx", "cy"]).select("point_id", "node_id", "ord", gap.alias("d"))
-        aims = [F.min(F.struct("d", "ord", "node_id")).alias("b")]
-        if early_exit_radius is not None:
-            aims.append(F.min(F.when(F.col("d") <= early_exit_radius, F.struct("ord", "d", "node_id"))).alias("e"))
-        best = met.groupBy("point_id").agg(*aims)
+
+    def __init__(self, nodes: DataFrame, scratch: Scratch):
+        active = scratch.keep(nodes.select("node_id", "x", "y", "ord").filter("x IS NOT NULL AND y IS NOT NULL"))
+        box = active.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        self.levels: list[DataFrame] = []
+        self.homes: DataFrame | None = None
+        if box["lox"] is None:
+            return
+        side = max(box["hix"] - box["lox"], box["hiy"] - box["loy"]) * (1 + 1e-9) or 1.0
+        for k in range(DEEPEST + 1):
+            # widths are the side by powers of four, so a cell's numbers by four are its parent's
+            at = lambda c: F.floor((F.col(c) - box[f"lo{c}"]) / (side / 4**k)).cast("long").alias(f"c{c}")  # noqa: E731, B023
+            placed = active.select("*", at("x"), at("y"))
+            made = placed.groupBy("cx", "cy").agg(
+                F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.min(F.struct("ord", "node_id", "x", "y")).alias("least")
+            )
+            one_place = (F.col("lox") == F.col("hix")) & (F.col("loy") == F.col("hiy"))
+            cells = scratch.keep(made.withColumn("leaf", (F.col("n") <= CELL_NODES) | one_place | F.lit(k == DEEPEST)))
+            self.levels.append(cells)
+            leaf = cells.select("cx", "cy", "leaf")
+            settled = placed.join(leaf.filter("leaf"), ["cx", "cy"]).select(F.lit(k).alias("level"), "cx", "cy", "node_id", "ord", F.col("x").alias("nx"), F.col("y").alias("ny"))
+            self.homes = settled if self.homes is None else self.homes.unionByName(settled)
+            if leaf.filter("NOT leaf").isEmpty():
+                break
+            active = scratch.keep(placed.join(leaf.filter("NOT leaf"), ["cx", "cy"], "left_semi").select("node_id", "x", "y", "ord"))
+
+    def seen(self, k: int) -> DataFrame:
+        """Cells of level k with their parent's numbers, to be met by points."""
+        return self.levels[k].select(*[F.floor(F.col(f"c{c}") / 4).alias(f"p{c}") for c in "xy"], F.lit(k).alias("level"), "cx", "cy", "leaf", "lox", "hix", "loy", "hiy", "least")
+
+
+def _bounded(df: DataFrame) -> Column:
+    """The cell of a row as a struct with its least and greatest distance from the row's point."""
+    out = lambda c: F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"))
+    over = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}")))
+    far = lambda f: F.sqrt(f("x") * f("x") + f("y") * f("y"))
+    return F.struct("level", "cx", "cy", "leaf", "least", far(out).alias("near"), far(over).alias("far"))
+
+
+#: Distances are compared with this much room for rounding.
+_ROOM = 1 + 1e-12
+
+
+def _descend(points: DataFrame, cells: _Cells, scratch: Scratch, radius: float | None) -> DataFrame:
+    """point_id, x, y, best, cells: for each point the leaves that may hold its answer, found level by level.
+
+    Nearest: a cell stays if its nearest place is no farther than the least of the cells' farthest. With ``radius``: ``best`` is the first node in order of all
+    cells wholly within the radius, and a cell that is partly within it stays if its first node goes before that; so nodes are looked at only
+    at the circle's rim.
+    """
+    best = cells.levels[0].schema["least"].dataType
+    state = points.crossJoin(F.broadcast(cells.seen(0))).select("point_id", "x", "y", F.lit(None).cast(best).alias("best"), F.array(_bounded(points)).alias("cells"))
+    for k in range(len(cells.levels)):
+        if radius is None:
+            until = F.array_min(F.transform("cells", lambda c: c["far"])) * _ROOM
+            state = state.withColumn("cells", F.filter("cells", lambda c: c["near"] <= until))
+        else:
+            within = F.array_min(F.transform(F.filter("cells", lambda c: c["far"] * _ROOM <= radius), lambda c: c["least"]))
+            state = state.withColumn("best", F.least("best", within))
+            open_ = lambda c: (c["near"] <= radius * _ROOM) & (c["far"] * _ROOM > radius) & (F.col("best").isNull() | (c["least"]["ord"] <= F.col("best.ord")))
+            state = state.withColumn("cells", F.filter("cells", open_))
+        state = scratch.keep(state)
+        if k + 1 == len(cells.levels):
+            return state
+        each = state.select("point_id", "x", "y", "best", F.explode_outer("cells").alias("c"))
+        stay = each.filter("c IS NULL OR c.leaf")
+        down = each.filter("NOT c.leaf").select("point_id", "x", "y", "best", F.col("c.cx").alias("px"), F.col("c.cy").alias("py")).join(cells.seen(k + 1), ["px", "py"])
+        both = stay.unionByName(down.select("point_id", "x", "y", "best", _bounded(down).alias("c")))
+        state = both.groupBy("point_id", "x", "y", "best").agg(F.collect_list("c").alias("cells"))
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, early_exit_radius: float | None = None) -> DataFrame:
+    """point_id, node_id, degrees: the node nearest in degrees, the first in order (``ord``) on ties; no nodes, or a point without coordinates: no row.
+
+    points: point_id (unique), x, y; nodes: node_id, x, y, ord. Nodes lie in cells that are divided where they are dense, so a hot place
+    makes the tree deeper there and no cell large; see :class:`_Cells`. Points go down the levels with a few cells each (:func:`_descend`), by joins on the
+    cell, and meet the nodes of the last leaves only. With ``early_exit_radius`` the first node in order within it goes before the nearest,
+    and cells wholly inside answer by their summary.
+    """
+    ids = nodes.schema["node_id"].dataType
+    with Scratch(points.sparkSession) as scratch:
+        asked = scratch.keep(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL"))
+        cells = _Cells(nodes, scratch)
+        if cells.homes is None:
+            own = points.schema["point_id"].dataType.simpleString()
+            return points.sparkSession.createDataFrame([], f"point_id {own}, node_id {ids.simpleString()}, degrees double")
+        gap = lambda a, b: F.sqrt((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b))
+        homes = scratch.keep(cells.homes)
+
+        def met(state: DataFrame) -> DataFrame:
+            """Each point with the nodes of its leaves."""
+            leaves = state.select("point_id", "x", "y", F.explode("cells").alias("c")).select("point_id", "x", "y", "c.level", "c.cx", "c.cy")
+            return leaves.join(homes, ["level", "cx", "cy"]).withColumn("d", gap(F.col("nx"), F.col("ny")))
+
+        answered = None
         if early_exit_radius is not None:
-            best = best.select("point_id", F.when(F.col("e").isNotNull(), F.struct("e.d", "e.ord", "e.node_id")).otherwise(F.col("b")).alias("b"))
-        answered = cut(best.filter(F.col("b.d") <= cell).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("degrees")))
-        done = answered if done is None else done.unionByName(answered)
-        todo = cut(todo.join(answered.select("point_id"), "point_id", "left_anti"))
-        if todo.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).isEmpty() or cell > 720:
-            return done
-        cell *= 2
+            state = _descend(asked, cells, scratch, early_exit_radius)
+            rim = met(state).filter(F.col("d") <= early_exit_radius).groupBy("point_id").agg(F.min(F.struct("ord", "node_id", F.col("nx").alias("x"), F.col("ny").alias("y"))).alias("rim"))
+            first = state.select("point_id", "x", "y", "best").join(rim, "point_id", "left").withColumn("f", F.least("best", "rim")).filter("f IS NOT NULL")
+            answered = scratch.keep(first.select("point_id", F.col("f.node_id").alias("node_id"), gap(F.col("f.x"), F.col("f.y")).alias("degrees")))
+            asked = scratch.keep(asked.join(answered.select("point_id"), "point_id", "left_anti"))
+        nearest = met(_descend(asked, cells, scratch, None)).groupBy("point_id").agg(F.min(F.struct("d", "ord", "node_id")).alias("b"))
+        found = nearest.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("degrees"))
+        return cut(found if answered is None else found.unionByName(answered))

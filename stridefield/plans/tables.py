@@ -239,6 +239,57 @@ def erased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.erase_boxes(_pixels(spark, sf_dir), _read(spark, sf_dir, "supplier").selectExpr(*_BOXES.split(", ")), 7)
 
 
+@query(PIXELS_SQL + f""", b AS (SELECT image_id, x - 2 AS x, y - 2 AS y, CAST(trunc(4 * w * (1 + s_suppkey % 5) / 10e0) AS BIGINT) AS w, CAST(trunc(4 * h * (1 + s_suppkey % 5) / 10e0) AS BIGINT) AS h
+    FROM (SELECT s_suppkey, {_BOXES} FROM supplier))
+  SELECT image_id, row, col, 255 - CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.image_id = px.image_id AND row >= y AND row < y + h AND col >= x AND col < x + w) THEN 0 ELSE value END AS value FROM px""")
+def without_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans without the boxes of detections, which are scaled and may reach over the image's edge, inverted."""
+    boxes = _read(spark, sf_dir, "supplier").selectExpr(*_BOXES.split(", "), "(1 + s_suppkey % 5) / 10e0 AS scale")
+    found = boxes.selectExpr("image_id", "x - 2 AS x", "y - 2 AS y", "4 * w AS w", "4 * h AS h", "scale")
+    return pixels.remove_detections(_pixels(spark, sf_dir), found)
+
+
+_CROP_SQL = PIXELS_SQL + """, b AS (SELECT image_id, greatest(min(row) - 10, 0) AS a, max(row) + 10 AS b, greatest(min(col) - 10, 0) AS c, max(col) + 10 AS d FROM px
+    WHERE value = 255 AND row >= 7 AND col % 7 = 3 GROUP BY image_id)
+  SELECT image_id, row - a AS row, col - c AS col, value FROM (SELECT image_id, row, col, CASE WHEN value = 255 AND row >= 7 AND col % 7 = 3 THEN 0 ELSE 255 END AS value FROM px) JOIN b USING (image_id)
+  WHERE row BETWEEN a AND b.b AND col BETWEEN c AND d"""
+
+
+@query(_CROP_SQL)
+def cropped_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of few dark pixels, cut to them and a margin of ten."""
+    plans = _pixels(spark, sf_dir).selectExpr("image_id", "row", "col", "CASE WHEN value = 255 AND row >= 7 AND col % 7 = 3 THEN 0 ELSE 255 END AS value")
+    return pixels.crop_to_content(plans)
+
+
+# Four ids in ten share a place with others; every place has nodes of two buildings or none.
+_SHARED = "p_partkey AS node_id, CASE WHEN p_partkey % 10 < 4 THEN p_partkey % 50 ELSE p_partkey END AS k, CASE WHEN p_partkey % 3 = 0 THEN 'b' || CAST(p_partkey % 2 AS {text}) ELSE 'Outdoor' END AS building_id"
+_SHARED_AT = "(k * 7919 % 10007) / 10007e0 AS x, (k * 104729 % 10009) / 10009e0 AS y"
+PLACES_SQL = f"""WITH {NODES_SQL}, {SEGMENTS_SQL}, raw AS (SELECT {_SHARED.format(text='VARCHAR')} FROM part), n AS (SELECT node_id, building_id, {_SHARED_AT} FROM raw),
+ids AS (SELECT node_id, x, y, min(node_id) OVER (PARTITION BY x, y, building_id) AS place_id FROM n)
+"""
+
+
+def _shared_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _read(spark, sf_dir, "part").selectExpr(*_SHARED.format(text="string").split(", "))
+    return raw.selectExpr("node_id", *_SHARED_AT.split(", "), "building_id = 'Outdoor' AS use_global_coords", "building_id")
+
+
+@query(PLACES_SQL + "SELECT node_id, place_id FROM ids")
+def places_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node that stands for each node's place and building."""
+    return network.place_ids(_shared_nodes(spark, sf_dir))
+
+
+@query(PLACES_SQL + """, m AS (SELECT way_id, pos, a.place_id AS u, b.place_id AS v, (a.x, a.y, a.place_id) <= (b.x, b.y, b.place_id) AS ordered FROM seg JOIN ids a ON a.node_id = src JOIN ids b ON b.node_id = dst)
+  SELECT lo, hi, arg_min(w, {'a': way_id, 'b': pos}) AS baseline_weight FROM (SELECT way_id, pos, CASE WHEN ordered THEN u ELSE v END AS lo, CASE WHEN ordered THEN v ELSE u END AS hi,
+    1e0 * (way_id % 100 + pos) AS w FROM m) GROUP BY lo, hi""")
+def edges_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges between places: segments whose ends have other ids at the same places are one edge."""
+    weighted = network.way_segments(_ways(spark, sf_dir)).withColumn("baseline_weight", F.expr("1e0 * (way_id % 100 + pos)"))
+    return network.edges_between_places(weighted, _shared_nodes(spark, sf_dir))
+
+
 @query(QUADS_SQL + """, s AS (SELECT polygon_id, abs(sum(x * y2 - x2 * y)) / 2 AS area, sum((x + x2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)) AS cx,
     sum((y + y2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)) AS cy FROM l GROUP BY polygon_id),
   f AS (SELECT *, sqrt((100e0 + polygon_id % 50) / area) AS factor FROM s)

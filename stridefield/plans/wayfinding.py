@@ -73,8 +73,8 @@ def edges_touching_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def open_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges left after the zones of every third nation are closed."""
-    return spatial.apply_closures(_segments(spark, sf_dir), _polygons(spark, sf_dir).filter("polygon_id % 3 = 0")).select("edge_id")
+    """Edges left after the zones of all nations are closed."""
+    return spatial.apply_closures(_segments(spark, sf_dir), _polygons(spark, sf_dir)).select("edge_id")
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +142,11 @@ def nearest_node_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, 0.0005)
 
 
+def nearest_node_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first node within 0.01 degrees, which is most of the map, else the nearest."""
+    return _near(spark, sf_dir, 0.01)
+
+
 NEAR_SQL = f"""WITH {NODES_SQL}, p AS (SELECT c_custkey AS point_id, {_at("c_custkey", 3001, 5003)} FROM customer),
 d AS (SELECT point_id, node_id, sqrt((p.lon - n.lon) * (p.lon - n.lon) + (p.lat - n.lat) * (p.lat - n.lat)) AS d FROM p, nodes n)
 """
@@ -167,11 +172,11 @@ def flow_at_request(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_at_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with the reading of every third hour, if at most an hour old."""
+    """Purchases with the latest reading, made of the sign-ups of a minute, if at most a quarter of an hour old."""
     events = _read(spark, sf_dir, "events")
-    readings = events.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.max("value").alias("wind")).filter(F.hour("ts") % 3 == 0)
+    readings = events.filter("event_type = 'signup'").groupBy(F.date_trunc("minute", "ts").alias("ts")).agg(F.max("value").alias("wind"))
     asked = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("request_id"), "ts")
-    return temporal.weather_asof(asked, readings).select("request_id", "wind")
+    return temporal.weather_asof(asked, readings, 900).select("request_id", "wind")
 
 
 # --- graph
@@ -425,7 +430,7 @@ def kept_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        edges_inside_polygons, edges_touching_polygons, open_edges, risk_grid, current_weights, nearest_node, nearest_node_early, profile_by_weekday,
+        edges_inside_polygons, edges_touching_polygons, open_edges, risk_grid, current_weights, nearest_node, nearest_node_early, nearest_node_wide, profile_by_weekday,
         flow_at_request, weather_at_request, components, largest_component_arcs, least_costs, least_paths, flows_of_segments, hops_from_node, steady_flow, network_totals, network_extent,
         adjacency_lists, buildings_of_nodes, building_vertices, entrance_ranks, cheapest_doors, way_lengths, polygon_measures, polygon_points,
         rectangle_overlap, grid_arcs, downsampled, dilated, cropped, without_specks, best_scales, kept_detections,
@@ -440,19 +445,21 @@ _B_SQL = f"WITH {NODES_SQL}, b AS (SELECT l_orderkey AS way_id, {REF} AS node_id
 ORACLES = {
     "edges_inside_polygons": R_SQL + "SELECT polygon_id, edge_id FROM r, z WHERE least(x1, x2) > w AND greatest(x1, x2) < e AND least(y1, y2) > s AND greatest(y1, y2) < n",
     "edges_touching_polygons": R_SQL + "SELECT polygon_id, edge_id FROM hit",
-    "open_edges": R_SQL + "SELECT edge_id FROM r WHERE edge_id NOT IN (SELECT edge_id FROM hit WHERE polygon_id % 3 = 0)",
+    "open_edges": R_SQL + "SELECT edge_id FROM r WHERE edge_id NOT IN (SELECT edge_id FROM hit)",
     "risk_grid": f"WITH {GRID_SQL} SELECT i, j, round(multiplier, 6) AS multiplier FROM grid",
     "current_weights": WEIGHTS_SQL,
     "nearest_node": NEAR_SQL + "SELECT point_id, arg_min(node_id, {'a': d, 'b': node_id}) AS node_id, round(min(d), 9) AS degrees FROM d GROUP BY point_id",
     "nearest_node_early": NEAR_SQL + """, k AS (SELECT point_id, coalesce(min(node_id) FILTER (d <= 0.0005e0), arg_min(node_id, {'a': d, 'b': node_id})) AS node_id FROM d GROUP BY point_id)
+  SELECT point_id, node_id, round(d, 9) AS degrees FROM k JOIN d USING (point_id, node_id)""",
+    "nearest_node_wide": NEAR_SQL + """, k AS (SELECT point_id, coalesce(min(node_id) FILTER (d <= 0.01e0), arg_min(node_id, {'a': d, 'b': node_id})) AS node_id FROM d GROUP BY point_id)
   SELECT point_id, node_id, round(d, 9) AS degrees FROM k JOIN d USING (point_id, node_id)""",
     "profile_by_weekday": f"WITH {PROFILE_SQL} SELECT slot, {_DAY_COLUMNS} FROM p GROUP BY slot",
     "flow_at_request": f"""WITH {PROFILE_SQL}, s AS (SELECT *, CAST(slot[1:2] AS BIGINT) * 3600 + CAST(slot[4:5] AS BIGINT) * 60 + CAST(slot[7:8] AS BIGINT) AS sec FROM p),
   q AS (SELECT event_id AS query_id, dayname(ts) AS weekday,
     CAST(round_even((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 3600e0, 0) AS BIGINT) % 24 * 3600 AS asked FROM events)
   SELECT query_id, round(arg_min(c, {{'a': abs(sec - asked), 'b': sec}}) / 10000, 4) AS avg_count FROM q JOIN s USING (weekday) GROUP BY query_id""",
-    "weather_at_request": """WITH w AS (SELECT date_trunc('hour', ts) AS ts, max(value) AS wind FROM events WHERE hour(ts) % 3 = 0 GROUP BY ALL)
-  SELECT e.event_id AS request_id, CASE WHEN e.ts - w.ts <= INTERVAL 1 HOUR THEN wind END AS wind FROM events e ASOF LEFT JOIN w ON e.ts >= w.ts WHERE event_type = 'purchase'""",
+    "weather_at_request": """WITH w AS (SELECT date_trunc('minute', ts) AS ts, max(value) AS wind FROM events WHERE event_type = 'signup' GROUP BY ALL)
+  SELECT e.event_id AS request_id, CASE WHEN e.ts - w.ts <= INTERVAL 15 MINUTE THEN wind END AS wind FROM events e ASOF LEFT JOIN w ON e.ts >= w.ts WHERE event_type = 'purchase'""",
     "components": f"WITH RECURSIVE {LATTICE_SQL} SELECT node, component FROM cc",
     "largest_component_arcs": f"""WITH RECURSIVE {LATTICE_SQL}, top AS (SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
   SELECT src, dst FROM one WHERE src IN (SELECT node FROM cc JOIN top USING (component))""",

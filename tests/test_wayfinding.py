@@ -78,8 +78,8 @@ def test_concave_polygon_and_border(spark):
         [(1, 1.0, 0.5, 3.0, 0.5), (2, 0.5, 2.0, 1.0, 2.0), (3, 2.5, 1.0, 3.0, 1.0), (4, 4.0, -1.0, 4.0, 5.0), (5, 9.0, 9.0, 9.5, 9.5), (6, -1.0, 3.0, 6.0, 3.0)],
         "edge_id long, x1 double, y1 double, x2 double, y2 double",
     )
-    assert rows(spatial.edges_in_polygons(edges, polygons, "contains", cell=1.0)) == [(1, 1), (1, 3)]
-    assert rows(spatial.edges_in_polygons(edges, polygons, cell=1.0)) == [(1, 1), (1, 3), (1, 4), (1, 6)]
+    assert rows(spatial.edges_in_polygons(edges, polygons, "contains")) == [(1, 1), (1, 3)]
+    assert rows(spatial.edges_in_polygons(edges, polygons)) == [(1, 1), (1, 3), (1, 4), (1, 6)]
     assert spatial.apply_closures(edges, polygons).count() == 2
 
 
