@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +67,9 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order; each is compared with the one after it. The first and the last of a part are given out with their texts."""
-    names = [*COMPARED, "_end", "_text"]
-    types = [*COMPARED.values(), pa.string(), pa.binary()]
+    names = [*COMPARED, "_end", "_part", "_text"]
+    types = [*COMPARED.values(), pa.string(), pa.int32(), pa.binary()]
+    part = TaskContext.get().partitionId()
     held = None  # doc_id, th, text, (canonical, fingerprint), packed
     for batch in batches:
         out: list[tuple] = []
@@ -76,14 +78,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             canon = canonical(text)
             row = doc_id, th, text, (canon, digest(canon)), packed
             if held is None:
-                out.append((doc_id, th, *[None] * 6, "head", packed))
+                out.append((doc_id, th, *[None] * 6, "head", part, packed))
             else:
-                out.append((*held[:2], len(held[2]), *_against(held[2], held[3], text, row[3]), None, None))
+                out.append((*held[:2], len(held[2]), *_against(held[2], held[3], text, row[3]), None, part, None))
             held = row
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held[:2], *[None] * 6, "tail", held[4]), types, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held[:2], *[None] * 6, "tail", part, held[4]), types, strict=True)], names)
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,17 +112,17 @@ def compare_with_next(docs: DataFrame, scratch: Scratch, parts: int | None = Non
     """
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("_th"), "text")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_th").asc()]
-    placed = keyed.mapInArrow(_place, "doc_id long, _th long, _text binary").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = scratch.keep(placed.mapInArrow(_compare, f"{_SQL}, _end string, _text binary"))
-    # one head and one tail a part: the k-th tail is followed by the head after the k-th
-    ends = found.filter("_end IS NOT NULL").select("doc_id", "_th", "_end", "_text")
-    by = Window.partitionBy("_end")
-    at = F.row_number().over(by.orderBy(*order))
-    ranked = ends.withColumn("_k", at).withColumn("_n", F.count("*").over(by))
-    tails = ranked.filter("_end = 'tail'").select("doc_id", "_th", "_text", (F.col("_k") % F.col("_n") + 1).alias("_k"))
-    heads = ranked.filter("_end = 'head'").select("_k", F.col("_text").alias("_next"))
-    closed = tails.join(heads, "_k").select("doc_id", "_th", "_text", "_next").mapInArrow(_close, _SQL)
+    placing = [F.col("doc_id").asc_nulls_last(), F.col("_th").asc()]
+    placed = keyed.mapInArrow(_place, "doc_id long, _th long, _text binary").repartitionByRange(n, *placing).sortWithinPartitions(*placing)
+    found = scratch.keep(placed.mapInArrow(_compare, f"{_SQL}, _end string, _part int, _text binary"))
+    # one head and one tail a part; only the parts' numbers, one a part, are put in order
+    numbers = found.filter("_end = 'tail'").select("_part")
+    order = Window.orderBy("_part")
+    first = F.first("_part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = scratch.keep(numbers.select("_part", F.coalesce(F.lead("_part").over(order), first).alias("_after")))
+    tails = found.filter("_end = 'tail'").select("doc_id", "_th", "_text", "_part").join(after, "_part")
+    heads = found.filter("_end = 'head'").select(F.col("_part").alias("_after"), F.col("_text").alias("_next"))
+    closed = tails.join(heads, "_after").select("doc_id", "_th", "_text", "_next").mapInArrow(_close, _SQL)
     return found.filter("_end IS NULL").select(*COMPARED).unionByName(closed)
 
 
