@@ -240,7 +240,8 @@ def _told_apart(rows: DataFrame, many, width: int, scratch: Scratch) -> tuple[Da
     strings = rows.groupBy("gram", shape, "x").agg(many.alias("many"), F.first("key").alias("key"), F.first("place").alias("place"))
     block = F.expr(f"cast(shape & 255 AS int) div {width}").alias("block")
     strings = scratch.keep(strings.withColumn("block", block).select("gram", "block", "key", "place", "many"))
-    open_ = strings.groupBy("gram", "block").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).filter("open")
+    # a table of its own, so a gram that holds much of the rows can be dealt anew
+    open_ = scratch.keep(strings.groupBy("gram", "block").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).filter("open"))
     known = merged(strings, open_, ["gram", "block"])
     onward = known.filter("n > 1").select("key", "gram", "place", "many")
     return onward, known.filter("n = 1 AND NOT many").select("key", "place")
