@@ -76,9 +76,14 @@ def due_time(share: Column, w0: Column, w1: Column) -> Column:
     return F.least(F.lit(1e0), F.greatest(F.lit(0e0), t))
 
 
-def order_key(doc_id: Column) -> Column:
-    """A digest that orders documents the same way in every run."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def order_key(doc_id: Column, text: Column, row: Column | None = None) -> Column:
+    """A digest that orders documents the same way in every run: of the id, or of the text's hash where that is null.
+
+    With ``row``, a number of the row in a table, it is part of the digest: rows of one id are then spread over all places. It is for tables
+    whose ids may be repeated much; there, the order is that of the table's numbers.
+    """
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")))
+    return F.md5((own if row is None else F.concat_ws(" ", own, row.cast("string"))).cast("binary"))
 
 
 def running_words(sized: DataFrame) -> DataFrame:
@@ -149,5 +154,7 @@ def mix(sized: DataFrame, share: float = 1.5, most: int = 2, whole: bool = False
 
 
 def narrow(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, source, size, the order key and the columns ``also``, cut from the lineage: texts are read once for everything after."""
-    return cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("_key"), *also))
+    """doc_id, source, size, the order key (with _row, if that is among ``also``) and the columns ``also``, cut from the lineage: texts are read once
+    for everything after."""
+    key = order_key(F.col("doc_id"), F.col("text"), F.col("_row") if "_row" in also else None)
+    return cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("_key"), *also))
