@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridefield.operators.lineage import Scratch, cut
@@ -114,31 +118,76 @@ def best_scale(detections: DataFrame) -> DataFrame:
     return best.select("image_id", (-F.col("b.n")).alias("scale"), "b.mean_score")
 
 
+#: Sides of a tile of suppression, in distances.
+TILE_DISTANCES = 16
+
+
+def _decided(distance: float):
+    """Rows by tile and falling score: each tile's own undecided rows that stay (kept) or that wait for a row of a neighbouring tile (open).
+
+    What is remembered of a tile is its kept places, which are farther apart than the distance, and the places of open rows.
+    """
+    reach = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def near(places: dict, x: float, y: float, a: int, b: int) -> bool:
+        return any(math.hypot(x - u, y - v) <= distance for i, j in reach for u, v in places.get((a + i, b + j), ()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, kept, waiting = None, {}, {}
+        for batch in batches:
+            said: list[tuple[int, bool]] = []
+            columns = [batch.column(c).to_pylist() for c in ("image_id", "_tx", "_ty", "_x", "_y", "_own", "_kept")]
+            for k, (image, tx, ty, x, y, own, known) in enumerate(zip(*columns, strict=True)):
+                if (image, tx, ty) != tile:
+                    tile, kept, waiting = (image, tx, ty), {}, {}
+                a, b = math.floor(x / distance), math.floor(y / distance)
+                if known:
+                    kept.setdefault((a, b), set()).add((x, y))
+                elif near(kept, x, y, a, b):
+                    continue  # a stronger one stays, so this one goes, in whichever tile it is
+                elif not own or near(waiting, x, y, a, b):
+                    waiting.setdefault((a, b), set()).add((x, y))
+                    if own:
+                        said.append((k, False))
+                else:
+                    kept.setdefault((a, b), set()).add((x, y))
+                    said.append((k, True))
+            if said:
+                rows = batch.select(["image_id", "det_id", "_x", "_y", "score"]).take(pa.array([k for k, _ in said]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([stays for _, stays in said])], [*rows.schema.names, "_kept"])
+
+    return run
+
+
 def nms(detections: DataFrame, distance: float = 10) -> DataFrame:
     """Greedy suppression by falling score (det_id on ties): a detection stays if no stronger kept one lies within ``distance``.
 
-    Rounds instead of one task per image: detections are dealt to cells as wide as the distance; in each round those without
-    a stronger undecided neighbour stay and their neighbours go. One count per round comes to the driver.
+    Detections are dealt to tiles of ``TILE_DISTANCES`` distances a side, those near a side to the neighbours too, and are
+    read by falling score, so a tile decides in one pass all but those that wait for a neighbour's; a round goes on with these and
+    the kept ones of their tiles. The strongest undecided one waits for none, so rounds end; they follow chains across tiles only. A tile's rows
+    are sorted and streamed, never held. One shuffle by tile a round, and one count to the driver.
     """
     with Scratch(detections.sparkSession) as scratch:
-        cell = lambda c: F.floor(F.col(c) / distance)
         middle = lambda c, n: (F.col(c) + F.floor(F.col(n) / 2)).cast("double")
-        base = scratch.keep(detections.select("image_id", "det_id", middle("x", "w").alias("_x"), middle("y", "h").alias("_y"), "score"))
-        left = base.withColumn("_cx", F.explode(F.sequence(cell("_x") - 1, cell("_x") + 1))).withColumn("_cy", F.explode(F.sequence(cell("_y") - 1, cell("_y") + 1)))
-        right = base.select("image_id", F.col("det_id").alias("over"), F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("score").alias("_s"), cell("_x").alias("_cx"), cell("_y").alias("_cy"))
-        near = F.hypot(F.col("_x") - F.col("_u"), F.col("_y") - F.col("_v")) <= distance
-        stronger = (F.col("_s") > F.col("score")) | ((F.col("_s") == F.col("score")) & (F.col("over") < F.col("det_id")))
-        over = scratch.keep(left.join(right, ["image_id", "_cx", "_cy"]).filter(near & stronger).select("image_id", "det_id", "over"))
-        todo, kept = base.select("image_id", "det_id"), []
+        key, side = ["image_id", "_tx", "_ty"], F.lit(float(distance * TILE_DISTANCES))
+        known = detections.filter("image_id IS NOT NULL AND det_id IS NOT NULL AND score IS NOT NULL")
+        rows = known.select("image_id", "det_id", middle("x", "w").alias("_x"), middle("y", "h").alias("_y"), "score", F.lit(False).alias("_kept"))
+        rows = scratch.keep(rows.filter("_x IS NOT NULL AND _y IS NOT NULL"))
+        span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - distance) / side), F.floor((F.col(c) + distance) / side)))
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        todo, kept = rows, None
         while True:
-            waits = over.join(todo.withColumnRenamed("det_id", "over"), ["image_id", "over"], "left_semi").select("image_id", "det_id")
-            free = scratch.keep(todo.join(waits, ["image_id", "det_id"], "left_anti"))
-            if free.isEmpty():
-                break
-            kept.append(free)
-            gone = over.join(free.withColumnRenamed("det_id", "over"), ["image_id", "over"], "left_semi").select("image_id", "det_id")
-            todo = scratch.keep(todo.join(free.unionByName(gone), ["image_id", "det_id"], "left_anti"))
-        found = todo.limit(0)
-        for free in kept:
-            found = found.unionByName(free)
-        return detections.join(cut(found), ["image_id", "det_id"], "left_semi")
+            dealt = todo.withColumn("_tx", span("_x")).withColumn("_ty", span("_y"))
+            own = (F.col("_tx") == F.floor(F.col("_x") / side)) & (F.col("_ty") == F.floor(F.col("_y") / side))
+            ordered = dealt.withColumn("_own", own).repartition(*key).sortWithinPartitions(*key, F.desc("score"), "det_id")
+            made = scratch.keep(ordered.mapInArrow(_decided(distance), shape))
+            stays = made.filter("_kept")
+            kept = stays if kept is None else scratch.keep(kept.unionByName(stays))
+            left = made.filter("NOT _kept")
+            if left.isEmpty():
+                return cut(detections.join(kept.select("image_id", "det_id").distinct(), ["image_id", "det_id"], "left_semi"))
+            tiles = left.withColumn("_tx", span("_x")).withColumn("_ty", span("_y")).select(*key).distinct()
+            around = kept.withColumn("_tx", span("_x")).withColumn("_ty", span("_y")).join(tiles, key, "left_semi").select(*rows.columns).distinct()
+            todo = scratch.keep(left.unionByName(around))
+
+

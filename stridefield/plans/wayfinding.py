@@ -77,16 +77,21 @@ def open_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.apply_closures(_segments(spark, sf_dir), _polygons(spark, sf_dir)).select("edge_id")
 
 
-def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _risk(spark: SparkSession, sf_dir: str, **default: float) -> DataFrame:
     crimes = _read(spark, sf_dir, "events").filter("event_type = 'error'").selectExpr(*_columns("event_id", 7907, 1009))
     phones = _read(spark, sf_dir, "supplier").selectExpr(*_columns("s_suppkey", 1013, 4001))
-    return weights.risk_grid(spark, crimes, phones, BOUNDS)
+    return weights.risk_grid(spark, crimes, phones, BOUNDS, **default)
 
 
 def risk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _risk(spark, sf_dir).select("i", "j", F.round("multiplier", 6).alias("multiplier"))
 
 
+def heat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grid for a heat map, where cells without crimes and phones are 0."""
+    return _risk(spark, sf_dir, default=0.0).select("i", "j", F.round("multiplier", 6).alias("multiplier"))
+
+
 def _lo(i: str, low: float, step: float) -> str:
     return f"({low!r}e0 + {i} * {step!r}e0)"
 
@@ -430,7 +435,7 @@ def kept_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        edges_inside_polygons, edges_touching_polygons, open_edges, risk_grid, current_weights, nearest_node, nearest_node_early, nearest_node_wide, profile_by_weekday,
+        edges_inside_polygons, edges_touching_polygons, open_edges, risk_grid, heat_grid, current_weights, nearest_node, nearest_node_early, nearest_node_wide, profile_by_weekday,
         flow_at_request, weather_at_request, components, largest_component_arcs, least_costs, least_paths, flows_of_segments, hops_from_node, steady_flow, network_totals, network_extent,
         adjacency_lists, buildings_of_nodes, building_vertices, entrance_ranks, cheapest_doors, way_lengths, polygon_measures, polygon_points,
         rectangle_overlap, grid_arcs, downsampled, dilated, cropped, without_specks, best_scales, kept_detections,
@@ -447,6 +452,7 @@ ORACLES = {
     "edges_touching_polygons": R_SQL + "SELECT polygon_id, edge_id FROM hit",
     "open_edges": R_SQL + "SELECT edge_id FROM r WHERE edge_id NOT IN (SELECT edge_id FROM hit)",
     "risk_grid": f"WITH {GRID_SQL} SELECT i, j, round(multiplier, 6) AS multiplier FROM grid",
+    "heat_grid": f"WITH {GRID_SQL} SELECT i, j, round(coalesce(v, 0), 6) AS multiplier FROM (SELECT i, j, CASE WHEN multiplier = 1 AND crime IS NULL AND phone IS NULL THEN 0e0 ELSE multiplier END AS v FROM grid LEFT JOIN crimes USING (i, j) LEFT JOIN phones USING (i, j))",
     "current_weights": WEIGHTS_SQL,
     "nearest_node": NEAR_SQL + "SELECT point_id, arg_min(node_id, {'a': d, 'b': node_id}) AS node_id, round(min(d), 9) AS degrees FROM d GROUP BY point_id",
     "nearest_node_early": NEAR_SQL + """, k AS (SELECT point_id, coalesce(min(node_id) FILTER (d <= 0.0005e0), arg_min(node_id, {'a': d, 'b': node_id})) AS node_id FROM d GROUP BY point_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +87,27 @@ def read_zone_geojson(spark: SparkSession, path: str) -> DataFrame:
     return rings.select(F.transform("r", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon"))).alias("ring"))
 
 
-def save_network(nodes: DataFrame, arcs: DataFrame, path: str) -> None:
+def save_network(nodes: DataFrame, arcs: DataFrame, path: str, buckets: int = 0) -> None:
+    """Both tables as Parquet below ``path``; arcs in buckets of ``src``, sorted by it, so that joins and groups by a node find its arcs in place.
+
+    One shuffle of the arcs by src, here and never again. ``buckets`` is the number of shuffle partitions by default.
+    """
+    spark = arcs.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes.write.parquet(f"{path}/nodes")
-    arcs.write.parquet(f"{path}/arcs")
+    name = f"saved_{uuid.uuid4().hex}"
+    arcs.repartition(n, "src").write.option("path", f"{path}/arcs").bucketBy(n, "src").sortBy("src").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are at a path of their own
+    spark.range(1).select(F.lit(n).alias("buckets")).write.parquet(f"{path}/layout")
 
 
 def load_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/arcs")
+    """nodes and arcs; the arcs with the buckets they were saved in. One row, the layout, comes to the driver."""
+    n = spark.read.parquet(f"{path}/layout").first()[0]
+    name = f"network_{uuid.uuid4().hex}"
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/arcs").schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({shape}) USING parquet CLUSTERED BY (src) SORTED BY (src) INTO {n} BUCKETS LOCATION '{path}/arcs'")
+    return spark.read.parquet(f"{path}/nodes"), spark.table(name)
 
 
 def write_profile(profile: DataFrame, path: str) -> None:
@@ -112,5 +128,6 @@ def write_vector(vector: DataFrame, path: str) -> None:
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
+    """state, value from lines as :func:`write_vector` writes them."""
     found = lambda k: F.regexp_extract("value", r"^(\d+) \((-?[0-9.]+(?:[eE][+-]?\d+)?)", k)
     return spark.read.text(path).select(found(1).cast("int").alias("state"), found(2).cast("double").alias("value"))
