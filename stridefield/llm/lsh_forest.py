@@ -1,15 +1,17 @@
 """Near-duplicate classes: a MinHash LSH forest, then exact Jaccard of word 5-shingles.
 
 Every text gets TREES labels of DEEPEST MinHash values each; a tree is the trie of its labels. Texts that share a label's
-prefix share a node. Prefixes start at full depth and are shortened, one value at a time, until the recall expected of the links
-seen among sampled signatures reaches the target (:func:`fitted_depth`); every text is then in one node a tree.
+prefix share a node, which is named by the hash of its path. Texts are first matched on whole labels. Then prefixes are shortened, one value at a
+time, for those texts only whose recall is still short: the least similar link that a text has been matched with says how likely it was to be met at
+this depth (:func:`met_at`), and a text without a link counts as if it had one at the threshold. Such a text is matched with all others
+of its shorter prefixes. At the shallowest depth links at the threshold itself are met with the target recall, so no text goes beyond.
 
 Pairs of a node whose sketches are far apart are dropped (see SKETCH_MOST); what is left ties texts to candidate groups.
 Each text of a candidate group is sent once to its group, or to the block pairs of a large one, and there every two
 texts are compared on all their shingles. So the links of a class are counted whole, whichever node brought the texts together, and no
 row is made for a pair of a large node or group.
 
-What moves: signatures once, (node, text) rows twice, compressed texts once. Exact copies are one text throughout.
+What moves: signatures once, (nodes, text) rows twice, those of leaves with a partner again for each depth, compressed texts once. Exact copies are one text throughout.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from stridefield.llm.storage import Scratch, cut, merged, pack, unpack
 from stridefield.operators.graph import connected_components
 
 TREES, DEEPEST, WORDS, THRESHOLD, TARGET = 16, 8, 5, 0.8, 0.99
-#: Signatures on which the depth of prefixes is fitted.
-SAMPLE = 2048
 #: Nodes of more texts than SMALL are compared in blocks of about BLOCK sketches.
 SMALL, BLOCK = 16, 1024
 #: Texts and shingles in one side of a block of a candidate group.
@@ -36,6 +36,8 @@ CELL_TEXTS, CELL_SHINGLES = 256, 150_000
 #: one of a million pairs.
 SKETCH_MOST = 38
 _VALUES = TREES * DEEPEST
+#: Sketches of links at the threshold differ in so many values in the mean.
+LINK_MOST = int(_VALUES * 0.75 * (1 - THRESHOLD))
 _rng = np.random.default_rng(77)
 MULTIPLIERS = _rng.integers(1, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,27 +74,23 @@ def sketch(values: np.ndarray) -> list[int]:
     return np.bitwise_or.reduce(bits, axis=1).view(np.int64).tolist()
 
 
-def expected_recall(similarity: np.ndarray, depth: int) -> float:
-    """Mean probability that two texts of such similarity share a prefix of ``depth`` in some tree."""
-    return float((1 - (1 - similarity**depth) ** TREES).mean())
+def met_at(depth: int, similarity: float) -> float:
+    """The probability that two texts of such similarity share a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
 
 
-def fitted_depth(signatures: np.ndarray, target: float = TARGET) -> int:
-    """The longest prefix at which the links among ``signatures`` (rows of 32-bit values) are met with the target recall.
+def shallowest(target: float = TARGET) -> int:
+    """The longest prefix at which links at the threshold are met with the target recall, 1 if none is."""
+    return next((d for d in range(DEEPEST, 1, -1) if met_at(d, THRESHOLD) >= target), 1)
 
-    A pair's similarity is the share of equal values; pairs at the threshold or over it are links. Without links the
-    threshold stands for them.
+
+def most_apart(depth: int, target: float = TARGET) -> int:
+    """How many values of two sketches may differ so that, by their estimate of the similarity, the pair is met at ``depth`` with the target recall.
+
+    Different values still agree in a quarter of their 2-bit sketches. -1 if not even equal sketches suffice.
     """
-    alike = []
-    for i in range(len(signatures) - 1):
-        share = (signatures[i + 1 :] == signatures[i]).mean(axis=1)
-        alike.append(share[share >= THRESHOLD])
-    found = np.concatenate(alike) if alike else np.zeros(0)
-    found = found if len(found) else np.array([THRESHOLD])
-    depth = DEEPEST
-    while depth > 1 and expected_recall(found, depth) < target:
-        depth -= 1
-    return depth
+    good = [far for far in range(int(_VALUES * 0.75 * (1 - THRESHOLD)) + 1) if met_at(depth, 1 - far / (_VALUES * 0.75)) >= target]
+    return max(good, default=-1)
 
 
 _SIGNED = "`_print` binary, `_n` long, `_sig` array<int>, `_sketch` array<long>, `_text` binary"
@@ -137,18 +135,24 @@ def _far(a: str, b: str) -> Column:
 
 
 def _block_ties(block: pa.Table) -> pa.Table:
-    """Ties of one block pair of a large node: a forest over the texts whose sketches are near, at most one row a text."""
+    """Ties of one block pair of a large node: a forest over the texts whose sketches are near, one row a text with a near one.
+
+    far is how many values differ from the least similar of those that may be links.
+    """
     ids = np.array(block.column("id").to_pylist(), np.int64)
     sketches = np.array(block.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(ids), -1)
-    near = np.zeros((len(ids), len(ids)), bool)
+    near, far = np.zeros((len(ids), len(ids)), bool), np.full(len(ids), -1)
     for at in range(0, len(ids), 64):  # rows at a time, so that memory is the matrix of bits only
         x = sketches[at : at + 64, None] ^ sketches[None]
         x |= x >> np.uint64(1)
         x &= np.uint64(_ODD_BITS)
-        near[at : at + 64] = np.bitwise_count(x).sum(axis=2, dtype=np.uint16) <= SKETCH_MOST
+        apart = np.bitwise_count(x).sum(axis=2, dtype=np.int16)
+        near[at : at + 64] = apart <= SKETCH_MOST
+        apart[np.arange(len(apart)), at + np.arange(len(apart))] = -1  # not with itself
+        far[at : at + 64] = np.where(apart <= LINK_MOST, apart, -1).max(axis=1)
     tied = roots(near, ids)
-    some = np.flatnonzero(tied != ids)
-    return pa.table({"a": pa.array(ids[some]), "b": pa.array(tied[some])})
+    some = np.flatnonzero(near.sum(axis=1) > 1)
+    return pa.table({"a": pa.array(ids[some]), "b": pa.array(tied[some]), "far": pa.array(far[some], pa.int32())})
 
 
 def roots(alike: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -213,23 +217,43 @@ def _dealt(members: DataFrame, group: str, blocks: Column, *carried: str) -> Dat
     )
 
 
-def candidate_ties(texts: DataFrame, scratch: Scratch, target: float = TARGET) -> DataFrame:
-    """a, b: ties between texts (id, _sig, _sketch) that share a node and whose sketches are near."""
-    sample = texts.select("_sig", "id").orderBy(F.get("_sig", F.lit(0)), "id").limit(SAMPLE).toArrow().column("_sig").to_pylist()
-    depth = fitted_depth(np.array(sample, np.int32).reshape(len(sample), _VALUES), target)
-    node = lambda t: F.xxhash64(t, F.slice("_sig", t * DEEPEST + 1, F.lit(depth)))
-    members = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), node)).alias("node"), "id")
-    sizes = scratch.keep(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = scratch.keep(merged(members, sizes, ["node"]))
-    sketches = texts.select("id", "_sketch")
-    few = shared.filter(F.col("n") <= SMALL)
+def _node_ties(met: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, far of texts of ``met`` (node, id, n) that share a node and whose sketches (id, _sketch) are near."""
+    few = met.filter(F.col("n") <= SMALL)
     pairs = merged(few.select("node", F.col("id").alias("a")), few.select("node", F.col("id").alias("b")), ["node"]).filter("a < b").select("a", "b").distinct()
     end = lambda c: sketches.select(F.col("id").alias(c), F.col("_sketch").alias(f"s{c}"))
-    known = merged(merged(pairs, end("a"), ["a"]), end("b"), ["b"])
-    near = known.filter(_far("sa", "sb") <= SKETCH_MOST).select("a", "b")
-    many = merged(shared.filter(F.col("n") > SMALL), sketches.withColumnRenamed("_sketch", "sketch"), ["id"])
+    known = merged(merged(pairs, end("a"), ["a"]), end("b"), ["b"]).select("a", "b", _far("sa", "sb").cast("int").alias("far"))
+    many = merged(met.filter(F.col("n") > SMALL), sketches.withColumnRenamed("_sketch", "sketch"), ["id"])
     blocks = _dealt(many, "node", F.ceil(F.col("n") / BLOCK), "sketch").groupBy("node", "i", "j")
-    return near.unionByName(blocks.applyInArrow(_block_ties, "a long, b long"))
+    return known.filter(F.col("far") <= SKETCH_MOST).unionByName(blocks.applyInArrow(_block_ties, "a long, b long, far int"))
+
+
+def candidate_ties(texts: DataFrame, scratch: Scratch, target: float = TARGET) -> DataFrame:
+    """a, b: ties between texts (id, _sig, _sketch) that share a node and whose sketches are near.
+
+    A round a depth, from whole labels up to :func:`shallowest`; each after the first looks at the nodes only that hold a text whose recall is short.
+    """
+    depths = range(DEEPEST, shallowest(target) - 1, -1)
+    path = lambda t: F.struct(*[F.xxhash64(t, F.slice("_sig", t * DEEPEST + 1, F.lit(d))).alias(f"n{d}") for d in depths])
+    leaves = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), path)).alias("leaf"), "id").select("id", "leaf.*")
+    # a leaf that is alone under its shortest prefix is alone under all
+    top = f"n{depths[-1]}"
+    common = scratch.keep(leaves.groupBy(top).agg(F.count("*").alias("n")).filter("n > 1").select(top))
+    shared = scratch.keep(merged(leaves, common, [top], "left_semi"))
+    sketches = texts.select("id", "_sketch")
+    ties, done = None, None
+    for d in depths:
+        members = shared.select(F.col(f"n{d}").alias("node"), "id")
+        if done is not None:
+            short = merged(members, done, ["id"], "left_anti")
+            members = merged(members, scratch.keep(short.select("node").distinct()), ["node"], "left_semi")
+        sizes = scratch.keep(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+        found = scratch.keep(_node_ties(scratch.keep(merged(members, sizes, ["node"])), sketches))
+        ties = found if ties is None else ties.unionByName(found)
+        linked = ties.filter(F.col("far").between(0, LINK_MOST)).select(F.explode(F.array("a", "b")).alias("id"), "far")
+        # a text is done whose least similar link was met with the target recall
+        done = scratch.keep(linked.groupBy("id").agg(F.max("far").alias("far")).filter(F.col("far") <= most_apart(d, target)).select("id"))
+    return ties.filter("a != b").select("a", "b").distinct()
 
 
 def class_of_rows(rows: DataFrame, scratch: Scratch, target: float = TARGET) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Near-duplicate classes against all pairs: recall on the given documents, edge rows, fitted depths."""
+"""Near-duplicate classes against all pairs: recall on the given documents, edge rows, shortened prefixes."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from stridefield.llm import lsh_forest
+from stridefield.operators.lineage import Scratch
 
 WORDS = " ".join(f"word{i * 7919 % 5003}" for i in range(200))
 
@@ -36,21 +37,32 @@ def test_recall_against_all_pairs(spark):
     assert links > 20 and met >= 0.95 * links and counted >= 0.95 * wanted
 
 
-def test_depth_follows_the_links_seen():
+def test_prefixes_are_shortened_for_texts_that_are_short_of_recall(spark):
+    """Made signatures: who is matched at which depth, and who is left alone."""
+    depth, low = lsh_forest.DEEPEST, lsh_forest.shallowest()
+    assert lsh_forest.met_at(low, 0.8) >= lsh_forest.TARGET > lsh_forest.met_at(low + 1, 0.8) and lsh_forest.met_at(depth, 0.8) > 0.94
+    assert lsh_forest.most_apart(low) == lsh_forest.LINK_MOST > lsh_forest.most_apart(depth) > 0
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 31, (40, 128))
-
-    def pairs(share):
-        other = base.copy()
-        for row in other:
-            row[rng.permutation(128)[: round(128 * (1 - share))]] = rng.integers(0, 1 << 31, round(128 * (1 - share)))
-        return np.concatenate((base, other)).astype(np.int64)
-
-    alike, loose = lsh_forest.fitted_depth(pairs(0.97)), lsh_forest.fitted_depth(pairs(0.82))
-    assert alike == lsh_forest.DEEPEST > loose
-    assert lsh_forest.expected_recall(np.array([0.8]), lsh_forest.DEEPEST) > 0.94
-    none = lsh_forest.fitted_depth(np.zeros((0, 128), np.int64))
-    assert lsh_forest.expected_recall(np.array([0.8]), none) >= lsh_forest.TARGET > lsh_forest.expected_recall(np.array([0.8]), none + 1)
+
+    def like(row, shared):
+        """A signature that shares a prefix of ``shared`` values in the first tree, none in any other, and most values."""
+        out = row.copy().reshape(lsh_forest.TREES, depth)
+        out[1:, 0] += 1
+        out[0, shared:] += 1
+        return out.reshape(-1)
+
+    base = rng.integers(0, 1 << 30, (6, 128))
+    close = lambda row: np.concatenate((row[:-1], row[-1:] + 1))
+    rows = {
+        1: base[0], 2: like(base[0], low), 3: base[1], 4: like(base[1], low - 1), 5: base[2], 6: close(base[2]), 7: like(base[2], low),
+        10: base[3], 11: close(base[3]), 12: like(base[3], low), 13: close(like(base[3], low)), 14: base[4],
+    }
+    made = [(k, v.astype(np.int32).tolist(), lsh_forest.sketch(v.astype(np.uint32))) for k, v in rows.items()]
+    texts = spark.createDataFrame(made, "id long, _sig array<int>, _sketch array<long>")
+    with Scratch(spark) as scratch:
+        ties = {tuple(sorted(t)) for t in lsh_forest.candidate_ties(texts, scratch).collect()}
+    # 7 has no link at full depth and finds 5 and 6, which are done; 10, 11, 12 and 13 have one each and look no further
+    assert ties == {(1, 2), (5, 6), (5, 7), (6, 7), (10, 11), (12, 13)}
 
 
 def test_edge_rows(spark):
