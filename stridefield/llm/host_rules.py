@@ -22,6 +22,7 @@ RULES = ("short", "repeats", "symbols", "same_lines")
 
 
 def words_of(text: Column) -> Column:
+    """The words of a text in order: runs without white space. A column expression: no key, no shuffle."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
