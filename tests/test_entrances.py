@@ -44,27 +44,6 @@ def test_projection_at_full_resolution(spark, mirrored):
         assert abs(got.x / 2 - want[0]) <= 1.2 and abs(got.y / 2 - want[1]) <= 1.2
 
 
-@pytest.mark.parametrize("mirrored", [False, True])
-def test_projection_finds_a_known_placing(spark, mirrored):
-    outlines = spark.createDataFrame([("b", k, *p) for k, p in enumerate(RING)], "building_id string, pos int, lon double, lat double")
-    doors = spark.createDataFrame([("b", k, *p) for k, p in enumerate(DOORS)], "building_id string, entrance_pos int, lon double, lat double")
-    utm = scalars.utm_project(F.col("lon"), F.col("lat"), F.lit(10))
-    flat = lambda df: [tuple(r.p) for r in df.select(utm.alias("p")).collect()]
-    c, s = math.cos(math.radians(30)), math.sin(math.radians(30))
-
-    def plan(p):
-        x, y = (p[0] - 609000) * 4, (p[1] - 4266000) * 4
-        x, y = x * c - y * s, x * s + y * c
-        return (x + 10, -y + 7) if mirrored else (x + 10, y + 7)
-
-    plans = spark.createDataFrame([("b", k, *plan(p)) for k, p in enumerate(flat(outlines))], "building_id string, pos int, x double, y double")
-    points, rings = entrances.project_entrances(outlines, plans, doors, 48, 30)
-    for got, want in zip(points.orderBy("entrance_pos").collect(), map(plan, flat(doors)), strict=True):
-        # both rings are resampled, each on its own, so corners are cut a little differently
-        assert math.hypot(got.x - want[0], got.y - want[1]) < 8
-    assert rings.count() == 48
-
-
 def test_inward_and_white(spark):
     square = spark.createDataFrame([("a", k, *p) for k, p in enumerate([(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)])], "building_id string, pos int, x double, y double")
     points = spark.createDataFrame([("a", 0, 30.0, -5.0), ("a", 1, 97.0, 60.0), ("a", 2, 0.0, 0.0)], "building_id string, entrance_pos int, x double, y double")
