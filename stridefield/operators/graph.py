@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,13 +151,16 @@ def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool)
     return dealt.mapInArrow(run, f"source {kind}, {names[1]} {kind}, cost double, {last}")
 
 
-def _banded_search(links: DataFrame, sources: DataFrame, waiting: DataFrame | None, band: float, own: Scratch, most_rounds: int) -> DataFrame:
+def _banded_search(
+    links: DataFrame, sources: DataFrame, waiting: DataFrame | None, band: float, own: Scratch, most_rounds: int, pruned: Callable[[DataFrame], DataFrame] = lambda reached: reached
+) -> DataFrame:
     """source, node, cost, prev: settled nodes of every source, a table that is only appended to.
 
     Tentative labels are filed under the band of their cost and are looked at when the band comes up; labels of the band at
     hand are improved among themselves; then they are settled and never written again. A source ends with the band in which
     the last of its targets in ``waiting`` (source, target) is settled; without ``waiting`` it goes on to the end of its component.
-    A round reads one band's labels and the settled keys and writes what has changed.
+    A round reads one band's labels and the settled keys and writes what has changed. ``pruned`` may leave out rows (source, node, cost, prev) that
+    needn't be followed.
     """
     spark, folder = links.sparkSession, f"{own.folder}/bands-{uuid.uuid4().hex}"
     key, row = ["source", "node"], ["source", "node", "cost", "prev"]
@@ -165,7 +168,8 @@ def _banded_search(links: DataFrame, sources: DataFrame, waiting: DataFrame | No
     begin = sources.select("source", F.col("source").alias("node")).distinct()
     begin = begin.select(*key, F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("prev"), F.lit(0).cast("long").alias("band"))
     shape = begin.schema
-    add = lambda df, name: df.write.mode("append").option("compression", "zstd").partitionBy("band").parquet(f"{folder}/{name}")
+    # few files: rows of a band come together, unless they are many
+    add = lambda df, name: df.hint("rebalance", F.col("band")).write.mode("append").option("compression", "zstd").partitionBy("band").parquet(f"{folder}/{name}")
     read = lambda name: spark.read.schema(shape).parquet(f"{folder}/{name}")
     least = lambda df: df.groupBy(*key).agg(F.min(F.struct("cost", "prev")).alias("b")).select(*key, "b.cost", "b.prev")
     add(begin, "open")
@@ -194,7 +198,7 @@ def _banded_search(links: DataFrame, sources: DataFrame, waiting: DataFrame | No
                 old.append(before)
             current_n = own.n
             onward = fresh.join(links, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("node").alias("prev"))
-            reached = own.keep(least(onward).withColumn("band", F.floor(F.col("cost") / band).cast("long")))
+            reached = own.keep(pruned(least(onward)).withColumn("band", F.floor(F.col("cost") / band).cast("long")))
             old.append(own.n)
             add(reached.filter(F.col("band") > at), "open")
             known = current.select(*key, F.col("cost").alias("_was"))
@@ -248,8 +252,7 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
     arcs: src, dst, weight >= 0. Of several ways of least cost one is given. A null end has no way; a source that no arc names has one to itself.
     Each source is searched once, and no further than to the last of its targets: in a task of its own over arcs that all workers hold, if they are no more than
     ``shared_arcs`` between whole numbers, else together with all others by joins. There, paths are walked back by
-    doubling: in each round every node of a tree learns the node twice as far back and the steps to it, so a path of n nodes
-    takes log n rounds.
+    doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
     """
     with Scratch(arcs.sparkSession) as scratch:
         links, n, band = _links(arcs, scratch)
@@ -259,22 +262,92 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
             return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
         tree = _banded_search(links, asked.select("source"), asked, band, scratch, most_rounds)
         ends = scratch.keep(requests.join(tree.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left"))
-        # jump: the node 2^k steps back, and the nodes between, nearest first
-        jump = tree.filter("prev IS NOT NULL").select("source", "node", F.col("prev").alias("to"), F.array("prev").alias("over"))
-        walks = ends.filter("cost IS NOT NULL").select("source", F.col("target").alias("node")).distinct().select("source", "node", F.col("node").alias("at"), F.array("node").alias("back"))
-        walks = scratch.keep(walks)
-        while not walks.filter("at != source").isEmpty():
-            jump = scratch.keep(jump)
-            onward = walks.join(jump.select("source", F.col("node").alias("at"), "to", "over"), ["source", "at"], "left")
-            walks = scratch.keep(onward.select("source", "node", F.coalesce("to", "at").alias("at"), F.concat("back", F.coalesce("over", F.slice("back", 1, 0))).alias("back")))
-            further = jump.select("source", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("over").alias("_over"))
-            jump = jump.join(further, ["source", "to"], "left").select(
-                "source", "node", F.coalesce("_to", "to").alias("to"), F.concat("over", F.coalesce("_over", F.slice("over", 1, 0))).alias("over")
-            )
-        paths = walks.select("source", F.col("node").alias("target"), F.reverse("back").alias("path"))
+        paths = _walked(tree, ends.filter("cost IS NOT NULL").select("source", "target").distinct(), scratch)
         return cut(ends.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
 
 
+def _walked(tree: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
+    """source, target, path of the distinct ``ends`` (source, target) along trees (source, node, prev).
+
+    By doubling: in each round every node of a tree learns the node twice as far back and the steps to it, so a path of n nodes takes log n rounds.
+    """
+    # jump: the node 2^k steps back, and the nodes between, nearest first
+    jump = tree.filter("prev IS NOT NULL").select("source", "node", F.col("prev").alias("to"), F.array("prev").alias("over"))
+    walks = scratch.keep(ends.select("source", F.col("target").alias("node"), F.col("target").alias("at"), F.array("target").alias("back")))
+    while not walks.filter("at != source").isEmpty():
+        jump = scratch.keep(jump)
+        onward = walks.join(jump.select("source", F.col("node").alias("at"), "to", "over"), ["source", "at"], "left")
+        walks = scratch.keep(onward.select("source", "node", F.coalesce("to", "at").alias("at"), F.concat("back", F.coalesce("over", F.slice("back", 1, 0))).alias("back")))
+        further = jump.select("source", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("over").alias("_over"))
+        jump = jump.join(further, ["source", "to"], "left").select(
+            "source", "node", F.coalesce("_to", "to").alias("to"), F.concat("over", F.coalesce("_over", F.slice("over", 1, 0))).alias("over")
+        )
+    return walks.select("source", F.col("node").alias("target"), F.reverse("back").alias("path"))
+
+
+def hub_labels(arcs: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """node, hub, cost, prev: labels by which :func:`labelled_paths` answers any number of requests over the same arcs.
+
+    arcs: src, dst, weight >= 0, each also the other way with the same weight. Nodes are ranked by their number of arcs; batches of them, of
+    doubling size in the order of ranks, are searched together by :func:`_banded_search`. A node is left out, and not gone beyond, where the labels of
+    the batches before already give the cost: one join of both ends' labels on the hub. So the first hubs reach everything and
+    later ones a small neighbourhood; on road networks a node ends up with few labels. prev is the node before on the way from the hub. Built once,
+    for networks that are too large for a search each; the number of batches is the logarithm of the number of nodes.
+    """
+    with Scratch(arcs.sparkSession) as scratch:
+        links, _, band = _links(arcs, scratch)
+        ranked = links.groupBy("node").agg(F.count("*").alias("n"))
+        rank = scratch.keep(ranked.orderBy(F.desc("n"), F.xxhash64("node")).select("node", F.monotonically_increasing_id().alias("_place")))
+        # the upper bits of a place are its part, and the lower ones count from 0 in it; one row a part is summed up
+        part = F.shiftright("_place", 33).alias("p")
+        sizes = rank.groupBy(part).agg(F.count("*").alias("n"))
+        begins = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+        placed = rank.select("node", part, F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")).join(begins, "p")
+        position = scratch.keep(placed.select("node", (F.col("_begin") + F.col("_in")).alias("at")))
+        total = position.count()
+        labels, low = None, 0
+        while low < total:
+            high = min(total, 2 * low + 1)
+            hubs = position.filter((F.col("at") >= low) & (F.col("at") < high)).select(F.col("node").alias("source"))
+
+            def pruned(reached: DataFrame, known: DataFrame | None = labels) -> DataFrame:
+                if known is None:
+                    return reached
+                own = known.select(F.col("node").alias("source"), "hub", F.col("cost").alias("_a"))
+                other = known.select("node", "hub", F.col("cost").alias("_b"))
+                better = reached.join(own, "source").join(other, ["node", "hub"]).filter(F.col("_a") + F.col("_b") <= F.col("cost")).select("source", "node").distinct()
+                return reached.join(better, ["source", "node"], "left_anti")
+
+            found = _banded_search(links, hubs, None, band, scratch, most_rounds, pruned).select("node", F.col("source").alias("hub"), "cost", "prev")
+            labels = scratch.keep(found if labels is None else labels.unionByName(found))
+            low = high
+        if labels is None:
+            labels = links.select("node", F.col("node").alias("hub"), F.col("weight").alias("cost"), F.col("node").alias("prev")).limit(0)
+        return cut(labels)
+
+
+def labelled_paths(labels: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (request_id unique, source, target) with cost and path, both null where there is no way, by the labels of :func:`hub_labels`.
+
+    The labels of both ends are joined on the hub, so a request costs as many rows as its ends have labels, however many sources there are. Ends
+    that no arc names have a way to themselves only.
+    """
+    with Scratch(requests.sparkSession) as scratch:
+        labels = scratch.keep(labels)
+        end = lambda c, k: labels.select(F.col("node").alias(c), "hub", F.col("cost").alias(f"_{k}"))
+        met = requests.select("request_id", "source", "target").join(end("source", "a"), "source").join(end("target", "b"), ["target", "hub"])
+        best = met.groupBy("request_id").agg(F.min(F.struct((F.col("_a") + F.col("_b")).alias("cost"), "hub")).alias("m")).select("request_id", "m.cost", "m.hub")
+        known = scratch.keep(requests.join(best, "request_id", "left"))
+        hubs = known.filter("hub IS NOT NULL")
+        ends = hubs.select(F.col("hub").alias("source"), F.explode(F.array("source", "target")).alias("target")).distinct()
+        way = scratch.keep(_walked(labels.select(F.col("hub").alias("source"), "node", "prev"), ends, scratch))
+        side = lambda c: way.select(F.col("source").alias("hub"), F.col("target").alias(c), F.col("path").alias(f"_{c}"))
+        joined = known.join(side("source"), ["hub", "source"], "left").join(side("target"), ["hub", "target"], "left")
+        path = F.concat(F.reverse("_source"), F.slice("_target", 2, F.greatest(F.size("_target") - 1, F.lit(0))))
+        alone = F.col("hub").isNull() & (F.col("source") == F.col("target"))
+        return cut(joined.select(*requests.columns, F.when(alone, 0.0).otherwise(F.col("cost")).alias("cost"), F.when(alone, F.array("source")).otherwise(path).alias("path")))
+
+
 def hop_distance(arcs: DataFrame, source: int, shared_arcs: int = SHARED_ARCS) -> DataFrame:
     """node, hops from one node, direction ignored; no rows if no arc names it.
 

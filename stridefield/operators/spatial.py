@@ -83,26 +83,24 @@ def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "inters
     if mode not in ("contains", "intersects"):
         raise ValueError(f"unknown mode {mode}")
     box = edges.select("edge_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("ex"), F.least("y1", "y2").alias("ey"), F.greatest("x1", "x2").alias("fx"), F.greatest("y1", "y2").alias("fy"))
-    box = box.withColumn("_own", _level(F.col("fx") - F.col("ex"), F.col("fy") - F.col("ey")))
+    # written once: the boxes are read for their levels and for the join
+    box = cut(box.withColumn("_e", _level(F.col("fx") - F.col("ex"), F.col("fy") - F.col("ey"))))
     lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
     zone = polygons.filter(F.size("ring") >= 3).select(
         "polygon_id", _legs(F.col("ring")).alias("legs"),
         F.array_min(lon).alias("px"), F.array_min(lat).alias("py"), F.array_max(lon).alias("qx"), F.array_max(lat).alias("qy"),
     )
-    zone = zone.withColumn("_own", _level(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")))
-    levels = lambda df: F.broadcast(df.select(F.col("_own").alias("level")).distinct())
+    zone = zone.withColumn("_p", _level(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")))
     width = F.pow(F.lit(2.0), F.col("level"))
 
-    def dealt(df: DataFrame, met: Column, lo: str, hi: str) -> DataFrame:
-        """``met``: which of the other side's levels a row goes to."""
-        at = df.join(levels(zone if df is box else box), met)
-        return at.withColumn("cx", _span(F.col(f"{lo}x"), F.col(f"{hi}x"), width)).withColumn("cy", _span(F.col(f"{lo}y"), F.col(f"{hi}y"), width)).withColumnRenamed("_own", f"_{lo}")
+    def dealt(df: DataFrame, own: str, other: DataFrame, theirs: str, low: str, high: str) -> DataFrame:
+        """Rows at their own level and at the coarser ones of the other side."""
+        known = F.broadcast(other.agg(F.collect_set(theirs).alias("_levels")))
+        level = F.explode(F.concat(F.array(own), F.filter("_levels", lambda k: k > F.col(own))))
+        at = df.crossJoin(known).withColumn("level", level).drop("_levels")
+        return at.withColumn("cx", _span(F.col(f"{low}x"), F.col(f"{high}x"), width)).withColumn("cy", _span(F.col(f"{low}y"), F.col(f"{high}y"), width))
 
-    # edges go to the polygons' levels from their own on, where polygons of that level wait; polygons to the edges' coarser ones
-    here = lambda df, lo, hi: df.withColumn("level", F.col("_own")).withColumn("cx", _span(F.col(f"{lo}x"), F.col(f"{hi}x"), width)).withColumn("cy", _span(F.col(f"{lo}y"), F.col(f"{hi}y"), width)).drop("_own")
-    key = ["level", "cx", "cy"]
-    wide = dealt(box, F.col("level") >= F.col("_own"), "e", "f").drop("_e").join(here(zone, "p", "q"), key)
-    narrow = here(box, "e", "f").join(dealt(zone, F.col("level") > F.col("_own"), "p", "q").drop("_p"), key)
+    met = dealt(box, "_e", zone, "_p", "e", "f").join(dealt(zone, "_p", box, "_e", "p", "q"), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("_e", "_p"))
     first = (F.col("cx") == F.greatest(F.floor(F.col("ex") / width), F.floor(F.col("px") / width))) & (
         F.col("cy") == F.greatest(F.floor(F.col("ey") / width), F.floor(F.col("py") / width))
     )
@@ -112,8 +110,7 @@ def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "inters
     else:
         test = _odd(legs, x1, y1) | F.exists(legs, lambda leg: _touches(leg, x1, y1, x2, y2))
     near = (F.col("ex") <= F.col("qx")) & (F.col("px") <= F.col("fx")) & (F.col("ey") <= F.col("qy")) & (F.col("py") <= F.col("fy"))
-    pairs = lambda df: df.filter(first & near).filter(test).select("polygon_id", "edge_id")
-    return pairs(wide).unionByName(pairs(narrow))
+    return met.filter(first & near).filter(test).select("polygon_id", "edge_id")
 
 
 def apply_closures(edges: DataFrame, zones: DataFrame) -> DataFrame:

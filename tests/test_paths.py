@@ -107,6 +107,31 @@ def test_settled_rows_are_written_once(spark, monkeypatch):
         assert closed.filter("source = 0").count() == side * side and closed.filter("source = 100").agg(F.max("cost")).first()[0] < 4
 
 
+def test_hub_labels_answer_every_pair(spark):
+    """A lattice with gaps and a part of its own: all pairs, from one table of labels that is far from all pairs; unknown ends."""
+    r = random.Random(5)
+    side = 6
+    one = [(i, j, float(r.randint(1, 9))) for i in range(side * side) for j in (i + 1, i + side) if j < side * side and (j != i + 1 or j % side) and r.random() < 0.85]
+    one += [(100, 101, 2.0), (101, 102, 0.0)]
+    arcs = one + [(b, a, w) for a, b, w in one]
+    cheapest = {}
+    for a, b, w in arcs:
+        cheapest[a, b] = min(w, cheapest.get((a, b), w))
+    labels = graph.hub_labels(spark.createDataFrame(arcs, ARCS))
+    nodes = sorted({a for a, _, _ in arcs})
+    assert len(nodes) < labels.count() < len(nodes) ** 2 / 2
+    asked = [(a, b) for a in nodes for b in nodes] + [(999, 999), (999, 0), (0, 999)]
+    requests = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(asked)], "request_id long, source long, target long")
+    got = graph.labelled_paths(labels, requests).collect()
+    assert len(got) == len(asked)
+    costs = {a: plainly(arcs, a) for a in [*nodes, 999]}
+    for x in got:
+        want = costs[x.source].get(x.target)
+        assert x.cost == want
+        if want is not None:
+            assert x.path[0] == x.source and x.path[-1] == x.target and sum(cheapest[p] for p in zip(x.path, x.path[1:], strict=False)) == want
+
+
 def test_hops_deep_and_wide(spark):
     path = spark.range(2000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     hops = {r.node: r.hops for r in graph.hop_distance(path, 0).collect()}
