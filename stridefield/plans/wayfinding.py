@@ -214,12 +214,13 @@ def largest_component_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def least_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost in whole seconds from the node of each customer's nation to a node of its own, over the walking network."""
     arcs = network.undirected_arcs(_edges(spark, sf_dir)).select("src", "dst", F.round("baseline_weight").alias("weight"))
-    asked = _read(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", "c_nationkey AS source", "c_custkey * 31 % 1999 AS target")
+    n = _read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    asked = _read(spark, sf_dir, "customer").crossJoin(F.broadcast(n)).selectExpr("c_custkey AS request_id", "c_nationkey AS source", "c_custkey * 31 % n AS target")
     return graph.shortest_paths(arcs, asked).select("request_id", "cost")
 
 
 COSTS_SQL = EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, arcs AS (SELECT lo AS src, hi AS dst, round(w) AS w FROM e UNION ALL SELECT hi, lo, round(w) FROM e),
-q AS (SELECT c_custkey AS request_id, c_nationkey AS source, c_custkey * 31 % 1999 AS target FROM customer),
+n AS (SELECT count(*) AS n FROM part), q AS (SELECT c_custkey AS request_id, c_nationkey AS source, c_custkey * 31 % n AS target FROM customer, n),
 d(source, node, cost) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0e0 FROM q UNION (
   SELECT DISTINCT ON (x.source, e.dst) x.source, e.dst, x.cost + e.w AS c FROM d x JOIN arcs e ON e.src = x.node
   LEFT JOIN recurring.d o ON o.source = x.source AND o.node = e.dst WHERE o.cost IS NULL OR x.cost + e.w < o.cost ORDER BY x.source, e.dst, c))
