@@ -18,34 +18,36 @@ from pyspark.sql.pandas.types import to_arrow_type
 from stridefield.operators.lineage import Scratch, cut
 
 
-def connected_components(arcs: DataFrame) -> DataFrame:
+def connected_components(arcs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component (its least node) of all ends of ``arcs`` (src, dst), direction ignored.
 
     Contraction: in each round every node goes over to the one of least random rank among itself and its neighbours, and arcs
     go over with their ends. About half the nodes of a path or more vanish in a round, so a long chain takes the logarithm of its
     length in rounds, and each round's tables are a part of the last one's. The moves are then followed back.
-    One count a round comes to the driver.
+    One count a round comes to the driver. With ``scratch`` the result is a table of it.
     """
-    with Scratch(arcs.sparkSession) as scratch:
-        ends = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        left = scratch.keep(ends)
-        moves: list[DataFrame] = []
-        while not left.isEmpty():
-            rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
-            first = left.groupBy("src").agg(F.least(F.min(rank("dst")), rank("src")).alias("_to"))
-            move = scratch.keep(first.select(F.col("src").alias("node"), F.col("_to.node").alias("to")))
-            moves.append(move)
-            half = left.filter("src != dst").join(move.select(F.col("node").alias("src"), F.col("to").alias("_s")), "src").select("_s", "dst")
-            both = half.join(move.select(F.col("node").alias("dst"), F.col("to").alias("_d")), "dst")
-            left = scratch.keep(both.select(F.col("_s").alias("src"), F.col("_d").alias("dst")).filter("src != dst").distinct())
-        if not moves:
-            return ends.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-        found = moves.pop()
-        while moves:
-            below = found.select(F.col("node").alias("to"), F.col("to").alias("_root"))
-            found = scratch.keep(moves.pop().join(below, "to", "left").select("node", F.coalesce("_root", "to").alias("to")))
-        least = found.groupBy("to").agg(F.min("node").alias("component"))
-        return cut(found.join(least, "to").select("node", "component"))
+    if scratch is None:
+        with Scratch(arcs.sparkSession) as own:
+            return cut(connected_components(arcs, own))
+    ends = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    left = scratch.keep(ends)
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
+        first = left.groupBy("src").agg(F.least(F.min(rank("dst")), rank("src")).alias("_to"))
+        move = scratch.keep(first.select(F.col("src").alias("node"), F.col("_to.node").alias("to")))
+        moves.append(move)
+        half = left.filter("src != dst").join(move.select(F.col("node").alias("src"), F.col("to").alias("_s")), "src").select("_s", "dst")
+        both = half.join(move.select(F.col("node").alias("dst"), F.col("to").alias("_d")), "dst")
+        left = scratch.keep(both.select(F.col("_s").alias("src"), F.col("_d").alias("dst")).filter("src != dst").distinct())
+    if not moves:
+        return ends.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    found = moves.pop()
+    while moves:
+        below = found.select(F.col("node").alias("to"), F.col("to").alias("_root"))
+        found = scratch.keep(moves.pop().join(below, "to", "left").select("node", F.coalesce("_root", "to").alias("to")))
+    least = found.groupBy("to").agg(F.min("node").alias("component"))
+    return scratch.keep(found.join(least, "to").select("node", "component"))
 
 
 def largest_component(components: DataFrame) -> DataFrame:
@@ -59,27 +61,46 @@ def keep_largest_component(arcs: DataFrame) -> DataFrame:
     return arcs.join(found.join(largest_component(found), "component").select(F.col("node").alias("src")), "src", "left_semi")
 
 
-#: Arcs of a network that goes to all workers as arrays (12 bytes an arc, 8 a node). The arcs are counted first; beyond it they stay a table.
+#: Arcs of a network that goes to all workers as arrays (24 bytes an arc, 8 a node). The arcs are counted first; beyond it they stay a table.
 SHARED_ARCS = 2_000_000
+#: A component of a larger network is searched in tasks of its own up to so many times ``SHARED_ARCS``.
+COMPONENT_SHARE = 4
+#: Requests of a group, which is a task over the components that it takes part in, one after the other.
+GROUP_REQUESTS = 20_000
+#: So many ends of one node or fewer are searched from both sides each.
+FEW_ENDS = 3
+
+
+class _Net:
+    """Arcs as arrays: ids of the nodes in order, the place of each node's first arc, and ends and weights of the arcs by node, both ways."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+        self.ids, place = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        self.ahead, self.back = self._by(place[: len(src)], place[len(src) :], weight), self._by(place[len(src) :], place[: len(src)], weight)
+
+    def _by(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(src, kind="stable")
+        return np.searchsorted(src[order], np.arange(len(self.ids) + 1)), dst[order].astype(np.int32), weight[order]
 
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        """Places of nodes, -1 for those that no arc names."""
+        at = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
+        return np.where(self.ids[at] == nodes, at, -1) if len(self.ids) else np.full(len(nodes), -1)
 
-def _shared(links: DataFrame) -> tuple[np.ndarray, ...]:
-    """ids of the nodes in order, the place of each node's first arc, and ends and weights of the arcs by node."""
+
+def _shared(links: DataFrame) -> _Net:
     arcs = links.select(F.col("node").cast("long").alias("node"), F.col("dst").cast("long").alias("dst"), "weight").toArrow()
-    src, dst, weight = (arcs.column(c).to_numpy() for c in ("node", "dst", "weight"))
-    ids, place = np.unique(np.concatenate((src, dst)), return_inverse=True)
-    order = np.argsort(place[: len(src)], kind="stable")
-    first = np.searchsorted(place[: len(src)][order], np.arange(len(ids) + 1))
-    return ids, first, place[len(src) :][order].astype(np.int32), weight[order]
+    return _Net(*[arcs.column(c).to_numpy() for c in ("node", "dst", "weight")])
 
 
-def _search(start: int, targets: np.ndarray | None, net: tuple[np.ndarray, ...], band: float) -> tuple[np.ndarray, np.ndarray]:
+def _search(start: int, targets: np.ndarray | None, arcs: tuple[np.ndarray, ...], band: float) -> tuple[np.ndarray, np.ndarray]:
     """cost and prev of all nodes, final for ``targets`` (None: all), from the node at place ``start``.
 
     Nodes are relaxed in bands of costs: all open nodes under the band's end at a time, until none is left under it.
     """
-    ids, first, ends, weights = net
-    cost, prev, open_ = np.full(len(ids), np.inf), np.full(len(ids), -1), np.zeros(len(ids), bool)
+    first, ends, weights = arcs
+    n_nodes = len(first) - 1
+    cost, prev, open_ = np.full(n_nodes, np.inf), np.full(n_nodes, -1), np.zeros(n_nodes, bool)
     cost[start], open_[start], limit = 0.0, True, band
     while True:
         at = np.flatnonzero(open_ & (cost < limit))
@@ -98,11 +119,88 @@ def _search(start: int, targets: np.ndarray | None, net: tuple[np.ndarray, ...],
         np.minimum.at(cost, to, new)
         best = new == cost[to]
         to, by = to[best], by[best]
-        prev[to] = len(ids)
+        prev[to] = n_nodes
         np.minimum.at(prev, to, by)
         open_[to] = True
 
 
+def _between(start: int, end: int, net: _Net, band: float) -> tuple[float, list[int]]:
+    """Cost and places of a least-cost way from ``start`` to ``end``, searched from both sides; infinite and none without one.
+
+    The side whose least open cost is less goes on by a band. No way that both sides don't know yet costs less than the sum
+    of their least open costs, so the search ends when the best one found is no more than that.
+    """
+    n = len(net.ids)
+    arcs, cost, prev, open_ = (net.ahead, net.back), np.full((2, n), np.inf), np.full((2, n), -1), np.zeros((2, n), bool)
+    todo, low, best, met = [np.array([start]), np.array([end])], [0.0, 0.0], np.inf, -1
+    cost[0, start] = cost[1, end] = 0.0
+    open_[0, start] = open_[1, end] = True
+    if start == end:
+        return 0.0, [start]
+    while low[0] + low[1] < best:
+        k = 0 if low[0] <= low[1] else 1
+        (first, ends, weights), own, other = arcs[k], cost[k], cost[1 - k]
+        limit = low[k] + band
+        while True:
+            due = own[todo[k]] < limit
+            at, rest = todo[k][due], todo[k][~due]
+            if not len(at):
+                break
+            open_[k, at] = False
+            count = first[at + 1] - first[at]
+            arc = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            to, by = ends[arc], np.repeat(at, count)
+            new = own[by] + weights[arc]
+            # what can't be a part of a way under the best one is left out
+            less = (new < own[to]) & (new + np.minimum(other[to], low[1 - k]) < best)
+            to, by, new = to[less], by[less], new[less]
+            if not len(to):
+                todo[k] = rest
+                continue
+            # the least of each end
+            order = np.lexsort((by, new, to))
+            to, by, new = to[order], by[order], new[order]
+            one = np.concatenate(([True], to[1:] != to[:-1]))
+            to, by, new = to[one], by[one], new[one]
+            own[to], prev[k, to] = new, by
+            whole = new + other[to]
+            i = int(whole.argmin())
+            if whole[i] < best:
+                best, met = float(whole[i]), int(to[i])
+            fresh = to[~open_[k, to]]
+            open_[k, fresh] = True
+            todo[k] = np.concatenate((rest, fresh))
+        low[k] = float(own[todo[k]].min()) if len(todo[k]) else np.inf
+    if met < 0:
+        return np.inf, []
+    way, at = [], met
+    while at >= 0:
+        way.append(at)
+        at = int(prev[0, at])
+    way, at = way[::-1], int(prev[1, met])
+    while at >= 0:
+        way.append(at)
+        at = int(prev[1, at])
+    return best, way
+
+
+def _ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) -> Iterator[tuple[int, float, list[int]]]:
+    """Of the places ``ends`` those with a way from the place ``hub`` (``back``: to it), its cost and nodes: one search, or one from both sides for each of few."""
+    if len(ends) <= FEW_ENDS:
+        for end in ends.tolist():
+            cost, way = _between(*((end, hub) if back else (hub, end)), net, band / 4)
+            if way:
+                yield end, cost, net.ids[way].tolist()
+        return
+    cost, prev = _search(hub, ends, net.back if back else net.ahead, band)
+    for end in ends[np.isfinite(cost[ends])].tolist():
+        way, at = [], end
+        while at >= 0:
+            way.append(at)
+            at = int(prev[at])
+        yield end, float(cost[end]), net.ids[way if back else way[::-1]].tolist()
+
+
 def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool) -> DataFrame:
     """source, target, cost, path of every distinct row of ``asked`` (source, target) that has a way; with ``tree`` source, node, cost, prev of all nodes."""
     spark = asked.sparkSession
@@ -112,7 +210,7 @@ def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool)
     kind = asked.schema["source"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, *_ = net.value
+        ids = net.value.ids
         places = {int(x): i for i, x in enumerate(ids.tolist())}
         for batch in batches:
             by_source: dict[int, list] = {}
@@ -125,21 +223,15 @@ def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool)
                 if source not in places:
                     out += [(source, source, 0.0, None if tree else [source])] if tree or source in targets else []
                     continue
-                known = [t for t in targets if t in places]
-                cost, prev = _search(places[source], None if tree else np.array([places[t] for t in known], int), net.value, band)
                 if tree:
+                    cost, prev = _search(places[source], None, net.value.ahead, band)
                     at = np.flatnonzero(np.isfinite(cost))
                     before = np.where(prev[at] >= 0, ids[prev[at]], 0)
                     columns = [pa.array([source] * len(at), pa.int64()), pa.array(ids[at], pa.int64()), pa.array(cost[at]), pa.array(before, pa.int64(), mask=prev[at] < 0)]
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names)
                     continue
-                for target in known:
-                    at, way = places[target], []
-                    while np.isfinite(cost[places[target]]) and at >= 0:
-                        way.append(int(ids[at]))
-                        at = prev[at]
-                    if way:
-                        out.append((source, target, float(cost[places[target]]), way[::-1]))
+                known = np.array([places[t] for t in targets if t in places], int)
+                out += [(source, int(ids[end]), cost, way) for end, cost, way in _ways(net.value, places[source], False, known, band)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -151,6 +243,68 @@ def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool)
     return dealt.mapInArrow(run, f"source {kind}, {names[1]} {kind}, cost double, {last}")
 
 
+def _grouped_search(links: DataFrame, asked: DataFrame, placed: DataFrame, sizes: DataFrame, band: float, scratch: Scratch) -> DataFrame:
+    """source, target, cost, path of the rows of ``asked`` (source, target, component) that have a way, in components of bounded size.
+
+    placed: node, component; sizes: component, requests. A request belongs to that of its ends that more requests name, from which one search serves them all. Components stand in a row by their
+    requests, and the row is cut into groups of equal numbers of requests: a large component is dealt to several groups, small ones share one. A task reads
+    its group's arcs and requests component by component and holds one component at a time. Arcs are shuffled once for each group that needs them.
+    """
+    spark, total = asked.sparkSession, sizes.agg(F.sum("requests")).first()[0] or 0
+    kind = to_arrow_type(asked.schema["source"].dataType)
+    name = asked.schema["source"].dataType.simpleString()
+    groups = max(spark.sparkContext.defaultParallelism, math.ceil(total / GROUP_REQUESTS))
+    # one row a component that is asked for
+    until = F.sum("requests").over(Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0))
+    group = lambda c: F.floor(c * groups / max(total, 1)).cast("int")
+    spans = scratch.keep(sizes.withColumn("_u", until).select("component", group(F.col("_u") - F.col("requests")).alias("_a"), group(F.col("_u") - 1).alias("_b")))
+    n = lambda c: F.count("*").over(Window.partitionBy(c))
+    known = asked.withColumn("_back", n("target") > n("source"))
+    known = known.withColumn("_hub", F.when(F.col("_back"), F.col("target")).otherwise(F.col("source"))).withColumn("_end", F.when(F.col("_back"), F.col("source")).otherwise(F.col("target")))
+    known = known.join(spans, "component").withColumn("_group", F.col("_a") + F.pmod(F.xxhash64("_hub"), F.col("_b") - F.col("_a") + 1).cast("int"))
+    requests = known.select("_group", "component", F.lit(1).alias("_kind"), F.col("_hub").cast("long").alias("a"), F.col("_end").cast("long").alias("b"), F.lit(0.0).alias("w"), F.col("_back").alias("back"))
+    arcs = links.join(placed.join(spans, "component"), "node").withColumn("_group", F.explode(F.sequence("_a", "_b")))
+    arcs = arcs.select("_group", "component", F.lit(0).alias("_kind"), F.col("node").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.col("weight").alias("w"), F.lit(False).alias("back"))
+    dealt = arcs.unionByName(requests).repartitionById(groups, F.col("_group")).sortWithinPartitions("component", "_kind", "a", "back")
+    names = ["source", "target", "cost", "path"]
+    types = [kind, kind, pa.float64(), pa.list_(kind)]
+
+    def solved(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        of, a, b, w, back = (table.column(c).to_numpy() for c in ("_kind", "a", "b", "w", "back"))
+        cut_at = int(np.searchsorted(of, 1))
+        net = _Net(a[:cut_at], b[:cut_at], w[:cut_at])
+        hubs, ends, back = net.places(a[cut_at:]), net.places(b[cut_at:]), back[cut_at:]
+        firsts = np.flatnonzero(np.concatenate(([True], (hubs[1:] != hubs[:-1]) | (back[1:] != back[:-1])))) if len(hubs) else np.array([], int)
+        out: list[tuple] = []
+        for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(hubs)], strict=True):
+            hub, to_it = int(hubs[low]), bool(back[low])
+            for end, cost, way in _ways(net, hub, to_it, ends[low:high], band):
+                out.append((*((net.ids[end], net.ids[hub]) if to_it else (net.ids[hub], net.ids[end])), cost, way))
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            component = batch.column("component").to_numpy()
+            borders = [0, *(np.flatnonzero(component[1:] != component[:-1]) + 1).tolist(), len(component)]
+            for low, high in zip(borders, borders[1:], strict=False):
+                if low == high:
+                    continue
+                if held and held[-1].column("component")[0].as_py() != component[low]:
+                    yield from solved(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from solved(held)
+
+    return dealt.select("component", "_kind", "a", "b", "w", "back").mapInArrow(run, f"source {name}, target {name}, cost double, path array<{name}>")
+
+
 def _banded_search(
     links: DataFrame, sources: DataFrame, waiting: DataFrame | None, band: float, own: Scratch, most_rounds: int, pruned: Callable[[DataFrame], DataFrame] = lambda reached: reached
 ) -> DataFrame:
@@ -250,20 +404,36 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
     """requests (request_id, source, target) with cost and path (nodes in order); both null where there is no way.
 
     arcs: src, dst, weight >= 0. Of several ways of least cost one is given. A null end has no way; a source that no arc names has one to itself.
-    Each source is searched once, and no further than to the last of its targets: in a task of its own over arcs that all workers hold, if they are no more than
-    ``shared_arcs`` between whole numbers, else together with all others by joins. There, paths are walked back by
-    doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
+    Up to ``shared_arcs`` arcs between whole numbers go to all workers. A larger network is told apart into components first: ends in two of them have no way, which a join
+    tells without a search, and a component of up to ``COMPONENT_SHARE`` times ``shared_arcs`` arcs is searched in tasks of its own (:func:`_grouped_search`). What is left, a component that no task should hold or
+    nodes that are no whole numbers, is searched together by joins, where paths are walked back by doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
     """
     with Scratch(arcs.sparkSession) as scratch:
         links, n, band = _links(arcs, scratch)
         asked = scratch.keep(requests.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
-        if n <= shared_arcs and _whole_numbers(links, "node") and _whole_numbers(asked, "source"):
+        whole = _whole_numbers(links, "node") and _whole_numbers(asked, "source")
+        if n <= shared_arcs and whole:
             paths = scratch.keep(_shared_search(links, asked, band / 16, False))
             return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
-        tree = _banded_search(links, asked.select("source"), asked, band, scratch, most_rounds)
-        ends = scratch.keep(requests.join(tree.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left"))
-        paths = _walked(tree, ends.filter("cost IS NOT NULL").select("source", "target").distinct(), scratch)
-        return cut(ends.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
+        placed = connected_components(links.select(F.col("node").alias("src"), "dst"), scratch)
+        of = lambda c: placed.select(F.col("node").alias(c), "component")
+        # a node has a way to itself, whether an arc names it or not
+        paths = asked.filter("source = target").select("source", "target", F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+        met = scratch.keep(asked.filter("source != target").join(of("source"), "source").join(of("target"), ["target", "component"]).select("source", "target", "component"))
+        sizes = met.groupBy("component").agg(F.count("*").alias("requests"))
+        sizes = scratch.keep(sizes.join(links.join(placed, "node").groupBy("component").agg(F.count("*").alias("arcs")), "component"))
+        most = COMPONENT_SHARE * shared_arcs if whole else 0
+        small, large = sizes.filter(F.col("arcs") <= most), sizes.filter(F.col("arcs") > most)
+        if not small.isEmpty():
+            fits = small.select("component")
+            found = _grouped_search(links, met.join(fits, "component", "left_semi"), placed, small.select("component", "requests"), band / 16, scratch)
+            paths = paths.unionByName(scratch.keep(found))
+        if not large.isEmpty():
+            rest = scratch.keep(met.join(large.select("component"), "component", "left_semi").select("source", "target"))
+            tree = _banded_search(links, rest.select("source"), rest, band, scratch, most_rounds)
+            ends = scratch.keep(rest.join(tree.select("source", F.col("node").alias("target"), "cost"), ["source", "target"]))
+            paths = paths.unionByName(ends.join(_walked(tree, ends.select("source", "target"), scratch), ["source", "target"]).select("source", "target", "cost", "path"))
+        return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
 
 
 def _walked(tree: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:

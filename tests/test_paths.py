@@ -178,3 +178,24 @@ def test_nothing_stays_behind(spark):
     before = {p for p in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if p.startswith("scratch-")}
     graph.shortest_paths(spark.createDataFrame([(1, 2, 1.0)], ARCS), spark.createDataFrame([(1, 1, 2)], "request_id long, source long, target long"), 0).count()
     assert {p for p in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if p.startswith("scratch-")} == before
+
+
+def test_components_in_groups_match_one_search(spark):
+    """Three components of a random network, one too large for a task: all three ways give the costs of the whole network's search, with ways that add up."""
+    rng = random.Random(11)
+    arcs = []
+    for base, nodes, n in ((0, 40, 150), (1000, 40, 150), (2000, 120, 900)):
+        arcs += [(base + rng.randrange(nodes), base + rng.randrange(nodes), float(rng.randrange(0, 20))) for _ in range(n)]
+    arcs = list({(a, b): (a, b, w) for a, b, w in arcs}.values())
+    ends = lambda: rng.choice((0, 1000, 2000)) + rng.randrange(45)
+    asked = [(k, ends(), ends()) for k in range(300)] + [(300 + k, rng.randrange(40), 7) for k in range(40)] + [(340, 5, 5), (341, 77777, 77777), (342, None, 3)]
+    df, requests = spark.createDataFrame(arcs, "src long, dst long, weight double"), spark.createDataFrame(asked, "request_id long, source long, target long")
+    weight = {(a, b): w for a, b, w in arcs}
+    whole = {r.request_id: r for r in graph.shortest_paths(df, requests).collect()}
+    assert len(whole) == len(asked)
+    for shared in (100, 0):
+        got = {r.request_id: r for r in graph.shortest_paths(df, requests, shared_arcs=shared).collect()}
+        assert {k: r.cost for k, r in got.items()} == {k: r.cost for k, r in whole.items()}
+        for r in got.values():
+            if r.cost is not None:
+                assert r.path[0] == r.source and r.path[-1] == r.target and sum(weight[p] for p in zip(r.path, r.path[1:])) == r.cost
