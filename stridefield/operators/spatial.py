@@ -7,7 +7,10 @@ follows. Dense cells are an ordinary equi-join key, which AQE may split.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,7 +188,7 @@ class _Cells:
     cell of its leaf. A level is one combined shuffle of the nodes whose cell was divided; cells of one place aren't.
     """
 
-    def __init__(self, nodes: DataFrame, scratch: Scratch):
+    def __init__(self, nodes: DataFrame, scratch: Scratch, most: int = CELL_NODES):
         active = scratch.keep(nodes.select("node_id", "x", "y", "ord").filter("x IS NOT NULL AND y IS NOT NULL"))
         box = active.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
         self.levels: list[DataFrame] = []
@@ -201,7 +204,7 @@ class _Cells:
                 F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.min(F.struct("ord", "node_id", "x", "y")).alias("least")
             )
             one_place = (F.col("lox") == F.col("hix")) & (F.col("loy") == F.col("hiy"))
-            cells = scratch.keep(made.withColumn("leaf", (F.col("n") <= CELL_NODES) | one_place | F.lit(k == DEEPEST)))
+            cells = scratch.keep(made.withColumn("leaf", (F.col("n") <= most) | one_place | F.lit(k == DEEPEST)))
             self.levels.append(cells)
             leaf = cells.select("cx", "cy", "leaf")
             settled = placed.join(leaf.filter("leaf"), ["cx", "cy"]).select(F.lit(k).alias("level"), "cx", "cy", "node_id", "ord", F.col("x").alias("nx"), F.col("y").alias("ny"))
@@ -210,81 +213,205 @@ class _Cells:
                 break
             active = scratch.keep(placed.join(leaf.filter("NOT leaf"), ["cx", "cy"], "left_semi").select("node_id", "x", "y", "ord"))
 
-    def seen(self, k: int) -> DataFrame:
-        """Cells of level k with their parent's numbers, to be met by points."""
-        return self.levels[k].select(*[F.floor(F.col(f"c{c}") / 4).alias(f"p{c}") for c in "xy"], F.lit(k).alias("level"), "cx", "cy", "leaf", "lox", "hix", "loy", "hiy", "least")
-
-
-def _bounded(df: DataFrame) -> Column:
-    """The cell of a row as a struct with its least and greatest distance from the row's point."""
-    out = lambda c: F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"))
-    over = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}")))
-    far = lambda f: F.sqrt(f("x") * f("x") + f("y") * f("y"))
-    return F.struct("level", "cx", "cy", "leaf", "least", far(out).alias("near"), far(over).alias("far"))
-
 
+#: Nodes of a tile, which a task searches, and points of one tile that are dealt to a task.
+TILE_NODES, TILE_POINTS = 16_384, 200_000
 #: Distances are compared with this much room for rounding.
 _ROOM = 1 + 1e-12
+#: Pairs of points and nodes, or of points and tiles, that are looked at in one go.
+_PAIRS = 2_000_000
 
 
-def _descend(points: DataFrame, cells: _Cells, scratch: Scratch, radius: float | None) -> DataFrame:
-    """point_id, x, y, best, cells: for each point the leaves that may hold its answer, found level by level.
+def _nearest_in(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point (px, py) the first of the nearest nodes (x, y), and its distance.
 
-    Nearest: a cell stays if its nearest place is no farther than the least of the cells' farthest. With ``radius``: ``best`` is the first node in order of all
-    cells wholly within the radius, and a cell that is partly within it stays if its first node goes before that; so nodes are looked at only
-    at the circle's rim.
+    Nodes lie in a grid of some two a cell; a point looks at the cells around its own, and at twice as many a side while a nearer node may lie beyond them.
     """
-    best = cells.levels[0].schema["least"].dataType
-    state = points.crossJoin(F.broadcast(cells.seen(0))).select("point_id", "x", "y", F.lit(None).cast(best).alias("best"), F.array(_bounded(points)).alias("cells"))
-    for k in range(len(cells.levels)):
-        if radius is None:
-            until = F.array_min(F.transform("cells", lambda c: c["far"])) * _ROOM
-            state = state.withColumn("cells", F.filter("cells", lambda c: c["near"] <= until))
-        else:
-            within = F.array_min(F.transform(F.filter("cells", lambda c: c["far"] * _ROOM <= radius), lambda c: c["least"]))
-            state = state.withColumn("best", F.least("best", within))
-            open_ = lambda c: (c["near"] <= radius * _ROOM) & (c["far"] * _ROOM > radius) & (F.col("best").isNull() | (c["least"]["ord"] <= F.col("best.ord")))
-            state = state.withColumn("cells", F.filter("cells", open_))
-        state = scratch.keep(state)
-        if k + 1 == len(cells.levels):
-            return state
-        each = state.select("point_id", "x", "y", "best", F.explode_outer("cells").alias("c"))
-        stay = each.filter("c IS NULL OR c.leaf")
-        down = each.filter("NOT c.leaf").select("point_id", "x", "y", "best", F.col("c.cx").alias("px"), F.col("c.cy").alias("py")).join(cells.seen(k + 1), ["px", "py"])
-        both = stay.unionByName(down.select("point_id", "x", "y", "best", _bounded(down).alias("c")))
-        state = both.groupBy("point_id", "x", "y", "best").agg(F.collect_list("c").alias("cells"))
+    side = max(1, int(math.sqrt(len(x) / 2)))
+    lox, loy = x.min(), y.min()
+    wide, high = (float(np.ptp(x)) / side or 1.0), (float(np.ptp(y)) / side or 1.0)
+    cell = lambda v, low, step: np.clip(np.floor((v - low) / step), 0, side - 1).astype(int)
+    at = cell(y, loy, high) * side + cell(x, lox, wide)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(side * side + 1))
+    cx, cy = cell(px, lox, wide), cell(py, loy, high)
+    best, where = np.full(len(px), np.inf), np.full(len(px), len(x))
+    left, reach = np.arange(len(px)), 1
+    while len(left):
+        for row in range(-reach, reach + 1):
+            r = cy[left] + row
+            at_row = left[(r >= 0) & (r < side)]
+            if not len(at_row):
+                continue
+            base = (cy[at_row] + row) * side
+            low, to = first[base + np.maximum(cx[at_row] - reach, 0)], first[base + np.minimum(cx[at_row] + reach, side - 1) + 1]
+            for some in np.array_split(np.arange(len(at_row)), max(1, int((to - low).sum() // _PAIRS) + 1)):
+                n = to[some] - low[some]
+                p = np.repeat(at_row[some], n)
+                node = order[np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                d = np.sqrt((px[p] - x[node]) * (px[p] - x[node]) + (py[p] - y[node]) * (py[p] - y[node]))
+                keep = d <= best[p]
+                p, node, d = p[keep], node[keep], d[keep]
+                by = np.lexsort((node, d, p))
+                p, node, d = p[by], node[by], d[by]
+                one = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.array([], bool)
+                p, node, d = p[one], node[one], d[one]
+                less = (d < best[p]) | (node < where[p])
+                best[p[less]], where[p[less]] = d[less], node[less]
+        # from a point to the end of what was looked at; beyond the grid there is nothing
+        gap = lambda v, c, low, step: np.minimum(np.where(c - reach <= 0, np.inf, v - (low + (c - reach) * step)), np.where(c + reach >= side - 1, np.inf, low + (c + reach + 1) * step - v))  # noqa: E731, B023
+        seen = np.minimum(gap(px[left], cx[left], lox, wide), gap(py[left], cy[left], loy, high))
+        left = left[best[left] * _ROOM >= seen * (1 - 1e-9)]
+        reach *= 2
+    return where, best
+
+
+def _first_in(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point the first node within the radius and its distance, or none (the number of nodes): nodes are looked at in order, ever more at a time."""
+    where, best, left, low, n = np.full(len(px), len(x)), np.full(len(px), np.inf), np.arange(len(px)), 0, 16
+    while len(left) and low < len(x):
+        n = min(2 * n, max(1, _PAIRS // len(left)))
+        nx, ny = x[low : low + n], y[low : low + n]
+        d = np.sqrt((px[left, None] - nx) ** 2 + (py[left, None] - ny) ** 2)
+        met = d <= radius
+        k, some = met.argmax(1), met.any(1)
+        where[left[some]], best[left[some]] = low + k[some], d[some, k[some]]
+        left, low = left[~some], low + n
+    return where, best
+
+
+def _searched(radius: float | None):
+    """Rows by tile, nodes in order before points: each point's answer in the tile. A tile's nodes are held, its points pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, nodes, ready = None, [], None
+        for batch in batches:
+            of, share, kind = (batch.column(c).to_numpy() for c in ("_tile", "_part", "_kind"))
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (share[1:] != share[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if kind[low] == 0:
+                    if (of[low], share[low]) != tile:
+                        tile, nodes, ready = (of[low], share[low]), [], None
+                    nodes.append(part.select(["x", "y", "ord", "node_id"]))
+                    continue
+                if (of[low], share[low]) != tile:
+                    continue
+                if ready is None:
+                    whole = pa.Table.from_batches(nodes).combine_chunks()
+                    ready = whole, whole.column("x").to_numpy(), whole.column("y").to_numpy()
+                known, x, y = ready
+                px, py = part.column("x").to_numpy(), part.column("y").to_numpy()
+                where, d = _nearest_in(x, y, px, py) if radius is None else _first_in(x, y, px, py, radius)
+                got = np.flatnonzero(where < len(x))
+                if len(got):
+                    answer = known.select(["ord", "node_id"]).take(pa.array(where[got])).combine_chunks().to_batches()[0]
+                    own = part.select(["point_id", "x", "y", "_tile"]).take(pa.array(got))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *answer.columns, pa.array(d[got])], ["point_id", "x", "y", "_home", "ord", "node_id", "d"])
+
+    return run
+
+
+class _Tiles:
+    """Nodes, one a place, in tiles of bounded number; the tiles' boxes, some numbers each, go to all workers."""
+
+    def __init__(self, nodes: DataFrame, scratch: Scratch):
+        place = nodes.filter("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        one = place.agg(F.min(F.struct("ord", "node_id")).alias("b")).select("x", "y", "b.ord", "b.node_id")
+        cells = _Cells(one, scratch, TILE_NODES)
+        self.scratch, self.found = scratch, cells.homes is not None
+        if not self.found:
+            return
+        tiles = None
+        for k, level in enumerate(cells.levels):
+            leaf = level.filter("leaf").select(F.lit(k).alias("level"), "cx", "cy", "lox", "hix", "loy", "hiy", "least")
+            tiles = leaf if tiles is None else tiles.unionByName(leaf)
+        # by the first of their nodes, so the least number stands for the least node
+        known = tiles.sort("least.ord", "least.node_id").select("level", "cx", "cy", "lox", "hix", "loy", "hiy").toArrow()
+        self.boxes = np.stack([known.column(c).to_numpy() for c in ("lox", "hix", "loy", "hiy")])
+        spark = nodes.sparkSession
+        names = known.select(["level", "cx", "cy"]).append_column("_tile", pa.array(np.arange(known.num_rows)))
+        numbers = spark.createDataFrame(names)
+        self.homes = scratch.keep(cells.homes.join(F.broadcast(numbers), ["level", "cx", "cy"]).select("_tile", F.col("nx").alias("x"), F.col("ny").alias("y"), "ord", "node_id"))
+        self.shared = spark.sparkContext.broadcast(self.boxes)
+
+    def dealt(self, points: DataFrame, choose) -> DataFrame:
+        """points (point_id, x, y, ...) with _tile, once for each tile that ``choose`` gives: of the least and greatest distances (points by tiles) and the batch a mask."""
+        shared, names = self.shared, points.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lox, hix, loy, hiy = shared.value
+            for batch in batches:
+                step = max(1, _PAIRS // len(lox))
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    px, py = (part.column(c).to_numpy()[:, None] for c in "xy")
+                    out = lambda p, a, b: np.maximum(0, np.maximum(a - p, p - b))
+                    over = lambda p, a, b: np.maximum(np.abs(p - a), np.abs(p - b))
+                    near = np.sqrt(out(px, lox, hix) ** 2 + out(py, loy, hiy) ** 2)
+                    at, tile = np.nonzero(choose(part, near, lambda: np.sqrt(over(px, lox, hix) ** 2 + over(py, loy, hiy) ** 2)))  # noqa: B023
+                    rows = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(tile)], [*names, "_tile"])
+
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+        return points.mapInArrow(run, f"{shape}, _tile long")
+
+    def search(self, dealt: DataFrame, radius: float | None = None) -> DataFrame:
+        """point_id, x, y, _home, ord, node_id, d: each row's answer in its tile. A tile with many points is dealt to several tasks, nodes and all."""
+        dealt = self.scratch.keep(dealt.select("point_id", "x", "y", "_tile"))
+        parts = dealt.groupBy("_tile").agg(F.ceil(F.count("*") / TILE_POINTS).cast("int").alias("_parts"))
+        null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+        spread = self.homes.join(F.broadcast(parts), "_tile").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        nodes = spread.select("_tile", "_part", F.lit(0).alias("_kind"), null(dealt, "point_id"), "x", "y", "ord", "node_id")
+        asked = dealt.join(F.broadcast(parts), "_tile").withColumn("_part", F.pmod(F.xxhash64("point_id"), F.col("_parts")).cast("int"))
+        rows = nodes.unionByName(asked.select("_tile", "_part", F.lit(1).alias("_kind"), "point_id", "x", "y", null(nodes, "ord"), null(nodes, "node_id")))
+        named = lambda df, c: df.schema[c].dataType.simpleString()
+        shape = f"point_id {named(dealt, 'point_id')}, x double, y double, _home long, ord {named(nodes, 'ord')}, node_id {named(nodes, 'node_id')}, d double"
+        ordered = rows.repartition("_tile", "_part").sortWithinPartitions("_tile", "_part", "_kind", "ord", "node_id")
+        # parts of one tile follow each other, each with its nodes before its points
+        return ordered.select("_tile", "_part", "_kind", "point_id", "x", "y", "ord", "node_id").mapInArrow(_searched(radius), shape)
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, early_exit_radius: float | None = None) -> DataFrame:
     """point_id, node_id, degrees: the node nearest in degrees, the first in order (``ord``) on ties; no nodes, or a point without coordinates: no row.
 
-    points: point_id (unique), x, y; nodes: node_id, x, y, ord. Nodes lie in cells that are divided where they are dense, so a hot place
-    makes the tree deeper there and no cell large; see :class:`_Cells`. Points go down the levels with a few cells each (:func:`_descend`), by joins on the
-    cell, and meet the nodes of the last leaves only. With ``early_exit_radius`` the first node in order within it goes before the nearest,
-    and cells wholly inside answer by their summary.
+    points: point_id (unique), x, y; nodes: node_id, x, y, ord. Nodes, the first of each place, lie in tiles of at most ``TILE_NODES`` (:class:`_Cells`), whose boxes all workers know. A point goes to the
+    nearest box first; its answer there bounds the distance, and the few other tiles that reach nearer are asked too. So a point moves
+    some two times and a node once a search. With ``early_exit_radius`` the first node in order within it goes before the nearest: tiles wholly within answer
+    by their first node, and of the others those are asked whose first node goes before it.
     """
-    ids = nodes.schema["node_id"].dataType
-    with Scratch(points.sparkSession) as scratch:
+    spark, ids = points.sparkSession, nodes.schema["node_id"].dataType
+    with Scratch(spark) as scratch:
         asked = scratch.keep(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL"))
-        cells = _Cells(nodes, scratch)
-        if cells.homes is None:
+        tiles = _Tiles(nodes, scratch)
+        if not tiles.found:
             own = points.schema["point_id"].dataType.simpleString()
-            return points.sparkSession.createDataFrame([], f"point_id {own}, node_id {ids.simpleString()}, degrees double")
-        gap = lambda a, b: F.sqrt((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b))
-        homes = scratch.keep(cells.homes)
-
-        def met(state: DataFrame) -> DataFrame:
-            """Each point with the nodes of its leaves."""
-            leaves = state.select("point_id", "x", "y", F.explode("cells").alias("c")).select("point_id", "x", "y", "c.level", "c.cx", "c.cy")
-            return leaves.join(homes, ["level", "cx", "cy"]).withColumn("d", gap(F.col("nx"), F.col("ny")))
-
+            return spark.createDataFrame([], f"point_id {own}, node_id {ids.simpleString()}, degrees double")
         answered = None
         if early_exit_radius is not None:
-            state = _descend(asked, cells, scratch, early_exit_radius)
-            rim = met(state).filter(F.col("d") <= early_exit_radius).groupBy("point_id").agg(F.min(F.struct("ord", "node_id", F.col("nx").alias("x"), F.col("ny").alias("y"))).alias("rim"))
-            first = state.select("point_id", "x", "y", "best").join(rim, "point_id", "left").withColumn("f", F.least("best", "rim")).filter("f IS NOT NULL")
-            answered = scratch.keep(first.select("point_id", F.col("f.node_id").alias("node_id"), gap(F.col("f.x"), F.col("f.y")).alias("degrees")))
+            radius = early_exit_radius
+
+            def rim(part: pa.RecordBatch, near: np.ndarray, far) -> np.ndarray:
+                # tiles are numbered by their first nodes: those up to the first one wholly within the radius
+                within = far() * _ROOM <= radius
+                first = np.where(within.any(1), within.argmax(1), within.shape[1])
+                return (near <= radius * _ROOM) & (np.arange(within.shape[1]) <= first[:, None])
+
+            met = tiles.search(tiles.dealt(asked, rim), radius).groupBy("point_id").agg(F.min(F.struct("ord", "node_id", "d")).alias("b"))
+            answered = scratch.keep(met.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("degrees")))
             asked = scratch.keep(asked.join(answered.select("point_id"), "point_id", "left_anti"))
-        nearest = met(_descend(asked, cells, scratch, None)).groupBy("point_id").agg(F.min(F.struct("d", "ord", "node_id")).alias("b"))
-        found = nearest.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("degrees"))
+
+        def nearest_box(part: pa.RecordBatch, near: np.ndarray, far) -> np.ndarray:
+            return np.arange(near.shape[1]) == near.argmin(1)[:, None]
+
+        def others(part: pa.RecordBatch, near: np.ndarray, far) -> np.ndarray:
+            home, d = (part.column(c).to_numpy()[:, None] for c in ("_home", "d"))
+            return (near <= d * _ROOM) & (np.arange(near.shape[1]) != home)
+
+        home = scratch.keep(tiles.search(tiles.dealt(asked, nearest_box)))
+        more = tiles.search(tiles.dealt(home.select("point_id", "x", "y", "_home", "d"), others))
+        both = home.unionByName(more).groupBy("point_id").agg(F.min(F.struct("d", "ord", "node_id")).alias("b"))
+        found = both.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("degrees"))
         return cut(found if answered is None else found.unionByName(answered))

@@ -40,6 +40,20 @@ def test_nearest_with_a_hot_cell(spark, radius):
         assert g.degrees == pytest.approx(math.dist((x, y), at[g.node_id]))
 
 
+def test_nearest_over_many_tiles(spark, monkeypatch):
+    """Tiles of few nodes, hot ones dealt to several tasks: answers beyond a point's own tile, ties between tiles, and a node is searched in a bounded tile only."""
+    monkeypatch.setattr(spatial, "TILE_NODES", 8)
+    monkeypatch.setattr(spatial, "TILE_POINTS", 20)
+    r = random.Random(3)
+    nodes = [(i, r.random() * 10, r.random() * 10) for i in range(150)] + [(i, float(i % 5), float(i // 5 % 5)) for i in range(150, 175)] + [(i, 2.5, 2.5) for i in range(175, 250)]
+    nodes = [(*n, (n[0] * 37) % 1000) for n in nodes]
+    points = [(i, r.random() * 12 - 1, r.random() * 12 - 1) for i in range(150)] + [(200 + i, i % 5 + 0.5, i // 5 + 0.5) for i in range(20)] + [(300 + i, 2.0, 2.0 + i / 1e6) for i in range(70)]
+    frames = spark.createDataFrame(points, POINTS), spark.createDataFrame(nodes, NODES)
+    for radius in (None, 0.8, 6.0):
+        got = spatial.nearest_nodes(*frames, radius).collect()
+        assert {g.point_id: g.node_id for g in got} == nearest(points, nodes, radius) and len(got) == len(points)
+
+
 def test_nearest_of_one_node_and_of_none(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], POINTS)
     one = spark.createDataFrame([(5, 3.0, 4.0, 1)], NODES)
