@@ -185,17 +185,65 @@ def _ring_arrays(column: pa.Array) -> list[np.ndarray]:
     return np.split(points, ends[:-1])
 
 
+#: Pairs of sides of two rings up to which all rows of a batch with as many sides are measured at once.
+ALL_PAIRS = 1024
+
+
+def _stacked_overlaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """iou of rows of rings (rows, n, 2) and (rows, m, 2): the sums of :func:`shared_area` over all pairs of sides."""
+    def sides(ring: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b = ring, np.roll(ring, -1, 1)
+        way = np.sign(b[..., 0] - a[..., 0])
+        left, right = np.where(way[..., None] > 0, a, b), np.where(way[..., None] > 0, b, a)
+        wide = np.where(way == 0, 1.0, right[..., 0] - left[..., 0])
+        return left[..., 0], right[..., 0], left[..., 1], (right[..., 1] - left[..., 1]) / wide, way
+
+    px0, px1, py0, lean, pw = (c[:, :, None] for c in sides(p))
+    qx0, qx1, qy0, slope, qw = (c[:, None, :] for c in sides(q))
+    left = np.maximum(px0, qx0)
+    wide = np.maximum(0.0, np.minimum(px1, qx1) - left)
+    p0, q0 = py0 + lean * (left - px0), qy0 + slope * (left - qx0)
+    d0 = p0 - q0
+    d1 = d0 + (lean - slope) * wide
+    base = np.minimum(0.0, np.minimum(p[..., 1].min(1), q[..., 1].min(1)))[:, None, None]
+    size = np.abs(d0) + np.abs(d1)
+    apart = np.where(d0 * d1 >= 0, size / 2, (d0 * d0 + d1 * d1) / (2 * np.where(size > 0, size, 1)))
+    shared = np.abs((pw * qw * wide * (p0 + q0 + (lean + slope) * wide / 2 - 2 * base - apart) / 2).sum((1, 2)))
+
+    def area(ring: np.ndarray) -> np.ndarray:
+        x, y = (ring - ring[:, :1])[..., 0], (ring - ring[:, :1])[..., 1]
+        return np.abs((x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1)) / 2
+
+    areas = area(p) + area(q)
+    return np.where(areas > shared, np.clip(shared / np.where(areas > shared, areas - shared, 1.0), 0.0, 1.0), 0.0)
+
+
+def _batch_overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """iou of the rings of each row; rows of as many sides each are measured together."""
+    n, m = (c.value_lengths().to_numpy(zero_copy_only=False) for c in (a, b))
+    flat = [np.stack([c.flatten().field(v).to_numpy(zero_copy_only=False) for v in "xy"], 1) for c in (a, b)]
+    starts, out = [np.cumsum(k) - k for k in (n, m)], np.zeros(len(n))
+    for i, j in set(zip(n.tolist(), m.tolist(), strict=True)):
+        rows = np.flatnonzero((n == i) & (m == j))
+        if i * j > ALL_PAIRS:
+            for r in rows.tolist():
+                p, q = flat[0][starts[0][r] : starts[0][r] + i], flat[1][starts[1][r] : starts[1][r] + j]
+                out[r] = _ratio(shared_area(_sides_by_x(p), _sides_by_x(q)), ring_area(p) + ring_area(q))
+        elif i and j:
+            for some in np.array_split(rows, len(rows) * i * j // 100_000 + 1):
+                p, q = (f[s[some][:, None] + np.arange(k)] for f, s, k in zip(flat, starts, (i, j), strict=True))
+                out[some] = _stacked_overlaps(p, q)
+    return out
+
+
 def polygon_overlaps(pairs: DataFrame, a: str, b: str, *key: str) -> DataFrame:
     """The ``key`` columns and iou of the rings ``a`` and ``b`` (arrays of x, y) of each row. No shuffle; rings are in memory one pair at a time.
 
-    The same sums as :func:`polygon_iou`, over pairs of sides that meet in x only (:func:`shared_area`).
+    The same sums as :func:`polygon_iou`: of small rings many rows at a time, of others over pairs of sides that meet in x only (:func:`shared_area`).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            iou = [
-                _ratio(shared_area(_sides_by_x(p), _sides_by_x(q)), ring_area(p) + ring_area(q))
-                for p, q in zip(_ring_arrays(batch.column("_a")), _ring_arrays(batch.column("_b")), strict=True)
-            ] if batch.num_rows else []
+            iou = _batch_overlaps(batch.column("_a"), batch.column("_b"))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], pa.array(iou, pa.float64())], [*key, "iou"])
 
     shape = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key)

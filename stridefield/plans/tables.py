@@ -356,7 +356,7 @@ _ELL = "(o_orderkey * 31) % 997 * 1e0 AS x0, (o_orderkey * 17) % 991 * 1e0 AS y0
   SELECT polygon_id, round(s / (2 * area - s), 6) AS iou FROM i""")
 def concave_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection over union of each order's L with itself moved, one of both running the other way round."""
-    shapes = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS polygon_id", *_ELL.split(", ")).distinct()
+    shapes = _read(spark, sf_dir, "orders").select("o_orderkey").distinct().selectExpr("o_orderkey AS polygon_id", *_ELL.split(", "))
     x, y, w, h, zero = F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), F.lit(0.0)
     corners = [(zero, zero), (w, zero), (w, h / 2), (w / 2, h / 2), (w / 2, h), (zero, h)]
     ring = lambda dx, dy, points: F.array(*[F.struct((x + dx + a).alias("x"), (y + dy + b).alias("y")) for a, b in points])

@@ -371,7 +371,7 @@ def polygon_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection over union of each order's rectangle with itself moved by 3 and 2."""
-    base = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS polygon_id", *_QUAD.split(", ")).distinct()
+    base = _read(spark, sf_dir, "orders").select("o_orderkey").distinct().selectExpr("o_orderkey AS polygon_id", *_QUAD.split(", "))
 
     def box(dx: float, dy: float):
         corner = lambda a, b: F.struct((F.col("x0") + dx + a).alias("x"), (F.col("y0") + dy + b).alias("y"))
