@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from stridefield.functions.scalars import RADIUS_FT, haversine
 from stridefield.operators.lineage import Scratch, cut
@@ -75,16 +76,85 @@ def _level(*spans: Column) -> Column:
     return F.greatest(F.lit(FINEST), F.coalesce(F.ceil(F.log2(F.greatest(*spans))), F.lit(FINEST))).cast("int")
 
 
+#: Polygons and points of their rings up to which all of them go to all workers.
+FEW_POLYGONS, FEW_POINTS = 1_000, 50_000
+
+
+def _few(polygons: DataFrame) -> pa.Table | None:
+    """polygon_id and ring of the polygons, if they are few and whole."""
+    bad = F.exists("ring", lambda p: p.isNull() | p["lat"].isNull() | p["lon"].isNull())
+    n, points, odd = polygons.agg(F.count("*"), F.sum(F.size("ring")), F.max(F.coalesce(bad, F.lit(False)).cast("int"))).first()
+    if n > FEW_POLYGONS or (points or 0) > FEW_POINTS or odd:
+        return None
+    return polygons.filter(F.size("ring") >= 3).select("polygon_id", F.transform("ring", lambda p: p["lon"].cast("double")).alias("x"), F.transform("ring", lambda p: p["lat"].cast("double")).alias("y")).toArrow().combine_chunks()
+
+
+def _hits(edges: DataFrame, zones: pa.Table, mode: str, *kept: str) -> DataFrame:
+    """The columns ``kept`` of all edges and ``_hits``, the ids of the polygons that each meets. No shuffle: the polygons, few, go to all workers and edges pass by in batches."""
+    ids = zones.column("polygon_id").combine_chunks()
+    rings = [(np.array(x), np.array(y)) for x, y in zip(zones.column("x").to_pylist(), zones.column("y").to_pylist(), strict=True)]
+    shared = edges.sparkSession.sparkContext.broadcast((ids, rings))
+    kind = zones.schema.field("polygon_id").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, zones_at = shared.value
+        side = lambda px, py, ax, ay, bx, by: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+        def odd(x: np.ndarray, y: np.ndarray, ax, ay, bx, by) -> np.ndarray:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+            return crossed.sum(1) % 2 == 1
+
+        def on(x: np.ndarray, y: np.ndarray, ax, ay, bx, by) -> np.ndarray:
+            return ((side(x, y, ax, ay, bx, by) == 0) & (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by))).any(1)
+
+        def met(ends: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Which of some edges meet a ring."""
+            ax, ay, bx, by = x, y, np.roll(x, -1), np.roll(y, -1)
+            x1, y1, x2, y2 = (e[:, None] for e in ends)
+            if mode == "contains":
+                return odd(x1, y1, ax, ay, bx, by) & odd(x2, y2, ax, ay, bx, by) & ~on(x1, y1, ax, ay, bx, by) & ~on(x2, y2, ax, ay, bx, by)
+            boxes = (np.minimum(ax, bx) <= np.maximum(x1, x2)) & (np.minimum(x1, x2) <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= np.maximum(y1, y2)) & (np.minimum(y1, y2) <= np.maximum(ay, by))
+            across = (np.sign(side(x1, y1, ax, ay, bx, by)) * np.sign(side(x2, y2, ax, ay, bx, by)) <= 0) & (np.sign(side(ax, ay, x1, y1, x2, y2)) * np.sign(side(bx, by, x1, y1, x2, y2)) <= 0)
+            return odd(x1, y1, ax, ay, bx, by) | (boxes & across).any(1)
+
+        for batch in batches:
+            ends = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x1", "_y1", "_x2", "_y2")]
+            x1, y1, x2, y2 = ends
+            low_x, low_y, high_x, high_y = np.minimum(x1, x2), np.minimum(y1, y2), np.maximum(x1, x2), np.maximum(y1, y2)
+            rows, hit = [np.array([], int)], [np.array([], int)]
+            for k, (x, y) in enumerate(zones_at):
+                near = np.flatnonzero((low_x <= x.max()) & (x.min() <= high_x) & (low_y <= y.max()) & (y.min() <= high_y))
+                for some in np.array_split(near, len(near) * len(x) // _PAIRS + 1):
+                    found = some[met([e[some] for e in ends], x, y)]
+                    rows.append(found)
+                    hit.append(np.full(len(found), k))
+            at, of = np.concatenate(rows), np.concatenate(hit)
+            order = np.argsort(at, kind="stable")
+            places = np.searchsorted(at[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(places), known.take(pa.array(of[order])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists.cast(pa.list_(kind))], [*kept, "_hits"])
+
+    name = lambda c: edges.schema[c].dataType.simpleString()
+    shape = ", ".join(f"`{c}` {name(c)}" for c in kept) + f", _hits array<{from_arrow_type(kind).simpleString()}>"
+    ready = edges.select(*kept, *[F.col(c).cast("double").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    return ready.mapInArrow(run, shape)
+
+
 def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "intersects") -> DataFrame:
     """polygon_id, edge_id. edges: edge_id, x1, y1, x2, y2 (x is lon); polygons: polygon_id, ring of (lat, lon).
 
     ``contains``: both ends strictly inside. ``intersects``: an end inside, or the segment touches a side.
     A box has the level of its own size, and two boxes meet in the cells of the coarser of their levels: each side is dealt, at
     its own level and at each coarser one that the other side has, to four cells at most. So one wide polygon among many small
-    ones costs each edge four rows. Levels are powers of two, a few dozen at most, and are broadcast. One shuffle on the cell.
+    ones costs each edge four rows. Levels are powers of two, a few dozen at most, and are broadcast. One shuffle on the cell. Polygons that are few and small
+    (``FEW_POLYGONS``, ``FEW_POINTS``; they are counted first) go to all workers instead, and nothing is shuffled.
     """
     if mode not in ("contains", "intersects"):
         raise ValueError(f"unknown mode {mode}")
+    zones = _few(polygons)
+    if zones is not None:
+        return _hits(edges, zones, mode, "edge_id").select(F.explode("_hits").alias("polygon_id"), "edge_id")
     box = edges.select("edge_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("ex"), F.least("y1", "y2").alias("ey"), F.greatest("x1", "x2").alias("fx"), F.greatest("y1", "y2").alias("fy"))
     # written once: the boxes are read for their levels and for the join
     box = cut(box.withColumn("_e", _level(F.col("fx") - F.col("ex"), F.col("fy") - F.col("ey"))))
@@ -117,7 +187,10 @@ def edges_in_polygons(edges: DataFrame, polygons: DataFrame, mode: str = "inters
 
 
 def apply_closures(edges: DataFrame, zones: DataFrame) -> DataFrame:
-    """Edges without those that touch a zone."""
+    """Edges (edge_id unique) without those that touch a zone."""
+    few = _few(zones)
+    if few is not None:
+        return _hits(edges, few, "intersects", *edges.columns).filter(F.size("_hits") == 0).drop("_hits")
     return edges.join(edges_in_polygons(edges, zones).select("edge_id"), "edge_id", "left_anti")
 
 

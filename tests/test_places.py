@@ -166,3 +166,21 @@ def test_detections_are_cut_to_the_image_and_all_is_inverted(spark):
     got = {(r.row, r.col): r.value for r in pixels.remove_detections(plan, boxes).collect()}
     dark = {(0, 0), (2, 2)}
     assert got == {(r, c): 255 - (0 if (r, c) in dark or not c else 255) for r in range(3) for c in range(3)}
+
+
+def test_few_polygons_meet_edges_without_a_shuffle(spark, monkeypatch):
+    """Polygons that go to all workers give what the join by cells gives, and no plan of theirs has a shuffle or a lambda."""
+    r = random.Random(4)
+    edges = [(i, *[r.randrange(0, 12) / 2 for _ in range(4)]) for i in range(200)]
+    rings = [(k, [(r.randrange(12) / 2, r.randrange(12) / 2) for _ in range(r.randrange(2, 6))]) for k in range(12)]
+    left = spark.createDataFrame(edges, "edge_id long, x1 double, y1 double, x2 double, y2 double")
+    right = spark.createDataFrame(rings, "polygon_id long, ring array<struct<lat:double,lon:double>>")
+    for mode in ("contains", "intersects"):
+        few = spatial.edges_in_polygons(left, right, mode)
+        assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(spatial, "FEW_POLYGONS", 0)
+            joined = spatial.edges_in_polygons(left, right, mode)
+            assert sorted(map(tuple, few.collect())) == sorted(map(tuple, joined.collect()))
+    touched = {x.edge_id for x in few.collect()}
+    assert {x.edge_id for x in spatial.apply_closures(left, right).collect()} == {e[0] for e in edges} - touched
