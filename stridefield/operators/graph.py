@@ -518,14 +518,21 @@ def labelled_paths(labels: DataFrame, requests: DataFrame) -> DataFrame:
         return cut(joined.select(*requests.columns, F.when(alone, 0.0).otherwise(F.col("cost")).alias("cost"), F.when(alone, F.array("source")).otherwise(path).alias("path")))
 
 
+def _both_ways(arcs: DataFrame) -> DataFrame:
+    """Distinct src, dst of the arcs and their reverse. One shuffle of a row an arc; what comes of it is made in place."""
+    pairs = arcs.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+    pairs = pairs.filter(F.col("lo").isNotNull()).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return pairs.select(F.explode(F.when(F.col("lo") == F.col("hi"), F.array(way("lo", "hi"))).otherwise(F.array(way("lo", "hi"), way("hi", "lo")))).alias("w")).select("w.src", "w.dst")
+
+
 def hop_distance(arcs: DataFrame, source: int, shared_arcs: int = SHARED_ARCS) -> DataFrame:
     """node, hops from one node, direction ignored; no rows if no arc names it.
 
     Least costs with a weight of 1: rings are appended to one table, so the plan of a round doesn't depend on the depth; up to ``shared_arcs`` arcs are searched in one task.
     """
     with Scratch(arcs.sparkSession) as scratch:
-        both = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        both = scratch.keep(both.withColumn("weight", F.lit(1.0)))
+        both = scratch.keep(_both_ways(arcs).withColumn("weight", F.lit(1.0)))
         start = both.filter(F.col("src") == source).select(F.col("src").alias("source")).distinct()
         return cut(path_tree(both, start, scratch=scratch, shared_arcs=shared_arcs).select("node", F.col("cost").cast("long").alias("hops")))
 
@@ -539,7 +546,7 @@ def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: f
     The even part of every pair is a scalar in :func:`steady_state`.
     """
     one = arcs.select("src", "dst")
-    one = (one if directed else one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))).distinct()
+    one = one.distinct() if directed else _both_ways(one)
     hops = hop_distance(arcs, sink).withColumnRenamed("node", "dst")
     by = Window.partitionBy("src")
     known = (
@@ -553,44 +560,139 @@ def transition_matrix(arcs: DataFrame, sink: int, priority: list[int], favour: f
         F.when(F.col("_only"), F.lit(1.0))
         .when(F.col("_sinks") & (F.col("dst") == sink), F.lit(1 - kept))
         .when(F.col("_sinks"), F.lit(kept) / F.col("_n"))
-        .otherwise(pull / F.sum(pull).over(by))
+        .otherwise(F.try_divide(pull, F.sum(pull).over(by)))  # null where no neighbour reaches the sink
     )
     return known.select("src", "dst", share.alias("share")).filter("share > 0")
 
 
 #: Products in a row before the series is extrapolated.
 PRODUCTS = 7
+#: States of a block of the vector, shares that come out of one, and shares that are packed together, about.
+BLOCK_STATES, BLOCK_SHARES, CELL_SHARES = 1 << 19, 1 << 25, 1 << 21
+
+
+def _packed_shares(shares: DataFrame, states: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matrix as cells (block, to, ends, starts, shares) between blocks of states, in buckets of their block; the places (state, block, at); block, n.
+
+    Each block has a row without shares too, under which its own vector passes by. Shares are shuffled three times here, and then no more.
+    """
+    n_shares = shares.count()
+    blocks = max(1, math.ceil(n / BLOCK_STATES), math.ceil(n_shares / BLOCK_SHARES))
+    chunks = max(1, math.ceil(n_shares / blocks**2 / CELL_SHARES))
+    order = Window.partitionBy("block").orderBy("state")
+    placed = states.withColumn("block", F.pmod(F.xxhash64("state"), F.lit(blocks)).cast("int"))
+    placed = scratch.keep(placed.withColumn("at", F.row_number().over(order) - 1))
+    end = lambda c, b, k: placed.select(F.col("state").alias(c), F.col("block").alias(b), F.col("at").alias(k))
+    met = shares.join(end("src", "block", "_start"), "src").join(end("dst", "to", "_end"), "dst")
+    met = met.select("block", "to", F.pmod(F.xxhash64("src", "dst"), F.lit(chunks)).alias("_chunk"), "_start", "_end", "share")
+
+    def pack(rows: pa.Table) -> pa.Table:
+        ends, starts, values = (rows.column(c).to_numpy() for c in ("_end", "_start", "share"))
+        packed = [ends.astype(np.int32).tobytes(), starts.astype(np.int32).tobytes(), values.astype(np.float64).tobytes()]
+        return pa.table([*rows.slice(0, 1).select(["block", "to"]).columns, *[pa.array([b], pa.binary()) for b in packed]], names=["block", "to", "ends", "starts", "shares"])
+
+    cells = met.groupBy("block", "to", "_chunk").applyInArrow(pack, "block int, to int, ends binary, starts binary, shares binary")
+    sizes = scratch.keep(placed.groupBy("block").agg(F.count("*").cast("int").alias("n")))
+    none = F.lit(None).cast("binary")
+    own = sizes.select("block", F.col("block").alias("to"), none.alias("ends"), none.alias("starts"), none.alias("shares"))
+    parts = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.keep_bucketed(cells.unionByName(own), "block", parts), placed, sizes
+
+
+_VECTOR = "block int, n int, made binary"
 
 
-def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-11, most_rounds: int = 60) -> DataFrame:
+def _by_row(made: Callable[[dict], dict | None]):
+    """A function of one row for mapInArrow, for few rows with much in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_pydict(made(batch.slice(k, 1).to_pylist()[0]))
+
+    return run
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What cells send on: sums by place of a block (part), and of each block the vectors that were made of it. Some sixteen blocks' sums are held."""
+    sums: dict[int, np.ndarray] = {}
+    row = lambda block, n, made, part: pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([n], pa.int32()), pa.array([made], pa.binary()), pa.array([part], pa.binary())], ["block", "n", "made", "part"]
+    )
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = batch.slice(k, 1).to_pylist()[0]
+            if r["ends"] is None:
+                yield row(r["block"], r["n"], r["made"], None)
+                continue
+            ends, starts = np.frombuffer(r["ends"], np.int32), np.frombuffer(r["starts"], np.int32)
+            part = np.bincount(ends, weights=np.frombuffer(r["shares"]) * np.frombuffer(r["last"])[starts])
+            known = sums.pop(r["to"], part[:0])
+            if len(known) > len(part):
+                known, part = part, known
+            part[: len(known)] += known
+            sums[r["to"]] = part
+            if len(sums) > 16:
+                to = next(iter(sums))
+                yield row(to, None, None, sums.pop(to).tobytes())
+    for to, part in sums.items():
+        yield row(to, None, None, part.tobytes())
+
+
+def _multiplied(cells: DataFrame, vector: DataFrame, damping: float, leading: float) -> DataFrame:
+    """block, n, made: the vectors made so far, in a row, and one product more."""
+
+    def came(rows: pa.Table) -> pa.Table:
+        made = next(r for r in rows.select(["block", "n", "made"]).to_pylist() if r["made"] is not None)
+        into = np.zeros(made["n"])
+        for part in rows.column("part"):
+            if part.is_valid:
+                sums = np.frombuffer(part.as_buffer())
+                into[: len(sums)] += sums
+        out = made["made"] + ((damping * into + 1) / leading).tobytes()
+        return pa.table([pa.array([made["block"]], pa.int32()), pa.array([made["n"]], pa.int32()), pa.array([out], pa.binary())], names=["block", "n", "made"])
+
+    alone = F.col("ends").isNull()
+    last = F.expr("substring(made, length(made) - 8 * n + 1, 8 * n)")
+    met = cells.join(vector, "block").select("block", "to", "n", "ends", "starts", "shares", F.when(~alone, last).alias("last"), F.when(alone, F.col("made")).alias("made"))
+    return met.mapInArrow(_products, "block int, n int, made binary, part binary").groupBy("block").applyInArrow(came, _VECTOR)
+
+
+def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-11, most_rounds: int = 60, states: DataFrame | None = None) -> DataFrame:
     """state, value: the leading vector of damping * M + (1 - damping) / N, of length 1. matrix: src, dst, share >= 0.
 
-    Columns of M need not sum to 1. Scaled so that the even part is 1 for every state, the vector x solves l x = damping * M x + 1 for the leading
-    value l. A round makes seven products in one job, each state carrying its numbers along, and takes the mix of them whose change is least; one
+    ``states`` (state) may name more than the matrix does. Columns of M need not sum to 1. Scaled so that the even part is 1 for every state, the vector x solves l x = damping * M x + 1
+    for the leading value l. A round makes seven products in one job and takes the mix of them whose change is least; one
     row with the products of the changes and their sums comes to the driver, and l follows from the sums. The rounds end when
-    the change of the mix, relative to it, and that of l are under ``tolerance``. The vector is one row a state.
+    the change of the mix, relative to it, and that of l are under ``tolerance``. States stand in blocks, shares in cells between two blocks that stay where they are,
+    and a product sends on eight bytes a state for each block, not a row a share.
     """
     with Scratch(matrix.sparkSession) as scratch:
-        shares = matrix.select("src", "dst", F.col("share").cast("double").alias("share"))
-        states = scratch.keep(shares.select(F.col("src").alias("state")).unionByName(shares.select(F.col("dst").alias("state"))).distinct())
+        shares = scratch.keep(matrix.select("src", "dst", F.col("share").cast("double").alias("share")))
+        known = shares.select(F.col("src").alias("state")).unionByName(shares.select(F.col("dst").alias("state")))
+        states = scratch.keep((known if states is None else known.unionByName(states.select("state"))).distinct())
         n = states.count()
         if not n:
             return cut(states.withColumn("value", F.lit(0.0)))
-        own = states.select(F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(None).cast("double").alias("share"))
-        links = scratch.keep(shares.unionByName(own))
-        vector, leading = states.withColumn("v", F.array(F.lit(1 / (1 - damping)))), 1.0
+        cells, placed, sizes = _packed_shares(shares, states, n, scratch)
+        row = lambda r, made: {"block": pa.array([r["block"]], pa.int32()), "n": pa.array([r["n"]], pa.int32()), "made": pa.array([made], pa.binary())}
+        vector, leading = sizes.mapInArrow(_by_row(lambda r: row(r, np.full(r["n"], 1 / (1 - damping)).tobytes())), _VECTOR), 1.0
+        pairs = [(i, j) for i in range(PRODUCTS) for j in range(i, PRODUCTS)]
+
+        def summed(r: dict) -> dict:
+            made = np.frombuffer(r["made"]).reshape(-1, r["n"])
+            change = made[1:] - made[:-1]
+            return {"s": pa.array([[*[float(change[i] @ change[j]) for i, j in pairs], *made.sum(axis=1).tolist(), float(made[-1] @ made[-1])]], pa.list_(pa.float64()))}
+
         for _ in range(most_rounds):
             made = vector
             for _ in range(PRODUCTS):
-                sent = links.join(made.withColumnRenamed("state", "src"), "src").groupBy(F.col("dst").alias("state"))
-                came = sent.agg(F.sum(F.col("share") * F.element_at("v", -1)).alias("_in"), F.max(F.when(F.col("share").isNull(), F.col("v"))).alias("v"))
-                made = came.select("state", F.concat("v", F.array((damping * F.coalesce("_in", F.lit(0.0)) + 1) / leading)).alias("v"))
+                made = _multiplied(cells, made, damping, leading)
             made = scratch.keep(made)
-            change = lambda i: F.col("v")[i + 1] - F.col("v")[i]
-            pairs = [(i, j) for i in range(PRODUCTS) for j in range(i, PRODUCTS)]
-            row = made.agg(*[F.sum(change(i) * change(j)) for i, j in pairs], *[F.sum(F.col("v")[i]) for i in range(PRODUCTS + 1)], F.sum(F.pow(F.col("v")[PRODUCTS], 2))).first()
-            gram, sums = np.zeros((PRODUCTS, PRODUCTS)), np.array(row[len(pairs) : -1])
-            for (i, j), x in zip(pairs, row, strict=False):
+            sums = made.mapInArrow(_by_row(summed), "s array<double>")
+            row_ = sums.agg(*[F.sum(F.col("s")[k]) for k in range(len(pairs) + PRODUCTS + 2)]).first()
+            gram, sums = np.zeros((PRODUCTS, PRODUCTS)), np.array(row_[len(pairs) : -1])
+            for (i, j), x in zip(pairs, row_, strict=False):
                 gram[i, j] = gram[j, i] = x
             size = np.sqrt(np.outer(gram.diagonal(), gram.diagonal()))
             mix = np.eye(PRODUCTS)[-1]
@@ -599,19 +701,21 @@ def steady_state(matrix: DataFrame, damping: float = 0.9, tolerance: float = 1e-
                 scale = np.sqrt(gram.diagonal())
                 w = np.linalg.pinv(gram / size, rcond=1e-13, hermitian=True) @ (1 / scale) / scale
                 mix = w / w.sum() if np.isfinite(w).all() and abs(w.sum()) > 0 else mix
-            gap = math.sqrt(max(0.0, mix @ gram @ mix) / row[-1])
+            gap = math.sqrt(max(0.0, mix @ gram @ mix) / row_[-1])
             total = float(mix @ sums[1:])
             was, leading = leading, (leading * total - n + (1 - damping) * float(mix @ sums[:-1])) / float(mix @ sums[:-1])
             # the mix of the products, one step on, scaled to an even part of 1
-            mixed = sum(float(m) * F.col("v")[i + 1] for i, m in enumerate(mix)) * (n / (1 - damping) / total)
-            vector = made.select("state", F.array(mixed).alias("v"))
+            weights = mix * (n / (1 - damping) / total)
+            mixed = lambda r, weights=weights: weights @ np.frombuffer(r["made"]).reshape(-1, r["n"])[1:]
+            vector = made.mapInArrow(_by_row(lambda r, mixed=mixed: row(r, mixed(r).tobytes())), _VECTOR)
             if gap < tolerance and abs(was - leading) < tolerance:
                 break
         else:
             raise RuntimeError(f"the vector still changes after {most_rounds} rounds")
-        value = vector.select("state", F.col("v")[0].alias("value"))
+        spread = lambda r: {"block": pa.array(np.full(r["n"], r["block"], np.int32)), "at": pa.array(np.arange(r["n"], dtype=np.int32)), "value": pa.array(np.frombuffer(r["made"]))}
+        value = scratch.keep(vector.mapInArrow(_by_row(spread), "block int, at int, value double"))
         length = value.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
-        return cut(value.select("state", (F.col("value") / length).alias("value")))
+        return cut(placed.join(value, ["block", "at"]).select("state", (F.col("value") / length).alias("value")))
 
 
 def segment_flows(vector: DataFrame, known_flow: float, known_state: int, pairs: DataFrame) -> DataFrame:

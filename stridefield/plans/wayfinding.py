@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stridefield.functions import scalars
 from stridefield.operators import geometry, graph, network, pixels, routes, spatial, temporal, weights
+from stridefield.operators.lineage import Scratch
 from stridefield.plans.queries import EDGES_SQL, NODES_SQL, REF, SEGMENTS_SQL, _edges, _nodes, _ways
 
 BOUNDS = (38.534, 38.5465, -121.762, -121.745)
@@ -268,8 +269,10 @@ def hops_from_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steady_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steady state over the walking network with node 1 as sink."""
-    matrix = graph.transition_matrix(network.undirected_arcs(_edges(spark, sf_dir)), 1, [2, 3, 5])
-    return graph.steady_state(matrix, tolerance=1e-9).select("state", F.round("value", 6).alias("value"))
+    with Scratch(spark) as scratch:
+        arcs = scratch.keep(network.undirected_arcs(_edges(spark, sf_dir)).select("src", "dst"))
+        states = arcs.select(F.col("src").alias("state"))
+        return graph.steady_state(graph.transition_matrix(arcs, 1, [2, 3, 5]), tolerance=1e-9, states=states).select("state", F.round("value", 6).alias("value"))
 
 
 def network_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

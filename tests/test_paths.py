@@ -199,3 +199,31 @@ def test_components_in_groups_match_one_search(spark):
         for r in got.values():
             if r.cost is not None:
                 assert r.path[0] == r.source and r.path[-1] == r.target and sum(weight[p] for p in zip(r.path, r.path[1:])) == r.cost
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_steady_state_over_blocks(spark, lost, monkeypatch):
+    """The vector in several blocks and cells is that of numpy; a state beside the matrix has its even part."""
+    for name, x in (("BLOCK_STATES", 16), ("CELL_SHARES", 7)):
+        monkeypatch.setattr(graph, name, x, raising=False)
+    r = np.random.default_rng(5)
+    n = 61
+    m = np.zeros((n, n))
+    m[:-1, :-1] = np.where(r.random((n - 1, n - 1)) < 0.1, r.random((n - 1, n - 1)), 0.0)
+    m[(np.arange(n - 1) + 1) % (n - 1), np.arange(n - 1)] += 0.3
+    m[:, :-1] /= m[:, :-1].sum(0)
+    if lost:
+        m[:, ::7] *= 0.4
+    dst, src = np.nonzero(m)
+    rows = spark.createDataFrame([(int(a), int(b), float(m[b, a])) for a, b in zip(src, dst, strict=True)], "src long, dst long, share double")
+    value, vectors = np.linalg.eig(0.9 * m + 0.1 / n)
+    want = np.abs(np.real(vectors[:, np.argmax(np.abs(value))]))
+    got = {x.state: x.value for x in graph.steady_state(rows, states=spark.createDataFrame([(n - 1,)], "state long")).collect()}
+    assert max(abs(got[i] - want[i] / np.linalg.norm(want)) for i in range(n)) < 1e-10
+
+
+def test_matrix_of_a_network_that_falls_apart(spark):
+    """States that never reach the sink send nothing, and that is no error."""
+    arcs = spark.createDataFrame([(0, 1), (1, 2), (7, 8), (8, 9)], "src long, dst long")
+    found = {(r.src, r.dst): r.share for r in graph.transition_matrix(arcs, 0, []).collect()}
+    assert found == {(0, 1): 1.0, (1, 0): 0.5, (1, 2): 0.5, (2, 1): 1.0}
