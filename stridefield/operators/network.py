@@ -28,11 +28,18 @@ def baseline_weights(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("baseline_weight", walking_time(metres))
 
 
+def _order(weighted: DataFrame):
+    """(way_id, pos) as a column of their order. Of whole numbers it is one number of fixed length, so that a group is hashed and its task needn't sort every segment first."""
+    if all(weighted.schema[c].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") for c in ("way_id", "pos")):
+        return F.col("way_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    return F.struct("way_id", "pos")
+
+
 def distinct_edges(weighted: DataFrame) -> DataFrame:
     """One undirected edge per pair of ends, the first by (way_id, pos). One combined shuffle on the pair."""
     return (
         weighted.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
-        .agg(F.min_by("baseline_weight", F.struct("way_id", "pos")).alias("baseline_weight"))
+        .agg(F.min_by("baseline_weight", _order(weighted)).alias("baseline_weight"))
     )
 
 
@@ -60,8 +67,8 @@ def edges_between_places(weighted: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.join(place_ids(nodes), "node_id").select("node_id", F.struct("x", "y", "place_id").alias("_at"))
     end = lambda c: known.select(F.col("node_id").alias(c), F.col("_at").alias(f"_{c}"))
     met = weighted.join(end("src"), "src").join(end("dst"), "dst")
-    pair = met.groupBy(F.least("_src", "_dst").alias("a"), F.greatest("_src", "_dst").alias("b"))
-    return pair.agg(F.min_by("baseline_weight", F.struct("way_id", "pos")).alias("baseline_weight")).select(F.col("a.place_id").alias("lo"), F.col("b.place_id").alias("hi"), "baseline_weight")
+    pair = met.groupBy(F.least("_src", "_dst")["place_id"].alias("lo"), F.greatest("_src", "_dst")["place_id"].alias("hi"))
+    return pair.agg(F.min_by("baseline_weight", _order(weighted)).alias("baseline_weight"))
 
 
 def undirected_arcs(edges: DataFrame) -> DataFrame:

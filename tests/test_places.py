@@ -184,3 +184,16 @@ def test_few_polygons_meet_edges_without_a_shuffle(spark, monkeypatch):
             assert sorted(map(tuple, few.collect())) == sorted(map(tuple, joined.collect()))
     touched = {x.edge_id for x in few.collect()}
     assert {x.edge_id for x in spatial.apply_closures(left, right).collect()} == {e[0] for e in edges} - touched
+
+
+def test_first_of_a_pair_is_found_without_a_sort(spark):
+    """Segments are told apart by hash, by way and then by position, also below 0; other kinds of ids still work."""
+    rows = [(5, 1, 1, 2, 50.0), (5, 0, 2, 1, 40.0), (-7, 3, 1, 2, 30.0), (-7, 2, 2, 1, 20.0), (9, 0, 3, 3, 10.0)]
+    weighted = spark.createDataFrame(rows, "way_id long, pos int, src long, dst long, baseline_weight double")
+    nodes = spark.createDataFrame([(k, float(k), 0.0, True, "Outdoor") for k in (1, 2, 3)], "node_id long, x double, y double, use_global_coords boolean, building_id string")
+    want = {(1, 2, 20.0), (3, 3, 10.0)}
+    for found in (network.distinct_edges(weighted), network.edges_between_places(weighted, nodes)):
+        assert {tuple(r) for r in found.collect()} == want
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    named = weighted.withColumn("way_id", F.concat(F.lit("w"), F.col("way_id") + 10))
+    assert {tuple(r) for r in network.distinct_edges(named).collect()} == {(1, 2, 40.0), (3, 3, 10.0)}
