@@ -5,6 +5,7 @@ Each round is a join and an aggregate whose lineage is cut; the driver gets one
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,28 +66,79 @@ def keep_largest_component(arcs: DataFrame) -> DataFrame:
 SHARED_ARCS = 2_000_000
 #: A component of a larger network is searched in tasks of its own up to so many times ``SHARED_ARCS``.
 COMPONENT_SHARE = 4
+#: A network of up to so many times ``SHARED_ARCS`` arcs, and a component of up to so many times as many, is packed and read by each task (12 bytes an arc, 24 if its ways back differ).
+NET_SHARE, PACKED_SHARE = 8, 32
+#: Arcs of a packed row.
+PACKED_ARCS = 1 << 18
 #: Requests of a group, which is a task over the components that it takes part in, one after the other.
 GROUP_REQUESTS = 20_000
-#: So many ends of one node or fewer are searched from both sides each.
-FEW_ENDS = 3
+#: So many ends of one node, or one for each so many nodes of the network, are searched from both sides each.
+FEW_ENDS, MANY_ENDS = 3, 400
 
 
 class _Net:
     """Arcs as arrays: ids of the nodes in order, the place of each node's first arc, and ends and weights of the arcs by node, both ways."""
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
-        self.ids, place = np.unique(np.concatenate((src, dst)), return_inverse=True)
-        self.ahead, self.back = self._by(place[: len(src)], place[len(src) :], weight), self._by(place[len(src) :], place[: len(src)], weight)
-
-    def _by(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, place = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        src, dst = place[: len(src)], place[len(src) :]
+        self._set(ids, self._by(len(ids), src, dst, weight), self._by(len(ids), dst, src, weight))
+
+    def _set(self, ids: np.ndarray, ahead: tuple[np.ndarray, ...], back: tuple[np.ndarray, ...]) -> None:
+        self.ids, self.ahead, self.back, self._part, self._sides = ids, ahead, back, None, None
+
+    @classmethod
+    def of_chunks(cls, chunks: list[tuple[np.ndarray, ...]], both: bool) -> _Net:
+        """Of chunks (ids, counts, ends, weights) of arcs in the order of their nodes; ``both``: each arc stands there the other way too, so one side serves both ways."""
+        chunks.sort(key=lambda c: (c[0][0], c[0][-1]))
+        starts, counts = (np.concatenate([c[k] for c in chunks]) for k in (0, 1))
+        ids = np.unique(starts if both else np.concatenate([starts, *[np.unique(c[2]) for c in chunks]]))
+        net = cls.__new__(cls)
+        net._set(ids, (), ())
+        first = np.concatenate(([0], np.cumsum(np.bincount(net.places(starts), weights=counts, minlength=len(ids)).astype(np.int64))))
+        ends, weights, at = np.empty(first[-1], np.int32), np.empty(first[-1]), 0
+        for k, (_, _, some, costs) in enumerate(chunks):
+            ends[at : at + len(some)], weights[at : at + len(some)] = net.places(some), costs
+            at += len(some)
+            chunks[k] = ()
+        net.ahead = (first, ends, weights)
+        net.back = net.ahead if both else cls._by(len(ids), ends, np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first)), weights)
+        return net
+
+    @staticmethod
+    def _by(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(src, kind="stable")
-        return np.searchsorted(src[order], np.arange(len(self.ids) + 1)), dst[order].astype(np.int32), weight[order]
+        return np.searchsorted(src[order], np.arange(n + 1)), dst[order].astype(np.int32), weight[order]
 
     def places(self, nodes: np.ndarray) -> np.ndarray:
         """Places of nodes, -1 for those that no arc names."""
         at = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
         return np.where(self.ids[at] == nodes, at, -1) if len(self.ids) else np.full(len(nodes), -1)
 
+    def sides(self) -> tuple[_Side, _Side]:
+        """The two sides of a search, made once."""
+        if self._sides is None:
+            self._sides = _Side(self.ahead), _Side(self.back)
+        return self._sides
+
+    @property
+    def part(self) -> np.ndarray:
+        """A number of each place's component: labels of components that meet take the least one's, and labels are followed to their ends; told once."""
+        if self._part is None:
+            part, known = np.arange(len(self.ids), dtype=np.int32), None
+            while known is None or (part != known).any():
+                known = part.copy()
+                for first, ends, _ in {id(a): a for a in (self.ahead, self.back)}.values():
+                    some = np.flatnonzero(np.diff(first))
+                    if len(some):
+                        least = np.minimum.reduceat(part[ends], first[some])
+                        np.minimum.at(part, part[some], least)
+                        np.minimum.at(part, some, least)
+                    while (part[part] != part).any():
+                        part = part[part]
+            self._part = part
+        return self._part
+
 
 def _shared(links: DataFrame) -> _Net:
     arcs = links.select(F.col("node").cast("long").alias("node"), F.col("dst").cast("long").alias("dst"), "weight").toArrow()
@@ -124,73 +176,96 @@ def _search(start: int, targets: np.ndarray | None, arcs: tuple[np.ndarray, ...]
         open_[to] = True
 
 
-def _between(start: int, end: int, net: _Net, band: float) -> tuple[float, list[int]]:
-    """Cost and places of a least-cost way from ``start`` to ``end``, searched from both sides; infinite and none without one.
+class _Side:
+    """What a search over a network knows from one end: costs, nodes before, what is open. It is cleared by what it has touched, not as a whole."""
 
-    The side whose least open cost is less goes on by a band. No way that both sides don't know yet costs less than the sum
-    of their least open costs, so the search ends when the best one found is no more than that.
-    """
-    n = len(net.ids)
-    arcs, cost, prev, open_ = (net.ahead, net.back), np.full((2, n), np.inf), np.full((2, n), -1), np.zeros((2, n), bool)
-    todo, low, best, met = [np.array([start]), np.array([end])], [0.0, 0.0], np.inf, -1
-    cost[0, start] = cost[1, end] = 0.0
-    open_[0, start] = open_[1, end] = True
-    if start == end:
-        return 0.0, [start]
-    while low[0] + low[1] < best:
-        k = 0 if low[0] <= low[1] else 1
-        (first, ends, weights), own, other = arcs[k], cost[k], cost[1 - k]
-        limit = low[k] + band
+    def __init__(self, arcs: tuple[np.ndarray, ...]):
+        n = len(arcs[0]) - 1
+        self.arcs, self.cost, self.prev, self.open, self.mark = arcs, np.full(n, np.inf), np.full(n, -1, np.int32), np.zeros(n, bool), np.zeros(n, np.int32)
+        self.touched: list[np.ndarray] = []
+        self.todo, self.low = np.zeros(0, np.int32), np.inf
+
+    def begin(self, at: int) -> None:
+        for touched in self.touched:
+            self.cost[touched], self.open[touched] = np.inf, False
+        self.todo, self.low = np.array([at], np.int32), 0.0
+        self.cost[at], self.prev[at], self.open[at], self.touched = 0.0, -1, True, [self.todo]
+
+    def grow(self, other: _Side, band: float, best: float, met: int, pruned: bool) -> tuple[float, int]:
+        """Settles the next band of costs; the cost of the best way that both sides know and where they meet. ``pruned``: what can't be a part of a better way is left out."""
+        (first, ends, weights), cost, limit = self.arcs, self.cost, self.low + band
         while True:
-            due = own[todo[k]] < limit
-            at, rest = todo[k][due], todo[k][~due]
+            due = cost[self.todo] < limit
+            at, rest = self.todo[due], self.todo[~due]
             if not len(at):
                 break
-            open_[k, at] = False
+            self.open[at] = False
             count = first[at + 1] - first[at]
             arc = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            to, by = ends[arc], np.repeat(at, count)
-            new = own[by] + weights[arc]
-            # what can't be a part of a way under the best one is left out
-            less = (new < own[to]) & (new + np.minimum(other[to], low[1 - k]) < best)
-            to, by, new = to[less], by[less], new[less]
-            if not len(to):
-                todo[k] = rest
-                continue
-            # the least of each end
-            order = np.lexsort((by, new, to))
-            to, by, new = to[order], by[order], new[order]
-            one = np.concatenate(([True], to[1:] != to[:-1]))
-            to, by, new = to[one], by[one], new[one]
-            own[to], prev[k, to] = new, by
-            whole = new + other[to]
-            i = int(whole.argmin())
-            if whole[i] < best:
-                best, met = float(whole[i]), int(to[i])
-            fresh = to[~open_[k, to]]
-            open_[k, fresh] = True
-            todo[k] = np.concatenate((rest, fresh))
-        low[k] = float(own[todo[k]].min()) if len(todo[k]) else np.inf
-    if met < 0:
-        return np.inf, []
-    way, at = [], met
-    while at >= 0:
-        way.append(at)
-        at = int(prev[0, at])
-    way, at = way[::-1], int(prev[1, met])
-    while at >= 0:
-        way.append(at)
-        at = int(prev[1, at])
-    return best, way
+            to, new = ends[arc], np.repeat(cost[at], count) + weights[arc]
+            less = new < cost[to]
+            if pruned:
+                less &= new + np.minimum(other.cost[to], other.low) < best
+            to, new, by = to[less], new[less], np.repeat(at, count)[less]
+            np.minimum.at(cost, to, new)
+            least = new == cost[to]
+            to, by = to[least], by[least]
+            # of several arcs to a node that cost the same the last one counts
+            self.mark[to] = np.arange(len(to), dtype=np.int32)
+            one = self.mark[to] == np.arange(len(to))
+            to, by = to[one], by[one]
+            self.prev[to] = by
+            if len(to):
+                whole = cost[to] + other.cost[to]
+                i = int(whole.argmin())
+                if whole[i] < best:
+                    best, met = float(whole[i]), int(to[i])
+            fresh = to[~self.open[to]]
+            self.open[fresh] = True
+            self.touched.append(fresh)
+            self.todo = np.concatenate((rest, fresh))
+        self.low = float(cost[self.todo].min()) if len(self.todo) else np.inf
+        return best, met
+
+    def way(self, at: int) -> list[int]:
+        """Nodes from ``at`` back to where the search began."""
+        way = []
+        while at >= 0:
+            way.append(at)
+            at = int(self.prev[at])
+        return way
+
+
+def _met_ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) -> Iterator[tuple[int, float, list[int]]]:
+    """Of the places ``ends`` those with a way from the place ``hub`` (``back``: to it), its cost and places from the hub on.
+
+    A search from each end meets the one from the hub, which all ends share and which grows the further the more of them are left. No way that both
+    sides don't know yet costs less than the sum of their least open costs, so a search ends when the best way found is no more than that.
+    """
+    near, far = net.sides() if not back else net.sides()[::-1]
+    begun, left = False, len(ends)
+    for end in ends.tolist():
+        if net.part[end] == net.part[hub]:
+            if not begun:
+                near.begin(hub)
+                begun = True
+            far.begin(end)
+            best, met = float(near.cost[end]), end
+            while near.low + far.low < best:
+                if len(near.todo) <= left * len(far.todo):
+                    best, met = near.grow(far, band, best, met, left == 1)
+                else:
+                    best, met = far.grow(near, band, best, met, True)
+            if best < np.inf:
+                yield end, best, near.way(met)[::-1] + far.way(met)[1:]
+        left -= 1
 
 
 def _ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) -> Iterator[tuple[int, float, list[int]]]:
-    """Of the places ``ends`` those with a way from the place ``hub`` (``back``: to it), its cost and nodes: one search, or one from both sides for each of few."""
-    if len(ends) <= FEW_ENDS:
-        for end in ends.tolist():
-            cost, way = _between(*((end, hub) if back else (hub, end)), net, band / 4)
-            if way:
-                yield end, cost, net.ids[way].tolist()
+    """Of the places ``ends`` those with a way from the place ``hub`` (``back``: to it), its cost and nodes: one search of all, or, unless they are many, one from each that meets the hub's."""
+    if len(ends) <= max(FEW_ENDS, len(net.ids) // MANY_ENDS):
+        for end, cost, way in _met_ways(net, hub, back, ends, band):
+            yield end, cost, net.ids[way[::-1] if back else way].tolist()
         return
     cost, prev = _search(hub, ends, net.back if back else net.ahead, band)
     for end in ends[np.isfinite(cost[ends])].tolist():
@@ -243,6 +318,88 @@ def _shared_search(links: DataFrame, asked: DataFrame, band: float, tree: bool)
     return dealt.mapInArrow(run, f"source {kind}, {names[1]} {kind}, cost double, {last}")
 
 
+def _solved(net: _Net, hubs: np.ndarray, ends: np.ndarray, back: np.ndarray, band: float) -> Iterator[tuple[int, int, float, list[int]]]:
+    """source, target, cost, path of requests between places, in the order of hub and ``back``, that have a way."""
+    if not len(hubs):
+        return  # a group may have its component's arcs and no request
+    firsts = np.flatnonzero(np.concatenate(([True], (hubs[1:] != hubs[:-1]) | (back[1:] != back[:-1]))))
+    for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(hubs)], strict=True):
+        hub, to_it = int(hubs[low]), bool(back[low])
+        for end, cost, way in _ways(net, hub, to_it, ends[low:high], band):
+            yield (*((net.ids[end], net.ids[hub]) if to_it else (net.ids[hub], net.ids[end])), cost, way)
+
+
+def _in_batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while out := list(itertools.islice(rows, 1000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+
+def _by_hub(asked: DataFrame) -> DataFrame:
+    """``asked`` (source, target, ...) with _hub, that of its ends that more requests name, _end, the other, and _back, whether the hub is the target."""
+    n = lambda c: F.count("*").over(Window.partitionBy(c))
+    known = asked.withColumn("_back", n("target") > n("source"))
+    return known.withColumn("_hub", F.when(F.col("_back"), F.col("target")).otherwise(F.col("source"))).withColumn("_end", F.when(F.col("_back"), F.col("source")).otherwise(F.col("target")))
+
+
+def _packed_search(links: DataFrame, asked: DataFrame, band: float, scratch: Scratch) -> DataFrame:
+    """source, target, cost, path of the distinct rows of ``asked`` (source, target) that have a way, over arcs that a task may hold.
+
+    The arcs are shuffled once and written as rows of many arcs each. Requests of a hub (:func:`_by_hub`) stand in one task, and a group of hubs is a row of packed requests. A product of both tables
+    lets each task read the arcs from the written table, row by row, and then search for its group: nothing of the network goes through a shuffle for each task, nor through the driver.
+    """
+    spark = asked.sparkSession
+    kind, name = to_arrow_type(asked.schema["source"].dataType), asked.schema["source"].dataType.simpleString()
+    long = lambda c, to: F.col(c).cast("long").alias(to)
+    # an arc and its way back tell the same sums where every arc stands both ways
+    sums = [F.sum(F.pmod(F.xxhash64(*[F.col(c) for c in (a, b, "weight")], F.lit(k)), F.lit(1 << 31))) for k in (0, 1) for a, b in (("node", "dst"), ("dst", "node"))]
+    said = links.agg(*sums).first()
+    both = said[0] == said[1] and said[2] == said[3]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) >= PACKED_ARCS):
+                node, dst, weight = (pa.chunked_array([b.column(c) for b in held]).to_numpy() for c in ("node", "dst", "weight"))
+                ids, counts = np.unique(node, return_counts=True)
+                made = [ids.astype(np.int64), counts.astype(np.int32), dst.astype(np.int64), weight.astype(np.float64)]
+                held = []
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], ["ids", "counts", "ends", "weights"])
+
+    ordered = links.select(long("node", "node"), long("dst", "dst"), "weight").repartitionByRange("node").sortWithinPartitions("node", "dst")
+    packed = scratch.keep(ordered.mapInArrow(pack, "ids binary, counts binary, ends binary, weights binary"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            columns = [pa.chunked_array([b.column(c) for b in held]).to_numpy(zero_copy_only=False) for c in ("hub", "end", "back")]
+            made = [c.astype(t).tobytes() for c, t in zip(columns, (np.int64, np.int64, bool), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in made], ["hubs", "others", "backs"])
+
+    known = scratch.keep(_by_hub(asked).select(long("_hub", "hub"), long("_end", "end"), F.col("_back").alias("back")))
+    groups = max(2 * spark.sparkContext.defaultParallelism, math.ceil(known.count() / GROUP_REQUESTS))
+    grouped = known.repartition(groups, "hub").sortWithinPartitions("hub", "back").mapInArrow(gather, "hubs binary, others binary, backs binary")
+    names, types = ["source", "target", "cost", "path"], [kind, kind, pa.float64(), pa.list_(kind)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, mine = [], None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, counts, ends, weights, *group = (batch.column(c)[k].as_py() for c in ("ids", "counts", "ends", "weights", "hubs", "others", "backs"))
+                mine = mine or group
+                chunks.append((np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(weights)))
+        if mine is None:
+            return
+        hubs, others, back = np.frombuffer(mine[0], np.int64), np.frombuffer(mine[1], np.int64), np.frombuffer(mine[2], bool)
+        net = _Net.of_chunks(chunks, both)
+        hubs, others = net.places(hubs), net.places(others)
+        fit = (hubs >= 0) & (others >= 0)
+        yield from _in_batches(_solved(net, hubs[fit], others[fit], back[fit], band), types, names)
+
+    return packed.coalesce(1).hint("shuffle_replicate_nl").crossJoin(grouped).mapInArrow(run, f"source {name}, target {name}, cost double, path array<{name}>")
+
+
 def _grouped_search(links: DataFrame, asked: DataFrame, placed: DataFrame, sizes: DataFrame, band: float, scratch: Scratch) -> DataFrame:
     """source, target, cost, path of the rows of ``asked`` (source, target, component) that have a way, in components of bounded size.
 
@@ -258,9 +415,7 @@ def _grouped_search(links: DataFrame, asked: DataFrame, placed: DataFrame, sizes
     until = F.sum("requests").over(Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0))
     group = lambda c: F.floor(c * groups / max(total, 1)).cast("int")
     spans = scratch.keep(sizes.withColumn("_u", until).select("component", group(F.col("_u") - F.col("requests")).alias("_a"), group(F.col("_u") - 1).alias("_b")))
-    n = lambda c: F.count("*").over(Window.partitionBy(c))
-    known = asked.withColumn("_back", n("target") > n("source"))
-    known = known.withColumn("_hub", F.when(F.col("_back"), F.col("target")).otherwise(F.col("source"))).withColumn("_end", F.when(F.col("_back"), F.col("source")).otherwise(F.col("target")))
+    known = _by_hub(asked)
     known = known.join(spans, "component").withColumn("_group", F.col("_a") + F.pmod(F.xxhash64("_hub"), F.col("_b") - F.col("_a") + 1).cast("int"))
     requests = known.select("_group", "component", F.lit(1).alias("_kind"), F.col("_hub").cast("long").alias("a"), F.col("_end").cast("long").alias("b"), F.lit(0.0).alias("w"), F.col("_back").alias("back"))
     arcs = links.join(placed.join(spans, "component"), "node").withColumn("_group", F.explode(F.sequence("_a", "_b")))
@@ -275,17 +430,7 @@ def _grouped_search(links: DataFrame, asked: DataFrame, placed: DataFrame, sizes
         cut_at = int(np.searchsorted(of, 1))
         net = _Net(a[:cut_at], b[:cut_at], w[:cut_at])
         hubs, ends, back = net.places(a[cut_at:]), net.places(b[cut_at:]), back[cut_at:]
-        firsts = np.flatnonzero(np.concatenate(([True], (hubs[1:] != hubs[:-1]) | (back[1:] != back[:-1])))) if len(hubs) else np.array([], int)
-        out: list[tuple] = []
-        for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(hubs)], strict=True):
-            hub, to_it = int(hubs[low]), bool(back[low])
-            for end, cost, way in _ways(net, hub, to_it, ends[low:high], band):
-                out.append((*((net.ids[end], net.ids[hub]) if to_it else (net.ids[hub], net.ids[end])), cost, way))
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        yield from _in_batches(_solved(net, hubs, ends, back, band), types, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -404,9 +549,10 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
     """requests (request_id, source, target) with cost and path (nodes in order); both null where there is no way.
 
     arcs: src, dst, weight >= 0. Of several ways of least cost one is given. A null end has no way; a source that no arc names has one to itself.
-    Up to ``shared_arcs`` arcs between whole numbers go to all workers. A larger network is told apart into components first: ends in two of them have no way, which a join
-    tells without a search, and a component of up to ``COMPONENT_SHARE`` times ``shared_arcs`` arcs is searched in tasks of its own (:func:`_grouped_search`). What is left, a component that no task should hold or
-    nodes that are no whole numbers, is searched together by joins, where paths are walked back by doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
+    Up to ``shared_arcs`` arcs between whole numbers go to all workers, and up to ``NET_SHARE`` times as many are packed and read by each task (:func:`_packed_search`). A larger network is told apart
+    into components first: ends in two of them have no way, which a join tells without a search. A component of up to ``COMPONENT_SHARE`` times ``shared_arcs`` arcs is searched in tasks of its own (:func:`_grouped_search`), one
+    of up to ``PACKED_SHARE`` times as many is packed. What is left, a component that no task should hold or nodes that are no whole numbers, is searched together by joins, where paths are walked
+    back by doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
     """
     with Scratch(arcs.sparkSession) as scratch:
         links, n, band = _links(arcs, scratch)
@@ -415,10 +561,13 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
         if n <= shared_arcs and whole:
             paths = scratch.keep(_shared_search(links, asked, band / 16, False))
             return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
-        placed = connected_components(links.select(F.col("node").alias("src"), "dst"), scratch)
-        of = lambda c: placed.select(F.col("node").alias(c), "component")
         # a node has a way to itself, whether an arc names it or not
         paths = asked.filter("source = target").select("source", "target", F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+        if n <= NET_SHARE * shared_arcs and whole:
+            paths = paths.unionByName(scratch.keep(_packed_search(links, asked.filter("source != target"), band / 16, scratch)))
+            return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
+        placed = connected_components(links.select(F.col("node").alias("src"), "dst"), scratch)
+        of = lambda c: placed.select(F.col("node").alias(c), "component")
         met = scratch.keep(asked.filter("source != target").join(of("source"), "source").join(of("target"), ["target", "component"]).select("source", "target", "component"))
         sizes = met.groupBy("component").agg(F.count("*").alias("requests"))
         sizes = scratch.keep(sizes.join(links.join(placed, "node").groupBy("component").agg(F.count("*").alias("arcs")), "component"))
@@ -428,6 +577,12 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
             fits = small.select("component")
             found = _grouped_search(links, met.join(fits, "component", "left_semi"), placed, small.select("component", "requests"), band / 16, scratch)
             paths = paths.unionByName(scratch.keep(found))
+        # few: each holds more than COMPONENT_SHARE * shared_arcs arcs
+        for r in large.filter(F.col("arcs") <= (PACKED_SHARE * shared_arcs if whole else 0)).collect():
+            one = F.col("component") == r["component"]
+            own = links.join(placed.filter(one).select("node"), "node", "left_semi")
+            paths = paths.unionByName(scratch.keep(_packed_search(own, met.filter(one).select("source", "target"), band / 16, scratch)))
+        large = large.filter(F.col("arcs") > (PACKED_SHARE * shared_arcs if whole else 0))
         if not large.isEmpty():
             rest = scratch.keep(met.join(large.select("component"), "component", "left_semi").select("source", "target"))
             tree = _banded_search(links, rest.select("source"), rest, band, scratch, most_rounds)

@@ -201,6 +201,32 @@ def test_components_in_groups_match_one_search(spark):
                 assert r.path[0] == r.source and r.path[-1] == r.target and sum(weight[p] for p in zip(r.path, r.path[1:])) == r.cost
 
 
+@pytest.mark.parametrize(("shared", "both"), [(200, False), (200, True), (100, True)])
+def test_large_component_needs_no_search_by_joins(spark, monkeypatch, shared, both):
+    """A component beyond a group's size is packed and read by each task; ends of one node, few or many, meet its search; one way only, or both ways alike."""
+    monkeypatch.setattr(graph, "_banded_search", None)
+    monkeypatch.setattr(graph, "PACKED_ARCS", 64, raising=False)
+    rng = random.Random(3)
+    arcs = {(b + rng.randrange(n), b + rng.randrange(n)): float(rng.randrange(30)) for b, n, m in ((-5, 130, 500 if both else 950), (3_000_000_000, 30, 60)) for _ in range(m)}
+    arcs |= {(b, a): w for (a, b), w in arcs.items()} if both else {}
+    arcs = [(a, b, w) for (a, b), w in ({k: min(w, arcs.get(k[::-1], w)) for k, w in arcs.items()} if both else arcs).items()]
+    end = lambda: rng.choice((-5, -5, 3_000_000_000)) + rng.randrange(33)
+    asked = [(k, end(), end()) for k in range(120)] + [(200 + k, 7, k) for k in range(130)] + [(400 + k, k, 9) for k in range(130)] + [(600 + k, 11, k) for k in range(3)]
+    asked += [(700, 5, 5), (701, 77777, 77777), (702, 77777, 3), (703, 3, 77777), (704, None, 3)]
+    got = graph.shortest_paths(spark.createDataFrame(arcs, ARCS), spark.createDataFrame(asked, "request_id long, source long, target long"), shared_arcs=shared).collect()
+    assert sorted(r.request_id for r in got) == sorted(k for k, *_ in asked)
+    weight, near = {(a, b): w for a, b, w in arcs}, {}
+    for r in got:
+        if r.source is None:
+            assert r.cost is None and r.path is None
+            continue
+        if r.source not in near:
+            near[r.source] = plainly(arcs, r.source)
+        assert r.cost == near[r.source].get(r.target), r
+        if r.cost is not None:
+            assert r.path[0] == r.source and r.path[-1] == r.target and sum(weight[p] for p in zip(r.path, r.path[1:])) == r.cost
+
+
 @pytest.mark.parametrize("lost", [False, True])
 def test_steady_state_over_blocks(spark, lost, monkeypatch):
     """The vector in several blocks and cells is that of numpy; a state beside the matrix has its even part."""
