@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,10 +161,104 @@ def _decided(distance: float):
     return run
 
 
+#: Detections of an image that is decided as a whole, rows that are decided together, and pairs of near cells' rows that are held at once.
+WHOLE_IMAGE, TOGETHER_ROWS, TOGETHER_PAIRS = 100_000, 20_000, 4_000_000
+
+
+def _pairs(image: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows (i, j), i < j, of one image within ``distance``, found by cells of that side; None if more than ``TOGETHER_PAIRS`` would be looked at."""
+    a, b = np.floor(x / distance), np.floor(y / distance)
+    a, b = (a - a.min() + 1).astype(np.int64), (b - b.min() + 1).astype(np.int64)
+    wide, high = int(a.max()) + 2, int(b.max()) + 2
+    if (int(image[-1]) + 1) * wide * high >= 1 << 62:
+        return None
+    cell = (image * wide + a) * high + b
+    order = np.argsort(cell, kind="stable")
+    ordered, spans, total = cell[order], [], 0
+    for i in (-1, 0, 1):
+        # the cells above, at and below a row lie together
+        low, past = np.searchsorted(ordered, cell + i * high - 1), np.searchsorted(ordered, cell + i * high + 1, "right")
+        spans.append((low, past - low))
+        total += int((past - low).sum())
+    if total > TOGETHER_PAIRS:
+        return None
+    first, second = [], []
+    for low, n in spans:
+        j = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        i = np.repeat(np.arange(len(x)), n)
+        i, j = i[i < j], j[i < j]
+        away = np.hypot(x[i] - x[j], y[i] - y[j])
+        near = away <= distance
+        for k in np.flatnonzero(np.abs(away - distance) <= 1e-9 * distance).tolist():
+            near[k] = math.hypot(x[i[k]] - x[j[k]], y[i[k]] - y[j[k]]) <= distance
+        first.append(i[near])
+        second.append(j[near])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _stays(image: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray | None:
+    """Which rows of whole images, each by falling strength, no kept stronger one is near; None where there are too many pairs."""
+    if not (np.isfinite(x).all() and np.isfinite(y).all()) or (pairs := _pairs(image, x, y, distance)) is None:
+        return None
+    (i, j), gone, stays = pairs, np.zeros(len(x), bool), np.zeros(len(x), bool)
+    while len(i):
+        # a row without a stronger one that may yet stay is kept, and its weaker ones go
+        waits = np.zeros(len(x), bool)
+        waits[j] = True
+        stays |= ~waits & ~gone
+        gone[j[stays[i]]] = True
+        left = ~gone[i] & ~gone[j]
+        i, j = i[left], j[left]
+    return ~gone
+
+
+def _decided_whole(distance: float):
+    """Rows by image and falling score: those that stay. Images are taken together up to ``TOGETHER_ROWS`` rows; one with too many pairs is streamed by :func:`_decided`."""
+    names = ["image_id", "det_id", "_x", "_y", "score"]
+    stream = _decided(distance)
+
+    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        image = rows.column("image_id").combine_chunks()
+        change = np.flatnonzero(np.asarray(pc.not_equal(image[1:], image[:-1]))) + 1
+        number = np.zeros(len(image), np.int64)
+        number[change] = 1
+        number = np.cumsum(number)
+        stays = _stays(number, rows.column("_x").to_numpy(), rows.column("_y").to_numpy(), distance)
+        if stays is None and len(change):
+            for low, high in zip([0, *change.tolist()], [*change.tolist(), len(image)], strict=True):
+                yield from made(rows.slice(low, high - low))
+        elif stays is None:
+            for name, value in (("_tx", 0), ("_ty", 0), ("_own", True)):
+                rows = rows.append_column(name, pa.array([value] * len(rows)))
+            yield from stream(iter(rows.combine_chunks().to_batches()))
+        else:
+            out = rows.select(names).filter(pa.array(stays)).append_column("_kept", pa.array([True] * int(stays.sum())))
+            yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER_ROWS:
+                rows = pa.Table.from_batches(held)
+                image = rows.column("image_id").combine_chunks()
+                change = np.flatnonzero(np.asarray(pc.not_equal(image[1:], image[:-1])))
+                whole = int(change[-1]) + 1 if len(change) else 0
+                if whole:
+                    yield from made(rows.slice(0, whole))
+                held = rows.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    return run
+
+
 def nms(detections: DataFrame, distance: float = 10) -> DataFrame:
     """Greedy suppression by falling score (det_id on ties): a detection stays if no stronger kept one lies within ``distance``.
 
-    Detections are dealt to tiles of ``TILE_DISTANCES`` distances a side, those near a side to the neighbours too, and are
+    An image of up to ``WHOLE_IMAGE`` detections stands in one task and is decided there at once. Detections of larger ones are dealt to tiles of ``TILE_DISTANCES`` distances a side, those near a side to the neighbours too, and are
     read by falling score, so a tile decides in one pass all but those that wait for a neighbour's; a round goes on with these and
     the kept ones of their tiles. The strongest undecided one waits for none, so rounds end; they follow chains across tiles only. A tile's rows
     are sorted and streamed, never held. One shuffle by tile a round, and one count to the driver.
@@ -175,7 +271,14 @@ def nms(detections: DataFrame, distance: float = 10) -> DataFrame:
         rows = scratch.keep(rows.filter("_x IS NOT NULL AND _y IS NOT NULL"))
         span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - distance) / side), F.floor((F.col(c) + distance) / side)))
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        todo, kept = rows, None
+        large = scratch.keep(rows.groupBy("image_id").count().filter(F.col("count") > WHOLE_IMAGE).select("image_id"))
+        # few: each has more than WHOLE_IMAGE rows
+        small = rows.join(F.broadcast(large), "image_id", "left_anti").repartition("image_id").sortWithinPartitions("image_id", F.desc("score"), "det_id")
+        kept = scratch.keep(small.mapInArrow(_decided_whole(distance), shape))
+        if large.isEmpty():
+            return cut(detections.join(kept.select("image_id", "det_id").distinct(), ["image_id", "det_id"], "left_semi"))
+        whole, kept = kept, None
+        todo = rows.join(F.broadcast(large), "image_id", "left_semi").select(*rows.columns)
         while True:
             dealt = todo.withColumn("_tx", span("_x")).withColumn("_ty", span("_y"))
             own = (F.col("_tx") == F.floor(F.col("_x") / side)) & (F.col("_ty") == F.floor(F.col("_y") / side))
@@ -185,6 +288,7 @@ def nms(detections: DataFrame, distance: float = 10) -> DataFrame:
             kept = stays if kept is None else scratch.keep(kept.unionByName(stays))
             left = made.filter("NOT _kept")
             if left.isEmpty():
+                kept = kept.unionByName(whole)
                 return cut(detections.join(kept.select("image_id", "det_id").distinct(), ["image_id", "det_id"], "left_semi"))
             tiles = left.withColumn("_tx", span("_x")).withColumn("_ty", span("_y")).select(*key).distinct()
             around = kept.withColumn("_tx", span("_x")).withColumn("_ty", span("_y")).join(tiles, key, "left_semi").select(*rows.columns).distinct()

@@ -1,5 +1,6 @@
 """Stored networks and suppression at the sides of tiles."""
 
+import math
 import random
 
 import pytest
@@ -46,3 +47,30 @@ def test_suppression_over_tiles(spark, spread):
     got = pixels.nms(df, 4).collect()
     assert {g.det_id for g in got} == want and len(got) == len(want)
     assert pixels.nms(df.limit(0), 4).count() == 0
+
+
+def _plain_nms(rows, distance):
+    kept = []
+    for image, det, x, y, _ in sorted(rows, key=lambda r: (-r[4], r[1])):
+        if all(i != image or math.hypot(x - u, y - v) > distance for i, _, u, v in kept):
+            kept.append((image, det, x, y))
+    return sorted((i, d) for i, d, *_ in kept)
+
+
+@pytest.mark.parametrize(("large", "together", "pairs"), [(None, 25, None), (None, 40, 60), (50, 25, 100)])
+def test_suppression_of_whole_images(spark, monkeypatch, large, together, pairs):
+    """Images that lie over many tiles are decided at once, with few rows together; those of too many pairs or rows by the stream; all as the plain greedy choice."""
+    for name, value in (("TILE_DISTANCES", 2), ("WHOLE_IMAGE", large), ("TOGETHER_ROWS", together), ("TOGETHER_PAIRS", pairs)):
+        if value is not None:
+            monkeypatch.setattr(pixels, name, value, raising=False)
+    if large is pairs is None:
+
+        def stops(batches):
+            raise AssertionError("a small image is streamed by tiles")
+
+        monkeypatch.setattr(pixels, "_decided", lambda distance: stops)
+    r = random.Random(8)
+    rows = [(r.choice((1, 1, 2, 3, 9)), k, r.randrange(-30, 60), r.randrange(40), r.randrange(6)) for k in range(260)] + [(4, 900, 0, 0, 1), (4, 901, 3, 4, 1), (4, 902, 5, 5, 0)]
+    boxes = spark.createDataFrame([(*row, 0, 0) for row in rows], "image_id int, det_id long, x int, y int, score int, w int, h int")
+    got = pixels.nms(boxes, 5).collect()
+    assert sorted((b.image_id, b.det_id) for b in got) == _plain_nms(rows, 5)
