@@ -227,6 +227,26 @@ def test_large_component_needs_no_search_by_joins(spark, monkeypatch, shared, bo
             assert r.path[0] == r.source and r.path[-1] == r.target and sum(weight[p] for p in zip(r.path, r.path[1:])) == r.cost
 
 
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_ends_of_one_hub_share_its_search(monkeypatch, many):
+    """One network serves hub after hub, ahead and back: the sides are made once, cleared between ends, and ends in another component begin no search."""
+    monkeypatch.setattr(graph, "FEW_ENDS", 10**9 if not many else -1, raising=False)
+    monkeypatch.setattr(graph, "MANY_ENDS", 10**9, raising=False)
+    arcs = random_arcs(60, 200, 6) + [(a + 100, b + 100, w) for a, b, w in random_arcs(9, 20, 7)]
+    src, dst, weight = (np.array(c) for c in zip(*arcs, strict=True))
+    net = graph._Net(src, dst, weight)
+    assert len(np.unique(net.part)) == len({min(plainly(arcs + [(b, a, w) for a, b, w in arcs], int(n))) for n in net.ids})
+    for hub in range(0, len(net.ids), 7):
+        for back in (False, True):
+            want = plainly([(b, a, w) for a, b, w in arcs] if back else arcs, int(net.ids[hub]))
+            found = {int(net.ids[end]): (cost, way) for end, cost, way in graph._ways(net, hub, back, np.arange(len(net.ids)), 2.0)}
+            assert {k: cost for k, (cost, _) in found.items()} == want
+            assert all((way[0], way[-1]) == ((k, net.ids[hub]) if back else (net.ids[hub], k)) for k, (_, way) in found.items())
+    if not many:
+        sides = net.sides()
+        assert net.sides() is sides
+
+
 @pytest.mark.parametrize("lost", [False, True])
 def test_steady_state_over_blocks(spark, lost, monkeypatch):
     """The vector in several blocks and cells is that of numpy; a state beside the matrix has its even part."""
