@@ -66,12 +66,14 @@ def keep_largest_component(arcs: DataFrame) -> DataFrame:
 SHARED_ARCS = 2_000_000
 #: A component of a larger network is searched in tasks of its own up to so many times ``SHARED_ARCS``.
 COMPONENT_SHARE = 4
-#: A network of up to so many times ``SHARED_ARCS`` arcs, and a component of up to so many times as many, is packed and read by each task (12 bytes an arc, 24 if its ways back differ).
-NET_SHARE, PACKED_SHARE = 8, 32
-#: Arcs of a packed row.
+#: A network of up to so many times ``SHARED_ARCS`` arcs, and a component of up to so many times as many, is read packed by each task (12 bytes an arc, 24 if its ways back differ).
+NET_SHARE, PACKED_SHARE = 32, 32
+#: Arcs of a packed row, at most.
 PACKED_ARCS = 1 << 18
 #: Requests of a group, which is a task over the components that it takes part in, one after the other.
 GROUP_REQUESTS = 20_000
+#: A task that reads a packed network has at least one request for so many of its arcs, as long as all cores have two such tasks.
+REQUEST_ARCS = 500
 #: So many ends of one node, or one for each so many nodes of the network, are searched from both sides each.
 FEW_ENDS, MANY_ENDS = 3, 400
 
@@ -89,22 +91,38 @@ class _Net:
 
     @classmethod
     def of_chunks(cls, chunks: list[tuple[np.ndarray, ...]], both: bool) -> _Net:
-        """Of chunks (ids, counts, ends, weights) of arcs in the order of their nodes; ``both``: each arc stands there the other way too, so one side serves both ways."""
-        chunks.sort(key=lambda c: (c[0][0], c[0][-1]))
-        starts, counts = (np.concatenate([c[k] for c in chunks]) for k in (0, 1))
-        ids = np.unique(starts if both else np.concatenate([starts, *[np.unique(c[2]) for c in chunks]]))
+        """Of chunks (src, dst, weight) of arcs in any order, which are emptied; ``both``: an arc stands for its way back too, so one side serves both ways."""
+        ids = np.zeros(0, np.int64)
+        for low in range(0, len(chunks), 16):
+            ids = np.unique(np.concatenate([ids, *[ends for chunk in chunks[low : low + 16] for ends in chunk[:2]]]))
         net = cls.__new__(cls)
         net._set(ids, (), ())
-        first = np.concatenate(([0], np.cumsum(np.bincount(net.places(starts), weights=counts, minlength=len(ids)).astype(np.int64))))
-        ends, weights, at = np.empty(first[-1], np.int32), np.empty(first[-1]), 0
-        for k, (_, _, some, costs) in enumerate(chunks):
-            ends[at : at + len(some)], weights[at : at + len(some)] = net.places(some), costs
-            at += len(some)
-            chunks[k] = ()
-        net.ahead = (first, ends, weights)
-        net.back = net.ahead if both else cls._by(len(ids), ends, np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first)), weights)
+        for k, (src, dst, weight) in enumerate(chunks):
+            # in order they are found some times as fast
+            order = np.argsort(dst)
+            ends = np.empty(len(dst), np.int32)
+            ends[order] = net.places(dst[order])
+            chunks[k] = net.places(src).astype(np.int32), ends, weight
+        net.ahead = cls._laid(len(ids), chunks, [(0, 1), (1, 0)] if both else [(0, 1)])
+        net.back = net.ahead if both else cls._laid(len(ids), chunks, [(1, 0)])
         return net
 
+    @staticmethod
+    def _laid(n: int, chunks: list[tuple[np.ndarray, ...]], ways: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        """Arcs of all chunks by their node, chunk by chunk; ``ways``: which ends of a chunk are node and end."""
+        first = np.concatenate(([0], np.cumsum(sum(np.bincount(chunk[a], minlength=n) for chunk in chunks for a, _ in ways))))
+        ends, weights, free = np.empty(first[-1], np.int32), np.empty(first[-1]), first[:-1].copy()
+        for chunk in chunks:
+            for a, b in ways:
+                order = np.argsort(chunk[a], kind="stable")
+                node = chunk[a][order]
+                begins = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                counts = np.diff(np.append(begins, len(node)))
+                to = np.repeat(free[node[begins]] - begins, counts) + np.arange(len(node))
+                ends[to], weights[to] = chunk[b][order], chunk[2][order]
+                free[node[begins]] += counts
+        return first, ends, weights
+
     @staticmethod
     def _by(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(src, kind="stable")
@@ -341,19 +359,19 @@ def _by_hub(asked: DataFrame) -> DataFrame:
     return known.withColumn("_hub", F.when(F.col("_back"), F.col("target")).otherwise(F.col("source"))).withColumn("_end", F.when(F.col("_back"), F.col("source")).otherwise(F.col("target")))
 
 
-def _packed_search(links: DataFrame, asked: DataFrame, band: float, scratch: Scratch) -> DataFrame:
-    """source, target, cost, path of the distinct rows of ``asked`` (source, target) that have a way, over arcs that a task may hold.
+def _packed(arcs: DataFrame, own: Scratch) -> tuple[DataFrame, int, float, bool]:
+    """Arcs (src, dst, weight) between whole numbers as a table of rows of many arcs, how many they are, a band of costs (see :func:`_links`), and whether each stands there the other way too.
 
-    The arcs are shuffled once and written as rows of many arcs each. Requests of a hub (:func:`_by_hub`) stand in one task, and a group of hubs is a row of packed requests. A product of both tables
-    lets each task read the arcs from the written table, row by row, and then search for its group: nothing of the network goes through a shuffle for each task, nor through the driver.
+    Rows: ahead, n, total, h0, h1, nodes, ends, weights. ``ahead`` are those from the lesser node, or from a node to itself: where each arc stands both ways they tell the whole network. Each task packs what it has
+    computed, so this shuffles nothing. An arc without an end or weight leads nowhere.
     """
-    spark = asked.sparkSession
-    kind, name = to_arrow_type(asked.schema["source"].dataType), asked.schema["source"].dataType.simpleString()
-    long = lambda c, to: F.col(c).cast("long").alias(to)
-    # an arc and its way back tell the same sums where every arc stands both ways
-    sums = [F.sum(F.pmod(F.xxhash64(*[F.col(c) for c in (a, b, "weight")], F.lit(k)), F.lit(1 << 31))) for k in (0, 1) for a, b in (("node", "dst"), ("dst", "node"))]
-    said = links.agg(*sums).first()
-    both = said[0] == said[1] and said[2] == said[3]
+    # an arc and its way back tell the same sums
+    told = [F.when(F.col("src") != F.col("dst"), F.pmod(F.xxhash64(F.least("node", "to"), F.greatest("node", "to"), "w", F.lit(k)), F.lit(1 << 31))).otherwise(F.lit(0)).alias(f"h{k}") for k in (0, 1)]
+    rows = arcs.filter("src IS NOT NULL AND dst IS NOT NULL AND weight IS NOT NULL")
+    rows = rows.withColumns({"node": F.col("src").cast("long"), "to": F.col("dst").cast("long"), "w": F.col("weight").cast("double")}).select("node", "to", "w", *told)
+
+    def numbers(x: np.ndarray) -> bytes:
+        return x.astype(np.int32 if -(1 << 31) <= x.min() and x.max() < 1 << 31 else np.int64).tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -361,14 +379,50 @@ def _packed_search(links: DataFrame, asked: DataFrame, band: float, scratch: Scr
             if batch is not None and batch.num_rows:
                 held.append(batch)
             if held and (batch is None or sum(b.num_rows for b in held) >= PACKED_ARCS):
-                node, dst, weight = (pa.chunked_array([b.column(c) for b in held]).to_numpy() for c in ("node", "dst", "weight"))
-                ids, counts = np.unique(node, return_counts=True)
-                made = [ids.astype(np.int64), counts.astype(np.int32), dst.astype(np.int64), weight.astype(np.float64)]
+                node, to, w, *told = (pa.chunked_array([b.column(c) for b in held]).to_numpy() for c in names)
                 held = []
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], ["ids", "counts", "ends", "weights"])
+                for ahead in (True, False):
+                    some = np.flatnonzero((node <= to) == ahead)
+                    some = some[np.argsort(node[some], kind="stable")]
+                    if len(some):
+                        made = [ahead, len(some), float(w[some].sum()), *[int(h[some].sum()) for h in told], numbers(node[some]), numbers(to[some]), w[some].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, types, strict=True)], ["ahead", "n", "total", "h0", "h1", "nodes", "ends", "weights"])
+
+    names = ["node", "to", "w", "h0", "h1"]
+    types = [pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    packed = own.keep(rows.mapInArrow(pack, "ahead boolean, n long, total double, h0 long, h1 long, nodes binary, ends binary, weights binary"))
+    side = lambda c, sign: F.coalesce(F.sum(F.when(F.col("ahead") == sign, F.col(c))), F.lit(0))
+    n, total, *sums = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("total"), *[side(c, sign) for sign in (True, False) for c in ("h0", "h1")]).first()
+    return packed, n, 4 * ((total or 0.0) / max(n, 1)) or 1.0, sums[:2] == sums[2:]
+
 
-    ordered = links.select(long("node", "node"), long("dst", "dst"), "weight").repartitionByRange("node").sortWithinPartitions("node", "dst")
-    packed = scratch.keep(ordered.mapInArrow(pack, "ids binary, counts binary, ends binary, weights binary"))
+def _unpack(n: int, nodes: bytes, ends: bytes, weights: bytes) -> tuple[np.ndarray, ...]:
+    """src, dst, weight of a row of :func:`_packed`."""
+    return (*[np.frombuffer(x, np.int32 if len(x) == 4 * n else np.int64) for x in (nodes, ends)], np.frombuffer(weights))
+
+
+def _unpacked(packed: DataFrame, node: str, dst: str) -> DataFrame:
+    """node, dst, weight of the arcs that :func:`_packed` wrote, of these types; it is read anew by each use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in ("n", "nodes", "ends", "weights")], strict=True):
+                made = _unpack(*[x.as_py() for x in row])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(made, (np.int64, np.int64, float), strict=True)], ["node", "dst", "weight"])
+
+    links = packed.select("n", "nodes", "ends", "weights").mapInArrow(run, "node long, dst long, weight double")
+    return links.select(F.col("node").cast(node).alias("node"), F.col("dst").cast(dst).alias("dst"), "weight")
+
+
+def _packed_search(packed: DataFrame, n: int, both: bool, asked: DataFrame, band: float, scratch: Scratch) -> DataFrame:
+    """source, target, cost, path of the distinct rows of ``asked`` (source, target) that have a way, over ``n`` arcs (:func:`_packed`) that a task may hold.
+
+    Requests of a hub (:func:`_by_hub`) stand in one task, and a group of hubs is a row of packed requests. A product of both tables
+    lets each task read the arcs from the written table, row by row, and then search for its group: nothing of the network goes through a shuffle, nor through the driver.
+    """
+    spark = asked.sparkSession
+    kind, name = to_arrow_type(asked.schema["source"].dataType), asked.schema["source"].dataType.simpleString()
+    long = lambda c, to: F.col(c).cast("long").alias(to)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -378,26 +432,28 @@ def _packed_search(links: DataFrame, asked: DataFrame, band: float, scratch: Scr
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in made], ["hubs", "others", "backs"])
 
     known = scratch.keep(_by_hub(asked).select(long("_hub", "hub"), long("_end", "end"), F.col("_back").alias("back")))
-    groups = max(2 * spark.sparkContext.defaultParallelism, math.ceil(known.count() / GROUP_REQUESTS))
+    groups = max(2 * spark.sparkContext.defaultParallelism, math.ceil(known.count() / max(GROUP_REQUESTS, n // REQUEST_ARCS)))
     grouped = known.repartition(groups, "hub").sortWithinPartitions("hub", "back").mapInArrow(gather, "hubs binary, others binary, backs binary")
     names, types = ["source", "target", "cost", "path"], [kind, kind, pa.float64(), pa.list_(kind)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, mine = [], None
+        chunks, mine, batch = [], None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, counts, ends, weights, *group = (batch.column(c)[k].as_py() for c in ("ids", "counts", "ends", "weights", "hubs", "others", "backs"))
-                mine = mine or group
-                chunks.append((np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(weights)))
+                mine = mine or [batch.column(c)[k].as_py() for c in ("hubs", "others", "backs")]
+                chunks.append(_unpack(*[batch.column(c)[k].as_py() for c in ("n", "nodes", "ends", "weights")]))
         if mine is None:
             return
+        del batch
         hubs, others, back = np.frombuffer(mine[0], np.int64), np.frombuffer(mine[1], np.int64), np.frombuffer(mine[2], bool)
         net = _Net.of_chunks(chunks, both)
+        chunks.clear()
         hubs, others = net.places(hubs), net.places(others)
         fit = (hubs >= 0) & (others >= 0)
         yield from _in_batches(_solved(net, hubs[fit], others[fit], back[fit], band), types, names)
 
-    return packed.coalesce(1).hint("shuffle_replicate_nl").crossJoin(grouped).mapInArrow(run, f"source {name}, target {name}, cost double, path array<{name}>")
+    told = packed.filter("ahead") if both else packed
+    return told.select("n", "nodes", "ends", "weights").coalesce(1).hint("shuffle_replicate_nl").crossJoin(grouped).mapInArrow(run, f"source {name}, target {name}, cost double, path array<{name}>")
 
 
 def _grouped_search(links: DataFrame, asked: DataFrame, placed: DataFrame, sizes: DataFrame, band: float, scratch: Scratch) -> DataFrame:
@@ -555,16 +611,20 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
     back by doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
     """
     with Scratch(arcs.sparkSession) as scratch:
-        links, n, band = _links(arcs, scratch)
         asked = scratch.keep(requests.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
-        whole = _whole_numbers(links, "node") and _whole_numbers(asked, "source")
+        whole = _whole_numbers(arcs, "src") and _whole_numbers(arcs, "dst") and _whole_numbers(asked, "source")
+        if whole:
+            packed, n, band, both = _packed(arcs, scratch)
+            links = _unpacked(packed, *[arcs.schema[c].dataType.simpleString() for c in ("src", "dst")])
+        else:
+            links, n, band = _links(arcs, scratch)
         if n <= shared_arcs and whole:
             paths = scratch.keep(_shared_search(links, asked, band / 16, False))
             return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
         # a node has a way to itself, whether an arc names it or not
         paths = asked.filter("source = target").select("source", "target", F.lit(0.0).alias("cost"), F.array("source").alias("path"))
         if n <= NET_SHARE * shared_arcs and whole:
-            paths = paths.unionByName(scratch.keep(_packed_search(links, asked.filter("source != target"), band / 16, scratch)))
+            paths = paths.unionByName(scratch.keep(_packed_search(packed, n, both, asked.filter("source != target"), band / 16, scratch)))
             return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
         placed = connected_components(links.select(F.col("node").alias("src"), "dst"), scratch)
         of = lambda c: placed.select(F.col("node").alias(c), "component")
@@ -580,8 +640,8 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
         # few: each holds more than COMPONENT_SHARE * shared_arcs arcs
         for r in large.filter(F.col("arcs") <= (PACKED_SHARE * shared_arcs if whole else 0)).collect():
             one = F.col("component") == r["component"]
-            own = links.join(placed.filter(one).select("node"), "node", "left_semi")
-            paths = paths.unionByName(scratch.keep(_packed_search(own, met.filter(one).select("source", "target"), band / 16, scratch)))
+            own, n, _, both = _packed(links.join(placed.filter(one).select("node"), "node", "left_semi").withColumnRenamed("node", "src"), scratch)
+            paths = paths.unionByName(scratch.keep(_packed_search(own, n, both, met.filter(one).select("source", "target"), band / 16, scratch)))
         large = large.filter(F.col("arcs") > (PACKED_SHARE * shared_arcs if whole else 0))
         if not large.isEmpty():
             rest = scratch.keep(met.join(large.select("component"), "component", "left_semi").select("source", "target"))

@@ -227,6 +227,26 @@ def test_large_component_needs_no_search_by_joins(spark, monkeypatch, shared, bo
             assert r.path[0] == r.source and r.path[-1] == r.target and sum(weight[p] for p in zip(r.path, r.path[1:])) == r.cost
 
 
+@pytest.mark.parametrize("both", [False, True])
+def test_arcs_are_packed_where_they_are_computed(spark, monkeypatch, both):
+    """No table of single arcs is written, packing shuffles nothing, and what is read back is every arc that leads somewhere, at any width of numbers."""
+    monkeypatch.setattr(graph, "PACKED_ARCS", 16, raising=False)
+    tables, real = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: (tables.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), real(self, df))[1])
+    arcs = [(a, b, w) for a, b, w in random_arcs(30, 120, 8) if a < b] + [(7, 7, 1.0), (5 << 40, -(5 << 40), 0.0)]
+    arcs += [(b, a, w) for a, b, w in arcs if a != b] if both else []
+    df = spark.createDataFrame([*arcs, (1, None, 1.0), (None, 1, 1.0), (1, 2, None)], ARCS)
+    asked = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in range(0, 30, 9) for b in range(31))] + [(900, -(5 << 40), 5 << 40)]
+    got = graph.shortest_paths(df, spark.createDataFrame(asked, "request_id long, source long, target long"), shared_arcs=40).collect()
+    assert {r.request_id: r.cost for r in got} == {k: plainly(arcs, a).get(b) for k, a, b in asked}
+    assert not [columns for columns, _ in tables if "weight" in columns]
+    assert [" Exchange " in plan or "Exchange range" in plan for columns, plan in tables if "weights" in columns] == [False]
+    packed, n, _, told = graph._packed(df, Scratch(spark))
+    assert (n, told) == (len(arcs), both)
+    back = graph._unpacked(packed, "bigint", "bigint")
+    assert sorted(map(tuple, back.collect())) == sorted(arcs)
+
+
 @pytest.mark.parametrize("many", [0, 10**9])
 def test_ends_of_one_hub_share_its_search(monkeypatch, many):
     """One network serves hub after hub, ahead and back: the sides are made once, cleared between ends, and ends in another component begin no search."""
