@@ -22,10 +22,11 @@ REF = "l_partkey + CASE WHEN l_partkey % 97 = 0 THEN 1000000000 ELSE 0 END"
 
 
 def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ref", F.expr(REF))
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "ref")
-    refs = F.transform(F.sort_array(F.collect_list(key)), lambda x: x["ref"])
-    return lines.groupBy(F.col("l_orderkey").alias("way_id")).agg(refs.alias("node_refs"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    # a reference follows from the part, so it needn't be shuffled
+    ways = lines.groupBy(F.col("l_orderkey").alias("way_id")).agg(F.sort_array(F.collect_list(key)).alias("_lines"))
+    return ways.select("way_id", F.expr(f"transform(_lines, x -> {REF.replace('l_partkey', 'x.l_partkey')})").alias("node_refs"))
 
 
 NODES_SQL = """nodes AS (SELECT p_partkey AS node_id,
