@@ -247,6 +247,21 @@ def test_arcs_are_packed_where_they_are_computed(spark, monkeypatch, both):
     assert sorted(map(tuple, back.collect())) == sorted(arcs)
 
 
+def test_components_of_a_network_beyond_a_task(spark, monkeypatch):
+    """A network that no task reads whole: a small component goes to a group and a large one is packed, both from the packed arcs."""
+    monkeypatch.setattr(graph, "_banded_search", None)
+    for name, x in (("NET_SHARE", 0), ("PACKED_ARCS", 64)):
+        monkeypatch.setattr(graph, name, x, raising=False)
+    used = []
+    for name in ("_grouped_search", "_packed_search"):
+        monkeypatch.setattr(graph, name, lambda *a, real=getattr(graph, name), name=name: (used.append(name), real(*a))[1])
+    arcs = random_arcs(40, 150, 12) + [(a + 1000, b + 1000, w) for a, b, w in random_arcs(90, 700, 13)]
+    asked = [(k, base + k % 40, base + k * 7 % 90) for k, base in enumerate([0, 1000] * 60)] + [(500, 3, 1003), (501, 88888, 88888)]
+    got = graph.shortest_paths(spark.createDataFrame(arcs, ARCS), spark.createDataFrame(asked, "request_id long, source long, target long"), shared_arcs=100).collect()
+    assert {r.request_id: r.cost for r in got} == {k: plainly(arcs, a).get(b) for k, a, b in asked}
+    assert used == ["_grouped_search", "_packed_search"]
+
+
 @pytest.mark.parametrize("many", [0, 10**9])
 def test_ends_of_one_hub_share_its_search(monkeypatch, many):
     """One network serves hub after hub, ahead and back: the sides are made once, cleared between ends, and ends in another component begin no search."""
