@@ -76,6 +76,8 @@ GROUP_REQUESTS = 20_000
 REQUEST_ARCS = 500
 #: So many ends of one node, or one for each so many nodes of the network, are searched from both sides each.
 FEW_ENDS, MANY_ENDS = 3, 400
+#: Weights are told apart in so many levels by which the arcs of a node are sorted, and so many arcs are sorted at a time.
+LEVELS, LAID_ARCS = 32, 1 << 20
 
 
 class _Net:
@@ -92,17 +94,30 @@ class _Net:
     @classmethod
     def of_chunks(cls, chunks: list[tuple[np.ndarray, ...]], both: bool) -> _Net:
         """Of chunks (src, dst, weight) of arcs in any order, which are emptied; ``both``: an arc stands for its way back too, so one side serves both ways."""
-        ids = np.zeros(0, np.int64)
-        for low in range(0, len(chunks), 16):
-            ids = np.unique(np.concatenate([ids, *[ends for chunk in chunks[low : low + 16] for ends in chunk[:2]]]))
         net = cls.__new__(cls)
-        net._set(ids, (), ())
-        for k, (src, dst, weight) in enumerate(chunks):
-            # in order they are found some times as fast
-            order = np.argsort(dst)
-            ends = np.empty(len(dst), np.int32)
-            ends[order] = net.places(dst[order])
-            chunks[k] = net.places(src).astype(np.int32), ends, weight
+        some = [ends for chunk in chunks for ends in chunk[:2] if len(ends)]
+        low, high = min((int(x.min()) for x in some), default=0), max((int(x.max()) for x in some), default=-1)
+        if high - low < 2 * sum(len(x) for x in some):
+            # ids that lie close are found in a table
+            known = np.zeros(high - low + 1, bool)
+            for x in some:
+                known[x - low] = True
+            ids = np.flatnonzero(known) + low
+            table = np.cumsum(known, dtype=np.int32) - 1
+            for k, (src, dst, weight) in enumerate(chunks):
+                chunks[k] = table[src - low], table[dst - low], weight
+            net._set(ids, (), ())
+        else:
+            ids = np.zeros(0, np.int64)
+            for at in range(0, len(chunks), 16):
+                ids = np.unique(np.concatenate([ids, *[ends for chunk in chunks[at : at + 16] for ends in chunk[:2]]]))
+            net._set(ids, (), ())
+            for k, (src, dst, weight) in enumerate(chunks):
+                # in order they are found some times as fast
+                order = np.argsort(dst)
+                ends = np.empty(len(dst), np.int32)
+                ends[order] = net.places(dst[order])
+                chunks[k] = net.places(src).astype(np.int32), ends, weight
         net.ahead = cls._laid(len(ids), chunks, [(0, 1), (1, 0)] if both else [(0, 1)])
         net.back = net.ahead if both else cls._laid(len(ids), chunks, [(1, 0)])
         return net
@@ -136,7 +151,8 @@ class _Net:
     def sides(self) -> tuple[_Side, _Side]:
         """The two sides of a search, made once."""
         if self._sides is None:
-            self._sides = _Side(self.ahead), _Side(self.back)
+            ahead = _Levels(self.ahead)
+            self._sides = _Side(ahead), _Side(ahead if self.back is self.ahead else _Levels(self.back))
         return self._sides
 
     @property
@@ -194,55 +210,114 @@ def _search(start: int, targets: np.ndarray | None, arcs: tuple[np.ndarray, ...]
         open_[to] = True
 
 
-class _Side:
-    """What a search over a network knows from one end: costs, nodes before, what is open. It is cleared by what it has touched, not as a whole."""
+class _Levels:
+    """Arcs, which are sorted in place, of each node by the level of their weight, and how many of them are up to each level; ``tops``: the greatest weight of each level but the last."""
 
     def __init__(self, arcs: tuple[np.ndarray, ...]):
-        n = len(arcs[0]) - 1
-        self.arcs, self.cost, self.prev, self.open, self.mark = arcs, np.full(n, np.inf), np.full(n, -1, np.int32), np.zeros(n, bool), np.zeros(n, np.int32)
+        first, ends, weights = arcs
+        n, some = len(first) - 1, np.sort(weights[:: max(1, len(weights) >> 17)])
+        # levels of light arcs are the finer, as those are read the most
+        self.tops = np.unique(some[(len(some) * (np.arange(1, LEVELS) / LEVELS) ** 2).astype(int)]) if len(some) else np.zeros(0)
+        most, levels = int(np.diff(first).max(initial=0)), len(self.tops) + 1
+        self.upto = np.empty((n, levels), np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32)
+        self.first, self.ends, self.weights = first, ends, weights
+        low = 0
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(first, first[low] + LAID_ARCS, "right")) - 1)
+            part = slice(first[low], first[high])
+            key = (np.repeat(np.arange(high - low) * levels, np.diff(first[low : high + 1])) + np.searchsorted(self.tops, weights[part])).astype(np.int32 if (high - low) * levels < 1 << 31 else np.int64)
+            order = np.argsort(key)
+            ends[part], weights[part] = ends[part][order], weights[part][order]
+            self.upto[low:high] = np.bincount(key, minlength=(high - low) * levels).reshape(-1, levels).cumsum(axis=1)
+            low = high
+
+
+class _Side:
+    """What a search over a network knows from one end: costs, nodes before, what is open. It is cleared by what it has touched, not as a whole.
+
+    All nodes that cost up to ``low`` are settled, and of these those arcs are read that weigh up to twice what is left of ``low`` at their node. The way from one end to another that costs the sum of both sides'
+    ``low`` or less has an arc that leads from what one side has settled to what the other has; it weighs no more than what is left on both sides, so no more than twice what is left on
+    one of them, which has read it. So both ends' sides have met on the best way, though most arcs were never read.
+    """
+
+    #: What a node is: not known, known at a cost over ``low``, settled with arcs left to read, settled with none.
+    OPEN, LEFT, READ = 1, 2, 3
+
+    def __init__(self, levels: _Levels):
+        n = len(levels.first) - 1
+        self.levels, self.cost, self.prev, self.mark = levels, np.full(n, np.inf), np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        self.state, self.read = np.zeros(n, np.int8), np.zeros(n, np.int32)
         self.touched: list[np.ndarray] = []
-        self.todo, self.low = np.zeros(0, np.int32), np.inf
+        self.todo, self.left, self.low, self.step = np.zeros(0, np.int32), np.zeros(0, np.int32), np.inf, 1.0
 
     def begin(self, at: int) -> None:
         for touched in self.touched:
-            self.cost[touched], self.open[touched] = np.inf, False
-        self.todo, self.low = np.array([at], np.int32), 0.0
-        self.cost[at], self.prev[at], self.open[at], self.touched = 0.0, -1, True, [self.todo]
+            self.cost[touched], self.state[touched], self.read[touched] = np.inf, 0, 0
+        self.todo, self.left, self.low, self.step = np.array([at], np.int32), np.zeros(0, np.int32), 0.0, 1.0
+        self.cost[at], self.prev[at], self.state[at], self.touched = 0.0, -1, self.OPEN, [self.todo]
 
     def grow(self, other: _Side, band: float, best: float, met: int, pruned: bool) -> tuple[float, int]:
         """Settles the next band of costs; the cost of the best way that both sides know and where they meet. ``pruned``: what can't be a part of a better way is left out."""
-        (first, ends, weights), cost, limit = self.arcs, self.cost, self.low + band
-        while True:
-            due = cost[self.todo] < limit
-            at, rest = self.todo[due], self.todo[~due]
-            if not len(at):
+        first, ends, weights, tops, upto = self.levels.first, self.levels.ends, self.levels.weights, self.levels.tops, self.levels.upto
+        cost, state, read, limit = self.cost, self.state, self.read, self.low + band * self.step
+        due = cost[self.todo] <= limit
+        at, todo, idle = self.todo[due], [self.todo[~due]], True
+        state[at] = self.LEFT
+        left = [self.left, at]
+        at = np.concatenate(left)
+        while len(at):
+            near = cost[at]
+            room = 2 * (limit - near)
+            if pruned:
+                room = np.minimum(room, best - near)
+            known = read[at]
+            now = np.maximum(upto[at, np.searchsorted(tops, room)], known)
+            read[at] = now
+            some = np.flatnonzero(now > known)
+            if not len(some):
                 break
-            self.open[at] = False
-            count = first[at + 1] - first[at]
-            arc = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            to, new = ends[arc], np.repeat(cost[at], count) + weights[arc]
+            idle = False
+            at, near, known, count = at[some], near[some], known[some], (now - known)[some].astype(np.int64)
+            until = np.cumsum(count)
+            arc = np.repeat(first[at] + known - until + count, count) + np.arange(until[-1])
+            to, new = ends[arc], np.repeat(near, count) + weights[arc]
             less = new < cost[to]
             if pruned:
                 less &= new + np.minimum(other.cost[to], other.low) < best
+            less = np.flatnonzero(less)
             to, new, by = to[less], new[less], np.repeat(at, count)[less]
             np.minimum.at(cost, to, new)
             least = new == cost[to]
             to, by = to[least], by[least]
             # of several arcs to a node that cost the same the last one counts
-            self.mark[to] = np.arange(len(to), dtype=np.int32)
-            one = self.mark[to] == np.arange(len(to))
+            order = np.arange(len(to), dtype=np.int32)
+            self.mark[to] = order
+            one = self.mark[to] == order
             to, by = to[one], by[one]
+            if not len(to):
+                break
             self.prev[to] = by
-            if len(to):
-                whole = cost[to] + other.cost[to]
-                i = int(whole.argmin())
-                if whole[i] < best:
-                    best, met = float(whole[i]), int(to[i])
-            fresh = to[~self.open[to]]
-            self.open[fresh] = True
-            self.touched.append(fresh)
-            self.todo = np.concatenate((rest, fresh))
-        self.low = float(cost[self.todo].min()) if len(self.todo) else np.inf
+            costs = cost[to]
+            whole = costs + other.cost[to]
+            i = int(whole.argmin())
+            if whole[i] < best:
+                best, met = float(whole[i]), int(to[i])
+            was = state[to]
+            fresh, inner = was == 0, costs <= limit
+            self.touched.append(to[fresh])
+            at, outer = to[inner], to[fresh & ~inner]
+            read[at] = 0
+            left.append(at[was[inner] != self.LEFT])
+            state[at], state[outer] = self.LEFT, self.OPEN
+            todo.append(outer)
+        # a band in which nothing was due is followed by a wider one
+        self.low, self.step = limit, 2 * self.step if idle else 1.0
+        at, todo = np.concatenate(left), np.concatenate(todo)
+        more = read[at] < upto[at, -1]
+        state[at[~more]] = self.READ
+        self.left, self.todo = at[more], todo[state[todo] == self.OPEN]
+        if not len(self.left) and not len(self.todo):
+            self.low = np.inf
         return best, met
 
     def way(self, at: int) -> list[int]:
@@ -258,7 +333,7 @@ def _met_ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) ->
     """Of the places ``ends`` those with a way from the place ``hub`` (``back``: to it), its cost and places from the hub on.
 
     A search from each end meets the one from the hub, which all ends share and which grows the further the more of them are left. No way that both
-    sides don't know yet costs less than the sum of their least open costs, so a search ends when the best way found is no more than that.
+    sides don't know yet costs less than the sum of what they have settled, so a search ends when the best way found is no more than that.
     """
     near, far = net.sides() if not back else net.sides()[::-1]
     begun, left = False, len(ends)
@@ -270,7 +345,7 @@ def _met_ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) ->
             far.begin(end)
             best, met = float(near.cost[end]), end
             while near.low + far.low < best:
-                if len(near.todo) <= left * len(far.todo):
+                if len(near.todo) + len(near.left) <= left * (len(far.todo) + len(far.left)):
                     best, met = near.grow(far, band, best, met, left == 1)
                 else:
                     best, met = far.grow(near, band, best, met, True)

@@ -308,3 +308,65 @@ def test_matrix_of_a_network_that_falls_apart(spark):
     arcs = spark.createDataFrame([(0, 1), (1, 2), (7, 8), (8, 9)], "src long, dst long")
     found = {(r.src, r.dst): r.share for r in graph.transition_matrix(arcs, 0, []).collect()}
     assert found == {(0, 1): 1.0, (1, 0): 0.5, (1, 2): 0.5, (2, 1): 1.0}
+
+
+class Counted(np.ndarray):
+    """Counts how many elements are read by their places."""
+
+    def __getitem__(self, at):
+        if isinstance(at, np.ndarray):
+            self.seen = getattr(self, "seen", 0) + len(at)
+        return np.asarray(super().__getitem__(at))
+
+
+def test_a_search_reads_few_arcs():
+    """In a random network with many arcs a node a way between two nodes costs the reading of a small part of the arcs of the nodes that it goes over."""
+    r = np.random.default_rng(5)
+    n = 6000
+    x, y = r.random((2, n))
+    src, dst = r.integers(n, size=(2, 22 * n))
+    src, dst = np.concatenate((src, dst)), np.concatenate((dst, src))
+    arcs = src, dst, np.hypot(x[src] - x[dst], y[src] - y[dst])
+    net = graph._Net.of_chunks([arcs], False)
+    assert len(net.ids) == n
+    plain = graph._Net(*arcs)
+    first, ends, weights = net.ahead
+    ends = ends.view(Counted)
+    net.ahead = net.back = first, ends, weights
+    found = 0
+    for a, b in r.integers(n, size=(20, 2)).tolist():
+        costs, _ = graph._search(a, None, plain.ahead, 0.1)
+        for end, cost, way in graph._met_ways(net, a, False, np.array([b]), 0.1):
+            assert end == b and abs(cost - costs[b]) < 1e-9 and way[0] == a and way[-1] == b
+            steps = np.hypot(x[way[:-1]] - x[way[1:]], y[way[:-1]] - y[way[1:]])
+            assert abs(steps.sum() - cost) < 1e-9
+            found += 1
+    assert found == 20 and ends.seen < 60_000
+
+
+@pytest.mark.parametrize("kind", ["far apart", "directed", "whole", "spread"])
+def test_searches_that_meet(kind):
+    """Ways of the two-sided search against a plain one: weights of very different sizes, one-way arcs, weights of 0 and ties, ids that lie far apart."""
+    r = np.random.default_rng(11)
+    for n, m in ((3, 2), (30, 45), (200, 900)):
+        src, dst = r.integers(n, size=(2, m))
+        weight = {"far apart": 10.0 ** r.integers(-3, 6, m), "whole": r.integers(0, 4, m).astype(float)}.get(kind, r.random(m))
+        if kind == "spread":
+            src, dst = src * 10**12, dst * 10**12
+        both = kind != "directed"
+        net = graph._Net.of_chunks([(src[k::2], dst[k::2], weight[k::2]) for k in range(2)], both)
+        a, b, w = (np.concatenate((src, dst)), np.concatenate((dst, src)), np.concatenate((weight, weight))) if both else (src, dst, weight)
+        arcs = [(int(i), int(j), float(c)) for i, j, c in zip(net.places(a), net.places(b), w, strict=True)]
+        least = {}
+        for i, j, c in arcs:
+            least[i, j] = min(c, least.get((i, j), c))
+        for back in (False, True):
+            for hub in r.integers(len(net.ids), size=6).tolist():
+                known = plainly([(j, i, c) for i, j, c in arcs] if back else arcs, hub)
+                ends = np.unique(r.integers(len(net.ids), size=7))
+                got = {end: (cost, way) for end, cost, way in graph._met_ways(net, hub, back, ends, float(weight.mean()) / 4 or 1.0)}
+                assert set(got) == {e for e in ends.tolist() if e in known}
+                for end, (cost, way) in got.items():
+                    assert cost == pytest.approx(known[end], rel=1e-12) and way[0] == hub and way[-1] == end
+                    steps = zip(way, way[1:], strict=False)
+                    assert sum(least[(j, i) if back else (i, j)] for i, j in steps) == pytest.approx(cost, rel=1e-12)
