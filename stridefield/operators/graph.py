@@ -78,6 +78,10 @@ REQUEST_ARCS = 500
 FEW_ENDS, MANY_ENDS = 3, 400
 #: Weights are told apart in so many levels by which the arcs of a node are sorted, and so many arcs are sorted at a time.
 LEVELS, LAID_ARCS = 32, 1 << 20
+#: So many searches, or as many as this number of nodes allows, go on together in a task.
+SLOTS, SLOT_NODES = 32, 1 << 23
+#: A node with so many ends is searched once for each of them, next to others.
+PAIRED_ENDS = 2
 
 
 class _Net:
@@ -148,11 +152,17 @@ class _Net:
         at = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
         return np.where(self.ids[at] == nodes, at, -1) if len(self.ids) else np.full(len(nodes), -1)
 
+    @property
+    def slots(self) -> int:
+        return max(1, min(SLOTS, SLOT_NODES // max(1, len(self.ids))))
+
     def sides(self) -> tuple[_Side, _Side]:
-        """The two sides of a search, made once."""
+        """The two sides of searches, made once."""
         if self._sides is None:
             ahead = _Levels(self.ahead)
-            self._sides = _Side(ahead), _Side(ahead if self.back is self.ahead else _Levels(self.back))
+            back = ahead if self.back is self.ahead else _Levels(self.back)
+            mark = np.zeros(self.slots * len(self.ids), np.int32)
+            self._sides = _Side(ahead, self.slots, mark), _Side(back, self.slots, mark)
         return self._sides
 
     @property
@@ -233,57 +243,69 @@ class _Levels:
 
 
 class _Side:
-    """What a search over a network knows from one end: costs, nodes before, what is open. It is cleared by what it has touched, not as a whole.
+    """What searches over a network know from one end each: costs, nodes before, what is open. It is cleared by what it has touched, not as a whole.
 
-    All nodes that cost up to ``low`` are settled, and of these those arcs are read that weigh up to twice what is left of ``low`` at their node. The way from one end to another that costs the sum of both sides'
-    ``low`` or less has an arc that leads from what one side has settled to what the other has; it weighs no more than what is left on both sides, so no more than twice what is left on
-    one of them, which has read it. So both ends' sides have met on the best way, though most arcs were never read.
+    Searches go on together, each in a slot of its own: a node's key is its place and ``n`` for each slot before. All nodes that cost up to ``low`` are settled, and of these those arcs are read that weigh
+    up to twice what is left of ``low`` at their node. The way from one end to another that costs the sum of both sides' ``low`` or less has an arc that leads from what one side has settled to
+    what the other has; it weighs no more than what is left on both sides, so no more than twice what is left on one of them, which has read it. So both sides have met on the best
+    way, though most arcs were never read.
     """
 
     #: What a node is: not known, known at a cost over ``low``, settled with arcs left to read, settled with none.
     OPEN, LEFT, READ = 1, 2, 3
 
-    def __init__(self, levels: _Levels):
-        n = len(levels.first) - 1
-        self.levels, self.cost, self.prev, self.mark = levels, np.full(n, np.inf), np.full(n, -1, np.int32), np.zeros(n, np.int32)
-        self.state, self.read = np.zeros(n, np.int8), np.zeros(n, np.int32)
+    def __init__(self, levels: _Levels, slots: int, mark: np.ndarray):
+        self.levels, self.n = levels, len(levels.first) - 1
+        size = slots * self.n
+        self.cost, self.prev, self.state, self.read, self.mark = np.full(size, np.inf), np.full(size, -1, np.int32), np.zeros(size, np.int8), np.zeros(size, levels.upto.dtype), mark
         self.touched: list[np.ndarray] = []
-        self.todo, self.left, self.low, self.step = np.zeros(0, np.int32), np.zeros(0, np.int32), np.inf, 1.0
 
-    def begin(self, at: int) -> None:
+    def begin(self, at: np.ndarray) -> None:
+        """Begins a search at each of the places ``at``."""
         for touched in self.touched:
             self.cost[touched], self.state[touched], self.read[touched] = np.inf, 0, 0
-        self.todo, self.left, self.low, self.step = np.array([at], np.int32), np.zeros(0, np.int32), 0.0, 1.0
-        self.cost[at], self.prev[at], self.state[at], self.touched = 0.0, -1, self.OPEN, [self.todo]
+        self.todo, self.left = (np.arange(len(at)) * self.n + at).astype(np.int32), np.zeros(0, np.int32)
+        #: ``reach`` is ``low`` of all that have something left to settle or to read
+        self.low, self.reach, self.step = np.zeros(len(at)), 0.0, 1.0
+        self.cost[self.todo], self.prev[self.todo], self.state[self.todo], self.touched = 0.0, -1, self.OPEN, [self.todo]
+
+    def keep(self, live: np.ndarray) -> None:
+        """Goes on with those slots only."""
+        self.todo, self.left = (keys[live[keys // self.n]] for keys in (self.todo, self.left))
 
-    def grow(self, other: _Side, band: float, best: float, met: int, pruned: bool) -> tuple[float, int]:
-        """Settles the next band of costs; the cost of the best way that both sides know and where they meet. ``pruned``: what can't be a part of a better way is left out."""
+    def _of(self, other: _Side, keys: np.ndarray) -> np.ndarray:
+        """Costs of the other side, which may be one search that all slots share."""
+        return other.cost[keys if len(other.low) == len(self.low) else keys % self.n]
+
+    def grow(self, other: _Side, band: float, best: np.ndarray, met: np.ndarray, pruned: bool) -> None:
+        """Settles the next band of costs; by slot, ``best`` is the cost of the best way that both sides know, ``met`` where they meet. ``pruned``: what can't be a part of a better way is left out."""
         first, ends, weights, tops, upto = self.levels.first, self.levels.ends, self.levels.weights, self.levels.tops, self.levels.upto
-        cost, state, read, limit = self.cost, self.state, self.read, self.low + band * self.step
+        cost, state, read, limit = self.cost, self.state, self.read, self.reach + band * self.step
         due = cost[self.todo] <= limit
         at, todo, idle = self.todo[due], [self.todo[~due]], True
         state[at] = self.LEFT
         left = [self.left, at]
         at = np.concatenate(left)
         while len(at):
-            near = cost[at]
-            room = 2 * (limit - near)
+            near, slot = cost[at], at // self.n
+            node, room = at - slot * self.n, 2 * (limit - near)
             if pruned:
-                room = np.minimum(room, best - near)
+                bound = best[slot]
+                room = np.minimum(room, bound - near)
             known = read[at]
-            now = np.maximum(upto[at, np.searchsorted(tops, room)], known)
+            now = np.maximum(upto[node, np.searchsorted(tops, room)], known)
             read[at] = now
             some = np.flatnonzero(now > known)
             if not len(some):
                 break
             idle = False
-            at, near, known, count = at[some], near[some], known[some], (now - known)[some].astype(np.int64)
+            at, near, known, node, count = at[some], near[some], known[some], node[some], (now - known)[some].astype(np.int64)
             until = np.cumsum(count)
-            arc = np.repeat(first[at] + known - until + count, count) + np.arange(until[-1])
-            to, new = ends[arc], np.repeat(near, count) + weights[arc]
+            arc = np.repeat(first[node] + known - until + count, count) + np.arange(until[-1])
+            to, new = ends[arc] + np.repeat(at - node, count), np.repeat(near, count) + weights[arc]
             less = new < cost[to]
             if pruned:
-                less &= new + np.minimum(other.cost[to], other.low) < best
+                less &= new + np.minimum(self._of(other, to), other.reach) < np.repeat(bound[some], count)
             less = np.flatnonzero(less)
             to, new, by = to[less], new[less], np.repeat(at, count)[less]
             np.minimum.at(cost, to, new)
@@ -298,10 +320,13 @@ class _Side:
                 break
             self.prev[to] = by
             costs = cost[to]
-            whole = costs + other.cost[to]
-            i = int(whole.argmin())
-            if whole[i] < best:
-                best, met = float(whole[i]), int(to[i])
+            whole, slot = costs + self._of(other, to), to // self.n
+            better = np.flatnonzero(whole < best[slot])
+            if len(better):
+                slot, whole = slot[better], whole[better]
+                np.minimum.at(best, slot, whole)
+                won = whole == best[slot]
+                met[slot[won]] = to[better[won]] - slot[won] * self.n
             was = state[to]
             fresh, inner = was == 0, costs <= limit
             self.touched.append(to[fresh])
@@ -311,47 +336,78 @@ class _Side:
             state[at], state[outer] = self.LEFT, self.OPEN
             todo.append(outer)
         # a band in which nothing was due is followed by a wider one
-        self.low, self.step = limit, 2 * self.step if idle else 1.0
+        self.reach, self.step = limit, 2 * self.step if idle else 1.0
         at, todo = np.concatenate(left), np.concatenate(todo)
-        more = read[at] < upto[at, -1]
+        more = read[at] < upto[at % self.n, -1]
         state[at[~more]] = self.READ
         self.left, self.todo = at[more], todo[state[todo] == self.OPEN]
-        if not len(self.left) and not len(self.todo):
-            self.low = np.inf
-        return best, met
+        self.low[:] = np.inf
+        self.low[self.left // self.n] = self.low[self.todo // self.n] = limit
 
     def way(self, at: int) -> list[int]:
-        """Nodes from ``at`` back to where the search began."""
+        """Nodes from the key ``at`` back to where the search began."""
         way = []
         while at >= 0:
-            way.append(at)
+            way.append(at % self.n)
             at = int(self.prev[at])
         return way
 
 
+def _meet(near: _Side, far: _Side, band: float, best: np.ndarray, met: np.ndarray, left: int) -> None:
+    """Grows both sides until each slot's best way is known. ``left``: how many searches will have used the near side, 0 if it stays as it is.
+
+    No way that both sides don't know yet costs less than the sum of what they have settled, so a search ends when the best way found is no more than that.
+    """
+    live = np.ones(len(best), bool)
+    while True:
+        going = near.low + far.low < best
+        if not going.any():
+            return
+        if (going != live).any():
+            live = going
+            far.keep(live)
+            if len(near.low) == len(live):
+                near.keep(live)
+        if left and len(near.todo) + len(near.left) <= left * (len(far.todo) + len(far.left)):
+            near.grow(far, band, best, met, left == 1)
+        else:
+            far.grow(near, band, best, met, True)
+
+
 def _met_ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) -> Iterator[tuple[int, float, list[int]]]:
     """Of the places ``ends`` those with a way from the place ``hub`` (``back``: to it), its cost and places from the hub on.
 
-    A search from each end meets the one from the hub, which all ends share and which grows the further the more of them are left. No way that both
-    sides don't know yet costs less than the sum of what they have settled, so a search ends when the best way found is no more than that.
+    Searches from the ends meet the one from the hub, which all share and which the first of them makes grow the further the more they are.
     """
+    ends = ends[net.part[ends] == net.part[hub]]
     near, far = net.sides() if not back else net.sides()[::-1]
-    begun, left = False, len(ends)
-    for end in ends.tolist():
-        if net.part[end] == net.part[hub]:
-            if not begun:
-                near.begin(hub)
-                begun = True
-            far.begin(end)
-            best, met = float(near.cost[end]), end
-            while near.low + far.low < best:
-                if len(near.todo) + len(near.left) <= left * (len(far.todo) + len(far.left)):
-                    best, met = near.grow(far, band, best, met, left == 1)
-                else:
-                    best, met = far.grow(near, band, best, met, True)
-            if best < np.inf:
-                yield end, best, near.way(met)[::-1] + far.way(met)[1:]
-        left -= 1
+    low, high = 0, 1
+    while low < len(ends):
+        some = ends[low:high]
+        if not low:
+            near.begin(np.array([hub]))
+        far.begin(some)
+        best, met = near.cost[some], some.copy()
+        _meet(near, far, band, best, met, len(ends) if not low else 0)
+        for k in np.flatnonzero(best < np.inf).tolist():
+            yield int(some[k]), float(best[k]), near.way(int(met[k]))[::-1] + far.way(k * far.n + int(met[k]))[1:]
+        low, high = high, high + net.slots
+
+
+def _paired_ways(net: _Net, sources: np.ndarray, targets: np.ndarray, band: float) -> Iterator[tuple[int, int, float, list[int]]]:
+    """source, target, cost and places of the way of each pair of places that has one, searched from both."""
+    joined = net.part[sources] == net.part[targets]
+    sources, targets = sources[joined], targets[joined]
+    for low in range(0, len(sources), net.slots):
+        some, others = sources[low : low + net.slots], targets[low : low + net.slots]
+        near, far = net.sides()
+        near.begin(some)
+        far.begin(others)
+        best, met = np.where(some == others, 0.0, np.inf), others.copy()
+        _meet(near, far, band, best, met, 1)
+        for k in np.flatnonzero(best < np.inf).tolist():
+            at = k * near.n + int(met[k])
+            yield int(some[k]), int(others[k]), float(best[k]), near.way(at)[::-1] + far.way(at)[1:]
 
 
 def _ways(net: _Net, hub: int, back: bool, ends: np.ndarray, band: float) -> Iterator[tuple[int, float, list[int]]]:
@@ -416,9 +472,13 @@ def _solved(net: _Net, hubs: np.ndarray, ends: np.ndarray, back: np.ndarray, ban
     if not len(hubs):
         return  # a group may have its component's arcs and no request
     firsts = np.flatnonzero(np.concatenate(([True], (hubs[1:] != hubs[:-1]) | (back[1:] != back[:-1]))))
-    for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(hubs)], strict=True):
+    counts = np.diff(np.append(firsts, len(hubs)))
+    few = np.repeat(counts <= PAIRED_ENDS, counts)
+    for a, b, cost, way in _paired_ways(net, np.where(back, ends, hubs)[few], np.where(back, hubs, ends)[few], band):
+        yield net.ids[a], net.ids[b], cost, net.ids[way].tolist()
+    for low, n in zip(firsts[counts > PAIRED_ENDS].tolist(), counts[counts > PAIRED_ENDS].tolist(), strict=True):
         hub, to_it = int(hubs[low]), bool(back[low])
-        for end, cost, way in _ways(net, hub, to_it, ends[low:high], band):
+        for end, cost, way in _ways(net, hub, to_it, ends[low : low + n], band):
             yield (*((net.ids[end], net.ids[hub]) if to_it else (net.ids[hub], net.ids[end])), cost, way)
 
 
