@@ -68,6 +68,9 @@ SHARED_ARCS = 2_000_000
 COMPONENT_SHARE = 4
 #: A network of up to so many times ``SHARED_ARCS`` arcs, and a component of up to so many times as many, is read packed by each task (12 bytes an arc, 24 if its ways back differ).
 NET_SHARE, PACKED_SHARE = 32, 32
+#: So few sources over a larger network are searched by tasks that the packed arcs pass by, up to so many times, and that hold what each node costs, if ids span no more than ``PASSED_SHARE`` times ``SHARED_ARCS``.
+#: A task holds so many of them, 12 bytes each, or those of one source.
+PASSED_SOURCES, PASSES, PASSED_SHARE, PASSED_NODES, PASSED_ARCS = 64, 32, 32, 1 << 25, 1 << 14
 #: Arcs of a packed row, at most.
 PACKED_ARCS = 1 << 18
 #: Requests of a group, which is a task over the components that it takes part in, one after the other.
@@ -497,7 +500,7 @@ def _by_hub(asked: DataFrame) -> DataFrame:
 def _packed(arcs: DataFrame, own: Scratch) -> tuple[DataFrame, int, float, bool]:
     """Arcs (src, dst, weight) between whole numbers as a table of rows of many arcs, how many they are, a band of costs (see :func:`_links`), and whether each stands there the other way too.
 
-    Rows: ahead, n, total, h0, h1, nodes, ends, weights. ``ahead`` are those from the lesser node, or from a node to itself: where each arc stands both ways they tell the whole network. Each task packs what it has
+    Rows: ahead, n, total, h0, h1, low, high, nodes, ends, weights. ``ahead`` are those from the lesser node, or from a node to itself: where each arc stands both ways they tell the whole network. Each task packs what it has
     computed, so this shuffles nothing. An arc without an end or weight leads nowhere.
     """
     # an arc and its way back tell the same sums
@@ -520,12 +523,13 @@ def _packed(arcs: DataFrame, own: Scratch) -> tuple[DataFrame, int, float, bool]
                     some = np.flatnonzero((node <= to) == ahead)
                     some = some[np.argsort(node[some], kind="stable")]
                     if len(some):
-                        made = [ahead, len(some), float(w[some].sum()), *[int(h[some].sum()) for h in told], numbers(node[some]), numbers(to[some]), w[some].tobytes()]
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, types, strict=True)], ["ahead", "n", "total", "h0", "h1", "nodes", "ends", "weights"])
+                        span = [int(min(node[some].min(), to[some].min())), int(max(node[some].max(), to[some].max()))]
+                        made = [ahead, len(some), float(w[some].sum()), *[int(h[some].sum()) for h in told], *span, numbers(node[some]), numbers(to[some]), w[some].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, types, strict=True)], ["ahead", "n", "total", "h0", "h1", "low", "high", "nodes", "ends", "weights"])
 
     names = ["node", "to", "w", "h0", "h1"]
-    types = [pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    packed = own.keep(rows.mapInArrow(pack, "ahead boolean, n long, total double, h0 long, h1 long, nodes binary, ends binary, weights binary"))
+    types = [pa.bool_(), pa.int64(), pa.float64(), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.binary()]
+    packed = own.keep(rows.mapInArrow(pack, "ahead boolean, n long, total double, h0 long, h1 long, low long, high long, nodes binary, ends binary, weights binary"))
     side = lambda c, sign: F.coalesce(F.sum(F.when(F.col("ahead") == sign, F.col(c))), F.lit(0))
     n, total, *sums = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("total"), *[side(c, sign) for sign in (True, False) for c in ("h0", "h1")]).first()
     return packed, n, 4 * ((total or 0.0) / max(n, 1)) or 1.0, sums[:2] == sums[2:]
@@ -591,6 +595,109 @@ def _packed_search(packed: DataFrame, n: int, both: bool, asked: DataFrame, band
     return told.select("n", "nodes", "ends", "weights").coalesce(1).hint("shuffle_replicate_nl").crossJoin(grouped).mapInArrow(run, f"source {name}, target {name}, cost double, path array<{name}>")
 
 
+class _Passed:
+    """Least costs from a few sources, by ids from ``low`` on, over arcs that pass by: what each node costs and the node before is held, no arc is."""
+
+    def __init__(self, sources: list[int], low: int, high: int):
+        self.low, self.size, self.sources = low, high - low + 1, sources
+        # all sources' costs of a node stand together, as one is read after the other
+        self.cost, self.prev = (np.full((self.size, len(sources)), x, t) for x, t in ((np.inf, np.float64), (-1, np.int32)))
+        for k, source in enumerate(sources):
+            if low <= source <= high:
+                self.cost[source - low, k] = 0.0
+
+    def take(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, both: bool) -> bool:
+        """Whether some arc (``both``: or its way back) tells a lesser cost."""
+        n, cost, prev, lesser = len(self.sources), self.cost.reshape(-1), self.prev.reshape(-1), False
+        for low in range(0, len(src), PASSED_ARCS):
+            part = slice(low, low + PASSED_ARCS)
+            ends, w = [x[part] - self.low for x in (src, dst)], weight[part, None]
+            costs = [self.cost.take(x, axis=0) for x in ends]
+            # no arc with its way back tells both
+            for k in (0, 1) if both else (0,):
+                new = costs[k] + w
+                less = np.flatnonzero(new < costs[1 - k])
+                if len(less):
+                    row = less // n
+                    at, new = ends[1 - k][row].astype(np.int64) * n + less % n, new.reshape(-1)[less]
+                    np.minimum.at(cost, at, new)
+                    best = new == cost[at]
+                    prev[at[best]] = ends[k][row[best]]
+                    lesser = True
+        return lesser
+
+    def ways(self, k: int, targets: np.ndarray) -> Iterator[tuple[int, int, float, list[int]]]:
+        """source, target, cost, path of those of ``targets`` that the k-th source has a way to."""
+        cost, prev = self.cost[:, k], self.prev[:, k]
+        targets = targets[(targets >= self.low) & (targets < self.low + self.size)] - self.low
+        for target in targets[np.isfinite(cost[targets])].tolist():
+            way, at = [], target
+            while at >= 0:
+                way.append(at + self.low)
+                at = int(prev[at])
+            yield self.sources[k], target + self.low, float(cost[target]), way[::-1]
+
+
+def _passed_search(packed: DataFrame, both: bool, span: tuple[int, int], sources: list[int], asked: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """source, target, cost, path of the distinct rows of ``asked`` (source, target) that have a way, and whether these are all, for few sources over a network (:func:`_packed`) that no task holds.
+
+    A task holds what each node costs from its sources. It reads the requests and then the packed arcs, again and again until a pass tells no lesser cost, which takes at most as many passes as the ways have steps;
+    it ends then. Nothing of the network goes through a shuffle, nor through the driver. Sources whose ways take more than ``PASSES`` passes are not told.
+    """
+    spark = asked.sparkSession
+    kind, name = to_arrow_type(asked.schema["source"].dataType), asked.schema["source"].dataType.simpleString()
+    most = max(1, min(math.ceil(len(sources) / spark.sparkContext.defaultParallelism), PASSED_NODES // (span[1] - span[0] + 1)))
+    groups = [sources[k : k + most] for k in range(0, len(sources), most)]
+    groups = spark.createDataFrame(list(enumerate(groups)), "_group int, own array<long>").repartitionById(len(groups), F.col("_group")).select("own")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [batch.column(c).to_numpy().astype(np.int64).tobytes() for c in ("source", "target")]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), *[pa.array([x], pa.binary()) for x in made], pa.array([b""], pa.binary())], ["n", "nodes", "ends", "weights"])
+
+    requests = scratch.keep(asked.select("source", "target").mapInArrow(gather, "n long, nodes binary, ends binary, weights binary"))
+    told = (packed.filter("ahead") if both else packed).select("n", "nodes", "ends", "weights")
+    n_requests, n_told = requests.count(), told.count()
+    rows = requests.withColumn("pass", F.lit(-1))
+    for k in range(PASSES):
+        rows = rows.unionByName(told.withColumn("pass", F.lit(k)))
+    names, types = ["source", "target", "cost", "path"], [kind, kind, pa.float64(), pa.list_(kind)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, targets = None, []
+        # of each pass, when it began and how many of its rows have come; when the last lesser cost came
+        begun, come, at, last, whole = {}, {}, 0, -1, False
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if found is None:
+                    found = _Passed(batch.column("own")[k].as_py(), *span)
+                    targets = [[] for _ in found.sources]
+                number, n, nodes, ends, weights = (batch.column(c)[k].as_py() for c in ("pass", "n", "nodes", "ends", "weights"))
+                at += 1
+                begun.setdefault(number, at)
+                come[number] = come.get(number, 0) + 1
+                if number < 0:
+                    asks, wants = np.frombuffer(nodes, np.int64), np.frombuffer(ends, np.int64)
+                    for source, mine in zip(found.sources, targets, strict=True):
+                        mine.append(wants[asks == source])
+                elif not whole:
+                    if found.take(*_unpack(n, nodes, ends, weights), both):
+                        last = at
+                    whole = come[number] == n_told and last < begun[number]
+            if whole and come.get(-1, 0) == n_requests:
+                break
+        if found is None:
+            return
+        if whole:
+            rows = itertools.chain.from_iterable(found.ways(k, np.concatenate([*mine, np.zeros(0, np.int64)])) for k, mine in enumerate(targets))
+            # that a source is done is told by a row without a target
+            yield from _in_batches(itertools.chain(rows, ((source, None, None, None) for source in found.sources)), types, names)
+
+    passed = rows.coalesce(1).hint("shuffle_replicate_nl").crossJoin(groups)
+    known = scratch.keep(passed.mapInArrow(run, f"source {name}, target {name}, cost double, path array<{name}>"))
+    return known.filter("target IS NOT NULL"), known.filter("target IS NULL").count() == len(sources)
+
+
 def _grouped_search(links: DataFrame, asked: DataFrame, placed: DataFrame, sizes: DataFrame, band: float, scratch: Scratch) -> DataFrame:
     """source, target, cost, path of the rows of ``asked`` (source, target, component) that have a way, in components of bounded size.
 
@@ -740,7 +847,8 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
     """requests (request_id, source, target) with cost and path (nodes in order); both null where there is no way.
 
     arcs: src, dst, weight >= 0. Of several ways of least cost one is given. A null end has no way; a source that no arc names has one to itself.
-    Up to ``shared_arcs`` arcs between whole numbers go to all workers, and up to ``NET_SHARE`` times as many are packed and read by each task (:func:`_packed_search`). A larger network is told apart
+    Up to ``shared_arcs`` arcs between whole numbers go to all workers, and up to ``NET_SHARE`` times as many are packed and read by each task (:func:`_packed_search`). Over more, up to ``PASSED_SOURCES`` sources are
+    searched while the packed arcs pass by (:func:`_passed_search`); otherwise a larger network is told apart
     into components first: ends in two of them have no way, which a join tells without a search. A component of up to ``COMPONENT_SHARE`` times ``shared_arcs`` arcs is searched in tasks of its own (:func:`_grouped_search`), one
     of up to ``PACKED_SHARE`` times as many is packed. What is left, a component that no task should hold or nodes that are no whole numbers, is searched together by joins, where paths are walked
     back by doubling (:func:`_walked`). For many sources over a large network see :func:`hub_labels`.
@@ -761,6 +869,13 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, shared_arcs: int = SHAR
         if n <= NET_SHARE * shared_arcs and whole:
             paths = paths.unionByName(scratch.keep(_packed_search(packed, n, both, asked.filter("source != target"), band / 16, scratch)))
             return cut(requests.join(paths, ["source", "target"], "left").select(*requests.columns, "cost", "path"))
+        span = packed.agg(F.min("low"), F.max("high")).first() if whole and n > PACKED_SHARE * shared_arcs > 0 else None
+        if span and span[1] - span[0] < PASSED_SHARE * shared_arcs:
+            few = [r["source"] for r in asked.filter("source != target").select("source").distinct().limit(PASSED_SOURCES + 1).collect()]
+            if 0 < len(few) <= PASSED_SOURCES:
+                found, all_told = _passed_search(packed, both, tuple(span), few, asked.filter("source != target"), scratch)
+                if all_told:
+                    return cut(requests.join(paths.unionByName(found), ["source", "target"], "left").select(*requests.columns, "cost", "path"))
         placed = connected_components(links.select(F.col("node").alias("src"), "dst"), scratch)
         of = lambda c: placed.select(F.col("node").alias(c), "component")
         met = scratch.keep(asked.filter("source != target").join(of("source"), "source").join(of("target"), ["target", "component"]).select("source", "target", "component"))

@@ -370,3 +370,27 @@ def test_searches_that_meet(kind):
                     assert cost == pytest.approx(known[end], rel=1e-12) and way[0] == hub and way[-1] == end
                     steps = zip(way, way[1:], strict=False)
                     assert sum(least[(j, i) if back else (i, j)] for i, j in steps) == pytest.approx(cost, rel=1e-12)
+
+
+@pytest.mark.parametrize("both, passes", [(True, 32), (False, 32), (True, 2)])
+def test_few_sources_over_arcs_that_pass_by(spark, monkeypatch, both, passes):
+    """A network that no task holds is searched from few sources without components or joins in bands; ways of more steps than there are passes are found the other way."""
+    if passes > 2:
+        for name in ("_banded_search", "connected_components", "_grouped_search", "_packed_search"):
+            monkeypatch.setattr(graph, name, None)
+    monkeypatch.setattr(graph, "PACKED_ARCS", 16)
+    monkeypatch.setattr(graph, "PASSES", passes, raising=False)
+    rows = random_arcs(40, 110, 4) + [(1, 1, 0.0), (50, 51, 2.0), (52, 53, 0.0), (54, 55, 1.0)] + [(60 + k, 61 + k, 1.0) for k in reversed(range(4))]
+    rows += [(b, a, w) for a, b, w in rows if a != b] if both else []
+    ends = list(range(0, 66)) + [99, -5, 10**12]
+    asked = [(s * 1000 + k, s, t) for s in (3, 17, 50, 54, 60, 99) for k, t in enumerate(ends)] + [(7, None, 1), (8, 1, None), (9, 3, 3)]
+    got = graph.shortest_paths(spark.createDataFrame(rows, ARCS).repartition(5), spark.createDataFrame(asked, "request_id long, source long, target long"), 3).collect()
+    assert len(got) == len(asked)
+    least = {}
+    for a, b, w in rows:
+        least[a, b] = min(w, least.get((a, b), w))
+    known = {s: plainly(rows, s) for s in (3, 17, 50, 54, 60, 99)}
+    for r in got:
+        want = known[r.source].get(r.target) if None not in (r.source, r.target) else None
+        assert r.cost == want, r
+        assert r.path is None if want is None else r.path[0] == r.source and r.path[-1] == r.target and sum(least[p] for p in zip(r.path, r.path[1:], strict=False)) == want
